@@ -1,11 +1,14 @@
 """The operators' queries by name, and their SQL where SQL can express them."""
 
-from . import chat, mixing, warc
+from . import chat, mixing, ogg, packing, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.query,
     "op2_mixing": mixing.query,
     "op3_chat": chat.query,
+    "op7_ogg": ogg.query,
+    "op8_toxicity": toxicity.query,
+    "op9_packing": packing.query,
 }
 
 SQL = {
