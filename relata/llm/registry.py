@@ -1,11 +1,12 @@
 """The operators' queries by name, and their SQL where SQL can express them."""
 
-from . import chat, mixing, ogg, packing, toxicity, warc
+from . import chat, mixing, ogg, packing, repeats, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.query,
     "op2_mixing": mixing.query,
     "op3_chat": chat.query,
+    "op6_repeats": repeats.query,
     "op7_ogg": ogg.query,
     "op8_toxicity": toxicity.query,
     "op9_packing": packing.query,
@@ -15,4 +16,5 @@ SQL = {
     "op1_warc": warc.SQL,
     "op2_mixing": mixing.SQL,
     "op3_chat": chat.SQL,
+    "op6_repeats": repeats.SQL,
 }
