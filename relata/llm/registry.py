@@ -1,11 +1,12 @@
 """The operators' queries by name, and their SQL where SQL can express them."""
 
-from . import chat, mixing, ogg, packing, repeats, toxicity, warc
+from . import chat, mixing, neardup, ogg, packing, repeats, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.query,
     "op2_mixing": mixing.query,
     "op3_chat": chat.query,
+    "op5_neardup": neardup.query,
     "op6_repeats": repeats.query,
     "op7_ogg": ogg.query,
     "op8_toxicity": toxicity.query,
@@ -16,5 +17,6 @@ SQL = {
     "op1_warc": warc.SQL,
     "op2_mixing": mixing.SQL,
     "op3_chat": chat.SQL,
+    "op5_neardup": neardup.SQL,
     "op6_repeats": repeats.SQL,
 }
