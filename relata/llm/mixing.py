@@ -42,7 +42,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, limit: float = 2
 
     Null texts and texts without words have size 0 and taken 0. A null source is a source of its own; a null doc_id has the
     key of an empty one. Repeated ids stand side by side, the larger size last; equal rows are alike, so reruns agree.
-    An empty table gives none. carry: return docs' own columns, then size and taken.
+    An empty table gives none. carry: return row (a struct of docs' own columns), size and taken.
     """
     clean = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row") if carry else F.lit(0).alias("row"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     rows = saved(clean, "sizes")
@@ -67,7 +67,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, limit: float = 2
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("before")))
     rows = rows.withColumn("taken", F.col("whole") * F.col("size") + part)
     if carry:
-        return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+        return rows.select("row", "size", "taken")
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -77,12 +77,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     The cut text has one space between words. Documents without words are taken never.
     """
     m = mix(docs, carry=True, **options)
-    times = F.when(F.col("_size") > 0, F.ceil(F.col("_taken") / F.col("_size"))).otherwise(F.lit(0)).cast("int")
-    m = m.withColumn("_copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times))))
-    words = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
-    cut = F.substring_index(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ", words.cast("int"))
-    text = F.when(words < F.col("_size"), cut).otherwise(F.col("text"))
-    return m.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
+    m = m.withColumn("copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times))))
+    words, text = F.col("taken") - (F.col("copy") - 1) * F.col("size"), F.col("row")["text"]
+    cut = F.substring_index(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")), " ", words.cast("int"))
+    text = F.when(words < F.col("size"), cut).otherwise(text)
+    return m.select(*[(text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,16 +1,18 @@
 """The operators' queries by name, and their SQL where SQL can express them."""
 
-from . import chat, mixing, neardup, ogg, packing, repeats, toxicity, warc
+from . import ann, chat, katz, mixing, neardup, ogg, packing, repeats, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.query,
     "op2_mixing": mixing.query,
     "op3_chat": chat.query,
+    "op4_ann": ann.query,
     "op5_neardup": neardup.query,
     "op6_repeats": repeats.query,
     "op7_ogg": ogg.query,
     "op8_toxicity": toxicity.query,
     "op9_packing": packing.query,
+    "op10_katz": katz.query,
 }
 
 SQL = {

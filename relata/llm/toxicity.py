@@ -236,10 +236,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> list[float]:
     return w.tolist()
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score, from 0 to 1, of each whole text; a null or empty text has the score of no match at all.
+def score(text, model: Model):
+    """The score, from 0 to 1, of each whole text in a column; a null or empty text has the score of no match at all.
 
-    Rows are scored alone, by their text only. An empty table gives none; repeated rows get the same score.
+    Rows are scored alone, by their text only; repeated rows get the same score.
     """
 
     @F.pandas_udf("double")
@@ -249,7 +249,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             x = np.array([[*matcher.features(t), 1.0] for t in texts]).reshape(-1, len(w))
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))
 
-    return docs.withColumn("score", scored(docs["text"]))
+    return scored(text)
 
 
 def held_out(doc_id, parts: int = 5):
@@ -264,5 +264,5 @@ def model_for(spark, docs: DataFrame, sf_dir: str) -> Model:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    scored = score(docs, model_for(spark, docs, sf_dir))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.col("text"), model_for(spark, docs, sf_dir)).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
