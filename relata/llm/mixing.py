@@ -80,7 +80,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
     m = m.withColumn("copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times))))
     words, text = F.col("taken") - (F.col("copy") - 1) * F.col("size"), F.col("row")["text"]
-    cut = F.substring_index(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")), " ", words.cast("int"))
+    cut = F.call_function("substring_index", F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")), F.lit(" "), words.cast("int"))
     text = F.when(words < F.col("size"), cut).otherwise(text)
     return m.select(*[(text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -86,10 +86,13 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return there.mapInArrow(run, "digest long, shingles array<long>").dropDuplicates(["digest"])
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, k: int, percent: int, label: str) -> DataFrame:
+def _sets_of(docs: DataFrame, pairs_or_classes: DataFrame, k: int, label: str) -> DataFrame:
+    """The full sets, saved, of classes (doc_id, digest)."""
+    return saved(_full_sets(docs, pairs_or_classes.distinct(), k), f"{label}-sets")
+
+
+def _linked(sets: DataFrame, pairs: DataFrame, percent: int, label: str) -> DataFrame:
     """Those pairs (a, b: digests; doc_a, doc_b; n_a, n_b) whose full sets are alike enough, as (u, v) of documents, saved."""
-    wanted = pairs.select(F.col("doc_a").alias("doc_id"), F.col("a").alias("digest")).union(pairs.select("doc_b", "b")).distinct()
-    sets = saved(_full_sets(docs, wanted, k), f"{label}-sets")
     both = pairs.join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("set_b")), "b")
     both = both.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("set_a")), "a")
     common = F.size(F.array_intersect("set_a", "set_b"))
@@ -97,6 +100,23 @@ def _linked(docs: DataFrame, pairs: DataFrame, k: int, percent: int, label: str)
     return saved(both.select(F.greatest("doc_a", "doc_b").alias("u"), F.least("doc_a", "doc_b").alias("v")).where("u <> v").distinct(), f"{label}-links")
 
 
+def _close(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y: rep, digest, n) of classes (rep, digest, n, part) in different parts that can be alike enough.
+
+    With the shingles of all sets in one order, the rarest first, two sets alike enough have one in common among the first
+    n - ceil(2 t n / (1 + t)) + 1 of the smaller set and the first n - ceil(t n) + 1 of the larger one. So many documents
+    around one frequent passage don't meet each other, unless they are nearly all passage.
+    """
+    each = classes.join(sets, "digest").select("rep", "digest", "n", "part", F.explode("shingles").alias("x"))
+    often = each.groupBy("x").agg(F.count(F.lit(1)).alias("often"))
+    each = each.join(often, "x").withColumn("place", F.row_number().over(Window.partitionBy("digest").orderBy("often", "x")))
+    each = each.where(f"often > 1 AND place <= n - ({percent} * n + 99) div 100 + 1")
+    small = each.where(f"place <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1")
+    side = lambda d, s: d.select("x", F.col("part").alias(f"part_{s}"), F.struct("rep", "digest", "n").alias(s))
+    met = side(small, "a").join(side(each, "b"), "x")
+    return met.where(f"part_a <> part_b AND (a.n < b.n OR a.n = b.n AND a.digest < b.digest) AND 100 * a.n >= {percent} * b.n").select("a", "b").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component: the smallest node that can be reached) of every node of links (u > v).
 
@@ -124,9 +144,10 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int =
     Documents are linked when 100 * common >= percent * all of their k-word shingles. Documents with equal sets are one class,
     and only classes are compared. Band keys bring classes together. First each class meets its key's smallest and largest
     class only; links are confirmed on full sets and joined to components. A key whose classes all are in one component is
-    done, however many they are. For the others, every class outside of the key's largest component meets all classes there
-    of other components, so no pair with a common key is left out that could join two components. At a similarity of 0.8
-    and 32 keys of 5 rows, a pair has no common key with a probability of 3e-6.
+    done, however many they are. The classes of all other keys meet again where their full sets have a rare shingle in
+    common, by a filter that leaves out no pair that is alike enough (`_close`). So every pair with a common key that could
+    join two components is tried. At a similarity of 0.8 and 32 keys of 5 rows, a pair has no common key with a probability
+    of 3e-6.
 
     Null, empty and blank texts have an empty set and no links. Rows with equal ids are one node. A null doc_id can't be
     pointed to: such rows are linked with nothing and have a null component_id and kept true. An empty table gives none.
@@ -148,21 +169,20 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int =
 
     own = met.withColumn("own", F.struct("rep", "digest", "n"))
     stars = saved(pairs("lo", "own", own).union(pairs("hi", "own", own)).distinct(), "stars")
-    links = _linked(docs, stars, k, percent, "stars")
+    ends = stars.select(F.col("doc_a").alias("doc_id"), F.col("a").alias("digest")).union(stars.select("doc_b", "b"))
+    links = _linked(_sets_of(docs, ends, k, "stars"), stars, percent, "stars")
     again = ids.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("doc_id")
     same = ids.join(again, "doc_id").join(classes.select("digest", "rep"), "digest").where("doc_id <> rep").select(F.greatest("doc_id", "rep").alias("u"), F.least("doc_id", "rep").alias("v"))
     links = saved(links.union(same).distinct(), "first-links")
     parts = components(links)
 
     placed = met.drop("lo", "hi").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
-    sizes = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("most.part").alias("main"))
-    open_ = saved(placed.join(mixed, "key"), "open")
-    few = open_.where("part <> main").select("key", F.col("part").alias("part_x"), F.struct("rep", "digest", "n").alias("x"))
-    all_ = open_.select("key", "part", F.struct("rep", "digest", "n").alias("y"))
-    close = few.join(all_, "key").where(f"part_x <> part AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-    more = saved(pairs("x", "y", close).join(stars.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    found = _linked(docs, more, k, percent, "rest")
+    sizes = placed.select("key", "part").distinct()
+    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    open_ = saved(placed.join(mixed.select("key"), "key", "left_semi").select("rep", "digest", "n", "part").distinct(), "open")
+    sets = _sets_of(docs, open_.select(F.col("rep").alias("doc_id"), "digest"), k, "rest")
+    more = saved(pairs("a", "b", _close(open_, sets, percent)).join(stars.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    found = _linked(sets, more, percent, "rest")
     final = components(links.union(found).distinct()) if found.limit(1).count() else parts
 
     out = sig.select("doc_id", "n", "digest").join(classes.select("digest", "rep"), "digest", "left")
