@@ -104,17 +104,18 @@ def _close(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y: rep, digest, n) of classes (rep, digest, n, part) in different parts that can be alike enough.
 
     With the shingles of all sets in one order, the rarest first, two sets alike enough have one in common among the first
-    n - ceil(2 t n / (1 + t)) + 1 of the smaller set and the first n - ceil(t n) + 1 of the larger one. So many documents
-    around one frequent passage don't meet each other, unless they are nearly all passage.
+    n - ceil(2 t n / (1 + t)) + 1 of the smaller set and the first n - ceil(t n) + 1 of the larger one, and after the first
+    one in common, enough are left in both. So many documents around one frequent passage don't meet each other, unless
+    they are nearly all passage.
     """
     each = classes.join(sets, "digest").select("rep", "digest", "n", "part", F.explode("shingles").alias("x"))
     often = each.groupBy("x").agg(F.count(F.lit(1)).alias("often"))
     each = each.join(often, "x").withColumn("place", F.row_number().over(Window.partitionBy("digest").orderBy("often", "x")))
     each = each.where(f"often > 1 AND place <= n - ({percent} * n + 99) div 100 + 1")
     small = each.where(f"place <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1")
-    side = lambda d, s: d.select("x", F.col("part").alias(f"part_{s}"), F.struct("rep", "digest", "n").alias(s))
+    side = lambda d, s: d.select("x", F.col("part").alias(f"part_{s}"), F.struct("rep", "digest", "n").alias(s), (F.col("n") - F.col("place")).alias(f"rest_{s}"))
     met = side(small, "a").join(side(each, "b"), "x")
-    return met.where(f"part_a <> part_b AND (a.n < b.n OR a.n = b.n AND a.digest < b.digest) AND 100 * a.n >= {percent} * b.n").select("a", "b").distinct()
+    return met.where(f"part_a <> part_b AND (a.n < b.n OR a.n = b.n AND a.digest < b.digest) AND 100 * a.n >= {percent} * b.n AND (1 + least(rest_a, rest_b)) * {100 + percent} >= {percent} * (a.n + b.n)").select("a", "b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
