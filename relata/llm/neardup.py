@@ -108,10 +108,12 @@ def _close(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one in common, enough are left in both. So many documents around one frequent passage don't meet each other, unless
     they are nearly all passage.
     """
-    each = classes.join(sets, "digest").select("rep", "digest", "n", "part", F.explode("shingles").alias("x"))
-    often = each.groupBy("x").agg(F.count(F.lit(1)).alias("often"))
-    each = each.join(often, "x").withColumn("place", F.row_number().over(Window.partitionBy("digest").orderBy("often", "x")))
-    each = each.where(f"often > 1 AND place <= n - ({percent} * n + 99) div 100 + 1")
+    each = sets.join(classes.select("digest"), "digest", "left_semi").select("digest", F.explode("shingles").alias("x"))
+    often = each.groupBy("x").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    by_set = Window.partitionBy("digest")  # a shingle of one set only takes a place, but is met by none
+    each = each.join(often, "x").withColumn("from_end", F.count(F.lit(1)).over(by_set) - F.row_number().over(by_set.orderBy("often", "x")) + 1)
+    each = each.select("digest", "x", "from_end").join(classes, "digest").withColumn("place", F.col("n") - F.col("from_end") + 1)
+    each = each.where(f"place <= n - ({percent} * n + 99) div 100 + 1")
     small = each.where(f"place <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1")
     side = lambda d, s: d.select("x", F.col("part").alias(f"part_{s}"), F.struct("rep", "digest", "n").alias(s), (F.col("n") - F.col("place")).alias(f"rest_{s}"))
     met = side(small, "a").join(side(each, "b"), "x")
@@ -145,10 +147,10 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int =
     Documents are linked when 100 * common >= percent * all of their k-word shingles. Documents with equal sets are one class,
     and only classes are compared. Band keys bring classes together. First each class meets its key's smallest and largest
     class only; links are confirmed on full sets and joined to components. A key whose classes all are in one component is
-    done, however many they are. The classes of all other keys meet again where their full sets have a rare shingle in
-    common, by a filter that leaves out no pair that is alike enough (`_close`). So every pair with a common key that could
-    join two components is tried. At a similarity of 0.8 and 32 keys of 5 rows, a pair has no common key with a probability
-    of 3e-6.
+    done, however many they are. The classes with two or more other keys meet again where their full sets have a rare shingle
+    in common, by a filter that leaves out no pair that is alike enough (`_close`). So every pair with two common keys that
+    could join two components is tried. At a similarity of 0.8 and 32 keys of 5 rows, a pair has fewer than two common keys
+    with a probability of 5e-5.
 
     Null, empty and blank texts have an empty set and no links. Rows with equal ids are one node. A null doc_id can't be
     pointed to: such rows are linked with nothing and have a null component_id and kept true. An empty table gives none.
@@ -158,9 +160,10 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int =
     ids = sig.where("n > 0 AND doc_id IS NOT NULL")
     classes = saved(ids.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
 
-    keyed = classes.select(F.explode("bands").alias("key"), "digest", "rep", "n")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rep", "digest", "n")).alias("lo"), F.max(F.struct("rep", "digest", "n")).alias("hi")).where("c > 1")
-    met = saved(keyed.join(shared.drop("c"), "key"), "keys")
+    keyed = classes.select(F.explode("bands").alias("key"), "digest")
+    often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    met = saved(keyed.join(often, "key", "left_semi").join(classes.select("digest", "rep", "n"), "digest"), "keys")
+    sets = _sets_of(docs, met.select(F.col("rep").alias("doc_id"), "digest"), k, "met")
 
     def pairs(a: str, b: str, rows: DataFrame) -> DataFrame:
         side = [F.col(f"{x}.{f}").alias(f"{y}") for x, s in ((a, "a"), (b, "b")) for f, y in (("digest", s), ("rep", f"doc_{s}"), ("n", f"n_{s}"))]
@@ -168,20 +171,19 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int =
         ordered = p.where("a < b").unionByName(p.where("a > b").select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("doc_b").alias("doc_a"), F.col("doc_a").alias("doc_b"), F.col("n_b").alias("n_a"), F.col("n_a").alias("n_b")))
         return ordered.distinct()
 
-    own = met.withColumn("own", F.struct("rep", "digest", "n"))
+    ends = met.groupBy("key").agg(F.min(F.struct("rep", "digest", "n")).alias("lo"), F.max(F.struct("rep", "digest", "n")).alias("hi"))
+    own = met.select("key", F.struct("rep", "digest", "n").alias("own")).join(ends, "key")
     stars = saved(pairs("lo", "own", own).union(pairs("hi", "own", own)).distinct(), "stars")
-    ends = stars.select(F.col("doc_a").alias("doc_id"), F.col("a").alias("digest")).union(stars.select("doc_b", "b"))
-    links = _linked(_sets_of(docs, ends, k, "stars"), stars, percent, "stars")
+    links = _linked(sets, stars, percent, "stars")
     again = ids.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("doc_id")
     same = ids.join(again, "doc_id").join(classes.select("digest", "rep"), "digest").where("doc_id <> rep").select(F.greatest("doc_id", "rep").alias("u"), F.least("doc_id", "rep").alias("v"))
     links = saved(links.union(same).distinct(), "first-links")
     parts = components(links)
 
-    placed = met.drop("lo", "hi").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
-    sizes = placed.select("key", "part").distinct()
-    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_ = saved(placed.join(mixed.select("key"), "key", "left_semi").select("rep", "digest", "n", "part").distinct(), "open")
-    sets = _sets_of(docs, open_.select(F.col("rep").alias("doc_id"), "digest"), k, "rest")
+    placed = met.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
+    mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
+    open_ = placed.join(mixed, "key", "left_semi").groupBy("rep", "digest", "n", "part").agg(F.count(F.lit(1)).alias("c"))
+    open_ = saved(open_.where("c > 1").drop("c"), "open")
     more = saved(pairs("a", "b", _close(open_, sets, percent)).join(stars.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     found = _linked(sets, more, percent, "rest")
     final = components(links.union(found).distinct()) if found.limit(1).count() else parts
