@@ -304,8 +304,8 @@ SQL = {
 several AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY type_name) AS p FROM kb), total AS (SELECT count(DISTINCT title) AS titles FROM several), singles AS (SELECT type_name, count(*) AS n FROM several GROUP BY 1),
 pairs AS (SELECT a.type_name AS type_a, b.type_name AS type_b, count(*) AS n FROM several a JOIN several b ON a.title = b.title AND a.p < b.p GROUP BY 1, 2),
 s AS (SELECT *, exp(value::DOUBLE) / sum(exp(value::DOUBLE)) OVER (PARTITION BY title) AS proba, last_value(type_name) OVER (PARTITION BY title ORDER BY value, type_name ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS predicted FROM logits)
-SELECT s.title, s.type_name, round(proba, 5) AS proba, round(value::DOUBLE, 5) AS value, round(max(proba) OVER w - proba, 5) AS top_proba, round(min(proba) OVER w - proba, 5) AS bottom_proba,
-  round((max(value) OVER w - value)::DOUBLE, 5) AS top_raw, round((min(value) OVER w - value)::DOUBLE, 5) AS bottom_raw, round(((coalesce(p.n, 0) + 1) / titles) / (((coalesce(a.n, 0) + 1) / titles) * ((coalesce(b.n, 0) + 1) / titles)), 5) AS pmi
+SELECT s.title, s.type_name, round(proba, 5) AS proba, round(value::DOUBLE, 5) AS value, round(max(proba) OVER w - proba, 5) AS top_proba, round(min(proba) OVER w - proba, 5) + 0 AS bottom_proba,
+  round((max(value) OVER w - value)::DOUBLE, 5) AS top_raw, round((min(value) OVER w - value)::DOUBLE, 5) + 0 AS bottom_raw, round(((coalesce(p.n, 0) + 1) / titles) / (((coalesce(a.n, 0) + 1) / titles) * ((coalesce(b.n, 0) + 1) / titles)), 5) AS pmi
 FROM s CROSS JOIN total LEFT JOIN pairs p ON p.type_a = least(s.type_name, predicted) AND p.type_b = greatest(s.type_name, predicted) LEFT JOIN singles a ON a.type_name = s.type_name LEFT JOIN singles b ON b.type_name = predicted WINDOW w AS (PARTITION BY s.title)""",
     "valid_logits": f"WITH {_LOGITS} SELECT title, type_name, round(value::DOUBLE, 6) AS value FROM logits WHERE (title, type_name) IN (SELECT vec_id::VARCHAR, 't' || label FROM embeddings)",
     "wide_features": f"WITH {_LOGITS}, s AS (SELECT *, exp(value::DOUBLE) / sum(exp(value::DOUBLE)) OVER w AS proba, max(value) OVER w - value AS top FROM logits WINDOW w AS (PARTITION BY title, type_name < 't5')) SELECT title, type_name, CASE WHEN type_name < 't5' THEN round(proba, 5) ELSE 0 END AS a_proba, CASE WHEN type_name < 't5' THEN 0 ELSE round(top::DOUBLE, 5) END AS b_top_raw, count(*) OVER (PARTITION BY title) AS num_types FROM s",
