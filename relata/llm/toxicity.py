@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,29 +169,29 @@ def fit(labelled: DataFrame, most_rows: int = 5000, share: float = 0.02, lift: f
     rows = labelled.where("text IS NOT NULL AND toxic IS NOT NULL").select(labelled["doc_id"], labelled["text"], labelled["toxic"])
     rows = rows.orderBy(F.xxhash64(F.col("doc_id")), "doc_id", "text").limit(most_rows)
 
-    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for f in frames:
+        for f in batches:
             keys = []
-            for t in f["text"]:
+            for t in f.column("text").to_pylist():
                 w = t.split()
                 keys.append(min((xxhash.xxh64_intdigest(" ".join(w[k : k + 3])) >> 1 for k in range(max(1, len(w) - 2))), default=0))
-            yield f.assign(near=keys)
+            yield pa.RecordBatch.from_arrays([*f.columns, pa.array(keys, pa.int64())], [*f.schema.names, "near"])
 
     from .scratch import saved
 
-    sample = saved(rows.repartition(32, "doc_id").mapInPandas(hashed, "doc_id long, text string, toxic int, near long"), "labelled")
+    sample = saved(rows.withColumn("toxic", F.col("toxic").cast("int")).repartition(32, "doc_id").mapInArrow(hashed, "doc_id long, text string, toxic int, near long"), "labelled")
     sample = sample.join(sample.groupBy("near", "toxic").agg(F.min("doc_id").alias("doc_id")), ["near", "toxic", "doc_id"], "left_semi")
 
     def count(kept: frozenset[str] | None):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: Counter = Counter()
-            for f in frames:
-                for t in f["text"]:
+            for f in batches:
+                for t in f.column("text").to_pylist():
                     found = _prefixes(t)
                     total.update(found if kept is None else found & kept)
-            yield pd.DataFrame({"stem": list(total), "n": list(total.values())}, columns=["stem", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["stem", "n"])
 
         return run
 
@@ -199,9 +200,9 @@ def fit(labelled: DataFrame, most_rows: int = 5000, share: float = 0.02, lift: f
     if not positives or not negatives:
         return Model({s: 3.0 for s in DEFAULT_STEMS}, [0.0] * 5 + [4.0, 5.0, 1.0, 1.0, 5.0, 0.0, 0.0, -2.0])
     toxic, clean = (sample.where(F.col("toxic") == k).select("text") for k in (1, 0))
-    many = toxic.mapInPandas(count(None), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).where(F.col("n") >= max(4, share * positives))
+    many = toxic.mapInArrow(count(None), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).where(F.col("n") >= max(4, share * positives))
     candidates = _closed(Counter({r["stem"]: r["n"] for r in many.orderBy(F.desc("n"), "stem").limit(20_000).collect()}), positives, share)
-    there = clean.mapInPandas(count(frozenset(candidates)), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).collect()
+    there = clean.mapInArrow(count(frozenset(candidates)), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).collect()
     against = {r["stem"]: r["n"] for r in there}
     odds = {s: math.log((n + 0.5) / (positives + 1)) - math.log((against.get(s, 0) + 0.5) / (negatives + 1)) for s, n in candidates.items()}
     stems: dict[str, float] = {}
@@ -211,12 +212,13 @@ def fit(labelled: DataFrame, most_rows: int = 5000, share: float = 0.02, lift: f
         if not purer and not any(s.startswith(p) for p in stems if not p.endswith("$")):
             stems[s] = odds[s]
 
-    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(stems)
-        for f in frames:
-            yield pd.DataFrame({"x": [matcher.features(t) for t in f["text"]], "toxic": f["toxic"].astype(int)})
+        for f in batches:
+            x = [matcher.features(t) for t in f.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), f.column("toxic")], ["x", "toxic"])
 
-    rows = sample.mapInPandas(measure, "x array<double>, toxic int").collect()
+    rows = sample.select("text", "toxic").mapInArrow(measure, "x array<double>, toxic int").collect()
     return Model(stems, _logistic(np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], dtype=float)))
 
 
@@ -257,9 +259,13 @@ def held_out(doc_id, parts: int = 5):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts == 0
 
 
-def model_for(spark, docs: DataFrame, sf_dir: str) -> Model:
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return fit(docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))).join(labels, "doc_id"))
+def model_for(spark, docs: DataFrame, sf_dir: str, most_rows: int = 5000) -> Model:
+    """A model from the documents that aren't held out. The sample is drawn from ids and labels; only its ids, at most
+    most_rows, are broadcast to fetch the texts, which are never shuffled."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where("toxic IS NOT NULL")
+    ids = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull()).select("doc_id").join(labels, "doc_id").distinct()
+    chosen = ids.orderBy(F.xxhash64(F.col("doc_id")), "doc_id", "toxic").limit(most_rows)
+    return fit(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), most_rows)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
