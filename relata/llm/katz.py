@@ -62,14 +62,14 @@ def _send(t: Tokens, buckets: int):
 
 
 def _merge(bucket, sent):
-    """Each batch's words and pairs with their counts in all batches; whether the batch is the first that has the pair in
-    training; and, once, the sums: tokens, words, and numbers of words and of pairs by count, up to LARGE + 1."""
+    """Each batch's words and pairs with their counts in all batches; whether another batch has the word, be it in held-out
+    documents only; whether the batch is the first that has the pair in training; and, once, the sums: tokens, words, and numbers of words and of pairs by count, up to LARGE + 1."""
     parts, answers, sums = [B.split(x) for _, x in sent], [[] for _ in sent], []
     for k in (0, 2):
         keys = [np.frombuffer(p[k], np.uint64) for p in parts]
         counts = [B.expand(p[k + 1], np.uint32) for p in parts]
         every, where = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
-        distinct, inverse = np.unique(every, return_inverse=True)
+        distinct, inverse, batches = np.unique(every, return_inverse=True, return_counts=True)
         total = np.bincount(inverse, weights=where, minlength=len(distinct)).astype(np.int64)
         owner = np.full(len(distinct), len(every))
         has = np.flatnonzero(where > 0)
@@ -78,8 +78,7 @@ def _merge(bucket, sent):
         for a, x in zip(answers, keys):
             mine = inverse[at : at + len(x)]
             a.append(B.squeeze(total[mine].astype(np.uint32)))
-            if k:
-                a.append(B.squeeze(np.packbits(owner[mine] == np.arange(at, at + len(x)))))
+            a.append(B.squeeze(np.packbits(owner[mine] == np.arange(at, at + len(x)) if k else batches[mine] > 1)))
             at += len(x)
         by = np.bincount(np.minimum(total, LARGE + 2), minlength=LARGE + 3)
         sums += [int(total.sum()), int((total > 0).sum()), *by[1 : LARGE + 2].tolist()]
@@ -119,16 +118,18 @@ def _discounts(n: list[int]) -> np.ndarray:
 
 
 def _counts(t: Tokens, told: dict[int, bytes], buckets: int):
-    """(words' counts, pairs' counts, pairs that this batch owns)."""
+    """(words' counts, words that other batches have too, pairs' counts, pairs that this batch owns)."""
     (wo, wb), (po, pb) = B.dealt(t.words, buckets), B.dealt(t.pairs, buckets)
-    words, pairs, own = np.zeros(len(t.words), np.int64), np.zeros(len(t.pairs), np.int64), np.zeros(len(t.pairs), bool)
+    words, shared = np.zeros(len(t.words), np.int64), np.zeros(len(t.words), bool)
+    pairs, own = np.zeros(len(t.pairs), np.int64), np.zeros(len(t.pairs), bool)
     for k, data in told.items():
         if 0 <= k < buckets:
             w, p = wo[wb[k] : wb[k + 1]], po[pb[k] : pb[k + 1]]
-            a, b, c = B.split(data)
-            words[w], pairs[p] = B.expand(a, np.uint32), B.expand(b, np.uint32)
-            own[p] = np.unpackbits(B.expand(c, np.uint8), count=len(p)).astype(bool)
-    return words, pairs, own
+            a, b, c, d = B.split(data)
+            words[w], pairs[p] = B.expand(a, np.uint32), B.expand(c, np.uint32)
+            shared[w] = np.unpackbits(B.expand(b, np.uint8), count=len(w)).astype(bool)
+            own[p] = np.unpackbits(B.expand(d, np.uint8), count=len(p)).astype(bool)
+    return words, shared, pairs, own
 
 
 def train_and_score(docs: DataFrame, held_out) -> DataFrame:
@@ -140,7 +141,7 @@ def train_and_score(docs: DataFrame, held_out) -> DataFrame:
     history's count; an unseen one the history's backoff weight times the unigram. Backoff weights are exact: the seen pairs
     of a history leave 1 - S, and 1 - U of the unigrams, where both sums run over its pairs, each counted once by the first
     batch that has it. Where a history's pairs are all too frequent to be discounted, they yield 1 / (count + 1) in
-    proportion. Histories whose occurrences are all in one batch need no exchange.
+    proportion. Histories that only one batch has, held-out documents included, need no exchange.
 
     Null and empty texts are the end alone. A null doc_id is hashed as an empty text. Repeated rows count as often as they
     are there. Without training documents every token is unknown (probability 1). An empty table gives none.
@@ -154,15 +155,14 @@ def train_and_score(docs: DataFrame, held_out) -> DataFrame:
     model = Model([r["n"] for r in sums])
     counted = counted.where("batch >= 0").drop("sums")
 
-    def histories(t: Tokens, words, pairs, own):
+    def histories(t: Tokens, words, shared, pairs, own):
         """(count as a history, of each word here; the owned pairs' sums S and U; which words the exchange needs)."""
         count = words.copy()
         if t.begin < len(count):
             count[t.begin] = -1  # not known here: all documents begin
-        local = t.word_count.astype(np.int64)
         s = np.bincount(t.left[own], weights=(model.pair_discount[np.minimum(pairs, LARGE + 1)] * pairs)[own], minlength=len(words))
         u = np.bincount(t.left[own], weights=model.unigram(words[t.right])[own], minlength=len(words))
-        return count, s, u, (count != local) & (count != 0)
+        return count, s, u, (shared & (count != 0)) | (count < 0)
 
     def send(payload, told):
         t = Tokens(payload)
@@ -199,8 +199,8 @@ def train_and_score(docs: DataFrame, held_out) -> DataFrame:
         told, out = B._by_bucket(told), []
         for p in payload["payload"]:
             t = Tokens(p)
-            words, pairs, own = _counts(t, told, buckets)
-            count, s, u, needs = histories(t, words, pairs, own)
+            words, shared, pairs, own = _counts(t, told, buckets)
+            count, s, u, needs = histories(t, words, shared, pairs, own)
             backoff, scale = _weights(count, s, u)
             order, begin = B.dealt(t.words, buckets)
             for k in range(buckets):

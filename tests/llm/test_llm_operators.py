@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -168,6 +169,41 @@ def test_katz(spark):
     assert scale * s / np.maximum(count, 1) + backoff * (1 - u) == pytest.approx(np.ones(3))
 
 
+def test_katz_brute_force(spark):
+    """Batches that have a word in held-out documents only, where one batch has all its training occurrences."""
+    held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 == 2][:8]
+    train = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 != 2]
+    pools = [[f"p{b}w{k}" for k in range(6)] + ["the", "of"] for b in range(4)]
+    rng = np.random.default_rng(5)
+    parts = [[(train[12 * b + k], " ".join(rng.choice(pools[b], 9))) for k in range(12)] + [(held[2 * b + k], " ".join(rng.choice(pools[(b + 1 + k) % 4], 9)) + " new") for k in range(2)] for b in range(4)]
+    rows = [r for p in parts for r in p]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string")
+    tokens = {i: [*t.split(), "$end"] for i, t in rows}
+    pairs, words, starts = Counter(), Counter(), Counter()
+    for i in tokens:
+        if i not in held:
+            words.update(tokens[i])
+            pairs.update(zip(["$begin", *tokens[i]], tokens[i]))
+            starts["$begin"] += 1
+    by = lambda c: [sum(n == r for n in c.values()) for r in range(1, katz.LARGE + 2)]
+    model = katz.Model([words.total(), len(words), *by(words), pairs.total(), len(pairs), *by(pairs)])
+    one = {w: float(model.unigram(np.array([words[w]]))[0]) for t in tokens.values() for w in t}
+    share = {p: float(model.pair_discount[min(n, katz.LARGE + 1)]) * n for p, n in pairs.items()}
+
+    def chance(h, w):
+        n = words[h] + starts[h]
+        s, u = (sum(x for p, x in v if p[0] == h) for v in (share.items(), [(p, one[p[1]]) for p in pairs]))
+        backoff, scale = katz._weights(np.array([n]), np.array([s]), np.array([u]))
+        return scale[0] * share[h, w] / n if (h, w) in pairs else backoff[0] * one[w]
+
+    for h in ["$begin", *words]:
+        if h != "$end":
+            assert sum(chance(h, w) for w in [*words, "new"]) == pytest.approx(1)
+    want = {i: sum(np.log10(chance(h, w)) for h, w in zip(["$begin", *t], t)) for i, t in tokens.items()}
+    found = {r["doc_id"]: r["score"] for r in katz.train_and_score(df, katz.held_out).collect()}
+    assert found == pytest.approx(want, abs=1e-9)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
