@@ -244,13 +244,14 @@ def boosted_trees_cv(spark, sf):
 
 
 def attention_classifier(spark, sf):
-    """Trains a classifier of documents' languages, and gives its logits."""
+    """Trains a classifier of documents' languages, and gives its logits. The vocabulary counts the first 5,000 words of a text,
+    features are the last 5,000 ids of the whole text. Padding is taken away again: pooling skips it, and one task holds all rows."""
     docs = _read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("title"), "lang", T.tokens(F.col("text")).alias("words"))
-    t = docs.select("title", "lang", F.posexplode(T.lowered(F.slice("words", 1, 60))).alias("pos", "token"))
-    vocab = cooc.vocabulary(t.select("token"), 20)
+    t = docs.select("title", "lang", F.posexplode(T.lowered(F.col("words"))).alias("pos", "token"))
+    vocab = cooc.vocabulary(t.where("pos < 5000").select("token"), 20)
     types = [r["lang"] for r in docs.select("lang").distinct().orderBy("lang").collect()]
     label = F.array_position(F.array(*[F.lit(x) for x in types]), F.col("lang")) - 1
-    rows = datasets.encoded(t, vocab, ["title", "lang"], 60)
+    rows = datasets.encoded(t, vocab, ["title", "lang"], 5000).withColumn("ids", F.array_remove("ids", 0))
     train = rows.where("length > 5").select(F.lit("language").alias("classifier"), "title", "ids", label.cast("int").alias("label"), F.lit(1.0).alias("weight"))
     model = learning.train_classifiers(train, vocab.count(), types, epochs=2)["language"]
     return learning.classify(rows, model, types, "language")

@@ -1,6 +1,7 @@
 import numpy as np
 
 from relata.operators import cooc, datasets, entities, learning, scoring
+from relata.plans import queries
 
 
 def rows(df):
@@ -58,3 +59,14 @@ def test_classifier_learns():
     rows, labels = [[1, 2, 0], [2, 1], [3, 4], [4, 3, 3]] * 20, [0, 0, 1, 1] * 20
     model = learning.Classifier(4, 2, 8, 8).fit(rows, labels, epochs=30)
     assert all(int(np.argmax(model.logits(r))) == k for r, k in zip(rows, labels))
+
+
+def test_attention_classifier_reads_whole_texts(spark, tmp_path, monkeypatch):
+    """Words past the first 60 are features, up to the last 5,000 ids; the vocabulary counts the first 5,000 words."""
+    texts = [["a"] * 60 + ["b"] * 30, ["a"] * 5000 + ["late"] * 30 + ["b"] * 9, ["c"] * 60 + ["d"] * 30]
+    spark.createDataFrame([(k, " ".join(w), "en" if k < 2 else "fr") for k, w in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(queries.learning, "classify", lambda rows, *_: rows)
+    found = {r["title"]: r for r in queries.attention_classifier(spark, str(tmp_path)).collect()}
+    want = [[1] * 60 + [3] * 30, [1] * 4991 + [3] * 9, [2] * 60 + [4] * 30]
+    assert [list(found[str(k)]["ids"]) for k in range(3)] == want
+    assert [found[str(k)]["length"] for k in range(3)] == [90, 5009, 90]
