@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,8 @@ class Encoder:
     """ids(texts): uint32 ids of each text, and where each text's begin.
 
     The vocabulary's pattern ends a match before every space that a character other than white space follows. So the texts
-    can be cut there, and a piece's ids don't depend on what stands around it. Special tokens' strings are ordinary text.
+    can be cut there, and a piece's ids don't depend on what stands around it. Added tokens of the vocabulary's JSON
+    are found in the texts first, the longest at a place, and are one id each; what is between them is encoded alone.
     """
 
     def __init__(self, ranks_path: str | None = None) -> None:
@@ -31,6 +34,9 @@ class Encoder:
         with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as vocabulary:
+            self.added = {t["content"].encode(): np.array([t["id"]], dtype="<u4").tobytes() for t in json.load(vocabulary)["added_tokens"]}
+        self.literal = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or b"(?!)")
         self.known: dict[bytes, bytes] = {}
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -42,15 +48,26 @@ class Encoder:
         cut[:-1] &= ~_NOT_CUT[data[1:]]
         cut[offsets[1:][np.diff(offsets) > 0] - 1] = False
         cut[offsets[:-1][np.diff(offsets) > 0]] = True
+        raw, found = data.tobytes(), []
+        if self.literal.search(raw):
+            for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                done = lo
+                for a, b in (m.span() for m in self.literal.finditer(raw, lo, hi)):
+                    if a - 1 > done:
+                        cut[a - 1] = False  # a space there ends its part of the text
+                    cut[a:b] = False
+                    cut[a] = True
+                    if b < hi:
+                        cut[b] = True
+                    done = b
         first = np.flatnonzero(cut)
         last = np.append(first[1:], n)
         _, where, inverse = np.unique(_hash(data, first, last, 7), return_index=True, return_inverse=True)
-        raw, found = data.tobytes(), []
         if len(self.known) > KEPT_PIECES:
             self.known = {}
         for a, b in zip(first[where].tolist(), last[where].tolist()):
             piece = raw[a:b]
-            ids = self.known.get(piece)
+            ids = self.added.get(piece) or self.known.get(piece)
             if ids is None:
                 ids = np.array(self.encode(piece.decode()), dtype="<u4").tobytes()
                 if b - a <= 64:

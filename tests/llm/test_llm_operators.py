@@ -158,6 +158,21 @@ def test_packing(spark):
     assert packing.pack(none(spark)).count() == 0
 
 
+def test_ids_with_added_tokens():
+    import pyarrow as pa
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    from relata.llm.tokens import Encoder
+
+    reader, rng, end = Tokenizer.from_file(path("byte_bpe_50k.json")), np.random.default_rng(3), "<|endoftext|>"
+    texts = [f"a {end} b", end, f"a  {end}  b", f" {end}", f"{end} ", f"x{end}{end} {end}y", None, "", "a <|endof", "text|> b", f"{end}\n\n{end}'s"]
+    texts += ["".join(rng.choice(["a", " ", "  ", "\n", "\u00a0", "don't", "é", "<|", "|>", "12", end], 12)) for _ in range(500)]
+    ids, at = Encoder().ids(pa.array(texts, pa.string()))
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == reader.encode(t or "", add_special_tokens=False).ids, t
+
+
 def test_katz(spark):
     found = katz.train_and_score(some(spark), katz.held_out).collect()
     assert len(found) == 14
