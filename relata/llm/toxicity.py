@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -23,9 +24,10 @@ REPORTS = "said says wrote called quoted claimed reported told dit disait écrit
 #: Insult stems used only where no labels are there to learn from; a word that ends in $ must match whole.
 DEFAULT_STEMS = "idiot$ moron$ scum$ loser$ worthless$ stupid$ pathetic$".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-#: What the grammar counts: matched clauses by kind.
-KINDS = ("plain", "aimed", "negated", "reported", "threat")
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
+SYMBOLS = 7
+#: What the grammar emits, one of these for each insult and for each threat that has a target.
+KINDS = ("plain", "aimed", "negated", "reported", "threat", "negated threat", "reported threat")
 SCOPE = 3  # words that a negation reaches over
 
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
@@ -34,7 +36,7 @@ _CLAUSE_END = re.compile(r"[.!?;:\n]")
 
 
 class Transducer:
-    """A deterministic transducer over symbols: step(state, symbol) -> (state, output symbol or None)."""
+    """A deterministic transducer over symbols: step(state, symbol) -> (state, output); one that others follow gives a symbol."""
 
     def __init__(self, start, step) -> None:
         self.start, self.step = start, step
@@ -43,10 +45,8 @@ class Transducer:
         """The composition: this one's outputs are the other's inputs."""
 
         def step(state, symbol):
-            a, out = self.step(state[0], symbol)
-            if out is None:
-                return (a, state[1]), None
-            b, out = other.step(state[1], out)
+            a, between = self.step(state[0], symbol)
+            b, out = other.step(state[1], between)
             return (a, b), out
 
         return Transducer((self.start, other.start), step)
@@ -68,29 +68,37 @@ class Transducer:
 
 
 def grammar() -> list[list[tuple[int, object]]]:
-    """Reported speech, then negation, then target, composed. Input: word classes; output: kinds, by number.
-
-    Reported speech marks what follows a report in its clause; a negation marks the SCOPE words after it; a target makes an
-    insult or threat beside it in the clause an aimed one. Marks travel with the symbol: class + 6 * reported + 12 * negated.
+    """Reported speech, then negation, then target, composed. Input: word classes, and END after a clause's last word. Output:
+    a tuple of (kind, whether it is of the word at hand rather than of the one that waits).
+
+    Reported speech marks what follows a report in its clause; a negation marks the SCOPE words after it, and counts before a
+    report. Marks travel with the symbol: class + SYMBOLS * (1: reported, 2: negated). An insult or threat without a target
+    before it waits for one; only one waits, the next insult or threat and the clause's end let it go. So every insult gives
+    one output: aimed if a target is in its clause by then, negated or reported if marked, else plain. A threat without a
+    target gives none.
     """
-    reported = Transducer(0, lambda s, x: (1 if x == REPORT else s, x + 6 * (s if x in (INSULT, THREAT) else 0)))
+    reported = Transducer(0, lambda s, x: (1 if x == REPORT else s, x + SYMBOLS * (s if x in (INSULT, THREAT) else 0)))
 
     def deny(left, x):
-        now = SCOPE if x % 6 == NEGATION else max(0, left - 1)
-        return now, x + 12 * (left > 0 and x % 6 in (INSULT, THREAT))
+        now = SCOPE if x % SYMBOLS == NEGATION else max(0, left - 1)
+        return now, x + 2 * SYMBOLS * (left > 0 and x % SYMBOLS in (INSULT, THREAT))
 
     def aim(state, x):
-        seen, waiting = state
-        kind, marks = x % 6, x // 6
+        seen, waiting = state  # waiting: -1, or the kind that a target would make of it
+        kind, marks = x % SYMBOLS, x // SYMBOLS
+        let_go = ((0, False),) if waiting == 1 else ()  # an insult that no target came for; threats go silently
         if kind == TARGET:
-            return (1, -1), waiting if waiting >= 0 else None
+            return (1, -1), ((waiting, False),) if waiting >= 0 else ()
         if kind == THREAT:
-            return ((seen, -1), 4) if seen and not marks else ((seen, 4 if not marks else waiting), None)
+            as_threat = 5 if marks & 2 else 6 if marks else 4
+            return ((seen, -1), ((as_threat, True),)) if seen else ((seen, as_threat), let_go)
         if kind == INSULT:
-            return (seen, 1 if not marks else waiting), 2 if marks & 2 else 3 if marks & 1 else 1 if seen else 0
-        return state, None
+            if marks or seen:
+                return (seen, waiting), ((2 if marks & 2 else 3 if marks else 1, True),)
+            return (seen, 1), let_go
+        return ((seen, -1), let_go) if kind == END else (state, ())
 
-    return reported.then(Transducer(0, deny)).then(Transducer((0, -1), aim)).table(6)
+    return reported.then(Transducer(0, deny)).then(Transducer((0, -1), aim)).table(SYMBOLS)
 
 
 class Model(NamedTuple):
@@ -119,30 +127,43 @@ class Matcher:
         return best
 
     def features(self, text: str | None) -> list[float]:
-        """For each kind log(1 + count) and whether there is one; the largest clause score; matches a thousand words."""
+        """For each kind log(1 + count) and whether there is one; the largest clause score; matches a thousand words. A clause,
+        however long, is read word by word from end to end, once."""
         text = (text or "").lower()
-        counts, top, done = [0] * len(KINDS), 0.0, -1
+        counts, top, done, ends = [0] * len(KINDS), 0.0, 0, None
         for end, n in self.search.iter(text):
             at = end - n + 1
             if at < done or at and (text[at - 1].isalpha() or text[at - 1] == "'"):
                 continue
-            lo = max((m + 1 for m in (text.rfind(c, max(0, at - 2000), at) for c in ".!?;:\n") if m >= 0), default=max(0, at - 2000))
-            stop = _CLAUSE_END.search(text, at, at + 2000)
-            done = stop.start() if stop else min(len(text), at + 2000)
-            state, score = 0, 0.0
-            for word in _WORD.findall(text, max(lo, 0), done):
-                symbol, strength = self.classes.get(word, OTHER), 0.0
-                if symbol in (OTHER, THREAT):
-                    strength = self.weight(word)
-                    symbol = INSULT if strength else symbol
-                state, out = self.table[state][symbol]
-                if out is not None:
-                    counts[out] += 1
-                    score += strength or 1.0
+            if ends is None:
+                ends = [m.start() for m in _CLAUSE_END.finditer(text)]
+            k = bisect_left(ends, at)
+            lo, done = ends[k - 1] + 1 if k else 0, ends[k] if k < len(ends) else len(text)
+            score = 0.0
+            for kind, strength in self.clause(text, lo, done):
+                counts[kind] += 1
+                score += strength or 1.0
             top = max(top, score)
         words = max(1, len(text) // 6)
         return [*(math.log1p(c) for c in counts), *(float(c > 0) for c in counts), math.log1p(top), min(5.0, 1000 * sum(counts) / words / 10)]
 
+    def clause(self, text: str, lo: int, hi: int) -> Iterator[tuple[int, float]]:
+        """The outputs of the clause text[lo:hi], in lower case, each with its word's strength."""
+        state, held = 0, 0.0
+        for m in _WORD.finditer(text, lo, hi):
+            word = m[0]
+            symbol, strength = self.classes.get(word, OTHER), 0.0
+            if symbol in (OTHER, THREAT):
+                strength = self.weight(word)
+                symbol = INSULT if strength else symbol
+            state, out = self.table[state][symbol]
+            for kind, now in out:
+                yield kind, strength if now else held
+            if symbol in (INSULT, THREAT):
+                held = strength
+        for kind, _ in self.table[state][END][1]:
+            yield kind, held
+
 
 def _closed(count: Counter, positives: int, share: float) -> dict[str, int]:
     """Prefixes that enough documents have, without those that nearly all their documents continue by the same letter."""
@@ -150,21 +171,22 @@ def _closed(count: Counter, positives: int, share: float) -> dict[str, int]:
     return {p: n for p, n in enough.items() if not any(len(q) == len(p) + 1 and q.startswith(p) and m >= 0.95 * n for q, m in enough.items())}
 
 
-def _prefixes(text: str) -> set[str]:
-    """Of the text's words in lower case, all prefixes of 3 to 8 letters, and the words themselves with $ at their end."""
+def _prefixes(text: str, longest: int) -> set[str]:
+    """Of the text's words in lower case, all prefixes of 3 to `longest` letters, and the words themselves with $ at their end."""
     words = {w for w in _WORD.findall(text.lower()) if len(w) >= 3}
-    return {w[:n] for w in words for n in range(3, min(8, len(w)) + 1)} | {w + "$" for w in words if len(w) <= 24}
+    return {w[:n] for w in words for n in range(3, min(longest, len(w)) + 1)} | {w + "$" for w in words}
 
 
-def fit(labelled: DataFrame, most_rows: int = 5000, share: float = 0.02, lift: float = 2.5) -> Model:
+def fit(labelled: DataFrame, most_rows: int = 5000, share: float = 0.02, lift: float = 2.5, longest: int = 8) -> Model:
     """A model from labelled (doc_id, text, toxic).
 
-    Learned from the most_rows rows with the smallest hash of doc_id (a bounded sample, the only bound here). Copies count
-    once: of rows with the same smallest hash of three words only one is kept. The lexicon is the closed prefixes and words
-    that at least `share` of the toxic rows have, that are e**lift times as frequent there, and that no longer prefix beats
-    with most of the same rows; weights of the grammar's
-    counts are a ridge logistic regression. Null texts and labels are left out; without both labels the default stems and
-    weights are used. Executors count words; the driver gets at most 20,000 candidates and most_rows rows of 12 numbers.
+    Learned from the most_rows rows with the smallest hash of doc_id (a bounded sample). Copies count once: of rows with the
+    same smallest hash of three words only one is kept. The lexicon is the closed prefixes (of 3 to `longest` letters) and
+    whole words that at least `share` of the toxic rows have (four rows at least), that are e**lift times as frequent there
+    (less one standard error of that), and that no longer prefix beats with most of the same rows; weights of the grammar's counts are a ridge logistic
+    regression. Null texts and labels are left out; rows of one id and several texts count each; without both labels the
+    default stems and weights are used. Executors count words; the driver gets the candidates, which `share` and the sample
+    bound, and most_rows rows of numbers. Column names besides the three don't matter.
     """
     rows = labelled.where("text IS NOT NULL AND toxic IS NOT NULL").select(labelled["doc_id"], labelled["text"], labelled["toxic"])
     rows = rows.orderBy(F.xxhash64(F.col("doc_id")), "doc_id", "text").limit(most_rows)
@@ -189,7 +211,7 @@ def fit(labelled: DataFrame, most_rows: int = 5000, share: float = 0.02, lift: f
             total: Counter = Counter()
             for f in batches:
                 for t in f.column("text").to_pylist():
-                    found = _prefixes(t)
+                    found = _prefixes(t, longest)
                     total.update(found if kept is None else found & kept)
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["stem", "n"])
 
@@ -198,15 +220,16 @@ def fit(labelled: DataFrame, most_rows: int = 5000, share: float = 0.02, lift: f
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     positives, negatives = sizes.get(1, 0), sizes.get(0, 0)
     if not positives or not negatives:
-        return Model({s: 3.0 for s in DEFAULT_STEMS}, [0.0] * 5 + [4.0, 5.0, 1.0, 1.0, 5.0, 0.0, 0.0, -2.0])
+        return Model({s: 3.0 for s in DEFAULT_STEMS}, [0.0] * 7 + [4.0, 5.0, 1.0, 1.0, 5.0, 2.0, 2.0, 0.0, 0.0, -2.0])
     toxic, clean = (sample.where(F.col("toxic") == k).select("text") for k in (1, 0))
     many = toxic.mapInArrow(count(None), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).where(F.col("n") >= max(4, share * positives))
-    candidates = _closed(Counter({r["stem"]: r["n"] for r in many.orderBy(F.desc("n"), "stem").limit(20_000).collect()}), positives, share)
+    candidates = _closed(Counter({r["stem"]: r["n"] for r in many.collect()}), positives, share)
     there = clean.mapInArrow(count(frozenset(candidates)), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).collect()
     against = {r["stem"]: r["n"] for r in there}
     odds = {s: math.log((n + 0.5) / (positives + 1)) - math.log((against.get(s, 0) + 0.5) / (negatives + 1)) for s, n in candidates.items()}
     stems: dict[str, float] = {}
-    strong = sorted((s for s, x in odds.items() if x >= lift), key=lambda s: (len(s), s))
+    error = {s: math.sqrt(1 / (n + 0.5) + 1 / (against.get(s, 0) + 0.5)) for s, n in candidates.items()}
+    strong = sorted((s for s, x in odds.items() if x - error[s] >= lift), key=lambda s: (len(s), s))
     for s in strong:
         purer = any(len(t) > len(s) and t.startswith(s) and candidates[t] >= 0.6 * candidates[s] and odds[t] > odds[s] + 0.5 for t in strong)
         if not purer and not any(s.startswith(p) for p in stems if not p.endswith("$")):
@@ -241,7 +264,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> list[float]:
 def score(text, model: Model):
     """The score, from 0 to 1, of each whole text in a column; a null or empty text has the score of no match at all.
 
-    Rows are scored alone, by their text only; repeated rows get the same score.
+    Rows are scored alone, by their text only; repeated rows get the same score, an empty table none. A very long text is read
+    like any other: its clauses are streamed through the grammar, whatever their length.
     """
 
     @F.pandas_udf("double")
