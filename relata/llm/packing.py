@@ -44,44 +44,50 @@ def pieces(docs: DataFrame, most: int = 1024, end: int = 2, ranks_path: str | No
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, PIECES)
 
 
+def _pairs(left: np.ndarray, gap: int, largest: int, least: int = 1) -> np.ndarray:
+    """The smaller lengths y, at least `least`, of pairs that make up gap, both left (twice, if equal), neither above `largest`."""
+    y = np.arange(max(least, gap - largest), gap // 2 + 1)
+    x = gap - y
+    return y[(left[y] > 0) & (left[x] > 0) & ((x != y) | (left[x] > 1))] if len(y) else y
+
+
 def _fill(left: np.ndarray, gap: int, largest: int, parts: int) -> tuple[int, ...] | None:
-    """Up to `parts` lengths (three at the most), none above `largest`, that make up gap exactly and are left often enough."""
+    """Up to `parts` lengths (three at the most), none above `largest`, that make up gap exactly and are left often enough: one,
+    else a pair, else a triple. Of the pairs and triples that with the largest smallest length is taken, since the short
+    lengths are those that fill the most gaps."""
     if gap <= largest and left[gap]:
         return (gap,)
-    if parts == 1:
-        return None
-    for x in range(min(largest, gap - 1), (gap + 1) // 2 - 1, -1):
-        y = gap - x
-        if left[x] and left[y] and (x != y or left[x] > 1):
-            return x, y
-    if parts == 2:
-        return None
-    for x in range(min(largest, gap - 2), (gap + 2) // 3 - 1, -1):
-        rest = gap - x
-        if not left[x]:
-            continue
-        lo, hi = max(1, rest - x), rest // 2
-        z = lo + np.flatnonzero((left[lo : hi + 1] > 0) & (left[rest - hi : rest - lo + 1] > 0)[::-1])
-        for c in z.tolist():
-            need = Counter((x, rest - c, c))
-            if all(left[k] >= v for k, v in need.items()):
-                return x, rest - c, c
+    if parts >= 2:
+        y = _pairs(left, gap, largest)
+        if len(y):
+            return gap - int(y[-1]), int(y[-1])
+    if parts >= 3:
+        for z in (np.flatnonzero(left[1 : gap // 3 + 1]) + 1)[::-1].tolist():
+            for y in _pairs(left, gap - z, largest, z)[::-1].tolist():
+                if all(left[k] >= v for k, v in Counter((gap - z - y, y, z)).items()):
+                    return gap - z - y, y, z
     return None
 
 
+#: Which lengths, as shares of a whole sequence, may have their gap filled by two or three: (from, up to).
+SPANS = [(0.0, 1.0), *((x, 1.0) for x in (0.5, 0.625, 0.6875, 0.75, 0.8125, 0.875, 0.9375)), *((0.0, x) for x in (0.9375, 0.875, 0.8125, 0.75, 0.6875, 0.625, 0.5, 0.375)), (1.0, 1.0)]
+
+
 def plan(histogram: dict[int, int], most: int = 1024) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of one sequence, number of such sequences), for all pieces. histogram: pieces of each length, up to `most`.
 
     From the largest length down: whatever gap it leaves is filled exactly by one, two or three lengths, as often as all of
     them are left; that makes whole sequences. What has no exact complement goes by best fit, largest first, into the
-    sequence with the least room that holds it. Combinations use up the short lengths that best fit would need, so this is
-    done with up to three, two and one lengths to a gap, and the plan with the fewest sequences is taken. Work and result
-    depend on the number of lengths, not of pieces.
+    sequence with the least room that holds it. Where lengths are plentiful, that leaves the least to best fit, and the fewest
+    sequences; where they are scarce, sums of two and three use up the short lengths that best fit lacks then. So the spans of
+    lengths in SPANS are tried for them, and of the plans with the fewest sequences the one that leaves the fewest pieces to
+    best fit is taken. Work and result depend on the number of lengths, not of pieces.
     """
-    return min((_plan(histogram, most, parts) for parts in (3, 2, 1)), key=lambda p: sum(n for _, n in p))
+    return min((_plan(histogram, most, lo * most, hi * most) for lo, hi in SPANS), key=lambda p: (sum(n for _, n in p[0]), p[1]))[0]
 
 
-def _plan(histogram: dict[int, int], most: int, parts: int) -> list[tuple[tuple[int, ...], int]]:
+def _plan(histogram: dict[int, int], most: int, lo: float, hi: float) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """(the plan, the number of pieces left to best fit). Gaps of lengths from lo to hi may be filled by sums."""
     left = np.zeros(most + 1, dtype=np.int64)
     for length, n in histogram.items():
         left[length] = n
@@ -92,7 +98,7 @@ def _plan(histogram: dict[int, int], most: int, parts: int) -> list[tuple[tuple[
     for length in range(most - 1, 0, -1):
         while left[length]:
             left[length] -= 1
-            fill = _fill(left, most - length, length, parts)
+            fill = _fill(left, most - length, length, 3 if lo <= length <= hi else 1)
             left[length] += 1
             if fill is None:
                 rest.append((length, int(left[length])))
@@ -103,6 +109,7 @@ def _plan(histogram: dict[int, int], most: int, parts: int) -> list[tuple[tuple[
             out.append(((length, *fill), times))
             for k, v in need.items():
                 left[k] -= v * times
+    by_fit = sum(n for _, n in rest)
     groups: dict[int, list] = {}  # by room: [lengths, number]
     rooms: list[int] = []
 
@@ -133,7 +140,7 @@ def _plan(histogram: dict[int, int], most: int, parts: int) -> list[tuple[tuple[
                 put(lengths, there - take)
             put((*lengths, length), take)
             n -= take
-    return out + [(tuple(x), n) for g in groups.values() for x, n in g]
+    return out + [(tuple(x), n) for g in groups.values() for x, n in g], by_fit
 
 
 def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
@@ -171,8 +178,9 @@ def pack(docs: DataFrame, most: int = 1024, end: int = 2, ranks_path: str | None
     """Each piece of docs (doc_id, text) with its sequence_id and its offset there.
 
     Texts are tokenized once; the driver gets the number of pieces of each length, `most` numbers at the most, and gives back
-    runs of ranks, whose number doesn't depend on the pieces' either. A null or empty text is id `end` alone. Repeated rows
-    are packed as often as they are there; null ids stay null; an empty table gives none.
+    runs of ranks, whose number doesn't depend on the pieces' either. A null or empty text is id `end` alone. A very long text
+    is cut into pieces like any other. Repeated rows, and pieces of equal lengths, are packed as often as they are there, in an
+    order fixed by their hash; null ids stay null; an empty table gives none. Column names besides doc_id and text don't matter.
     """
     table = saved(pieces(docs, most, end, ranks_path), "pieces")
     histogram = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
