@@ -21,7 +21,7 @@ from . import words
 from .scratch import bucketed, saved
 
 #: Bytes of text in a batch, about; a longer text is a batch of its own.
-BATCH_BYTES = 14 << 20
+BATCH_BYTES = 4 << 20
 ANSWERS = "batch long, bucket int, answer binary"
 
 

@@ -16,6 +16,8 @@ _LOWER[65:91] += 32
 
 #: Texts are scanned in pieces of about this many bytes, which bounds a task's memory.
 CHUNK_BYTES = 4 << 20
+#: Bytes that are hashed at a time: some 25 bytes of arrays for each.
+PIECE_BYTES = 256 << 10
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,9 +31,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def weights(n: int, salt: int) -> np.ndarray:
-    """n odd pseudo-random 64-bit weights; the first of a longer row are the same."""
-    step = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def weights(n: int, salt: int, begin: int = 0) -> np.ndarray:
+    """n odd pseudo-random 64-bit weights from place `begin` on; those of a longer row are the same."""
+    step = np.arange(begin + 1, begin + n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return mix(step + np.uint64(salt)) | np.uint64(1)
 
 
@@ -88,17 +90,33 @@ def scan(texts: pa.Array, lower: bool, salt: int = 0) -> Words:
 
 
 def _hash(data: np.ndarray, first: np.ndarray, last: np.ndarray, salt: int) -> np.ndarray:
-    """Of each word, the sum of its bytes times a weight for their place, and its length, mixed."""
-    if not len(first):
+    """Of each word, the sum of its bytes times a weight for their place, and its length, mixed. Words are read PIECE_BYTES
+    at a time, and a longer word in pieces, so that the arrays of one value a byte stay small."""
+    n = len(first)
+    if not n:
         return np.zeros(0, np.uint64)
     size = last - first
-    inside = np.arange(int(size.sum()), dtype=np.int64)
-    inside -= np.repeat(np.cumsum(size) - size, size)
-    value = weights(int(size.max()), salt)[inside]
-    inside += np.repeat(first, size)
-    value *= data[inside].astype(np.uint64) + np.uint64(1)
-    total = np.add.reduceat(value, np.cumsum(size) - size)
-    return mix(total + size.astype(np.uint64))
+    ends = np.cumsum(size)
+    total = np.zeros(n, np.uint64)
+    table = weights(int(min(size.max(), PIECE_BYTES)), salt)
+    lo = 0
+    while lo < n:
+        begin = int(ends[lo] - size[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, begin + PIECE_BYTES, side="right")))
+        if hi == lo + 1 and size[lo] > PIECE_BYTES:
+            for at in range(0, int(size[lo]), PIECE_BYTES):
+                part = data[first[lo] + at : min(first[lo] + at + PIECE_BYTES, last[lo])].astype(np.uint64) + np.uint64(1)
+                total[lo : lo + 1] += (part * weights(len(part), salt, at)).sum()
+        else:
+            sizes, before = size[lo:hi], ends[lo:hi] - size[lo:hi] - begin
+            inside = np.arange(int(ends[hi - 1]) - begin, dtype=np.int64) - np.repeat(before, sizes)
+            value = table[inside]
+            inside += np.repeat(first[lo:hi], sizes)
+            value *= data[inside].astype(np.uint64) + np.uint64(1)
+            total[lo:hi] = np.add.reduceat(value, before)
+        lo = hi
+    total += size.astype(np.uint64)
+    return mix(total)
 
 
 def windows(words: Words, k: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
