@@ -2,27 +2,35 @@
 
 A batch is one row: its number, and its documents as compressed Arrow data. Batches are hashed on their number when they are
 written, so that answers, which are small, come to them and the texts are never shuffled. In an exchange each batch sends,
-for each bucket of a hash, the distinct keys that it has, packed; a bucket's task merges what the batches have sent and
-answers each of them, key by key in the order sent. A key that a third of all rows have is sent once by each batch.
+for each bucket of a hash that it has keys in, its distinct keys, sorted and packed; a bucket's task merges what the batches
+have sent and answers each of them, key by key in the order sent. A key that a third of all rows have is sent once by each
+batch. The number of buckets follows the input's size, so that a task's data do not grow; a message holds one key at least,
+so there are never more of them than keys, however many buckets there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import words
-from .scratch import bucketed, saved
+from .scratch import bucketed, bytes_of, saved
 
 #: Bytes of text in a batch, about; a longer text is a batch of its own.
 BATCH_BYTES = 4 << 20
-ANSWERS = "batch long, bucket int, answer binary"
+#: Bytes of text whose keys one bucket of an exchange gets, about.
+BUCKET_BYTES = 16 << 20
+#: Bytes of stored batches that a task reads, about.
+TASK_BYTES = 32 << 20
+#: The engine's own limit to a table's buckets; beyond it tasks read more.
+MOST_TASKS = 100_000
+ANSWERS = "batch long, bucket long, answer binary"
 
 
 def squeeze(array: np.ndarray) -> bytes:
@@ -33,6 +41,17 @@ def expand(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=kind)
 
 
+def squeeze_sorted(keys: np.ndarray) -> bytes:
+    """Rising 64-bit keys as their differences, the bytes of one weight together: the upper ones are mostly 0."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return squeeze(steps.view(np.uint8).reshape(-1, 8).T)
+
+
+def expand_sorted(data: bytes) -> np.ndarray:
+    planes = expand(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def join(parts: list[bytes]) -> bytes:
     return np.array([len(parts), *map(len, parts)], dtype="<i8").tobytes() + b"".join(parts)
 
@@ -48,7 +67,7 @@ def split(data: bytes) -> list[bytes]:
 
 
 def batched(docs: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """(batches of docs, which has a column text; number of buckets for exchanges: as many as batches, 16 at least)."""
+    """(batches of docs, which has a column text; number of buckets for exchanges: as the size asks for, 16 at least)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -71,8 +90,9 @@ def batched(docs: DataFrame, label: str) -> tuple[DataFrame, int]:
         if waiting:
             yield row()
 
-    table = bucketed(docs.mapInArrow(pack, "batch long, payload binary"), label, "batch", int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return table, max(16, table.count())
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, bytes_of(docs) // TASK_BYTES))
+    table = bucketed(docs.mapInArrow(pack, "batch long, payload binary"), label, "batch", tasks)
+    return table, max(16, table.count() * BATCH_BYTES // BUCKET_BYTES)
 
 
 def unpacked(payload: bytes) -> pa.Table:
@@ -87,36 +107,46 @@ def scan(texts, lower: bool) -> words.Words:
     return words.Words(none, none, none, np.concatenate([none.astype(np.uint64), *(p.hash for p in parts)]), count, np.cumsum(count) - count)
 
 
-def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order of the keys by bucket, where each bucket begins in it). The bucket takes bits that the key's order doesn't show."""
-    bucket = (words.mix(keys ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+class Deal(NamedTuple):
+    """Keys in rising order, cut where a bucket's range ends: `order` sorts them; runs[bucket] is the slice of its keys."""
+
+    order: np.ndarray
+    runs: dict[int, slice]
+
+    def of(self, bucket: int) -> np.ndarray:
+        return self.order[self.runs.get(bucket, slice(0, 0))]
+
+
+def dealt(keys: np.ndarray, buckets: int) -> Deal:
+    """Keys that are spread evenly over 64 bits, by ranges; only buckets that get a key are there."""
+    order = np.argsort(keys, kind="stable")
+    bucket = ((keys[order] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return Deal(order, {int(bucket[a]): slice(a, b) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)])})
 
 
-def exchange(batches: DataFrame, buckets: int, send: Callable, merge: Callable, label: str, answers: DataFrame | None = None, answer_type: str = ANSWERS) -> DataFrame:
+def exchange(batches: DataFrame, send: Callable, merge: Callable, label: str, answers: DataFrame | None = None, answer_type: str = ANSWERS, by: tuple[str, ...] = ()) -> DataFrame:
     """Answers, saved. send(payload, the batch's earlier answers) yields (bucket, data); merge(bucket, [(batch, data)],
     sorted by batch) yields rows of answer_type."""
 
-    def sent(key, payload: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        rows = [(b, k, data) for b, p in zip(payload["batch"], payload["payload"]) for k, data in send(p, _by_bucket(told))]
+    def sent(key: tuple | None, payload: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        rows = [(b, k, data) for b, p in zip(payload["batch"], payload["payload"]) for k, data in send(p, by_bucket(told))]
         return pd.DataFrame(rows, columns=["batch", "bucket", "data"])
 
-    def merged(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def merged(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("batch", kind="stable")
         return pd.DataFrame(list(merge(key[0], list(zip(rows["batch"].tolist(), rows["data"])))), columns=[x.split()[0] for x in answer_type.split(", ")])
 
-    out = met(batches, answers, sent, "batch long, bucket int, data binary")
-    return saved(out.groupBy("bucket").applyInPandas(merged, answer_type), label)
+    out = met(batches, answers, sent, "batch long, bucket long, data binary")
+    return saved(out.groupBy("bucket").applyInPandas(merged, answer_type), label, by)
 
 
-def _by_bucket(told: pd.DataFrame) -> dict[int, bytes]:
+def by_bucket(told: pd.DataFrame) -> dict[int, bytes]:
     return dict(zip(told["bucket"].tolist(), told["answer"]))
 
 
-def met(batches: DataFrame, answers: DataFrame | None, work: Callable, result: str) -> DataFrame:
+def met(batches: DataFrame, answers: DataFrame | None, work: Callable, result) -> DataFrame:
     """work(key, one batch, its answers) for every batch; batches that weren't answered are worked on too."""
-    spark = batches.sparkSession
     if answers is None:
         def alone(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             none = pd.DataFrame({"batch": [], "bucket": [], "answer": []})

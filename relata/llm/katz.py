@@ -1,9 +1,7 @@
-"""A bigram model with Katz backoff, trained and evaluated over all documents."""
+"""An n-gram model with Katz backoff, trained and evaluated over all documents."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,58 +14,81 @@ from . import words as W
 BEGIN, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949C7DEFBAF2D1B)
 LARGE = 5  # counts above it aren't discounted
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_TOLD = "batch long, bucket int, answer binary, sums array<long>"
+#: What the exchanges save, partitioned by kind: answers for batches, the model's sums, and its tables: n-grams with their
+#: counts (one row a bucket, `batch` is the order), and histories with count, backoff weight and factor.
+_TOLD = "kind string, batch long, bucket long, answer binary, sums array<long>"
+
+
+def _joined(history: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return W.mix(history * np.uint64(0x9FB21C651E98DF25) + token * np.uint64(0xD6E8FEB86659FD93))
+
+
+class Grams:
+    """The distinct n-grams of one order in a batch. keys: their hashes; place: of each token, that of the n-gram it ends;
+    history, lower: of each n-gram, the places of its history and of itself without its first word among those one shorter;
+    count: occurrences in training documents; begin: the place of the history that documents begin with, which is no n-gram."""
+
+    def __init__(self, hashes: np.ndarray, begin: np.uint64, train: np.ndarray, shorter: Grams | None, first: np.ndarray) -> None:
+        self.keys, where, inverse = np.unique(np.append(hashes, begin), return_index=True, return_inverse=True)
+        self.place, self.begin = inverse[:-1], int(inverse[-1])
+        self.count = np.bincount(self.place[train], minlength=len(self.keys)).astype(np.int64)
+        if shorter is not None:
+            before = np.empty_like(shorter.place)
+            before[1:] = shorter.place[:-1]
+            before[first] = shorter.begin
+            where = np.minimum(where, max(0, len(hashes) - 1))  # begin's own are never asked for
+            self.history, self.lower = before[where], shorter.place[where]
 
 
 class Tokens:
-    """A batch as token arrays: of each token its word, its history, and their pair, as places in the distinct ones."""
-
-    def __init__(self, payload: bytes) -> None:
-        self.table = B.unpacked(payload)
-        s = B.scan(self.table.column("text"), True)
-        n = s.count + 1
-        self.at, self.count = np.cumsum(n) - n, n
-        token = np.empty(int(n.sum()), np.uint64)
-        end = self.at + s.count
-        body = np.ones(len(token), bool)
-        body[end] = False
-        token[body], token[end] = s.hash, END
-        history = np.empty_like(token)
-        history[1:] = token[:-1]
-        history[self.at] = BEGIN
-        self.train = np.repeat(~np.array(self.table.column("held_out").to_pylist(), dtype=bool), n)
-        self.words, self.word = np.unique(np.append(token, BEGIN), return_inverse=True)
-        begin = self.word[-1]
-        self.word = self.word[:-1]
-        self.history = np.empty_like(self.word)
-        self.history[1:] = self.word[:-1]
-        self.history[self.at] = begin
-        self.starts = int((~np.array(self.table.column("held_out").to_pylist(), dtype=bool)).sum())
-        self.begin = int(begin)
-        both = self.history.astype(np.uint64) * np.uint64(len(self.words)) + self.word.astype(np.uint64)
-        local, self.pair = np.unique(both, return_inverse=True)
-        self.left, self.right = (local // np.uint64(len(self.words))).astype(np.int64), (local % np.uint64(len(self.words))).astype(np.int64)
-        self.pairs = W.mix(self.words[self.left] * np.uint64(0x9FB21C651E98DF25) + self.words[self.right] * np.uint64(0xD6E8FEB86659FD93))
-        self.word_count = np.bincount(self.word[self.train], minlength=len(self.words)).astype(np.uint32)
-        self.pair_count = np.bincount(self.pair[self.train], minlength=len(local)).astype(np.uint32)
-
-
-def _send(t: Tokens, buckets: int):
-    """Distinct words and pairs with their counts in training documents (0: only held-out ones have it here)."""
-    (wo, wb), (po, pb) = B.dealt(t.words, buckets), B.dealt(t.pairs, buckets)
-    for k in range(buckets):
-        w, p = wo[wb[k] : wb[k + 1]], po[pb[k] : pb[k + 1]]
-        if len(w) or len(p):
-            yield k, B.join([t.words[w].tobytes(), B.squeeze(t.word_count[w]), t.pairs[p].tobytes(), B.squeeze(t.pair_count[p])])
-
-
-def _merge(bucket, sent):
-    """Each batch's words and pairs with their counts in all batches; whether another batch has the word, be it in held-out
-    documents only; whether the batch is the first that has the pair in training; and, once, the sums: tokens, words, and numbers of words and of pairs by count, up to LARGE + 1."""
+    """A batch as n-grams of the orders 1 to `order`; a document's last token is its end."""
+
+    def __init__(self, payload: bytes, order: int) -> None:
+        table = B.unpacked(payload)
+        scanned = B.scan(table.column("text"), True)
+        self.ids, self.held_out = table.column("doc_id").to_pylist(), np.array(table.column("held_out").to_pylist(), dtype=bool)
+        self.count = scanned.count + 1
+        self.at = np.cumsum(self.count) - self.count
+        self.starts = int((~self.held_out).sum())
+        hashes = np.empty(int(self.count.sum()), np.uint64)
+        body = np.ones(len(hashes), bool)
+        body[self.at + scanned.count] = False
+        hashes[body], hashes[~body] = scanned.hash, END
+        token, train = hashes, np.repeat(~self.held_out, self.count)
+        self.grams: list[Grams] = []
+        begin = np.array([BEGIN])
+        for m in range(order):
+            if m:
+                before = np.empty_like(hashes)
+                before[1:], before[self.at] = hashes[:-1], begin[0]
+                hashes, begin = _joined(before, token), _joined(begin, begin[:1] * 0 + BEGIN)
+            self.grams.append(Grams(hashes, begin[0], train, self.grams[-1] if m else None, self.at))
+        self.deals: list[B.Deal] = []
+
+    def deal(self, buckets: int) -> list[B.Deal]:
+        self.deals = self.deals or [B.dealt(g.keys, buckets) for g in self.grams]
+        return self.deals
+
+
+def _send_counts(t: Tokens, buckets: int):
+    """Distinct n-grams of all orders with their counts in training documents (0: only held-out ones have it here)."""
+    deals = t.deal(buckets)
+    for k in sorted(set().union(*(d.runs for d in deals))):
+        parts = []
+        for g, d in zip(t.grams, deals):
+            mine = d.of(k)
+            parts += [B.squeeze_sorted(g.keys[mine]), B.squeeze(g.count[mine].astype(np.uint32))]
+        yield k, B.join(parts)
+
+
+def _merge_counts(bucket, sent):
+    """Each batch's n-grams with their counts in all batches; whether another batch has the n-gram, be it in held-out documents
+    only; whether the batch is the first that has it in training. And, once, the bucket's part of the model's tables, and its
+    sums: for each order tokens, distinct n-grams, and numbers of n-grams by count, up to LARGE + 1."""
     parts, answers, sums = [B.split(x) for _, x in sent], [[] for _ in sent], []
-    for k in (0, 2):
-        keys = [np.frombuffer(p[k], np.uint64) for p in parts]
-        counts = [B.expand(p[k + 1], np.uint32) for p in parts]
+    for m in range(len(parts[0]) // 2):
+        keys = [B.expand_sorted(p[2 * m]) for p in parts]
+        counts = [B.expand(p[2 * m + 1], np.uint32) for p in parts]
         every, where = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
         distinct, inverse, batches = np.unique(every, return_inverse=True, return_counts=True)
         total = np.bincount(inverse, weights=where, minlength=len(distinct)).astype(np.int64)
@@ -78,31 +99,37 @@ def _merge(bucket, sent):
         for a, x in zip(answers, keys):
             mine = inverse[at : at + len(x)]
             a.append(B.squeeze(total[mine].astype(np.uint32)))
-            a.append(B.squeeze(np.packbits(owner[mine] == np.arange(at, at + len(x)) if k else batches[mine] > 1)))
+            a.append(B.squeeze(np.packbits(np.stack([batches[mine] > 1, owner[mine] == np.arange(at, at + len(x))]))))
             at += len(x)
         by = np.bincount(np.minimum(total, LARGE + 2), minlength=LARGE + 3)
         sums += [int(total.sum()), int((total > 0).sum()), *by[1 : LARGE + 2].tolist()]
+        trained = total > 0
+        yield "grams", m + 1, bucket, B.join([B.squeeze_sorted(distinct[trained]), B.squeeze(total[trained].astype(np.uint32))]), None
     for (batch, _), a in zip(sent, answers):
-        yield batch, bucket, B.join(a), None
-    yield -1, bucket, None, sums
+        yield "answers", batch, bucket, B.join(a), None
+    yield "sums", -1, bucket, None, sums
 
 
 class Model:
-    """Good-Turing discounts and the totals; conditional probabilities need a token's counts only."""
+    """Good-Turing discounts of every order and the totals; what else a probability needs are counts and a history's weights."""
 
     def __init__(self, sums: list[int]) -> None:
-        half = len(sums) // 2
-        self.tokens, self.words = sums[0], sums[1]
-        self.word_discount, self.pair_discount = _discounts(sums[2:half]), _discounts(sums[half + 2 :])
-        kept = sum(self.word_discount[r] * r * n for r, n in zip(range(1, LARGE + 1), sums[2:half]))
-        low = sum(r * n for r, n in zip(range(1, LARGE + 1), sums[2:half]))
+        each = LARGE + 3
+        by_order = [sums[k : k + each] for k in range(0, len(sums), each)]
+        self.tokens, self.words = by_order[0][:2]
+        self.discounts = [_discounts(s[2:]) for s in by_order]
+        kept = sum(self.discounts[0][r] * r * n for r, n in zip(range(1, LARGE + 1), by_order[0][2:]))
+        low = sum(r * n for r, n in zip(range(1, LARGE + 1), by_order[0][2:]))
         mass = (self.tokens - low + kept) / self.tokens if self.tokens else 0.0
         self.unknown = max(1 - mass, 1 / (self.tokens + 1))  # all words that training lacks, as one
         self.level = (1 - self.unknown) / mass if mass else 0.0
 
+    def kept(self, order: int, count: np.ndarray) -> np.ndarray:
+        """Discounted counts."""
+        return self.discounts[order - 1][np.minimum(count, LARGE + 1)] * count
+
     def unigram(self, count: np.ndarray) -> np.ndarray:
-        known = self.level * self.word_discount[np.minimum(count, LARGE + 1)] * count / max(1, self.tokens)
-        return np.where(count > 0, known, self.unknown)
+        return np.where(count > 0, self.level * self.kept(1, count) / max(1, self.tokens), self.unknown)
 
 
 def _discounts(n: list[int]) -> np.ndarray:
@@ -117,119 +144,152 @@ def _discounts(n: list[int]) -> np.ndarray:
     return out
 
 
-def _counts(t: Tokens, told: dict[int, bytes], buckets: int):
-    """(words' counts, words that other batches have too, pairs' counts, pairs that this batch owns)."""
-    (wo, wb), (po, pb) = B.dealt(t.words, buckets), B.dealt(t.pairs, buckets)
-    words, shared = np.zeros(len(t.words), np.int64), np.zeros(len(t.words), bool)
-    pairs, own = np.zeros(len(t.pairs), np.int64), np.zeros(len(t.pairs), bool)
-    for k, data in told.items():
-        if 0 <= k < buckets:
-            w, p = wo[wb[k] : wb[k + 1]], po[pb[k] : pb[k + 1]]
-            a, b, c, d = B.split(data)
-            words[w], pairs[p] = B.expand(a, np.uint32), B.expand(c, np.uint32)
-            shared[w] = np.unpackbits(B.expand(b, np.uint8), count=len(w)).astype(bool)
-            own[p] = np.unpackbits(B.expand(d, np.uint8), count=len(p)).astype(bool)
-    return words, shared, pairs, own
-
-
-def train_and_score(docs: DataFrame, held_out) -> DataFrame:
-    """SCORES per row of docs (doc_id, text): trained on the documents that held_out(doc_id) doesn't hold.
+def _weights(count: np.ndarray, s: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(backoff weight, factor of the seen n-grams) of histories; one that training lacks leaves all to the lower order."""
+    known = count > 0
+    n = np.where(known, count, 1)
+    left = 1 - s / n
+    floor = 1 / (n + 1)
+    scale = np.where(left < floor, (1 - floor) * n / np.where(s > 0, s, 1), 1.0)
+    left = np.maximum(left, floor)
+    return np.where(known, left / np.maximum(1 - u, 1e-300), 1.0), np.where(known, scale, 1.0)
 
-    Tokens: words in lower case (A-Z only), then one end; a document's begin is the first token's history. Counts of words
-    and of pairs are gathered from all batches, hashed on the word or the pair; a batch sends each of its own once. Unigrams
-    are discounted by Good-Turing, and all unknown words share what is left. A seen pair has its discounted share of its
-    history's count; an unseen one the history's backoff weight times the unigram. Backoff weights are exact: the seen pairs
-    of a history leave 1 - S, and 1 - U of the unigrams, where both sums run over its pairs, each counted once by the first
-    batch that has it. Where a history's pairs are all too frequent to be discounted, they yield 1 / (count + 1) in
-    proportion. Histories that only one batch has, held-out documents included, need no exchange.
-
-    Null and empty texts are the end alone. A null doc_id is hashed as an empty text. Repeated rows count as often as they
-    are there. Without training documents every token is unknown (probability 1). An empty table gives none.
-    """
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), held_out(docs["doc_id"]).alias("held_out"))
-    table, buckets = B.batched(rows, "katz")
-    counted = B.exchange(table, buckets, lambda p, _: _send(Tokens(p), buckets), _merge, "counts", None, _TOLD)
-    sums = counted.where("batch = -1").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("n")).orderBy("pos").collect()
-    if not sums:
-        return docs.sparkSession.createDataFrame([], SCORES)
-    model = Model([r["n"] for r in sums])
-    counted = counted.where("batch >= 0").drop("sums")
-
-    def histories(t: Tokens, words, shared, pairs, own):
-        """(count as a history, of each word here; the owned pairs' sums S and U; which words the exchange needs)."""
-        count = words.copy()
-        if t.begin < len(count):
-            count[t.begin] = -1  # not known here: all documents begin
-        s = np.bincount(t.left[own], weights=(model.pair_discount[np.minimum(pairs, LARGE + 1)] * pairs)[own], minlength=len(words))
-        u = np.bincount(t.left[own], weights=model.unigram(words[t.right])[own], minlength=len(words))
-        return count, s, u, (shared & (count != 0)) | (count < 0)
-
-    def send(payload, told):
-        t = Tokens(payload)
-        count, s, u, needs = histories(t, *_counts(t, told, buckets))
-        count[t.begin] = t.starts
-        order, begin = B.dealt(t.words, buckets)
-        for k in range(buckets):
-            w = order[begin[k] : begin[k + 1]]
-            w = w[needs[w]]
-            if len(w):
-                yield k, B.join([t.words[w].tobytes(), B.squeeze(count[w]), B.squeeze(s[w]), B.squeeze(u[w])])
 
+def _code(order: int, bucket: int) -> int:
+    return (order << 40) + bucket
+
+
+class Evaluator:
+    """Probabilities of a batch's n-grams, from its answers, order by order. What an order needs of its histories is in
+    `count`, `s` and `u` (this batch's own sums), and after the exchange in `backoff` and `scale`."""
+
+    def __init__(self, t: Tokens, model: Model, told: dict[int, bytes], buckets: int) -> None:
+        self.t, self.model, self.told, self.deals = t, model, told, t.deal(buckets)
+        self.totals = [np.zeros(len(g.keys), np.int64) for g in t.grams]
+        self.shared, self.own = ([np.zeros(len(g.keys), bool) for g in t.grams] for _ in range(2))
+        for k, data in told.items():
+            if k < _code(1, 0):
+                parts = B.split(data)
+                for m, d in enumerate(self.deals):
+                    mine = d.of(k)
+                    self.totals[m][mine] = B.expand(parts[2 * m], np.uint32)
+                    bits = np.unpackbits(B.expand(parts[2 * m + 1], np.uint8), count=2 * len(mine)).reshape(2, -1).astype(bool)
+                    self.shared[m][mine], self.own[m][mine] = bits
+        self.chance = model.unigram(self.totals[0])
+
+    def histories(self, order: int) -> None:
+        """Counts of the order's histories, and S and U of the n-grams that this batch owns; which of them need an exchange."""
+        g = self.t.grams[order - 1]
+        own, n = self.own[order - 1], len(self.t.grams[order - 2].keys)
+        self.count = self.totals[order - 2].copy()
+        self.s = np.bincount(g.history[own], weights=self.model.kept(order, self.totals[order - 1])[own], minlength=n)
+        self.u = np.bincount(g.history[own], weights=self.chance[g.lower][own], minlength=n)
+        begin = self.t.grams[order - 2].begin
+        self.needs = self.shared[order - 2] & (self.count > 0)
+        self.needs[begin] = True  # all documents begin: its count is summed in the exchange
+        self.count[begin] = self.t.starts
+
+    def sent(self, order: int):
+        g = self.t.grams[order - 2]
+        for k, run in self.deals[order - 2].runs.items():
+            mine = self.deals[order - 2].order[run]
+            mine = mine[self.needs[mine]]
+            if len(mine):
+                yield _code(order, k), B.join([B.squeeze_sorted(g.keys[mine]), B.squeeze(self.count[mine]), B.squeeze(self.s[mine]), B.squeeze(self.u[mine])])
+
+    def step(self, order: int) -> None:
+        """From the probabilities of the order below to this one's."""
+        self.histories(order)
+        backoff, scale = _weights(self.count, self.s, self.u)
+        for k, run in self.deals[order - 2].runs.items():
+            data = self.told.get(_code(order, k))
+            if data is not None:
+                mine = self.deals[order - 2].order[run]
+                mine = mine[self.needs[mine]]
+                a, b, c = B.split(data)
+                backoff[mine], scale[mine], self.count[mine] = B.expand(a, np.float64), B.expand(b, np.float64), B.expand(c, np.int64)
+        g, total = self.t.grams[order - 1], self.totals[order - 1]
+        seen = scale[g.history] * self.model.kept(order, total) / np.maximum(self.count[g.history], 1)
+        self.chance = np.where(total > 0, seen, backoff[g.history] * self.chance[g.lower])
+
+
+def _merge_weights(begin: np.uint64, order: int):
     def merge(bucket, sent):
         parts = [B.split(x) for _, x in sent]
-        keys = np.concatenate([np.frombuffer(p[0], np.uint64) for p in parts])
+        each = [B.expand_sorted(p[0]) for p in parts]
         count = np.concatenate([B.expand(p[1], np.int64) for p in parts])
-        distinct, inverse = np.unique(keys, return_inverse=True)
+        distinct, inverse = np.unique(np.concatenate(each), return_inverse=True)
         s, u = (np.bincount(inverse, weights=np.concatenate([B.expand(p[k], np.float64) for p in parts]), minlength=len(distinct)) for k in (2, 3))
         total = np.zeros(len(distinct), np.int64)
         np.maximum.at(total, inverse, count)
-        begin = np.flatnonzero(distinct == BEGIN)
-        total[begin] = count[np.isin(inverse, begin)].sum()
+        first = np.flatnonzero(distinct == begin)
+        total[first] = count[np.isin(inverse, first)].sum()
         backoff, scale = _weights(total, s, u)
         at = 0
-        for (batch, _), p in zip(sent, parts):
-            n = len(p[0]) // 8
-            mine = inverse[at : at + n]
-            yield batch, -1 - bucket, B.join([B.squeeze(backoff[mine]), B.squeeze(scale[mine]), B.squeeze(total[mine])])
-            at += n
+        for (batch, _), x in zip(sent, each):
+            mine = inverse[at : at + len(x)]
+            yield "answers", batch, bucket, B.join([B.squeeze(backoff[mine]), B.squeeze(scale[mine]), B.squeeze(total[mine])]), None
+            at += len(x)
+        yield "histories", order, bucket, B.join([B.squeeze_sorted(distinct), B.squeeze(total), B.squeeze(backoff), B.squeeze(scale)]), None
+
+    return merge
+
+
+def train_and_score(docs: DataFrame, held_out, order: int = 2) -> DataFrame:
+    """SCORES per row of docs (doc_id, text): trained on the documents that held_out(doc_id) doesn't hold.
 
-    weighed = B.exchange(table, buckets, send, merge, "weights", counted)
+    Tokens: words in lower case (A-Z only), then one end; a document's begin, as often as needed, is the first tokens'
+    history. Counts of n-grams of all orders are gathered from all batches, hashed on the n-gram; a batch sends each of its own
+    once. The merged counts are saved as tables, partitioned by kind and bucket, and a batch gets those of its own n-grams.
+    Unigrams are discounted by Good-Turing, and all unknown words share what is left. For every order above, a seen n-gram has
+    its discounted share of its history's count, an unseen one the history's backoff weight times the probability one order
+    lower, and so on down. Backoff weights are exact: the seen n-grams of a history leave 1 - S, and 1 - U of the order below,
+    where both sums run over its n-grams, each counted once by the first batch that has it. Where a history's n-grams are all
+    too frequent to be discounted, they yield 1 / (count + 1) in proportion. Histories that only one batch has, held-out
+    documents included, need no exchange: their weights are made where they are used.
 
-    def score(key, payload: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        told, out = B._by_bucket(told), []
+    Null and empty texts are the end alone. A null doc_id is hashed as an empty text. Repeated rows count as often as they
+    are there. A very long text is a batch of its own: a task needs some 20 bytes for each of its bytes. Without training
+    documents every token is unknown (probability 1). An empty table gives none. Column names besides the two don't matter.
+    """
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), held_out(docs["doc_id"]).alias("held_out"))
+    table, buckets = B.batched(rows, "katz")
+    saved = B.exchange(table, lambda p, _: _send_counts(Tokens(p, order), buckets), _merge_counts, "counts", None, _TOLD, ("kind",))
+    sums = saved.where("kind = 'sums'").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("n")).orderBy("pos").collect()
+    if not sums:
+        return docs.sparkSession.createDataFrame([], SCORES)
+    model, told = Model([r["n"] for r in sums]), saved.where("kind = 'answers'").select("batch", "bucket", "answer")
+
+    def sender(upto: int):
+        def send(payload, answers):
+            e = Evaluator(Tokens(payload, order), model, answers, buckets)
+            for m in range(2, upto):
+                e.step(m)
+            e.histories(upto)
+            yield from e.sent(upto)
+
+        return send
+
+    begin = np.array([BEGIN])
+    for m in range(2, order + 1):
+        more = B.exchange(table, sender(m), _merge_weights(begin[0], m), f"weights{m}", told, _TOLD, ("kind",))
+        told = told.unionByName(more.where("kind = 'answers'").select("batch", "bucket", "answer"))
+        begin = _joined(begin, np.array([BEGIN]))
+
+    def score(key: tuple | None, payload: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        out = []
         for p in payload["payload"]:
-            t = Tokens(p)
-            words, shared, pairs, own = _counts(t, told, buckets)
-            count, s, u, needs = histories(t, words, shared, pairs, own)
-            backoff, scale = _weights(count, s, u)
-            order, begin = B.dealt(t.words, buckets)
-            for k in range(buckets):
-                if -1 - k in told:
-                    w = order[begin[k] : begin[k + 1]]
-                    w = w[needs[w]]
-                    a, b, c = B.split(told[-1 - k])
-                    backoff[w], scale[w], count[w] = B.expand(a, np.float64), B.expand(b, np.float64), B.expand(c, np.int64)
-            lower = model.unigram(words[t.right])
-            seen = scale[t.left] * model.pair_discount[np.minimum(pairs, LARGE + 1)] * pairs / np.maximum(count[t.left], 1)
-            chance = np.where(pairs > 0, seen, backoff[t.left] * lower)
+            e = Evaluator(Tokens(p, order), model, B.by_bucket(answers), buckets)
+            for m in range(2, order + 1):
+                e.step(m)
+            t, words = e.t, e.totals[0]
+            place, last = t.grams[0].place, t.grams[-1].place
             base = np.log10((words + 1) / (model.tokens + model.words + 1))
-            known = (words > 0).astype(np.int64)
-            frame = pd.DataFrame({"doc_id": t.table.column("doc_id").to_pylist(), "held_out": t.table.column("held_out").to_pylist(), "n_tokens": t.count, "n_known": np.add.reduceat(known[t.word], t.at), "train_tokens": model.tokens, "base_score": np.add.reduceat(base[t.word], t.at), "score": np.add.reduceat(np.log10(chance)[t.pair], t.at)})
+            frame = pd.DataFrame({"doc_id": t.ids, "held_out": t.held_out, "n_tokens": t.count, "n_known": np.add.reduceat((words > 0).astype(np.int64)[place], t.at), "train_tokens": model.tokens, "base_score": np.add.reduceat(base[place], t.at), "score": np.add.reduceat(np.log10(e.chance)[last], t.at)})
             out.append(frame.astype({"doc_id": "Int64"}))
         return pd.concat(out)
 
-    return B.met(table, counted.unionByName(weighed), score, SCORES)
-
-
-def _weights(count: np.ndarray, s: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(backoff weight, factor of the seen pairs) of histories; one that training lacks leaves all to the unigrams."""
-    known = count > 0
-    n = np.where(known, count, 1)
-    left = 1 - s / n
-    floor = 1 / (n + 1)
-    scale = np.where(left < floor, (1 - floor) * n / np.where(s > 0, s, 1), 1.0)
-    left = np.maximum(left, floor)
-    return np.where(known, left / np.maximum(1 - u, 1e-300), 1.0), np.where(known, scale, 1.0)
+    return B.met(table, told, score, SCORES)
 
 
 def held_out(doc_id, parts: int = 7, rest: int = 2):

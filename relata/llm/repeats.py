@@ -1,4 +1,4 @@
-"""Substring dedup: prefix-partitioned suffixes, whose deep nodes are the repeated passages."""
+"""Substring dedup: suffixes split by prefixes into groups, whose subtrees' deep nodes are the repeated passages."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import batches as B
 from . import words as W
@@ -16,11 +15,13 @@ from . import words as W
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LAST = np.int64(2**63 - 1)
 REMOVED = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+#: Suffixes that one prefix may have before its suffixes are split by a longer one.
+MOST_SUFFIXES = 1 << 20
 
 
-def _paths(scanned: W.Words, depth: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, prefix, path) of each suffix with at least `depth` words: hashes of its first `depth` words (the
-    path from the root), and of the least of the `prefix`-word runs in them (equal paths have equal ones)."""
+def _suffixes(scanned: W.Words, depth: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, prefix, path) of each suffix with at least `depth` words: hashes of the prefix that it is grouped by,
+    the least of the `prefix`-word runs in its first `depth` words, and of all of these (the path from the root)."""
     path, at = W.windows(scanned, depth, 11)
     short, _ = W.windows(scanned._replace(count=np.array([len(scanned.hash)]), at=np.zeros(1, np.int64)), prefix, 13)
     least, span, want = short, 1, depth - prefix + 1
@@ -29,119 +30,163 @@ def _paths(scanned: W.Words, depth: int, prefix: int) -> tuple[np.ndarray, np.nd
         least = np.minimum(least[: len(least) - step], least[step:])
         span += step
     text = np.repeat(np.arange(len(scanned.count)), scanned.count)[at]
-    return text, at, least[at], path
+    return text, at, W.mix(least[at]), path
 
 
 def _ids(table) -> np.ndarray:
     return np.array([_LAST if x is None else x for x in table.column("doc_id").to_pylist()], dtype=np.int64)
 
 
-def _shared_here(prefix: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct prefixes, which of them two documents of the batch have, for each suffix the place of its own)."""
-    keys, where, inverse = np.unique(prefix, return_index=True, return_inverse=True)
-    other = np.zeros(len(keys), dtype=bool)
-    other[inverse[doc != doc[where][inverse]]] = True
-    return keys, other, inverse
-
-
-def _bits(told: dict[int, bytes], step: str, order: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(order), dtype=bool)
-    for bucket in range(len(begin) - 1):
-        n = begin[bucket + 1] - begin[bucket]
-        if n:
-            got = told[bucket if step == "prefix" else -1 - bucket]
-            out[order[begin[bucket] : begin[bucket + 1]]] = np.unpackbits(np.frombuffer(got, np.uint8), count=int(n)).astype(bool)
-    return out
-
-
-def _alive(payload: bytes, told: dict[int, bytes] | None, depth: int, prefix: int, buckets: int):
-    """What a batch has after the first exchange: its table, scan, and the suffixes whose prefix another document shares."""
-    table = B.unpacked(payload)
-    scanned = B.scan(table.column("text"), False)
-    text, at, short, path = _paths(scanned, depth, prefix)
-    doc = _ids(table)[text]
-    keys, shared, inverse = _shared_here(short, doc)
-    order, begin = B.dealt(keys, buckets)
-    if told is not None:
-        shared = shared | _bits(told, "prefix", order, begin)
-    live = shared[inverse] if len(inverse) else np.zeros(0, bool)
-    return table, scanned, (keys, order, begin), (text[live], at[live], path[live], doc[live])
-
-
-def _nodes(path: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The nodes at full depth: (distinct paths, least document below each, for each suffix its node)."""
-    nodes, inverse = np.unique(path, return_inverse=True)
-    least = np.full(len(nodes), _LAST)
-    np.minimum.at(least, inverse, doc)
-    return nodes, least, inverse
-
-
-def repeats(docs: DataFrame, depth: int = 13, prefix: int = 4, finish=None, result: str = REMOVED) -> DataFrame:
+class Runs:
+    """What a batch sends in the second exchange: its distinct runs. A run is one or more suffixes that begin at words in
+    sequence and have the same prefix; under a long prefix each suffix is a run of its own. A run goes with its words once,
+    for the least document that has it; `run` and `least` are of each suffix."""
+
+    def __init__(self, at: np.ndarray, key: np.ndarray, path: np.ndarray, alone: np.ndarray, doc: np.ndarray) -> None:
+        n = len(at)
+        new = np.ones(n, bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (key[1:] != key[:-1]) | alone[1:] | alone[:-1] | (doc[1:] != doc[:-1])
+        first = np.flatnonzero(new)
+        mine = np.cumsum(new) - 1
+        size = np.diff(np.append(first, n))
+        inside = np.arange(n) - first[mine]
+        whole = W.mix(np.add.reduceat(path * W.weights(int(inside.max()) + 1, 41)[inside], first) + size.astype(np.uint64)) if n else np.zeros(0, np.uint64)
+        _, where, inverse = np.unique(whole, return_index=True, return_inverse=True)
+        self.least_of = np.full(len(where), _LAST)
+        np.minimum.at(self.least_of, inverse, doc[first])
+        self.first, self.size, self.key = at[first[where]], size[where], key[first[where]]
+        self.run = inverse[mine]
+        self.least = self.least_of[self.run]
+        self.place = (np.cumsum(self.size) - self.size)[self.run] + inside  # of each suffix among those of all distinct runs
+
+
+def tree_nodes(symbols: np.ndarray, at: np.ndarray, doc: np.ndarray, depth: int) -> np.ndarray:
+    """For each suffix (its place among the symbols, its document) the least document below its node at `depth`.
+
+    The suffixes' tree is refined from the root down, by doubling: the nodes at depth 2 d are the pairs of nodes at depth d that
+    a suffix and its continuation pass. Suffixes under a node of one document only are at a leaf, and go no deeper.
+    """
+    level, reach = np.unique(symbols, return_inverse=True)[1].astype(np.uint64), 1
+    least, alive = doc.copy(), np.arange(len(at))
+    while reach < depth and len(alive):
+        step = min(reach, depth - reach)
+        after = np.append(level[step:], np.zeros(step, np.uint64))
+        level = np.unique((level << np.uint64(32)) | after, return_inverse=True)[1].astype(np.uint64)
+        reach += step
+        node = level[at[alive]].astype(np.int64)
+        low, high = np.full(len(level) and int(level.max()) + 1, _LAST), np.full(len(level) and int(level.max()) + 1, -_LAST)
+        np.minimum.at(low, node, doc[alive])
+        np.maximum.at(high, node, doc[alive])
+        if reach == depth:
+            least[alive] = low[node]
+        alive = alive[low[node] != high[node]]
+    return least
+
+
+def repeats(docs: DataFrame, depth: int = 13, prefix: int = 4, finish=None, result=REMOVED, most: int = MOST_SUFFIXES) -> DataFrame:
     """Removes from each document the words of every `depth`-word window that also starts in a document with a smaller id.
 
-    docs: doc_id, text, and any more columns. Suffixes are cut off at `depth` words, the depth that decides. In the first
-    exchange suffixes are split by the least `prefix`-word run among their first words (prefixes taken at places that the
-    words themselves choose, so that equal passages agree); a prefix that a single document has leads to no inner node, and
-    its suffixes are done. In the second, the others are split by their whole path, in groups of a batch's size; the nodes at
-    full depth are sorted and merged, each with the least document below it. A batch sends a node once, however often it has
-    it. Paths are 64-bit hashes, and only those in the same of N buckets by another hash are compared.
+    docs: doc_id, text, and any more columns. A suffix counts to `depth` words, the depth that decides. Suffixes are grouped
+    by a prefix at a place that the words themselves choose (the least `prefix`-word run among the first `depth` words), so
+    that equal passages agree, and neighbours mostly share it: they are sent as one run of words. In the first exchange the
+    prefixes' sizes are summed. One that a single document has leads to no inner node, and its suffixes are done; one that more
+    than `most` suffixes have is lengthened to all `depth` words. In the second exchange the runs of the others go to their
+    prefix's group, as 32-bit symbols; a task sorts the groups of one range of prefixes into their subtrees, and inner nodes at
+    full depth tell each suffix the least document below. A batch sends a run once, however often it has it.
 
     Null and empty texts have no words; a null doc_id counts as the largest, so such rows' passages go wherever another row
     has them, and never count as earlier ones. Rows with equal ids don't take from each other. Documents with fewer than
-    `depth` words are kept whole. An empty table gives none. finish(table of the batch, place -> (words, kept mask)) makes
-    the rows of `result`; without it they are REMOVED.
+    `depth` words are kept whole. A very long text is a batch of its own: a task needs some 20 bytes for each of its bytes. An
+    empty table gives none. finish(table of the batch, its words, kept mask) makes the rows of `result`; without it they are
+    REMOVED.
     """
-    columns = [docs[c] for c in docs.columns]
-    table, buckets = B.batched(docs.select(*columns), "repeats")
-
-    def send_prefixes(payload, told):
-        keys, order, begin = _alive(payload, None, depth, prefix, buckets)[2]
-        for k in range(buckets):
-            if begin[k + 1] > begin[k]:
-                yield k, keys[order[begin[k] : begin[k + 1]]].tobytes()
-
-    def merge_prefixes(bucket, sent):
-        parts = [np.frombuffer(x, np.uint64) for _, x in sent]
-        _, inverse, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        at = 0
-        for (batch, _), part in zip(sent, parts):
-            yield batch, bucket, np.packbits(count[inverse[at : at + len(part)]] > 1).tobytes()
-            at += len(part)
-
-    def send_paths(payload, told):
-        _, _, _, (_, _, path, doc) = _alive(payload, told, depth, prefix, buckets)
-        nodes, least, _ = _nodes(path, doc)
-        order, begin = B.dealt(nodes, buckets)
-        for k in range(buckets):
-            mine = order[begin[k] : begin[k + 1]]
-            if len(mine):
-                yield k, B.join([nodes[mine].tobytes(), B.squeeze(least[mine])])
-
-    def merge_paths(bucket, sent):
+    table, buckets = B.batched(docs.select(*[docs[c] for c in docs.columns]), "repeats")
+
+    class Batch:
+        """A batch's suffixes: all, then (told the first answers) those alive, and their runs."""
+
+        def __init__(self, payload: bytes, told: dict[int, bytes] | None) -> None:
+            self.table = B.unpacked(payload)
+            self.scanned = B.scan(self.table.column("text"), False)
+            text, at, short, path = _suffixes(self.scanned, depth, prefix)
+            doc = _ids(self.table)[text]
+            self.keys, where, inverse, self.sizes = np.unique(short, return_index=True, return_inverse=True, return_counts=True)
+            self.several = np.zeros(len(self.keys), bool)  # two documents of this batch have it
+            self.several[inverse[doc != doc[where][inverse]]] = True
+            self.deal = B.dealt(self.keys, buckets)
+            if told is None:
+                return
+            bits = np.zeros((2, len(self.keys)), bool)
+            for k, run in self.deal.runs.items():
+                mine = self.deal.order[run]
+                bits[:, mine] = np.unpackbits(np.frombuffer(told[k], np.uint8), count=2 * len(mine)).reshape(2, -1)
+            live = (bits[0] | self.several)[inverse] if len(inverse) else np.zeros(0, bool)
+            long = bits[1][inverse][live]
+            self.at, self.doc = at[live], doc[live]
+            self.runs = Runs(self.at, np.where(long, path[live], short[live]), path[live], long, self.doc)
+            self.by_run = B.dealt(self.runs.key, buckets)
+
+    def send_sizes(payload, told):
+        b = Batch(payload, None)
+        for k, run in b.deal.runs.items():
+            mine = b.deal.order[run]
+            yield k, B.join([B.squeeze_sorted(b.keys[mine]), B.squeeze(b.sizes[mine].astype(np.uint32))])
+
+    def merge_sizes(bucket, sent):
         parts = [B.split(x) for _, x in sent]
-        paths, docs_ = [np.frombuffer(p, np.uint64) for p, _ in parts], [B.expand(d, np.int64) for _, d in parts]
-        _, least, inverse = _nodes(np.concatenate(paths), np.concatenate(docs_))
+        each = [B.expand_sorted(p[0]) for p in parts]
+        _, inverse, count = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+        size = np.bincount(inverse, weights=np.concatenate([B.expand(p[1], np.uint32) for p in parts]))
         at = 0
-        for (batch, _), d in zip(sent, docs_):
-            yield batch, -1 - bucket, np.packbits(least[inverse[at : at + len(d)]] < d).tobytes()
-            at += len(d)
-
-    first = B.exchange(table, buckets, send_prefixes, merge_prefixes, "prefixes")
-    second = B.exchange(table, buckets, send_paths, merge_paths, "paths", first)
+        for (batch, _), x in zip(sent, each):
+            mine = inverse[at : at + len(x)]
+            yield batch, bucket, np.packbits(np.stack([count[mine] > 1, size[mine] > most])).tobytes()
+            at += len(x)
+
+    def send_runs(payload, told):
+        b = Batch(payload, told)
+        symbols = (b.scanned.hash >> np.uint64(32)).astype(np.uint32)
+        for k, run in b.by_run.runs.items():
+            mine = b.by_run.order[run]
+            size = b.runs.size[mine] + depth - 1
+            words = np.repeat(b.runs.first[mine] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            yield k, B.join([symbols[words].tobytes(), B.squeeze(size.astype(np.uint32)), B.squeeze(b.runs.least_of[mine])])
+
+    def merge_runs(bucket, sent):
+        parts = [B.split(x) for _, x in sent]
+        symbols = np.concatenate([np.frombuffer(p[0], np.uint32) for p in parts])
+        sizes, docs_ = [B.expand(p[1], np.uint32).astype(np.int64) for p in parts], [B.expand(p[2], np.int64) for p in parts]
+        size, doc = np.concatenate(sizes), np.concatenate(docs_)
+        n = size - depth + 1  # suffixes of each run
+        at = np.repeat(np.cumsum(size) - size - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        doc = np.repeat(doc, n)
+        earlier = tree_nodes(symbols, at, doc, depth) < doc
+        done = 0
+        for (batch, _), s in zip(sent, sizes):
+            here = int((s - depth + 1).sum())
+            yield batch, -1 - bucket, np.packbits(earlier[done : done + here]).tobytes()
+            done += here
+
+    first = B.exchange(table, send_sizes, merge_sizes, "prefixes")
+    second = B.exchange(table, send_runs, merge_runs, "runs", first)
     finish = finish or digests
 
-    def remove(key, payload: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        told, out = B._by_bucket(told), []
+    def remove(key: tuple | None, payload: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        told, out = B.by_bucket(told), []
         for p in payload["payload"]:
-            rows, scanned, _, (_, at, path, doc) = _alive(p, told, depth, prefix, buckets)
-            nodes, least, inverse = _nodes(path, doc)
-            earlier = _bits(told, "path", *B.dealt(nodes, buckets))
-            hit = at[(earlier[inverse] | (least[inverse] < doc)) if len(at) else np.zeros(0, bool)]
-            change = np.zeros(len(scanned.hash) + 1, np.int64)
+            b = Batch(p, told)
+            r = b.runs
+            earlier, begin = np.zeros(int(r.size.sum()), bool), np.cumsum(r.size) - r.size
+            for k, run in b.by_run.runs.items():
+                mine = b.by_run.order[run]
+                n = r.size[mine]
+                to = np.repeat(begin[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                earlier[to] = np.unpackbits(np.frombuffer(told[-1 - k], np.uint8), count=len(to)).astype(bool)
+            hit = b.at[earlier[r.place] | (r.least < b.doc)] if len(b.at) else b.at
+            change = np.zeros(len(b.scanned.hash) + 1, np.int64)
             np.add.at(change, hit, 1)
             np.add.at(change, hit + depth, -1)
-            kept = np.cumsum(change)[:-1] == 0
-            out.append(finish(rows, scanned, kept))
+            out.append(finish(b.table, b.scanned, np.cumsum(change)[:-1] == 0))
         return pd.concat(out)
 
     return B.met(table, first.unionByName(second), remove, result)

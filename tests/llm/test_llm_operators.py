@@ -110,6 +110,7 @@ def test_repeats(spark):
         left = " ".join(x for j, x in enumerate(w) if j not in gone)
         want.append((i, len(w), len(gone), hashlib.sha256(left.encode()).hexdigest()))
     assert sorted((tuple(r) for r in repeats.repeats(some(spark)).collect()), key=str) == sorted(want, key=str)
+    assert sorted((tuple(r) for r in repeats.repeats(some(spark), most=2).collect()), key=str) == sorted(want, key=str)  # long prefixes
     assert repeats.without_repeats(some(spark)).columns == some(spark).columns
     assert repeats.repeats(none(spark)).count() == 0
 
@@ -184,8 +185,10 @@ def test_katz(spark):
     assert scale * s / np.maximum(count, 1) + backoff * (1 - u) == pytest.approx(np.ones(3))
 
 
-def test_katz_brute_force(spark):
-    """Batches that have a word in held-out documents only, where one batch has all its training occurrences."""
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_katz_brute_force(spark, order):
+    """Plain recursion, against batches that have a word in held-out documents only, where one batch has all its training
+    occurrences."""
     held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 == 2][:8]
     train = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 != 2]
     pools = [[f"p{b}w{k}" for k in range(6)] + ["the", "of"] for b in range(4)]
@@ -193,29 +196,38 @@ def test_katz_brute_force(spark):
     parts = [[(train[12 * b + k], " ".join(rng.choice(pools[b], 9))) for k in range(12)] + [(held[2 * b + k], " ".join(rng.choice(pools[(b + 1 + k) % 4], 9)) + " new") for k in range(2)] for b in range(4)]
     rows = [r for p in parts for r in p]
     df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string")
-    tokens = {i: [*t.split(), "$end"] for i, t in rows}
-    pairs, words, starts = Counter(), Counter(), Counter()
-    for i in tokens:
+    padded = {i: ["$begin"] * (order - 1) + [*t.split(), "$end"] for i, t in rows}
+    grams = [Counter() for _ in range(order + 1)]
+    for i, t in padded.items():
         if i not in held:
-            words.update(tokens[i])
-            pairs.update(zip(["$begin", *tokens[i]], tokens[i]))
-            starts["$begin"] += 1
-    by = lambda c: [sum(n == r for n in c.values()) for r in range(1, katz.LARGE + 2)]
-    model = katz.Model([words.total(), len(words), *by(words), pairs.total(), len(pairs), *by(pairs)])
-    one = {w: float(model.unigram(np.array([words[w]]))[0]) for t in tokens.values() for w in t}
-    share = {p: float(model.pair_discount[min(n, katz.LARGE + 1)]) * n for p, n in pairs.items()}
+            for m in range(1, order + 1):
+                grams[m].update(tuple(t[k - m + 1 : k + 1]) for k in range(order - 1, len(t)))
+    sums = [x for m in range(1, order + 1) for x in (grams[m].total(), len(grams[m]), *(sum(n == r for n in grams[m].values()) for r in range(1, katz.LARGE + 2)))]
+    model = katz.Model(sums)
+    vocabulary = {w for (w,) in grams[1]}
+    known = {m: {} for m in range(2, order + 1)}  # by history: the words seen after it
+    for m in known:
+        for g in grams[m]:
+            known[m].setdefault(g[:-1], []).append(g[-1])
 
     def chance(h, w):
-        n = words[h] + starts[h]
-        s, u = (sum(x for p, x in v if p[0] == h) for v in (share.items(), [(p, one[p[1]]) for p in pairs]))
+        """h: up to order - 1 words."""
+        if not h:
+            return float(model.unigram(np.array([grams[1][w,]]))[0])
+        m = len(h) + 1
+        after = known[m].get(h, [])
+        n = sum(grams[m][*h, x] for x in after)
+        s = sum(float(model.kept(m, np.array([grams[m][*h, x]]))[0]) for x in after)
+        u = sum(chance(h[1:], x) for x in after)
         backoff, scale = katz._weights(np.array([n]), np.array([s]), np.array([u]))
-        return scale[0] * share[h, w] / n if (h, w) in pairs else backoff[0] * one[w]
-
-    for h in ["$begin", *words]:
-        if h != "$end":
-            assert sum(chance(h, w) for w in [*words, "new"]) == pytest.approx(1)
-    want = {i: sum(np.log10(chance(h, w)) for h, w in zip(["$begin", *t], t)) for i, t in tokens.items()}
-    found = {r["doc_id"]: r["score"] for r in katz.train_and_score(df, katz.held_out).collect()}
+        c = grams[m][*h, w]
+        return float(scale[0] * model.kept(m, np.array([c]))[0] / n) if c else float(backoff[0]) * chance(h[1:], w)
+
+    histories = {tuple(t[k - order + 1 : k]) for t in padded.values() for k in range(order - 1, len(t))}
+    for h in histories:
+        assert sum(chance(h, w) for w in [*vocabulary, "new"]) == pytest.approx(1)
+    want = {i: sum(np.log10(chance(tuple(t[k - order + 1 : k]), t[k])) for k in range(order - 1, len(t))) for i, t in padded.items()}
+    found = {r["doc_id"]: r["score"] for r in katz.train_and_score(df, katz.held_out, order).collect()}
     assert found == pytest.approx(want, abs=1e-9)
 
 
