@@ -124,7 +124,9 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component: the smallest node that can be reached) of every node of links (u > v).
 
     Alternating steps: each node tells its larger neighbours of its smallest one, then its smaller ones; both only add links
-    that lead to smaller nodes, until every node has one link, to its component's smallest. Every round is a table of its own.
+    that lead to smaller nodes, until every node has one link, to its component's smallest. Minima are partial sums before the
+    shuffle, and tables of their own, as every step's links are: so each join is one of two shuffled tables, whose large
+    partitions, those of a component's smallest node, can be split.
     """
     now = saved(links.select("u", "v"), "links")
     mark = None
@@ -134,9 +136,9 @@ def components(links: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         mark = (size["n"], size["h"])
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.where("m < u").select("u", "m")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = saved(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.where("m < u").select("u", "m")).distinct(), "links")
+        low = saved(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
         now = saved(small.distinct(), "links")
 
