@@ -11,24 +11,36 @@ WORD = r"[^\x20\x09-\x0D]+"
 _ROWS_BEFORE = (Window.unboundedPreceding, -1)
 
 
+def _running(rows: DataFrame, order: list, sums: list[str]) -> DataFrame:
+    """rows with before_<name>: the sum of each column over the rows before, in `order`. Ranges of it are summed one by one, and
+    the only sum over all has one row a range; so sources may be as many as hosts."""
+    ranges = saved(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    each = ranges.groupBy("range").agg(*[F.sum(n).alias(n) for n in sums])
+    whole, local = Window.orderBy("range").rowsBetween(*_ROWS_BEFORE), Window.partitionBy("range").orderBy(*order).rowsBetween(*_ROWS_BEFORE)
+    each = each.select("range", *[F.coalesce(F.sum(n).over(whole), F.lit(0)).alias(f"{n}_whole") for n in sums])
+    ranges = ranges.withColumns({f"{n}_local": F.coalesce(F.sum(n).over(local), F.lit(0)) for n in sums}).join(each, "range")
+    return ranges.withColumns({f"before_{n}": F.col(f"{n}_whole") + F.col(f"{n}_local") for n in sums}).drop("range", *[f"{n}_{x}" for n in sums for x in ("whole", "local")])
+
+
 def targets(totals: DataFrame, weights=(5, 2, 1), share: float = 1.5, limit: float = 2.0) -> DataFrame:
     """One row per source with its target.
 
     totals: source, source_size. Sources in code point order, null last, weigh `weights`, repeating. All targets make up
     share * the sum of sizes; none is above limit * its source's size, and what it leaves goes to the others by weight.
     That is least(limit * size, level * weight) at one common level: with the sources by limit * size / weight, the level is
-    that of the first source which is not held by its own limit. The windows run over one row per source.
+    that of the first source which is not held by its own limit.
     """
-    ordered = Window.orderBy(F.col("source").asc_nulls_last())
-    step = F.pmod(F.row_number().over(ordered) - 1, F.lit(len(weights))) + 1
-    t = totals.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), step))
+    by_name, name = [F.col("source").asc_nulls_last()], F.struct(F.col("source").isNull().alias("last"), "source")
+    t = _running(totals.withColumn("one", F.lit(1)), by_name, ["one"])
+    t = t.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), F.pmod("before_one", F.lit(len(weights))).cast("int") + 1))
     t = t.withColumn("most", F.lit(float(limit)) * F.col("source_size")).withColumn("bound", F.col("most") / F.col("weight"))
-    by_bound = Window.orderBy("bound", F.col("source").asc_nulls_last())
-    before, everything = by_bound.rowsBetween(*_ROWS_BEFORE), Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total, heavy = F.sum("source_size").over(everything), F.sum("weight").over(everything)
-    t = t.withColumn("level", (F.lit(float(share)) * total - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (heavy - F.coalesce(F.sum("weight").over(before), F.lit(0))))
-    t = t.withColumn("level", F.min(F.when(F.col("level") <= F.col("bound"), F.struct("bound", F.col("source").isNull().alias("last"), "source", "level"))).over(everything)["level"])
-    return t.select("source", "source_size", "weight", F.least("most", F.col("level") * F.col("weight")).alias("target"))
+    t = _running(t.select("source", "source_size", "weight", "most", "bound"), [F.col("bound"), *by_name], ["most", "weight"])
+    every = t.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("heavy"))
+    t = t.crossJoin(F.broadcast(every))  # of one row
+    t = t.withColumn("level", (F.lit(float(share)) * F.col("total") - F.col("before_most")) / (F.col("heavy") - F.col("before_weight")))
+    level = t.agg(F.min(F.when(F.col("level") <= F.col("bound"), F.struct("bound", name.alias("name"), "level"))).alias("found")).select(F.col("found.level").alias("common"))
+    t = t.crossJoin(F.broadcast(level))  # of one row
+    return t.select("source", "source_size", "weight", F.least("most", F.col("common") * F.col("weight")).alias("target"))
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, limit: float = 2.0, seed: str = "", carry: bool = False) -> DataFrame:
@@ -41,10 +53,11 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, limit: float = 2
     at the cut is taken in part.
 
     Null texts and texts without words have size 0 and taken 0. A null source is a source of its own; a null doc_id has the
-    key of an empty one. Repeated ids stand side by side, the larger size last; equal rows are alike, so reruns agree.
-    An empty table gives none. carry: return row (a struct of docs' own columns), size and taken.
+    key of an empty one. Repeated ids stand side by side, the larger size last, then by the text's hash where rows are carried;
+    so reruns agree. A very long text is a row like any other. An empty table gives none. carry: return row (a struct of docs'
+    own columns), size and taken.
     """
-    clean = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row") if carry else F.lit(0).alias("row"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    clean = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row") if carry else F.lit(0).alias("row"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long").alias("size"), (F.xxhash64(docs["text"]) if carry else F.lit(0).cast("long")).alias("tie"))
     rows = saved(clean, "sizes")
     rows = rows.withColumn("s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     rows = rows.withColumn("key", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
@@ -61,7 +74,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, limit: float = 2
     cells = cells.join(parts, ["s", "a"]).join(goal, "s")
     cells = cells.select("s", "a", "b", "source_size", "target", "whole", (F.col("budget") - F.col("whole") * F.col("source_size") - F.col("before_a") - F.col("in_a")).alias("left"))
 
-    local = Window.partitionBy("s", "a", "b").orderBy("key", "doc_id", "size").rowsBetween(*_ROWS_BEFORE)
+    local = Window.partitionBy("s", "a", "b").orderBy("key", "doc_id", "size", "tie").rowsBetween(*_ROWS_BEFORE)
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(local), F.lit(0)))
     rows = rows.join(cells, ["s", "a", "b"])
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("before")))
