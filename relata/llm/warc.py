@@ -22,24 +22,26 @@ BUNDLES = "bundle_id string, data binary, records array<struct<record_id: string
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def _name(page_id: int | None) -> str:
-    return f"<urn:page:{'null' if page_id is None else page_id}>"
+def _name(page_id: int | None, row: int) -> str:
+    """A record's id: that of its page, and of its row, since a page may be there several times."""
+    return f"<urn:page:{'null' if page_id is None else page_id}:{row}>"
 
 
 def _number(name: str | None) -> int | None:
-    text = name[10:-1] if name else "null"
+    text = name[10:-1].partition(":")[0] if name else "null"
     return None if text == "null" else int(text)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record; a revisit has the HTTP head only, and names the record that has the payload."""
+def record(page_id: int | None, row: int, url: str | None, payload: bytes, refers_to: tuple[int, int] | None) -> bytes:
+    """One WARC/1.1 record; a revisit, which refers to a page and its row, has the HTTP head only."""
+    revisit = refers_to is not None
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_name(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_name(page_id, row)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + "".join(c if c > " " else f"%{ord(c):02X}" for c in url))
     if revisit:
-        lines += [f"WARC-Refers-To: {_name(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: {_name(*refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     else:
         block += payload
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -111,16 +113,17 @@ def write_bundles(pages: DataFrame, min_revisit_bytes: int = 0, frame_bytes: int
     Of records with equal payloads of at least min_revisit_bytes, the one with the largest page_id is the response, and the
     others are revisits of it. Groups are found on digests alone: largest ids are aggregated before the shuffle, and each page
     then meets its digest's in a join whose large partitions can be split. A null html is an empty payload. A null page_id
-    is smaller than any other; a group of null ids only has no revisits. Rows with the same page_id and payload are equal
-    responses. An empty table gives no bundle.
+    is smaller than any other; a group of null ids only has no revisits. Rows with the same page_id and payload are all
+    responses, each with a record id of its own, and revisits name one of them. A very long html is a frame of its own. An
+    empty table gives no bundle. Column names besides page_id, url and html don't matter.
     """
     names = {c.lower() for c in pages.columns}
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), (pages["url"] if "url" in names else F.lit(None)).cast("string").alias("url"), F.coalesce(pages["html"], F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.unhex(F.sha1("html")))
-    kept = rows.groupBy("digest").agg(F.max("page_id").alias("refers_to"))
+    rows = rows.withColumn("digest", F.unhex(F.sha1("html"))).withColumn("row", F.monotonically_increasing_id())
+    kept = rows.groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("kept"))
     rows = rows.join(kept, "digest", "left")
-    revisit = (F.octet_length("html") >= min_revisit_bytes) & F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
-    rows = rows.select("page_id", "url", "html", "refers_to", revisit.alias("revisit"))
+    revisit = (F.octet_length("html") >= min_revisit_bytes) & F.col("kept.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept.page_id"))
+    rows = rows.select("page_id", "row", "url", "html", F.when(revisit, F.col("kept.page_id")).alias("refers_to"), F.when(revisit, F.col("kept.row")).alias("refers_row"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -133,8 +136,8 @@ def write_bundles(pages: DataFrame, min_revisit_bytes: int = 0, frame_bytes: int
 
         for batch in batches:
             for k in range(batch.num_rows):
-                page, url, html, refers, again = (batch.column(i)[k].as_py() for i in range(5))
-                bundle.add(_name(page), record(page, url, html.encode(), refers, again))
+                page, at, url, html, refers, refers_row = (batch.column(i)[k].as_py() for i in range(6))
+                bundle.add(_name(page, at), record(page, at, url, html.encode(), None if refers is None else (refers, refers_row)))
                 if bundle.size >= bundle_bytes:
                     yield row()
                     made, bundle = made + 1, Bundle(frame_bytes, level)
@@ -170,7 +173,7 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
 def find(data: bytes, records: list[dict], page_id: int) -> list[bytes]:
     """The records of one page, each read by decompressing its own frame only."""
     table = seek_table(data)
-    return [frame(data, table[x["frame"]])[x["offset"] :][: x["length"]] for x in records if x["record_id"] == _name(page_id)]
+    return [frame(data, table[x["frame"]])[x["offset"] :][: x["length"]] for x in records if _number(x["record_id"]) == page_id]
 
 
 def query(spark, sf_dir: str) -> DataFrame:

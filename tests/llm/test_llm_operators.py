@@ -38,6 +38,8 @@ def test_warc(spark):
     assert got == sorted([(1, "revisit", 2, 4), (2, "response", None, 4), (2, "response", None, 4), (0, "revisit", 2, 4), (3, "revisit", 4, 0), (4, "response", None, 0), (5, "response", None, 700_000)], key=lambda x: x)
     b = warc.write_bundles(pages, frame_bytes=64).first()
     assert all(warc.parse(r)[0]["WARC-Type"] for r in warc.find(b["data"], [x.asDict() for x in b["records"]], 2))
+    names = [x["record_id"] for row in warc.write_bundles(pages).collect() for x in row["records"]]
+    assert len(names) == len(set(names)) == 7
     assert warc.read_bundles(warc.write_bundles(pages.limit(0))).count() == 0
 
 
