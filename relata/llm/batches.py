@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from . import words
 from .scratch import bucketed, bytes_of, saved
 
-#: Bytes of text in a batch, about; a longer text is a batch of its own.
+#: Bytes of text in a batch, about, where not asked for otherwise; a longer text is a batch of its own.
 BATCH_BYTES = 4 << 20
 #: Bytes of text whose keys one bucket of an exchange gets, about.
 BUCKET_BYTES = 16 << 20
@@ -43,13 +43,20 @@ def expand(data: bytes, kind) -> np.ndarray:
 
 def squeeze_sorted(keys: np.ndarray) -> bytes:
     """Rising 64-bit keys as their differences, the bytes of one weight together: the upper ones are mostly 0."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return squeeze(steps.view(np.uint8).reshape(-1, 8).T)
+    return squeeze_planes(np.diff(keys, prepend=np.uint64(0)))
 
 
 def expand_sorted(data: bytes) -> np.ndarray:
-    planes = expand(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(expand_planes(data, np.uint64), dtype=np.uint64)
+
+
+def squeeze_planes(array: np.ndarray) -> bytes:
+    """64-bit values, the bytes of one weight together."""
+    return squeeze(array.view(np.uint8).reshape(-1, 8).T)
+
+
+def expand_planes(data: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(expand(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
 def join(parts: list[bytes]) -> bytes:
@@ -66,7 +73,7 @@ def split(data: bytes) -> list[bytes]:
     return out
 
 
-def batched(docs: DataFrame, label: str) -> tuple[DataFrame, int]:
+def batched(docs: DataFrame, label: str, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int]:
     """(batches of docs, which has a column text; number of buckets for exchanges: as the size asks for, 16 at least)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,8 +88,8 @@ def batched(docs: DataFrame, label: str) -> tuple[DataFrame, int]:
                 out.write_table(pa.Table.from_batches(waiting).combine_chunks())
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch", "payload"])
 
-        for part in words.chunks(batches, most=BATCH_BYTES // 8):
-            if waiting and size + part.nbytes > BATCH_BYTES:
+        for part in words.chunks(batches, most=batch_bytes // 8):
+            if waiting and size + part.nbytes > batch_bytes:
                 yield row()
                 number, waiting, size = number + 1, [], 0
             waiting.append(part)
@@ -92,7 +99,7 @@ def batched(docs: DataFrame, label: str) -> tuple[DataFrame, int]:
 
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, bytes_of(docs) // TASK_BYTES))
     table = bucketed(docs.mapInArrow(pack, "batch long, payload binary"), label, "batch", tasks)
-    return table, max(16, table.count() * BATCH_BYTES // BUCKET_BYTES)
+    return table, max(16, table.count() * batch_bytes // BUCKET_BYTES)
 
 
 def unpacked(payload: bytes) -> pa.Table:

@@ -13,6 +13,8 @@ from . import words as W
 # Hashes of the document's begin (a history only) and end (a token).
 BEGIN, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949C7DEFBAF2D1B)
 LARGE = 5  # counts above it aren't discounted
+#: Bytes of text in a batch: the larger, the fewer batches send the same n-gram.
+BATCH_BYTES = 8 << 20
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 #: What the exchanges save, partitioned by kind: answers for batches, the model's sums, and its tables: n-grams with their
 #: counts (one row a bucket, `batch` is the order), and histories with count, backoff weight and factor.
@@ -195,7 +197,7 @@ class Evaluator:
             mine = self.deals[order - 2].order[run]
             mine = mine[self.needs[mine]]
             if len(mine):
-                yield _code(order, k), B.join([B.squeeze_sorted(g.keys[mine]), B.squeeze(self.count[mine]), B.squeeze(self.s[mine]), B.squeeze(self.u[mine])])
+                yield _code(order, k), B.join([B.squeeze_sorted(g.keys[mine]), B.squeeze_planes(self.count[mine]), B.squeeze_planes(self.s[mine]), B.squeeze_planes(self.u[mine])])
 
     def step(self, order: int) -> None:
         """From the probabilities of the order below to this one's."""
@@ -207,7 +209,7 @@ class Evaluator:
                 mine = self.deals[order - 2].order[run]
                 mine = mine[self.needs[mine]]
                 a, b, c = B.split(data)
-                backoff[mine], scale[mine], self.count[mine] = B.expand(a, np.float64), B.expand(b, np.float64), B.expand(c, np.int64)
+                backoff[mine], scale[mine], self.count[mine] = B.expand_planes(a, np.float64), B.expand_planes(b, np.float64), B.expand_planes(c, np.int64)
         g, total = self.t.grams[order - 1], self.totals[order - 1]
         seen = scale[g.history] * self.model.kept(order, total) / np.maximum(self.count[g.history], 1)
         self.chance = np.where(total > 0, seen, backoff[g.history] * self.chance[g.lower])
@@ -217,9 +219,9 @@ def _merge_weights(begin: np.uint64, order: int):
     def merge(bucket, sent):
         parts = [B.split(x) for _, x in sent]
         each = [B.expand_sorted(p[0]) for p in parts]
-        count = np.concatenate([B.expand(p[1], np.int64) for p in parts])
+        count = np.concatenate([B.expand_planes(p[1], np.int64) for p in parts])
         distinct, inverse = np.unique(np.concatenate(each), return_inverse=True)
-        s, u = (np.bincount(inverse, weights=np.concatenate([B.expand(p[k], np.float64) for p in parts]), minlength=len(distinct)) for k in (2, 3))
+        s, u = (np.bincount(inverse, weights=np.concatenate([B.expand_planes(p[k], np.float64) for p in parts]), minlength=len(distinct)) for k in (2, 3))
         total = np.zeros(len(distinct), np.int64)
         np.maximum.at(total, inverse, count)
         first = np.flatnonzero(distinct == begin)
@@ -228,9 +230,9 @@ def _merge_weights(begin: np.uint64, order: int):
         at = 0
         for (batch, _), x in zip(sent, each):
             mine = inverse[at : at + len(x)]
-            yield "answers", batch, bucket, B.join([B.squeeze(backoff[mine]), B.squeeze(scale[mine]), B.squeeze(total[mine])]), None
+            yield "answers", batch, bucket, B.join([B.squeeze_planes(backoff[mine]), B.squeeze_planes(scale[mine]), B.squeeze_planes(total[mine])]), None
             at += len(x)
-        yield "histories", order, bucket, B.join([B.squeeze_sorted(distinct), B.squeeze(total), B.squeeze(backoff), B.squeeze(scale)]), None
+        yield "histories", order, bucket, B.join([B.squeeze_sorted(distinct), *(B.squeeze_planes(x) for x in (total, backoff, scale))]), None
 
     return merge
 
@@ -253,7 +255,7 @@ def train_and_score(docs: DataFrame, held_out, order: int = 2) -> DataFrame:
     documents every token is unknown (probability 1). An empty table gives none. Column names besides the two don't matter.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), held_out(docs["doc_id"]).alias("held_out"))
-    table, buckets = B.batched(rows, "katz")
+    table, buckets = B.batched(rows, "katz", BATCH_BYTES)
     saved = B.exchange(table, lambda p, _: _send_counts(Tokens(p, order), buckets), _merge_counts, "counts", None, _TOLD, ("kind",))
     sums = saved.where("kind = 'sums'").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("n")).orderBy("pos").collect()
     if not sums:
