@@ -1,16 +1,26 @@
-"""Parsers that need a loop over one text: wikitext paragraphs and nested sentence links."""
+"""Parsers that need a loop over one text: wikitext paragraphs, nested sentence links, and places of tokens."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-PARAGRAPHS = "array<struct<text: string, wiki_links: array<struct<title: string, text: string, link_type: string>>, abstract: boolean>>"
+from . import text as T
+
+LINKS = "array<struct<title: string, text: string, link_type: string>>"
+PARAGRAPHS = f"array<struct<text: string, wiki_links: {LINKS}, abstract: boolean>>"
+SENTENCES = "sent_id long, text string, wiki_links array<struct<title: string, span_start: int, span_end: int>>"
+LOCATED = "sent_id long, words array<string>, links array<struct<entity: string, before: int, after: int>>"
 _LINK = re.compile(r"\[(.+?)\|(.*?)\]")
 _NODE = re.compile(r"\[\[(?P<link>[^\[\]]*)\]\]|'''(?P<bold>.+?)'''|''(?P<italic>.+?)''|(?m:^(?P<head>=+)[^\n]+?(?P=head)[ \t]*$)|<!--.*?-->|\[https?://[^\]]*\]|&\w+;", re.S)
+_TOKEN = regex.compile(T.TOKEN)
 
 
 def _without_templates(text: str) -> str:
@@ -24,73 +34,97 @@ def _without_templates(text: str) -> str:
 
 
 def plain(markup: str) -> str:
-    """Text without links' brackets and quote marks."""
-    return re.sub(r"'{2,}", "", re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", r"\1", markup))
+    """Text without links' brackets and quote marks, on one line."""
+    return re.sub(r"'{2,}", "", re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", r"\1", markup)).replace("\n", " ")
 
 
 def paragraphs(text: str | None, keep_last: bool = False) -> list[dict]:
     """The paragraphs of an article's wikitext, each with its links, and whether it is before the first heading.
 
-    Lines end paragraphs; text after the last line end is left out, as long as keep_last isn't set. Pieces are joined by
-    spaces. A link inside bold or italic text is plain text. Headings, templates, comments, outer links and entities go.
+    Pieces (plain text, links' shown texts, bold and italic texts) are joined by spaces, and the whole is cut at line ends.
+    Text after the last line end is left out, as long as keep_last isn't set. A link inside bold or italic text is plain text.
+    Headings, templates, comments, outer links and entities go.
     """
-    done, pieces, links, abstract = [], [], [], True
-
-    def text_node(node: str) -> None:
-        nonlocal pieces, links
-        for n, part in enumerate(node.split("\n")):
-            if n:
-                done.append({"text": " ".join(pieces), "wiki_links": links, "abstract": abstract})
-                pieces, links = [], []
-            pieces.append(part)
-
     text, at = _without_templates(text or ""), 0
-    for m in _NODE.finditer(text):
-        if m.start() > at:
-            text_node(text[at : m.start()])
+    pieces, links, lines, abstract_lines = [], [], 0, None
+    for m in [*_NODE.finditer(text), None]:
+        between = text[at : m.start() if m else len(text)]
+        if between:
+            pieces.append(between)
+            lines += between.count("\n")
+        if m is None:
+            break
         at = m.end()
         if m["head"]:
-            abstract = False
+            abstract_lines = lines if abstract_lines is None else abstract_lines
         elif m["link"] is not None:
-            target, bar, shown = m["link"].partition("|")
+            target, _, shown = m["link"].partition("|")
             target = plain(target)
             if target:
                 shown = plain(shown) if shown else target
                 pieces.append(shown)
-                links.append({"title": (target[0].upper() + target[1:]).replace("_", " "), "text": shown, "link_type": "out"})
+                links.append((lines, {"title": (target[0].upper() + target[1:]).replace("_", " "), "text": shown, "link_type": "out"}))
         elif m["bold"] or m["italic"]:
             pieces.append(plain(m["bold"] or m["italic"]))
-    if at < len(text):
-        text_node(text[at:])
-    if keep_last and any(pieces):
-        done.append({"text": " ".join(pieces), "wiki_links": links, "abstract": abstract})
-    return done
+    found = " ".join(pieces).split("\n")
+    if not (keep_last and found[-1]):
+        found.pop()
+    out = [{"text": t, "wiki_links": [], "abstract": abstract_lines is None or k < abstract_lines} for k, t in enumerate(found)]
+    for line, link in links:
+        if line < len(out):
+            out[line]["wiki_links"].append(link)
+    return out
 
 
 def sentence(text: str | None) -> tuple[str, list[dict]]:
     """(text with each `[title|anchor]` as its anchor, links with their spans), from left to right, again and again until none
-    is left, so that a link whose anchor holds another keeps the span it had when it was found."""
-    text, links = (text or "").rstrip(), []
-    while m := _LINK.search(text):
-        text = text[: m.start()] + m[2] + text[m.end() :]
-        links.append({"title": m[1].replace("_", " "), "span_start": m.start(), "span_end": m.start() + len(m[2])})
+    is left, so that a link whose anchor holds another keeps the span it had when it was found. Nothing before a link that was
+    found can be one, so the search goes on where it began."""
+    text, links, at = (text or "").rstrip(), [], 0
+    while m := _LINK.search(text, at):
+        at = m.start()
+        text = text[:at] + m[2] + text[m.end() :]
+        links.append({"title": m[1].replace("_", " "), "span_start": at, "span_end": at + len(m[2])})
     return text, links
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """title, paragraphs of pages (title, wiki_text); a text that can't be parsed gives an empty page."""
+def token_spans(text: str | None) -> list[tuple[int, int]]:
+    """(begin, end) of each token, in characters."""
+    return [m.span() for m in _TOKEN.finditer(text or "")]
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())])))
+def spans(texts: pd.Series) -> pd.Series:
+    """`token_spans` of a column."""
+    return texts.map(lambda t: [{"start": a, "stop": b} for a, b in token_spans(t)])
+
+
+def located(text: str, links) -> tuple[list[str], list[dict]]:
+    """(the tokens in lower case, for each link the number of tokens that end where it begins or earlier, and the number of the
+    first token that begins where it ends or later)."""
+    at = token_spans(text)
+    starts, stops = [a for a, _ in at], [b for _, b in at]
+    words = [text[a:b].lower() for a, b in at]
+    return words, [{"entity": x["title"], "before": bisect_right(stops, x["span_start"]), "after": bisect_left(starts, x["span_end"])} for x in links]
+
+
+def parse_pages(pages: DataFrame, keep_last: bool = False) -> DataFrame:
+    """title, paragraphs of pages (title, wiki_text); a redirect page has none, and a text that can't be parsed gives none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for text in f["wiki_text"]:
-                try:
-                    out.append(paragraphs(text))
-                except Exception:
-                    out.append([])
-            yield pd.DataFrame({"title": f["title"], "paragraphs": out})
+            yield pd.DataFrame({"title": f["title"], "paragraphs": [or_none(t, keep_last) for t in f["wiki_text"]]})
 
-    return pages.select("title", "wiki_text").mapInPandas(run, f"title string, paragraphs {PARAGRAPHS}")
+    wanted = F.when(T.redirect(F.col("wiki_text")).isNull(), F.col("wiki_text"))
+    return pages.select("title", wanted.alias("wiki_text")).mapInPandas(run, f"title string, paragraphs {PARAGRAPHS}")
+
+
+def or_none(text: str | None, keep_last: bool = False, parser=None) -> list[dict]:
+    """The paragraphs, or none if the parser fails."""
+    try:
+        return (parser or paragraphs)(text, keep_last)
+    except Exception:
+        return []
 
 
 def parse_sentences(lines: DataFrame) -> DataFrame:
@@ -101,4 +135,15 @@ def parse_sentences(lines: DataFrame) -> DataFrame:
             parsed = [sentence(x) for x in f["line"]]
             yield pd.DataFrame({"sent_id": f["sent_id"], "text": [p[0] for p in parsed], "wiki_links": [p[1] for p in parsed]})
 
-    return lines.select("sent_id", "line").mapInPandas(run, "sent_id long, text string, wiki_links array<struct<title: string, span_start: int, span_end: int>>")
+    return lines.select("sent_id", "line").mapInPandas(run, SENTENCES)
+
+
+def locate(sentences: DataFrame) -> DataFrame:
+    """LOCATED rows of sentences (sent_id, text, wiki_links): tokens, and where each link stands among them."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [located(t or "", [] if x is None else x) for t, x in zip(f["text"], f["wiki_links"])]
+            yield pd.DataFrame({"sent_id": f["sent_id"], "words": [w for w, _ in found], "links": [x for _, x in found]})
+
+    return sentences.select("sent_id", "text", "wiki_links").mapInPandas(run, LOCATED)

@@ -34,13 +34,19 @@ def redirect(text):
     return title(found)
 
 
+def spaced(text):
+    """Underscores as spaces, and nothing else; what sentence links' titles get."""
+    return F.translate(text, "_", " ")
+
+
 def collapsed(text):
+    """Each run of white space as one space."""
     return F.regexp_replace(text, r"\s+", " ")
 
 
-def article(name):
+def article(name, ignored=IGNORED_NAMESPACES):
     """Whether a title is outside the ignored namespaces."""
-    return ~F.lower(name).rlike(f"^({'|'.join(IGNORED_NAMESPACES)}):")
+    return ~F.lower(name).rlike(f"^({'|'.join(ignored)}):")
 
 
 def padded(ids, size: int):

@@ -5,33 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+_BEFORE = (Window.unboundedPreceding, -1)
+
 
 def vocabulary(tokens: DataFrame, min_count: int = 5) -> DataFrame:
-    """token, n, id (from 1, the most frequent first) of tokens (token) that are frequent enough. The ids take one window over
-    the vocabulary, not over the corpus."""
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
-    return counts.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "token")))
+    """token, n, id (from 1, the most frequent first, then by code points) of tokens (token) that are frequent enough.
+
+    An id is the number of tokens of larger counts, of those of its count with a smaller first letter pair, and its place among
+    the others; no task sorts the whole vocabulary, only the counts that there are.
+    """
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count).withColumn("pair", F.substring("token", 1, 2))
+    cells = counts.groupBy("n", "pair").agg(F.count(F.lit(1)).alias("c"))
+    levels = cells.groupBy("n").agg(F.sum("c").alias("c")).select("n", F.coalesce(F.sum("c").over(Window.orderBy(F.desc("n")).rowsBetween(*_BEFORE)), F.lit(0)).alias("above"))
+    cells = cells.select("n", "pair", F.coalesce(F.sum("c").over(Window.partitionBy("n").orderBy("pair").rowsBetween(*_BEFORE)), F.lit(0)).alias("earlier")).join(levels, "n")
+    place = F.row_number().over(Window.partitionBy("n", "pair").orderBy("token"))
+    return counts.withColumn("place", place).join(cells, ["n", "pair"]).select("token", "n", (F.col("above") + F.col("earlier") + F.col("place")).cast("int").alias("id"))
+
+
+def linked_entities(sentences: DataFrame) -> DataFrame:
+    """entity: every entity that a link of the sentences (links) names, however rarely."""
+    return sentences.select(F.explode("links.entity").alias("entity")).distinct()
 
 
-def word_entity(tokens: DataFrame, links: DataFrame, window: int | None, vocab: DataFrame | None = None) -> DataFrame:
+def word_entity(sentences: DataFrame, window: int | None, vocab: DataFrame | None = None) -> DataFrame:
     """entity, word, n: words among the `window` tokens before or after a link, counted for every mention.
 
-    tokens: sent_id, token, start, stop; links: sent_id, link_id, entity, start, stop. A token before a link ends where it
-    begins or earlier. No window or 0 takes all tokens of the sentence. Tokens outside the vocabulary still use up the window.
+    sentences: words, links (entity, before: number of tokens before it, after: that of the first token after it). No window or
+    0 takes all tokens of the sentence. Tokens outside the vocabulary still use up the window. The windows are cut out of the
+    sentence's own array, so a link meets its window's tokens only, and nothing is shuffled but the counts.
     """
-    t = tokens.select("sent_id", F.lower("token").alias("word"), F.col("start").alias("t_start"), F.col("stop").alias("t_stop"))
-    pairs = links.join(t, "sent_id").where("t_stop <= start OR t_start >= stop").withColumn("after", F.col("t_start") >= F.col("stop"))
-    if window:
-        near = Window.partitionBy("sent_id", "link_id", "after").orderBy(F.when(F.col("after"), F.col("t_start")).otherwise(-F.col("t_stop")))
-        pairs = pairs.withColumn("k", F.row_number().over(near)).where(F.col("k") <= window)
-    if vocab is not None:
-        pairs = pairs.join(vocab.select(F.col("token").alias("word")), "word", "left_semi")
-    return pairs.groupBy("entity", "word").agg(F.count(F.lit(1)).alias("n"))
-
-
-def entity_entity(links: DataFrame) -> DataFrame:
-    """e1, e2, n: sentences that link both, in both directions; a sentence counts a pair once."""
-    one = links.select("sent_id", "entity").distinct()
-    a, b = one.withColumnRenamed("entity", "e1"), one.withColumnRenamed("entity", "e2")
-    half = a.join(b, "sent_id").where("e1 < e2").groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("n"))
+    every = F.size("words")
+    reach = F.lit(window) if window else every
+
+    def near(link):
+        before = F.slice("words", F.greatest(link["before"] - reach, F.lit(0)) + 1, F.least(link["before"], reach))
+        return F.struct(link["entity"].alias("entity"), F.concat(before, F.slice("words", link["after"] + 1, reach)).alias("words"))
+
+    some = sentences.where((F.size("links") > 0) & (every > 0)).select(F.explode(F.transform("links", near)).alias("x"))
+    counts = some.select("x.entity", F.explode("x.words").alias("word")).groupBy("entity", "word").agg(F.count(F.lit(1)).alias("n"))
+    return counts if vocab is None else counts.join(vocab.select(F.col("token").alias("word")), "word", "left_semi").select("entity", "word", "n")
+
+
+def entity_entity(sentences: DataFrame) -> DataFrame:
+    """e1, e2, n: sentences (links) that name both, in both directions; a sentence counts a pair once."""
+    one = sentences.select(F.array_distinct("links.entity").alias("all")).where(F.size("all") > 1).select(F.explode("all").alias("e1"), "all")
+    half = one.select("e1", F.explode(F.filter("all", lambda e: e > F.col("e1"))).alias("e2")).groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("n"))
     return half.union(half.select("e2", "e1", "n"))

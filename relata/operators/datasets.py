@@ -6,18 +6,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..scratch import saved
 
+#: Rows of a table that may be sent to all tasks, as a vocabulary; a larger one is joined by a shuffle.
+MOST_SENT = 500_000
+_BEFORE = (Window.unboundedPreceding, -1)
 
-def encoded(rows: DataFrame, vocab: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """keys, ids: each row's tokens (pos, token) as vocabulary ids in order, unknown ones left out, cut and padded to size."""
-    known = rows.join(vocab.select("token", "id"), "token")
-    ids = known.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"].cast("int")).alias("ids"))
-    return ids.withColumn("length", F.size("ids")).withColumn("ids", T.padded(F.col("ids"), size))
 
+def sent(table: DataFrame, label: str) -> DataFrame:
+    """The table, saved, and marked to be sent to all tasks if it has few enough rows."""
+    table = saved(table, label)
+    return F.broadcast(table) if table.count() <= MOST_SENT else table
 
-def long_enough(rows: DataFrame, minimum: int = 5) -> DataFrame:
+
+def encoded(rows: DataFrame, vocab: DataFrame, keys: list[str], size: int, name: str = "ids") -> DataFrame:
+    """keys, <name>, length: each row's tokens (pos, token) as vocabulary ids in order, unknown ones left out, cut and padded."""
+    known = rows.join(sent(vocab.select("token", "id"), "vocabulary"), "token")
+    ids = known.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"].cast("int")).alias(name))
+    return ids.withColumn("length", F.size(name)).withColumn(name, T.padded(F.col(name), size))
+
+
+def long_enough(rows: DataFrame, minimum: int = 5, column: str = "length") -> DataFrame:
     """Strictly more than the minimum."""
-    return rows.where(F.col("length") > minimum)
+    return rows.where(F.col(column) > minimum)
 
 
 def expanded(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -26,18 +37,33 @@ def expanded(counts: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.md5(F.concat_ws("-", F.col("id").cast("string"), F.col("copy").cast("string"))).alias("h"), "id"))), lambda x: x["id"]).alias("bag"))
 
 
+def placed(rows: DataFrame, key: str, seed: str = "0") -> DataFrame:
+    """rows with _place (from 1, by the key's hash, then the key) and _total. Rows are counted by the hash's first two bytes, and
+    only those that share both are sorted together; the 65,536 counts are small enough to be sent to all tasks."""
+    h = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    rows = rows.withColumn("_h", h).withColumn("_a", F.substring("_h", 1, 2)).withColumn("_b", F.substring("_h", 3, 2))
+    cells = rows.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    firsts = cells.groupBy("_a").agg(F.sum("_n").alias("_n"))  # 256 rows
+    firsts = firsts.select("_a", F.coalesce(F.sum("_n").over(Window.orderBy("_a").rowsBetween(*_BEFORE)), F.lit(0)).alias("_above"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_total"))
+    cells = cells.withColumn("_earlier", F.coalesce(F.sum("_n").over(Window.partitionBy("_a").orderBy("_b").rowsBetween(*_BEFORE)), F.lit(0))).join(F.broadcast(firsts), "_a")
+    local = F.row_number().over(Window.partitionBy("_a", "_b").orderBy("_h", key))
+    out = rows.withColumn("_local", local).join(F.broadcast(cells.drop("_n")), ["_a", "_b"])
+    return out.withColumn("_place", F.col("_above") + F.col("_earlier") + F.col("_local")).drop("_h", "_a", "_b", "_local", "_above", "_earlier")
+
+
 def split(rows: DataFrame, key: str, dev: float = 0.05, test: float = 0.05, seed: str = "0") -> DataFrame:
     """rows with split: exactly int(n * dev) and int(n * test) of them, dev first, by the key's hash."""
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    place = F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key))
-    rows = rows.crossJoin(F.broadcast(total)).withColumn("place", place)
-    a, b = F.floor(F.col("total") * dev), F.floor(F.col("total") * test)
-    return rows.withColumn("split", F.when(F.col("place") <= a, "dev").when(F.col("place") <= a + b, "test").otherwise("train")).drop("total", "place")
+    a, b = F.floor(F.col("_total") * dev), F.floor(F.col("_total") * test)
+    which = F.when(F.col("_place") <= a, "dev").when(F.col("_place") <= a + b, "test").otherwise("train")
+    return placed(rows, key, seed).withColumn("split", which).select(*rows.columns, "split")
 
 
 def folds(rows: DataFrame, key: str, k: int = 10, seed: str = "0") -> DataFrame:
     """rows with fold, from 1: near-equal in size, the first ones larger."""
-    return rows.withColumn("fold", F.ntile(k).over(Window.orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key)))
+    each, more = F.expr(f"_total div {k}"), F.expr(f"_total % {k}")
+    wide = more * (each + 1)
+    fold = F.when(F.col("_place") <= wide, F.floor((F.col("_place") - 1) / (each + 1)) + 1).otherwise(more + F.floor((F.col("_place") - 1 - wide) / F.greatest(each, F.lit(1))) + 1)
+    return placed(rows, key, seed).withColumn("fold", fold.cast("int")).select(*rows.columns, "fold")
 
 
 def single_type(kb: DataFrame) -> DataFrame:
@@ -49,9 +75,29 @@ def multi_type(kb: DataFrame) -> DataFrame:
     return kb.join(kb.groupBy("title").agg(F.count(F.lit(1)).alias("n")).where("n <> 1").select("title"), "title", "left_semi")
 
 
+def grouped(kb: DataFrame) -> DataFrame:
+    """title, types: each title's types as a list, repeated ones kept."""
+    return kb.groupBy("title").agg(F.sort_array(F.collect_list("type_name")).alias("types"))
+
+
+def type_labels(single: DataFrame) -> DataFrame:
+    """type_name, label: the distinct types in order of name, from 0. One row a type."""
+    return single.select("type_name").distinct().withColumn("label", F.row_number().over(Window.orderBy("type_name")) - 1)
+
+
 def class_weights(single: DataFrame) -> DataFrame:
     """type_name, weight = n / (classes * n of the class), and scaled by the largest."""
     every = Window.partitionBy(F.lit(0))
     counts = single.groupBy("type_name").agg(F.count(F.lit(1)).alias("n"))
     w = counts.withColumn("weight", F.sum("n").over(every) / (F.count(F.lit(1)).over(every) * F.col("n")))
     return w.withColumn("scaled", F.col("weight") / F.max("weight").over(every))
+
+
+def first_words(texts: DataFrame, text_len: int = 5000) -> DataFrame:
+    """token: each text's first `text_len` tokens (words), in lower case; what a vocabulary counts."""
+    return texts.select(F.explode(T.lowered(F.slice("words", 1, text_len))).alias("token"))
+
+
+def document_terms(links: DataFrame) -> DataFrame:
+    """token: each distinct title once for every document (source, title); what a vocabulary by documents counts."""
+    return links.select("source", F.col("title").alias("token")).distinct().select("token")

@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..functions.parse import LINKS
+
+
+def titles_and_redirects(dump: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(title of every page, redirects among them; title, dest of the redirect pages) of a dump (title, redirect)."""
+    return dump.select("title").distinct(), dump.where("redirect IS NOT NULL").select("title", F.col("redirect").alias("dest")).dropDuplicates(["title"])
+
 
 def valid_redirects(redirects: DataFrame, titles: DataFrame) -> DataFrame:
     """redirects (title, dest) whose destination is a title."""
@@ -17,6 +25,16 @@ def resolved(rows: DataFrame, redirects: DataFrame, column: str = "title") -> Da
     return rows.join(hop, column, "left").withColumn(column, F.coalesce("dest", column)).drop("dest").select(rows.columns)
 
 
+def contained(rows: DataFrame, titles: DataFrame) -> DataFrame:
+    """rows whose title is known, be it as a redirect."""
+    return rows.join(titles.select("title").distinct(), "title", "left_semi")
+
+
+def size(titles: DataFrame) -> DataFrame:
+    """n: the number of titles, redirects among them."""
+    return titles.agg(F.countDistinct("title").alias("n"))
+
+
 def inlink_counts(links: DataFrame, titles: DataFrame, redirects: DataFrame) -> DataFrame:
     """title, n of every title: mentions among links (title), each counted where its title redirects to, 0 if none."""
     counts = links.groupBy("title").agg(F.count(F.lit(1)).alias("n"))
@@ -29,12 +47,48 @@ def inlink_count(titles: DataFrame, counts: DataFrame, redirects: DataFrame) ->
     return resolved(titles.withColumn("asked", F.col("title")), redirects).join(counts, "title", "left").select(F.col("asked").alias("title"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def out_links(pages: DataFrame) -> DataFrame:
+    """source, title, text: every link in the paragraphs of pages (title, paragraphs)."""
+    each = pages.select(F.col("title").alias("source"), F.explode("paragraphs.wiki_links").alias("links")).select("source", F.explode("links").alias("x"))
+    return each.select("source", "x.title", "x.text")
+
+
+def with_resolved_links(pages: DataFrame, redirects: DataFrame) -> DataFrame:
+    """pages (title, paragraphs) with their links' titles followed through one redirect. Only the links that are redirects are
+    joined back to their page, as its own small map."""
+    hops = out_links(pages).select("source", "title").distinct().join(redirects, "title").groupBy(F.col("source").alias("title"))
+    hops = hops.agg(F.map_from_entries(F.collect_list(F.struct(F.col("title").alias("from"), "dest"))).alias("hops"))
+
+    def follow(link):
+        return F.struct(F.coalesce(F.try_element_at(F.col("hops"), link["title"]), link["title"]).alias("title"), link["text"].alias("text"), link["link_type"].alias("link_type"))
+
+    def paragraph(p):
+        return F.struct(p["text"].alias("text"), F.transform(p["wiki_links"], follow).alias("wiki_links"), p["abstract"].alias("abstract"))
+
+    both = pages.select("title", "paragraphs").join(hops, "title", "left")
+    return both.select("title", F.when(F.col("hops").isNull(), F.col("paragraphs")).otherwise(F.transform("paragraphs", paragraph)).alias("paragraphs"))
+
+
 def page_table(pages: DataFrame, links: DataFrame, targets: DataFrame) -> DataFrame:
     """Target pages (title, paragraphs) with their in_links. links: source, title, text. Links to pages that weren't seen go."""
     wanted = targets.select("title").distinct()
     inverted = links.join(wanted, "title", "left_semi").groupBy("title").agg(F.sort_array(F.collect_list(F.struct(F.col("source").alias("title"), "text", F.lit("in").alias("link_type")))).alias("in_links"))
     seen = pages.join(wanted, "title", "left_semi").join(inverted, "title", "left")
-    return seen.withColumn("in_links", F.coalesce("in_links", F.expr("cast(array() as array<struct<title: string, text: string, link_type: string>>)")))
+    return seen.withColumn("in_links", F.coalesce("in_links", F.array().cast(LINKS)))
+
+
+def page_database(dump: DataFrame, parsed: DataFrame, kb: DataFrame) -> DataFrame:
+    """title, paragraphs, in_links of the pages of a knowledge base's entities. dump: title, redirect; parsed: title, paragraphs."""
+    titles, redirects = titles_and_redirects(dump)
+    hops = valid_redirects(redirects, titles)
+    pages = with_resolved_links(parsed, hops)
+    return page_table(pages, out_links(pages), target_titles(kb, hops))
+
+
+def target_titles(kb: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
+    """title: the distinct titles of a knowledge base, as they are or (with redirects) resolved."""
+    titles = kb.select("title").distinct()
+    return titles if redirects is None else resolved(titles, redirects).distinct()
 
 
 def chosen(paragraphs, abstract_only: bool = False):
@@ -43,11 +97,11 @@ def chosen(paragraphs, abstract_only: bool = False):
 
 def page_text(paragraphs, abstract_only: bool = False):
     """Paragraph texts, joined by one space, white space collapsed."""
-    return F.regexp_replace(F.array_join(F.transform(chosen(paragraphs, abstract_only), lambda p: p["text"]), " "), r"\s+", " ")
+    return T.collapsed(F.array_join(F.transform(chosen(paragraphs, abstract_only), lambda p: p["text"]), " "))
 
 
 def page_links(paragraphs, in_links, incoming: bool = True, outgoing: bool = True, abstract_only: bool = False):
     """Out-links (of the abstract only, if asked), then all in-links."""
     out = F.flatten(F.transform(chosen(paragraphs, abstract_only), lambda p: p["wiki_links"]))
-    empty = F.expr("cast(array() as array<struct<title: string, text: string, link_type: string>>)")
+    empty = F.array().cast(LINKS)
     return F.concat(out if outgoing else empty, in_links if incoming else empty)

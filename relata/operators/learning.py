@@ -1,89 +1,215 @@
-"""Attention-pooled classifiers and boosted trees in numpy, one model per task, and searches over them."""
+"""Attention-pooled classifiers and boosted trees in numpy, their stored models, and searches over both."""
 
 from __future__ import annotations
 
+import io
+import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Labelled rows that one task may learn trees from; more are learned from by MLlib, in a distributed way.
+MOST_ROWS = 1_000_000
+
 
 class Classifier:
-    """Bags of ids to types: embeddings pooled by attention weights, made unit vectors, then a hidden layer and softmax.
+    """Bags of word and entity ids to types: the embeddings of each bag pooled by attention weights and made a unit vector, both
+    (or one of them: use="words" or "entities") end to end, then a hidden layer, dropout, and softmax.
 
-    Pooling sums exp(a_i) e_i over ids other than 0. The softmax over places is left out: its denominator is one factor of the
-    sum, which the unit length takes away again. attention=False gives every id the same weight.
+    Pooling sums exp(a_i) e_i over ids other than 0, with a_i the product of the id's attention embedding and one vector. The
+    softmax over places is left out: its denominator is one factor of the sum, which the unit length takes away again.
+    attention=False gives every id the same weight. Trained by Adam in mini-batches; embeddings move where a batch has their id.
     """
 
-    def __init__(self, words: int, classes: int, dim: int = 32, hidden: int = 64, attention: bool = True, seed: int = 0) -> None:
-        rng = np.random.default_rng(seed)
-        self.attention = attention
-        self.e, self.a = rng.normal(0, 0.1, (words + 1, dim)), np.zeros(words + 1)
-        self.w1, self.b1 = rng.normal(0, np.sqrt(2 / dim), (dim, hidden)), np.zeros(hidden)
-        self.w2, self.b2 = rng.normal(0, np.sqrt(1 / hidden), (hidden, classes)), np.zeros(classes)
-
-    def _pool(self, ids: np.ndarray):
-        ids = ids[ids != 0]
-        w = np.exp(self.a[ids]) if self.attention else np.ones(len(ids))
-        v = w @ self.e[ids] if len(ids) else np.zeros(self.e.shape[1])
-        size = max(float(np.linalg.norm(v)), 1e-7)
-        return ids, w, v / size, size
-
-    def logits(self, ids: np.ndarray) -> np.ndarray:
-        return np.maximum(self._pool(np.asarray(ids))[2] @ self.w1 + self.b1, 0) @ self.w2 + self.b2
-
-    def fit(self, rows: list, labels: list[int], weights: list[float] | None = None, epochs: int = 1, rate: float = 0.05, seed: int = 0) -> Classifier:
+    def __init__(self, words: int, entities: int, classes: int, dim: int = 100, hidden: int = 2000, attention: bool = True, attention_dim: int = 10, dropout: float = 0.5, use: str = "both", seed: int = 0) -> None:
+        self.shape = {"words": words, "entities": entities, "classes": classes, "dim": dim, "hidden": hidden, "attention": attention, "attention_dim": attention_dim, "dropout": dropout, "use": use, "seed": seed}
+        self.bags = [(k, n) for k, n, name in ((0, words, "words"), (1, entities, "entities")) if use in ("both", name)]
+        self.attention, self.dropout, self.dim = attention, dropout, dim
         rng = np.random.default_rng(seed)
+        glorot = lambda a, b: rng.uniform(-1, 1, (a, b)) * np.sqrt(6 / (a + b))
+        self.p = {}
+        for k, n in self.bags:
+            self.p[f"e{k}"] = rng.uniform(-0.05, 0.05, (n + 1, dim))
+            if attention:
+                self.p[f"a{k}"], self.p[f"d{k}"] = rng.uniform(-0.05, 0.05, (n + 1, attention_dim)), glorot(attention_dim, 1)[:, 0]
+        self.p |= {"w1": glorot(dim * len(self.bags), hidden), "b1": np.zeros(hidden), "w2": glorot(hidden, classes), "b2": np.zeros(classes)}
+        self.moments, self.steps = {}, 0
+
+    def _pool(self, k: int, rows: list):
+        """(ids of all rows but 0, the row of each, weights, unit vectors, their lengths)."""
+        flat = [np.asarray(r, dtype=np.int64) for r in rows]
+        ids = np.concatenate(flat) if flat else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(rows)), [len(r) for r in flat])
+        row, ids = row[ids != 0], ids[ids != 0]
+        w = np.ones(len(ids))
+        if self.attention and len(ids):
+            a = self.p[f"a{k}"][ids] @ self.p[f"d{k}"]
+            top = np.full(len(rows), -np.inf)
+            np.maximum.at(top, row, a)
+            w = np.exp(a - top[row])
+        v = np.zeros((len(rows), self.dim))
+        if len(ids):
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            v[row[first]] = np.add.reduceat(w[:, None] * self.p[f"e{k}"][ids], first)
+        size = np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-7)
+        return ids, row, w, v / size, size
+
+    def logits(self, words: list, entities: list) -> np.ndarray:
+        x = np.hstack([self._pool(k, (words, entities)[k])[3] for k, _ in self.bags])
+        return np.maximum(x @ self.p["w1"] + self.p["b1"], 0) @ self.p["w2"] + self.p["b2"]
+
+    def measured(self, rows: list[list], labels: np.ndarray, batch: int = 500) -> tuple[float, float]:
+        """(loss, accuracy)."""
+        loss, right = 0.0, 0
+        for at in range(0, len(labels), batch):
+            z = self.logits(*(r[at : at + batch] for r in rows))
+            y = labels[at : at + batch]
+            z = z - z.max(axis=1, keepdims=True)
+            loss += float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y]).sum())
+            right += int((z.argmax(axis=1) == y).sum())
+        return loss / max(1, len(labels)), right / max(1, len(labels))
+
+    def fit(self, words: list, entities: list, labels, weights=None, dev: tuple | None = None, epochs: int = 1, batch: int = 100, rate: float = 0.001, seed: int = 0) -> list[dict]:
+        """The history: for each epoch loss and accuracy, and with dev (words, entities, labels) those there."""
+        rng, labels, history = np.random.default_rng(seed), np.asarray(labels, dtype=np.int64), []
+        weights = np.ones(len(labels)) if weights is None else np.asarray(weights, dtype=float)
         for _ in range(epochs):
-            for k in rng.permutation(len(rows)):
-                ids, w, v, size = self._pool(np.asarray(rows[k]))
-                h = np.maximum(v @ self.w1 + self.b1, 0)
-                z = h @ self.w2 + self.b2
-                p = np.exp(z - z.max())
-                p /= p.sum()
-                p[labels[k]] -= 1
-                p *= rate * (weights[k] if weights else 1.0)
-                dh = (self.w2 @ p) * (h > 0)
-                dv = self.w1 @ dh
-                self.w2 -= np.outer(h, p)
-                self.b2 -= p
-                self.w1 -= np.outer(v, dh)
-                self.b1 -= dh
-                dv = (dv - v * (v @ dv)) / size
-                if len(ids):
-                    if self.attention:
-                        np.subtract.at(self.a, ids, w * (self.e[ids] @ dv))
-                    np.subtract.at(self.e, ids, w[:, None] * dv)
-        return self
+            order = rng.permutation(len(labels))
+            for at in range(0, len(order), batch):
+                mine = order[at : at + batch]
+                self._step([[r[k] for k in mine] for r in (words, entities)], labels[mine], weights[mine], rate, rng)
+            loss, accuracy = self.measured([words, entities], labels)
+            history.append({"loss": loss, "acc": accuracy})
+            if dev is not None:
+                history[-1] |= dict(zip(("val_loss", "val_acc"), self.measured(list(dev[:2]), np.asarray(dev[2], dtype=np.int64))))
+        return history
+
+    def _step(self, rows: list[list], labels: np.ndarray, weights: np.ndarray, rate: float, rng) -> None:
+        pools = {k: self._pool(k, rows[k]) for k, _ in self.bags}
+        x = np.hstack([pools[k][3] for k, _ in self.bags])
+        h = np.maximum(x @ self.p["w1"] + self.p["b1"], 0)
+        kept = (rng.random(h.shape) >= self.dropout) / (1 - self.dropout) if 0 < self.dropout < 1 else 1.0
+        z = (h * kept) @ self.p["w2"] + self.p["b2"]
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        z /= z.sum(axis=1, keepdims=True)
+        z[np.arange(len(labels)), labels] -= 1
+        z *= weights[:, None] / len(labels)
+        dh = (z @ self.p["w2"].T) * kept * (h > 0)
+        change = {"w2": (h * kept).T @ z, "b2": z.sum(axis=0), "w1": x.T @ dh, "b1": dh.sum(axis=0)}
+        dx = dh @ self.p["w1"].T
+        self.steps += 1
+        for n, (k, _) in enumerate(self.bags):
+            ids, row, w, unit, size = pools[k]
+            if not len(ids):
+                continue
+            dv = dx[:, n * self.dim : (n + 1) * self.dim]
+            dv = (dv - unit * (dv * unit).sum(axis=1, keepdims=True)) / size
+            distinct, where = np.unique(ids, return_inverse=True)
+            self._adam(f"e{k}", _summed(where, w[:, None] * dv[row], len(distinct)), rate, distinct)
+            if self.attention:
+                da = w * (self.p[f"e{k}"][ids] * dv[row]).sum(axis=1)
+                change[f"d{k}"] = self.p[f"a{k}"][ids].T @ da
+                self._adam(f"a{k}", _summed(where, da[:, None] * self.p[f"d{k}"], len(distinct)), rate, distinct)
+        for name, g in change.items():
+            self._adam(name, g, rate, slice(None))
+
+    def _adam(self, name: str, g: np.ndarray, rate: float, at) -> None:
+        if name not in self.moments:
+            self.moments[name] = np.zeros((2, *self.p[name].shape))
+        m, v = self.moments[name]
+        m[at] = 0.9 * m[at] + 0.1 * g
+        v[at] = 0.999 * v[at] + 0.001 * g * g
+        self.p[name][at] -= rate * (m[at] / (1 - 0.9**self.steps)) / (np.sqrt(v[at] / (1 - 0.999**self.steps)) + 1e-8)
+
+    def dumps(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, shape=np.frombuffer(json.dumps(self.shape).encode(), np.uint8), **{k: v.astype(np.float32) for k, v in self.p.items()})
+        return zlib.compress(out.getvalue(), 1)
+
+    @classmethod
+    def loads(cls, data: bytes) -> Classifier:
+        with np.load(io.BytesIO(zlib.decompress(data))) as stored:
+            model = cls.__new__(cls)
+            shape = json.loads(stored["shape"].tobytes())
+            model.shape, model.p = shape, {k: stored[k].astype(float) for k in stored.files if k != "shape"}
+        model.bags = [(k, shape[name]) for k, name in enumerate(("words", "entities")) if shape["use"] in ("both", name)]
+        model.attention, model.dropout, model.dim, model.moments, model.steps = shape["attention"], shape["dropout"], shape["dim"], {}, 0
+        return model
+
+
+def _summed(where: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((n, rows.shape[1]))
+    np.add.at(out, where, rows)
+    return out
+
+
+def train_classifier(rows: DataFrame, shape: dict, epochs: int = 1, workers: int = 1, **options) -> Classifier:
+    """A model from rows (title, words, entities, label, weight): each round `workers` tasks learn one epoch from their share of
+    the rows, from the round's model on, and their models are averaged by their numbers of rows. The driver gets `workers`
+    models a round, of a size that the vocabularies bound; with one worker it is plain training."""
+    model, session = Classifier(**shape), rows.sparkSession
+    dealt = rows.select("title", "words", "entities", "label", "weight").withColumn("worker", F.pmod(F.xxhash64(F.col("title").cast("string")), F.lit(workers)))
+    for round_ in range(epochs):
+        start = session.sparkContext.broadcast(model.dumps())
+
+        def fit(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+            f = f.sort_values("title", kind="stable")
+            m = Classifier.loads(start.value)
+            m.fit(f["words"].tolist(), f["entities"].tolist(), f["label"].tolist(), f["weight"].tolist(), seed=round_, **options)
+            return pd.DataFrame({"worker": [key[0]], "rows": [len(f)], "model": [m.dumps()]})
+
+        found = dealt.groupBy("worker").applyInPandas(fit, "worker long, rows long, model binary").orderBy("worker").collect()
+        start.destroy()
+        if not found:
+            return model
+        total, models = sum(r["rows"] for r in found), [Classifier.loads(bytes(r["model"])) for r in found]
+        model.p = {k: sum(m.p[k] * (r["rows"] / total) for m, r in zip(models, found)) for k in model.p}
+    return model
 
 
-def train_classifiers(rows: DataFrame, words: int, types: list[str], **options) -> dict[str, Classifier]:
-    """A model per classifier of rows (classifier, ids, label, weight), each trained in one task from its own rows. The sets hold
-    labelled titles of one type only, which is what bounds them."""
-    import pickle
+def classify(rows: DataFrame, model: Classifier, types: list[str], name: str) -> DataFrame:
+    """classifier, title, type_name, value: logits of every row (title, words, entities) and type, a batch at a time."""
+    sent = rows.sparkSession.sparkContext.broadcast(model.dumps())
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = Classifier.loads(sent.value)
+        for f in frames:
+            for at in range(0, len(f), 500):
+                part = f.iloc[at : at + 500]
+                z = m.logits(part["words"].tolist(), part["entities"].tolist())
+                yield pd.DataFrame({"classifier": name, "title": np.repeat(part["title"].to_numpy(), len(types)), "type_name": types * len(part), "value": z.ravel().astype(np.float32)})
 
-    def fit(key, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["label", "title"])
-        extra = {k: options[k] for k in ("epochs", "rate") if k in options}
-        shape = {k: v for k, v in options.items() if k not in extra}
-        model = Classifier(words, len(types), **shape).fit(f["ids"].tolist(), f["label"].tolist(), f["weight"].tolist(), **extra)
-        return pd.DataFrame({"classifier": [key[0]], "model": [pickle.dumps(model)]})
+    return rows.select("title", "words", "entities").mapInPandas(run, "classifier string, title string, type_name string, value float")
 
-    out = rows.select("classifier", "title", "ids", "label", "weight").groupBy("classifier").applyInPandas(fit, "classifier string, model binary")
-    return {r["classifier"]: pickle.loads(r["model"]) for r in out.collect()}
 
+def accuracy(rows: DataFrame, model: Classifier, types: list[str]) -> DataFrame:
+    """accuracy over rows (title, words, entities, label): the share whose largest logit, the last name of equals, is right."""
+    best = classify(rows, model, types, "").groupBy("title").agg(F.max(F.struct("value", "type_name"))["type_name"].alias("best"))
+    names = F.array(*[F.lit(t) for t in types])
+    return rows.join(best, "title").agg(F.avg((F.array_position(names, F.col("best")) - 1 == F.col("label")).cast("double")).alias("accuracy"))
 
-def classify(rows: DataFrame, model: Classifier, types: list[str], name: str) -> DataFrame:
-    """classifier, title, type_name, value: logits of every row (title, ids) and type, in batches."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            z = np.array([model.logits(x) for x in f["ids"]]).reshape(-1, len(types))
-            yield pd.DataFrame({"classifier": name, "title": np.repeat(f["title"].to_numpy(), len(types)), "type_name": types * len(f), "value": z.ravel().astype(np.float32)})
+def search_classifier(rows: DataFrame, shape: dict, space: dict[str, list] | None = None, evals: int = 100, epochs: int = 1, batch: int = 100, seed: int = 0) -> dict:
+    """Random search over a classifier's options: the ones with the least loss on dev rows, with loss and accuracy there. rows:
+    title, words, entities, label, weight, split. A trial is a task; the rows, labelled ones only, go along as one table."""
+    space = space or {"dropout": [round(0.05 * n, 2) for n in range(1, 21)], "hidden": [500 * n for n in range(1, 21)], "dim": [100, 150, 200], "attention_dim": [2 * n for n in range(1, 11)]}
+    rng = np.random.default_rng(seed)
+    trials = [{n: v[int(rng.integers(len(v)))] for n, v in space.items()} for _ in range(evals)]
+    data = _bounded(rows).toPandas().sort_values("title")
+    train, dev = data[data["split"] == "train"], data[data["split"] == "dev"]
 
-    return rows.select("title", "ids").mapInPandas(run, "classifier string, title string, type_name string, value float")
+    def run(k: int) -> tuple[float, float]:
+        model = Classifier(**{**shape, **trials[k]})
+        history = model.fit(train["words"].tolist(), train["entities"].tolist(), train["label"].tolist(), train["weight"].tolist(), (dev["words"].tolist(), dev["entities"].tolist(), dev["label"].tolist()), epochs, batch)
+        return min(h["val_loss"] for h in history), max(h["val_acc"] for h in history)
+
+    found = _tried(rows.sparkSession, len(trials), run)
+    best = int(np.argmin([x[0] for x in found]))
+    return {**trials[best], "val_loss": found[best][0], "val_acc": found[best][1]}
 
 
 class Trees:
@@ -92,6 +218,13 @@ class Trees:
     def __init__(self, trees: int = 1000, rate: float = 0.01, depth: int = 3, min_split: int = 30, subsample: float = 1.0, max_features: float = 1.0, binary: bool = False, bins: int = 64, seed: int = 0) -> None:
         self.trees, self.rate, self.depth, self.min_split, self.subsample, self.max_features, self.binary, self.bins, self.seed = trees, rate, depth, min_split, subsample, max_features, binary, bins, seed
 
+    def _columns(self, n: int) -> int:
+        """How many of n features a tree may use: max_features is a share up to 1, else a number."""
+        return max(1, int(n * self.max_features)) if self.max_features <= 1 else min(n, int(self.max_features))
+
+    def options(self) -> dict:
+        return {k: getattr(self, k) for k in ("trees", "rate", "depth", "min_split", "subsample", "max_features", "binary", "bins", "seed")}
+
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
         rng = np.random.default_rng(self.seed)
         self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
@@ -104,7 +237,7 @@ class Trees:
             g, h = y - p, p * (1 - p) if self.binary else np.ones(len(y))
             use = np.arange(len(y)) if self.subsample >= 1 else np.sort(rng.choice(len(y), max(1, int(len(y) * self.subsample)), replace=False))
             n = x.shape[1]
-            columns = np.arange(n) if self.max_features >= 1 else np.sort(rng.choice(n, max(1, int(n * self.max_features)), replace=False))
+            columns = np.sort(rng.choice(n, self._columns(n), replace=False))
             tree = self._grow(b, g, h, use, columns, self.depth)
             self.forest.append(tree)
             score += self.rate * self._walk(tree, b)
@@ -116,7 +249,7 @@ class Trees:
     def _grow(self, b, g, h, rows, columns, depth):
         value = g[rows].sum() / max(h[rows].sum(), 1e-9)
         if not depth or len(rows) < self.min_split:
-            return value
+            return float(value)
         best = None
         total, count = g[rows].sum(), len(rows)
         for c in columns:
@@ -130,12 +263,12 @@ class Trees:
                 if best is None or gain[k] > best[0] + 1e-12:
                     best = (gain[k], c, k)
         if best is None or best[0] <= total**2 / count + 1e-12:
-            return value
+            return float(value)
         left = b[rows, best[1]] <= best[2]
-        return best[1], best[2], self._grow(b, g, h, rows[left], columns, depth - 1), self._grow(b, g, h, rows[~left], columns, depth - 1)
+        return int(best[1]), int(best[2]), self._grow(b, g, h, rows[left], columns, depth - 1), self._grow(b, g, h, rows[~left], columns, depth - 1)
 
     def _walk(self, tree, b) -> np.ndarray:
-        if not isinstance(tree, tuple):
+        if not isinstance(tree, (tuple, list)):
             return np.full(len(b), tree)
         left = b[:, tree[0]] <= tree[1]
         out = np.empty(len(b))
@@ -154,11 +287,97 @@ def _vectors(f: pd.DataFrame, names: list[str]) -> np.ndarray:
     return f[names].fillna(0.0).to_numpy(dtype=float)
 
 
+def _bounded(rows: DataFrame) -> DataFrame:
+    """rows, if one machine may hold them."""
+    if rows.count() > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} labelled rows; see fit_large")
+    return rows
+
+
+class Scorer:
+    """A model of features by name: boosted trees (ours or MLlib's), or a linear one."""
+
+    def __init__(self, features: list[str], binary: bool, trees: Trees | None = None, linear: list[float] | None = None) -> None:
+        self.features, self.binary, self.trees, self.linear = features, binary, trees, linear
+
+    def dumps(self) -> str:
+        t = self.trees
+        stored = None if t is None else {"options": t.options(), "edges": [e.tolist() for e in t.edges], "start": t.start, "forest": t.forest}
+        return json.dumps({"features": self.features, "binary": self.binary, "linear": self.linear, "trees": stored})
+
+    @classmethod
+    def loads(cls, text: str) -> Scorer:
+        d = json.loads(text)
+        trees = None
+        if d["trees"]:
+            trees = Trees(**d["trees"]["options"])
+            trees.edges, trees.start, trees.forest = [np.array(e) for e in d["trees"]["edges"]], d["trees"]["start"], d["trees"]["forest"]
+        return cls(d["features"], d["binary"], trees, d["linear"])
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """rows with prediction. Features that rows lack are 0, others are not read. A linear model is an expression; trees go
+        over batches."""
+        there = set(rows.columns)
+        value = {f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) if f in there else F.lit(0.0) for f in self.features}
+        if self.trees is None:
+            total = F.lit(self.linear[-1])
+            for w, f in zip(self.linear, self.features):
+                total = total + F.lit(w) * value[f]
+            return rows.withColumn("prediction", 1 / (1 + F.exp(-total)) if self.binary else total)
+        sent = rows.sparkSession.sparkContext.broadcast(self.dumps())
+
+        @F.pandas_udf("double")
+        def predicted(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            trees = Scorer.loads(sent.value).trees
+            for x in frames:
+                yield pd.Series(trees.predict(np.array(x.tolist(), dtype=float).reshape(len(x), -1)))
+
+        return rows.withColumn("prediction", predicted(F.array(*value.values())))
+
+
+def fit_scorer(rows: DataFrame, features: list[str], **options) -> Scorer:
+    """Trees from the labelled rows (title, type_name, label, features), which one task must hold."""
+    features = sorted(features)
+
+    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = pd.concat(list(frames)).sort_values(["title", "type_name"])
+        trees = Trees(**options).fit(_vectors(f, features), f["label"].to_numpy())
+        yield pd.DataFrame({"model": [Scorer(features, bool(options.get("binary")), trees).dumps()]})
+
+    some = _bounded(rows).select("title", "type_name", "label", *features).coalesce(1)
+    return Scorer.loads(some.mapInPandas(fit, "model string").first()["model"])
+
+
+def fit_large(rows: DataFrame, features: list[str], trees: int = 1000, rate: float = 0.01, depth: int = 3, subsample: float = 1.0, binary: bool = False):
+    """An MLlib pipeline model from rows of any number (label, features); its transform gives `prediction`."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    kind = GBTClassifier if binary else GBTRegressor
+    boosted = kind(featuresCol="assembled", labelCol="label", maxIter=trees, stepSize=rate, maxDepth=depth, subsamplingRate=subsample, seed=0)
+    return Pipeline(stages=[VectorAssembler(inputCols=sorted(features), outputCol="assembled"), boosted]).fit(rows.na.fill(0.0, features))
+
+
+def save_model(spark: SparkSession, model: Classifier | Scorer, path: str, **about) -> None:
+    """A model and what belongs to it (JSON values), as a table of one row."""
+    data = model.dumps()
+    row = (type(model).__name__, data if isinstance(data, bytes) else data.encode(), json.dumps(about, sort_keys=True))
+    spark.createDataFrame([row], "kind string, model binary, about string").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[Classifier | Scorer, dict]:
+    r = spark.read.parquet(path).first()
+    model = Classifier.loads(bytes(r["model"])) if r["kind"] == "Classifier" else Scorer.loads(bytes(r["model"]).decode())
+    return model, json.loads(r["about"])
+
+
 def cross_validated(rows: DataFrame, features: list[str], k: int = 10, **options) -> DataFrame:
     """title, type_name, fold, label, prediction of rows (title, type_name, fold, label, features): a task trains on the other
-    folds of its own. The rows are labelled ones, of which there are few."""
+    folds of its own. The rows are labelled ones, which are counted first: a task may hold them all."""
 
-    def run(key, f: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["title", "type_name"])
         test = f["fold"] == key[0]
         model = Trees(**options).fit(_vectors(f[~test], features), f.loc[~test, "label"].to_numpy())
@@ -166,49 +385,64 @@ def cross_validated(rows: DataFrame, features: list[str], k: int = 10, **options
         out["prediction"] = model.predict(_vectors(f[test], features)) if len(out) else []
         return out
 
-    every = rows.select("title", "type_name", "fold", "label", *features).withColumn("task", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    every = _bounded(rows).select("title", "type_name", "fold", "label", *features).withColumn("task", F.explode(F.sequence(F.lit(1), F.lit(k))))
     return every.groupBy("task").applyInPandas(run, "title string, type_name string, fold int, label double, prediction double")
 
 
 def _cv_score(f: pd.DataFrame, features: list[str], options: dict) -> float:
-    """The mean over folds: accuracy if binary, else the negated absolute error of rounded predictions."""
+    """The mean over folds: accuracy if binary, else the negated absolute error."""
     out = []
     for fold in sorted(f["fold"].unique()):
         test = f["fold"] == fold
         p = Trees(**options).fit(_vectors(f[~test], features), f.loc[~test, "label"].to_numpy()).predict(_vectors(f[test], features))
         y = f.loc[test, "label"].to_numpy()
-        out.append(((p >= 0.5) == y).mean() if options.get("binary") else -np.abs(np.clip(np.floor(np.abs(p) + 0.5) * np.sign(p), 0, 7) - y).mean())
+        out.append(((p >= 0.5) == y).mean() if options.get("binary") else -np.abs(p - y).mean())
     return float(np.mean(out))
 
 
-def _scored(rows: DataFrame, trials: list[tuple[list[str], dict]]) -> list[float]:
-    """The score of each trial, each in a task of its own; rows go along as one small Arrow table."""
-    spark, data = rows.sparkSession, rows.toPandas().sort_values(["title", "type_name"])
+def _tried(spark: SparkSession, n: int, run) -> list:
+    """run(k) for each trial, each in a task of its own."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"k": f["k"], "score": [_cv_score(data, *trials[k]) for k in f["k"]]})
+            yield pd.DataFrame({"k": f["k"], "found": [json.dumps(run(k)) for k in f["k"].tolist()]})
+
+    frame = spark.createDataFrame([(k,) for k in range(n)], "k int").repartition(max(1, min(n, 64)), "k")
+    return [json.loads(r["found"]) for r in frame.mapInPandas(work, "k int, found string").orderBy("k").collect()]
+
+
+def _scored(rows: DataFrame, trials: list[tuple[list[str], dict]]) -> list[float]:
+    """The score of each trial (features, options); rows (title, type_name, fold, label, features) are labelled ones."""
+    data = _bounded(rows).toPandas().sort_values(["title", "type_name"])
+    return _tried(rows.sparkSession, len(trials), lambda k: _cv_score(data, *trials[k]))
 
-    frame = spark.createDataFrame([(k,) for k in range(len(trials))], "k int").repartition(min(len(trials), 64), "k")
-    return [r["score"] for r in frame.mapInPandas(run, "k int, score double").orderBy("k").collect()]
 
+def first_best(scores: list[float]) -> int:
+    """The place of the largest score, the first of equals."""
+    return int(np.argmax(scores))
 
-def select_features(rows: DataFrame, features: list[str], k: int | None = None, **options) -> dict:
+
+def last_best(history: list[dict]) -> dict:
+    """The entry with the largest score, the last of equals."""
+    return max(reversed(history), key=lambda h: h["score"])
+
+
+def select_features(rows: DataFrame, features: list[str], k: int | None = None, scored=_scored, **options) -> dict:
     """Greedy forward selection: each step adds the feature with the best score (the first of equals); the best step's list, the
     last of equals, is returned with its score."""
     chosen, history = [], []
-    while len(chosen) < (k or len(features)):
+    while len(chosen) < min(k or len(features), len(features)):
         left = [f for f in features if f not in chosen]
-        found = _scored(rows, [([*chosen, f], options) for f in left])
-        best = int(np.argmax(found))
+        found = scored(rows, [([*chosen, f], options) for f in left])
+        best = first_best(found)
         chosen = [*chosen, left[best]]
         history.append({"features": chosen, "score": found[best]})
-    return max(reversed(history), key=lambda h: h["score"])
+    return last_best(history)
 
 
-def search_hyper_params(rows: DataFrame, features: list[str], space: dict[str, list], evals: int = 100, seed: int = 0, **fixed) -> dict:
-    """Random search over the grid `space`; the best options with their score."""
+def search_hyper_params(rows: DataFrame, features: list[str], space: dict[str, list], evals: int = 100, seed: int = 0, scored=_scored, **fixed) -> dict:
+    """Random search over the grid `space`; the best options, the first of equals, with their score."""
     rng = np.random.default_rng(seed)
     trials = [{n: v[int(rng.integers(len(v)))] for n, v in space.items()} for _ in range(evals)]
-    found = _scored(rows, [(features, {**fixed, **t}) for t in trials])
-    return {**trials[int(np.argmax(found))], "score": max(found)}
+    found = scored(rows, [(features, {**fixed, **t}) for t in trials])
+    return {**trials[first_best(found)], "score": max(found)}

@@ -1,7 +1,7 @@
 """Queries over the test tables that stand in for the domain's own, each with its SQL.
 
 kb(title, type_name): customers and the priorities of their orders. train: how often, up to 7. Pages: title, paragraphs and
-links of `pages`. Sentences: lines of `documents`, whose capitalised words are links. Logits: an embedding's first numbers.
+links of `pages`. Sentences: lines of `documents`, whose capitalised words are links. Logits: an embedding's numbers.
 """
 
 from __future__ import annotations
@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import cooc, datasets, entities, learning, scoring
+from ..functions import parse
+from ..operators import cooc, datasets, entities, learning, scoring, serving
+from ..scratch import saved, shared_dir, spread
+from ..sources import tables as S
 
 HREF, PARAGRAPH = '(?s)href="/([^"]*)"', "(?s)<p>(.*?)</p>"
 
@@ -38,18 +41,24 @@ def _redirects(spark, sf):
 
 
 def _tokens(spark, sf):
-    return _read(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("words"))
+    return spread(_read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", T.tokens(F.col("text")).alias("words"))
+
+
+def _lines(spark, sf):
+    """sent_id, text: the lines of documents."""
+    lines = spread(_read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return lines.select(F.concat_ws("-", "doc_id", "line").alias("sent_id"), "text")
 
 
 def _sentences(spark, sf):
-    """sent_id, place, token, start, stop, entity (where the token is capitalised): token places stand for character offsets."""
-    lines = _read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    t = lines.select(F.concat_ws("-", "doc_id", "line").alias("sent_id"), F.posexplode(T.tokens(F.col("text"))).alias("start", "token"))
-    return t.withColumn("stop", F.col("start") + 1).withColumn("entity", F.when(F.col("token").rlike("^[A-Z][a-z]+$"), F.col("token")))
+    """sent_id, words, links: where the capitalised words stand among the line's tokens."""
+    t = _lines(spark, sf).select("sent_id", T.tokens(F.col("text")).alias("raw"))
+    every = F.transform("raw", lambda w, i: F.struct(w.alias("entity"), i.alias("before"), (i + 1).alias("after")))
+    return t.select("sent_id", T.lowered(F.col("raw")).alias("words"), F.filter(every, lambda x: x["entity"].rlike("^[A-Z][a-z]+$")).alias("links"))
 
 
 def _logits(spark, sf):
-    e = _read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("title"), F.posexplode(F.slice("embedding", 1, 10)).alias("k", "value"))
+    e = _read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("title"), F.posexplode("embedding").alias("k", "value"))
     return e.select(F.lit("clf").alias("classifier"), "title", F.concat(F.lit("t"), F.col("k").cast("string")).alias("type_name"), "value")
 
 
@@ -67,28 +76,54 @@ def token_counts(spark, sf):
 
 
 def title_forms(spark, sf):
-    links = _links(spark, sf).select("text", "title").distinct()
-    return links.withColumn("spaced", F.translate("text", "_", " ")).withColumn("is_article", T.article(F.col("title")))
+    """Titles in namespaces that are left out and in one that isn't, and with underscores."""
+    kind = F.length("text") % 4
+    text = F.when(kind == 0, F.concat(F.lit("File:"), "text")).when(kind == 1, F.concat(F.lit("user:_"), "text")).when(kind == 2, F.concat(F.lit("talk:"), F.replace("text", F.lit("e"), F.lit("_")))).otherwise(F.col("text"))
+    links = _links(spark, sf).select(text.alias("text")).distinct().withColumn("title", T.title(F.col("text")))
+    return links.withColumn("spaced", T.spaced(F.col("text"))).withColumn("is_article", T.article(F.col("title")))
 
 
 def redirect_parse(spark, sf):
-    text = F.concat(F.when(F.col("page_id") % 3 == 0, "#redirect [[").when(F.col("page_id") % 3 == 1, "#REDIRECT: ").otherwise(""), F.regexp_extract("html", HREF, 1), F.when(F.col("page_id") % 3 == 0, "]] x").otherwise(""))
+    x, k = F.regexp_extract("html", HREF, 1), F.col("page_id") % 6
+    text = F.when(k == 0, F.concat(F.lit("#redirect [["), x, F.lit("]] x"))).when(k == 1, F.concat(F.lit("#REDIRECT: "), x)).when(k == 2, x)
+    text = text.when(k == 3, F.concat(F.lit("＃転送[["), x, F.lit("]]"))).when(k == 4, F.concat(F.lit(" #REDIRECT [["), x, F.lit("]]"))).otherwise(F.concat(F.lit("#Redirect "), x, F.lit("\nmore")))
     return _read(spark, sf, "pages").select("page_id", T.redirect(text).alias("redirect")).withColumn("is_redirect", F.col("redirect").isNotNull())
 
 
+def nested_links(spark, sf):
+    """Lines with a link inside a link's anchor: the outer one is spliced first, and the inner one then takes what follows."""
+    lines = _read(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("sent_id"), F.concat(F.lit("é ["), F.translate("n_name", " ", "_"), F.lit("|big [Q_r|n] end] post "), F.lower("n_name")).alias("line"))
+    found = parse.parse_sentences(lines).select("sent_id", "text", F.posexplode("wiki_links").alias("k", "x"))
+    return found.select("sent_id", "text", F.col("k").cast("long").alias("k"), "x.title", F.col("x.span_start").cast("long").alias("span_start"), F.col("x.span_end").cast("long").alias("span_end"))
+
+
+def page_paragraphs(spark, sf):
+    """Wikitext with links, bold text, a heading and a template, and redirect pages, which have no paragraphs."""
+    name, key = F.col("n_name"), F.col("n_nationkey")
+    body = F.concat(F.lit("In [["), F.lower(name), F.lit("|the "), name, F.lit("]] '''so [[x]]'''\nof {{a|{{b}}}} [[foo_bar]]<!-- c -->.\n== H ==\nlow "), name, F.lit("\nlast"))
+    wiki = F.when(key % 5 == 0, F.concat(F.lit("#REDIRECT [["), name, F.lit("]]\nmore\n"))).otherwise(body)
+    pages = _read(spark, sf, "nation").select(key.cast("string").alias("title"), wiki.alias("wiki_text"))
+    found = parse.parse_pages(pages).select("title", F.posexplode("paragraphs").alias("k", "p"))
+    return found.select("title", F.col("k").cast("long").alias("k"), "p.text", "p.abstract", F.array_join(F.transform("p.wiki_links", lambda x: F.concat(x["title"], F.lit(">"), x["text"])), ",").alias("links"))
+
+
+def token_spans(spark, sf):
+    """Begin and end of every token, in characters."""
+    t = spread(_read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", parse.spans(F.coalesce("text", F.lit(""))).alias("spans"))
+    return t.select("doc_id", F.size("spans").cast("long").alias("n_tokens"), F.md5(F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["stop"].cast("string"))), " ")).alias("spans"))
+
+
 def word_vocabulary(spark, sf):
     words = _tokens(spark, sf).select(F.explode(T.lowered(F.col("words"))).alias("token"))
     return cooc.vocabulary(words).withColumn("id", F.col("id").cast("long"))
 
 
 def prefix_vocabulary(spark, sf):
-    words = _tokens(spark, sf).select(F.explode(T.lowered(F.slice("words", 1, 50))).alias("token"))
-    return cooc.vocabulary(words).select("token", "n")
+    return cooc.vocabulary(datasets.first_words(_tokens(spark, sf), 5000)).select("token", "n")
 
 
 def link_document_frequency(spark, sf):
-    links = _links(spark, sf).groupBy("source").agg(F.collect_set("title").alias("titles")).select(F.explode("titles").alias("token"))
-    return links.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return cooc.vocabulary(datasets.document_terms(_links(spark, sf)), 1).select("token", "n")
 
 
 def redirect_resolution(spark, sf):
@@ -116,10 +151,10 @@ def page_texts(spark, sf):
 
 
 def page_in_links(spark, sf):
-    """Titles of links are the pages here; targets are those whose first letter is before N."""
+    """Titles of links are the pages here, and all of them are targets."""
     links = _links(spark, sf)
     pages = links.select("title").distinct().withColumn("paragraphs", F.lit(None).cast("string"))
-    targets = pages.where("title < 'N'").unionByName(spark.createDataFrame([("no such title", None)], pages.schema))
+    targets = pages.unionByName(spark.createDataFrame([("no such title", None)], pages.schema))
     t = entities.page_table(pages, links, targets)
     return t.select("title", F.size("in_links").cast("long").alias("n"), F.md5(F.array_join(F.transform("in_links", lambda x: x["title"]), " ")).alias("sources"))
 
@@ -134,13 +169,49 @@ def link_bags(spark, sf):
 
 def word_entity_window(spark, sf):
     s = _sentences(spark, sf)
-    links = s.where("entity IS NOT NULL").select("sent_id", F.col("start").alias("link_id"), "entity", "start", "stop")
-    vocab = cooc.vocabulary(s.select(F.lower("token").alias("token")))
-    return cooc.word_entity(s, links, 5, vocab)
+    return cooc.word_entity(s, 5, cooc.vocabulary(s.select(F.explode("words").alias("token"))))
+
+
+def char_windows(spark, sf):
+    """Capitalised words marked up as links; their spans are found by the parser, and their windows by characters."""
+    marked = F.regexp_replace(F.translate("text", "[|]", "(/)"), r"(?<![\p{L}\p{N}_])([A-Z][a-z]+)(?![\p{L}\p{N}_])", r"[$1|$1]")
+    lines = _lines(spark, sf).select(F.xxhash64("sent_id").alias("sent_id"), marked.alias("line"))
+    s = parse.locate(parse.parse_sentences(lines))
+    return cooc.word_entity(s, 3)
+
+
+def linked_entities(spark, sf):
+    return cooc.linked_entities(_sentences(spark, sf))
 
 
 def entity_pairs(spark, sf):
-    return cooc.entity_entity(_sentences(spark, sf).where("entity IS NOT NULL").select("sent_id", "entity"))
+    return cooc.entity_entity(_sentences(spark, sf))
+
+
+def stored_matrix(spark, sf):
+    """Entity pairs as rows of ids, stored, loaded and looked up."""
+    s, path = _sentences(spark, sf), f"{shared_dir(spark)}/relata-matrix-{spark.sparkContext.applicationId}-{sf.rstrip('/').rsplit('/', 1)[-1]}"
+    names = saved(cooc.vocabulary(s.select(F.explode("links.entity").alias("token")), 1), "names")
+    S.store_counts(cooc.entity_entity(s).select(F.col("e1").alias("entity"), F.col("e2").alias("other"), "n"), names, names, path, "other")
+    return S.lookup(S.load(spark, path), "row", names.where("n >= 5").select(F.col("id").alias("row"))).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "n")
+
+
+def known_titles(spark, sf):
+    """Which asked titles are known, and how many titles there are."""
+    titles = _links(spark, sf).select("title")
+    asked = titles.distinct().union(spark.createDataFrame([("no such title",)], "title string"))
+    return entities.contained(asked, titles).crossJoin(F.broadcast(entities.size(titles)))
+
+
+def looked_up(spark, sf):
+    """A few keys, pushed down to the scan."""
+    return S.lookup(_read(spark, sf, "customer"), "c_custkey", [3, 14, 15, 92, -1]).select("c_custkey", "c_name")
+
+
+def target_titles(spark, sf):
+    """Distinct targets, as they are asked for and as they resolve."""
+    kb, hops = _links(spark, sf).select("title"), entities.valid_redirects(_redirects(spark, sf), _links(spark, sf).select("title"))
+    return entities.target_titles(kb).select("title", F.lit(False).alias("resolved")).union(entities.target_titles(kb, hops).select("title", F.lit(True)))
 
 
 def encoded_documents(spark, sf):
@@ -151,7 +222,7 @@ def encoded_documents(spark, sf):
 
 
 def expanded_counts(spark, sf):
-    c = _read(spark, sf, "lineitem").where("l_orderkey < 500").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("id"), (F.col("l_quantity") % 4 + 1).cast("int").alias("n"))
+    c = _read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("id"), (F.col("l_quantity") % 4 + 1).cast("int").alias("n"))
     return datasets.expanded(c, ["k"]).select("k", F.size("bag").cast("long").alias("n"), F.array_join("bag", " ").alias("bag"))
 
 
@@ -163,6 +234,15 @@ def multi_types(spark, sf):
     return datasets.multi_type(_kb(spark, sf)).groupBy("title").agg(F.array_join(F.sort_array(F.collect_list("type_name")), "|").alias("types"))
 
 
+def type_labels(spark, sf):
+    kb = _read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("title"), F.col("c_mktsegment").alias("type_name"))
+    return datasets.type_labels(datasets.single_type(kb)).withColumn("label", F.col("label").cast("long"))
+
+
+def type_lists(spark, sf):
+    return datasets.grouped(_kb(spark, sf)).select("title", F.array_join("types", "|").alias("types"))
+
+
 def dataset_split(spark, sf):
     return datasets.split(_read(spark, sf, "customer").select(F.col("c_custkey").alias("title")), "title")
 
@@ -216,10 +296,9 @@ def binary_scores(spark, sf):
 
 
 def unfinished_classifiers(spark, sf):
-    from ..sources.tables import unfinished
-
-    wanted = _read(spark, sf, "nation").select(F.col("n_name").alias("classifier"))
-    return unfinished(wanted, _read(spark, sf, "region").select(F.upper("r_name").alias("classifier")).union(wanted.where("classifier < 'J'")))
+    nations = _read(spark, sf, "nation")
+    done = nations.where("n_nationkey % 3 = 0").select(F.col("n_name").alias("classifier"))
+    return S.unfinished(nations.select(F.col("n_name").alias("classifier")), done)
 
 
 def split_difference(spark, sf):
@@ -229,8 +308,84 @@ def split_difference(spark, sf):
 
 
 def request_order(spark, sf):
-    e = _read(spark, sf, "events").select(F.col("event_id").alias("line_id"), F.col("user_id").cast("string").alias("title"), F.col("event_type").alias("type_name"))
-    return e.withColumn("first_seen", F.min("line_id").over(Window.partitionBy("title")))
+    """Lines with a third field, which is ignored."""
+    e = _read(spark, sf, "events").select(F.col("event_id").alias("line_id"), F.concat_ws("\t", F.col("user_id").cast("string"), "event_type", F.lit("x")).alias("value"))
+    return S.numbered_requests(e)
+
+
+def _page_bags(spark, sf):
+    """Pages of single types, by number; their paragraphs, and out-links to the titles."""
+    empty = F.array().cast(parse.LINKS)
+    link = F.transform(F.regexp_extract_all("html", F.lit(HREF), F.lit(1)), lambda x: F.struct(x.alias("title"), x.alias("text"), F.lit("out").alias("link_type")))
+    texts = F.transform(F.regexp_extract_all("html", F.lit(PARAGRAPH), F.lit(1)), lambda x, i: F.struct(x.alias("text"), F.when(i == 0, link).otherwise(empty).alias("wiki_links"), (i == 0).alias("abstract")))
+    pages = _read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("title"), texts.alias("paragraphs"), empty.alias("in_links"))
+    return serving.page_bags(pages)
+
+
+def page_dataset(spark, sf):
+    """A classifier's dataset from pages: vocabularies, ids, labels, weights and split."""
+    bags = _page_bags(spark, sf)
+    words, names = serving.page_vocabularies(bags)
+    none = spark.createDataFrame([], "title string, dest string")
+    kb = _read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("title"), F.concat(F.lit("t"), (F.col("page_id") % 3).cast("string")).alias("type_name"))
+    f = serving.page_features(kb, bags, words, names, none, 100, 20)
+    d = serving.classifier_dataset(f, kb, none, 5, 1, 0.1, 0.1)
+    ids = lambda c: F.array_join(F.array_remove(c, 0), " ")
+    return d.select("title", "type_name", F.col("label").cast("long").alias("label"), F.round("weight", 9).alias("weight"), "split", ids(F.col("words")).alias("words"), ids(F.array_sort("entities")).alias("entities"))
+
+
+def cooc_bags(spark, sf):
+    """A classifier's features from co-occurrences."""
+    s = _sentences(spark, sf)
+    words, names = cooc.vocabulary(s.select(F.explode("words").alias("token"))), saved(cooc.vocabulary(s.select(F.explode("links.entity").alias("token")), 1), "names")
+    path = f"{shared_dir(spark)}/relata-counts-{spark.sparkContext.applicationId}-{sf.rstrip('/').rsplit('/', 1)[-1]}"
+    S.store_counts(cooc.word_entity(s, 2, words).withColumnRenamed("word", "other"), saved(words, "words"), names, f"{path}/word", "other")
+    S.store_counts(cooc.entity_entity(s).select(F.col("e1").alias("entity"), F.col("e2").alias("other"), "n"), names, names, f"{path}/entity", "other")
+    none = spark.createDataFrame([], "title string, dest string")
+    f = serving.cooc_features(names.select(F.col("token").alias("title")), S.load(spark, f"{path}/word"), S.load(spark, f"{path}/entity"), names, none, 30, 30)
+    return f.select("title", F.col("n_words").cast("long").alias("n_words"), F.array_join("words", " ").alias("words"), F.col("n_entities").cast("long").alias("n_entities"), F.array_join("entities", " ").alias("entities"))
+
+
+def _asked(spark, sf):
+    """Requests: two types for each vector, now and then by a title that redirects, of a type that no classifier knows, or
+    without logits."""
+    e = _read(spark, sf, "embeddings")
+    title = F.when(F.col("vec_id") % 7 == 0, F.concat(F.lit("r"), F.col("vec_id").cast("string"))).when(F.col("vec_id") % 11 == 0, F.lit("gone")).otherwise(F.col("vec_id").cast("string"))
+    second = F.when(F.col("vec_id") % 5 == 0, F.lit("unknown")).otherwise(F.concat(F.lit("t"), (5 + (F.col("label") + F.col("vec_id")) % 50).cast("string")))
+    a = e.select((2 * F.col("vec_id")).alias("line_id"), title.alias("title"), F.concat(F.lit("t"), F.col("label").cast("string")).alias("type_name"))
+    return a.union(e.select(2 * F.col("vec_id") + 1, title, second))
+
+
+def _hops(spark, sf):
+    e = _read(spark, sf, "embeddings").where("vec_id % 7 = 0")
+    return e.select(F.concat(F.lit("r"), F.col("vec_id").cast("string")).alias("title"), F.col("vec_id").cast("string").alias("dest"))
+
+
+def _two_classifiers(spark, sf):
+    return _logits(spark, sf).withColumn("classifier", F.when(F.col("type_name") < "t3", "a").otherwise("b"))
+
+
+def scorer_rows(spark, sf):
+    """What a scorer gets: features of requests by two classifiers that know different types."""
+    rows = scoring.scoring_rows(_asked(spark, sf), _two_classifiers(spark, sf), _asked(spark, sf).select("title", "type_name"), _hops(spark, sf), ["a", "b"])
+    return rows.select("line_id", "title", "type_name", "num_types", *[F.round(f"{c}_{n}", 5).alias(f"{c}_{n}") for c in "ab" for n in scoring.NAMES])
+
+
+LINEAR = {"a_proba": 40.0, "a_top_raw": -1.5, "b_value": 6.0, "b_pmi": 0.01, "num_types": 0.3}
+
+
+def score_requests(spark, sf):
+    """Requests to scores, by a stored linear model: titles resolved, logits joined, features, prediction, rounding."""
+    path = f"{shared_dir(spark)}/relata-model-{spark.sparkContext.applicationId}-{sf.rstrip('/').rsplit('/', 1)[-1]}"
+    learning.save_model(spark, learning.Scorer(list(LINEAR), False, linear=[*LINEAR.values(), 1.7]), path)
+    asked = _asked(spark, sf)
+    scored = serving.score(asked.withColumn("first_seen", F.min("line_id").over(Window.partitionBy("title"))), learning.load_model(spark, path)[0], _two_classifiers(spark, sf), asked.select("title", "type_name"), _hops(spark, sf), ["a", "b"])
+    return scored.select("line_id", "title", "type_name", "first_seen", "score")
+
+
+def projected_features(spark, sf):
+    """Chosen features, one of which the rows lack."""
+    return scoring.projected(_read(spark, sf, "events").select("event_id", "user_id", "value"), ["event_id"], ["missing", "value"])
 
 
 def _training_rows(spark, sf):
@@ -245,19 +400,20 @@ def boosted_trees_cv(spark, sf):
 
 def attention_classifier(spark, sf):
     """Trains a classifier of documents' languages, and gives its logits. The vocabulary counts the first 5,000 words of a text,
-    features are the last 5,000 ids of the whole text. Padding is taken away again: pooling skips it, and one task holds all rows."""
-    docs = _read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("title"), "lang", T.tokens(F.col("text")).alias("words"))
-    t = docs.select("title", "lang", F.posexplode(T.lowered(F.col("words"))).alias("pos", "token"))
-    vocab = cooc.vocabulary(t.where("pos < 5000").select("token"), 20)
+    features are the last 5,000 ids of the whole text. Padding is taken away again, since pooling skips it. Eight tasks learn
+    from their share of the rows, and their models are averaged."""
+    docs = spread(_read(spark, sf, "documents").select("doc_id", "lang", "text")).select(F.col("doc_id").cast("string").alias("title"), "lang", T.tokens(F.col("text")).alias("words"))
+    vocab = saved(cooc.vocabulary(datasets.first_words(docs, 5000), 20), "vocabulary")
     types = [r["lang"] for r in docs.select("lang").distinct().orderBy("lang").collect()]
     label = F.array_position(F.array(*[F.lit(x) for x in types]), F.col("lang")) - 1
-    rows = datasets.encoded(t, vocab, ["title", "lang"], 5000).withColumn("ids", F.array_remove("ids", 0))
-    train = rows.where("length > 5").select(F.lit("language").alias("classifier"), "title", "ids", label.cast("int").alias("label"), F.lit(1.0).alias("weight"))
-    model = learning.train_classifiers(train, vocab.count(), types, epochs=2)["language"]
+    t = docs.select("title", "lang", F.posexplode(T.lowered(F.col("words"))).alias("pos", "token"))
+    rows = saved(datasets.encoded(t, vocab, ["title", "lang"], 5000, "words").withColumn("words", F.array_remove("words", 0)).withColumn("entities", F.array().cast("array<int>")), "ids")
+    train = datasets.long_enough(rows).select("title", "words", "entities", label.cast("int").alias("label"), F.lit(1.0).alias("weight"))
+    model = learning.train_classifier(train, {"words": vocab.count(), "entities": 0, "classes": len(types), "dim": 32, "hidden": 64, "use": "words"}, 2, 8, rate=0.01)
     return learning.classify(rows, model, types, "language")
 
 
-QUERIES = {f.__name__: f for f in (type_pmi, type_probability, token_counts, title_forms, redirect_parse, word_vocabulary, prefix_vocabulary, link_document_frequency, redirect_resolution, inlink_counts, inlink_lookup, page_texts, page_in_links, link_bags, word_entity_window, entity_pairs, encoded_documents, expanded_counts, single_types, multi_types, dataset_split, k_folds, class_weights, softmax_features, valid_logits, wide_features, binary_labels, mean_metrics, rounded_scores, binary_scores, unfinished_classifiers, split_difference, request_order, boosted_trees_cv, attention_classifier)}
+QUERIES = {f.__name__: f for f in (type_pmi, type_probability, token_counts, title_forms, redirect_parse, nested_links, page_paragraphs, token_spans, word_vocabulary, prefix_vocabulary, link_document_frequency, redirect_resolution, inlink_counts, inlink_lookup, page_texts, page_in_links, link_bags, word_entity_window, char_windows, linked_entities, entity_pairs, stored_matrix, known_titles, looked_up, target_titles, encoded_documents, expanded_counts, single_types, multi_types, type_labels, type_lists, dataset_split, k_folds, class_weights, softmax_features, valid_logits, wide_features, binary_labels, mean_metrics, rounded_scores, binary_scores, unfinished_classifiers, split_difference, request_order, page_dataset, cooc_bags, scorer_rows, score_requests, projected_features, boosted_trees_cv, attention_classifier)}
 
 _KB = "kb AS (SELECT DISTINCT o_custkey::VARCHAR AS title, o_orderpriority AS type_name FROM orders)"
 _STATS = """several AS (SELECT * FROM kb WHERE title IN (SELECT title FROM kb GROUP BY title HAVING count(*) <> 1)),
@@ -273,31 +429,66 @@ ts AS (SELECT doc_id || '-' || line AS sent_id, regexp_extract_all(text, '[\p{L}
 sent AS (SELECT sent_id, unnest(w) AS token, generate_subscripts(w, 1) AS p FROM ts),
 ents AS (SELECT sent_id, token AS entity, p FROM sent WHERE regexp_full_match(token, '[A-Z][a-z]+')),
 vocab AS (SELECT lower(token) AS token, count(*) AS n FROM sent GROUP BY 1 HAVING count(*) >= 5)"""
-_LOGITS = "logits AS (SELECT vec_id::VARCHAR AS title, 't' || (k - 1) AS type_name, embedding[k] AS value FROM embeddings, range(1, 11) r(k))"
+_LOGITS = "logits AS (SELECT vec_id::VARCHAR AS title, 't' || (k - 1) AS type_name, embedding[k] AS value FROM embeddings, range(1, 65) r(k))"
 _SPLIT = "p AS (SELECT c_custkey AS title, row_number() OVER (ORDER BY md5('0' || c_custkey::VARCHAR), c_custkey) AS place, count(*) OVER () AS total FROM customer), s AS (SELECT title, CASE WHEN place <= floor(total * 0.05) THEN 'dev' WHEN place <= floor(total * 0.05) + floor(total * 0.05) THEN 'test' ELSE 'train' END AS split FROM p)"
 _TRAIN = "train AS (SELECT o_custkey::VARCHAR AS title, o_orderpriority AS type_name, least(7, count(*))::INT AS score FROM orders GROUP BY 1, 2)"
 
+_SCORER = f"""WITH {_LOGITS}, asked AS (SELECT 2 * vec_id AS line_id, CASE WHEN vec_id % 7 = 0 THEN 'r' || vec_id WHEN vec_id % 11 = 0 THEN 'gone' ELSE vec_id::VARCHAR END AS title, 't' || label AS type_name FROM embeddings
+UNION ALL SELECT 2 * vec_id + 1, CASE WHEN vec_id % 7 = 0 THEN 'r' || vec_id WHEN vec_id % 11 = 0 THEN 'gone' ELSE vec_id::VARCHAR END, CASE WHEN vec_id % 5 = 0 THEN 'unknown' ELSE 't' || (5 + (label + vec_id) % 50) END FROM embeddings),
+kb AS (SELECT title, type_name, row_number() OVER (PARTITION BY title ORDER BY type_name) AS p, count(*) OVER (PARTITION BY title) AS types FROM asked), total AS (SELECT count(DISTINCT title) AS titles FROM kb WHERE types <> 1),
+singles AS (SELECT type_name, count(*) AS n FROM kb WHERE types <> 1 GROUP BY 1), pairs AS (SELECT a.type_name AS type_a, b.type_name AS type_b, count(*) AS n FROM kb a JOIN kb b ON a.title = b.title AND a.p < b.p WHERE a.types <> 1 GROUP BY 1, 2),
+l AS (SELECT CASE WHEN type_name < 't3' THEN 'a' ELSE 'b' END AS classifier, title, type_name, value::DOUBLE AS value FROM logits), s AS (SELECT *, exp(value) / sum(exp(value)) OVER (PARTITION BY classifier, title) AS proba FROM l),
+want AS (SELECT line_id, title, CASE WHEN title LIKE 'r%' THEN substr(title, 2) ELSE title END AS dest, type_name, count(*) OVER (PARTITION BY title)::DOUBLE AS num_types FROM asked),
+mine AS (SELECT DISTINCT classifier, w.title, w.type_name, value, proba FROM want w JOIN s ON s.title = w.dest AND s.type_name = w.type_name),
+best AS (SELECT classifier, title, arg_max(type_name, (value, type_name)) AS predicted, max(proba) AS top_p, min(proba) AS bottom_p, max(value) AS top_v, min(value) AS bottom_v FROM mine GROUP BY 1, 2),
+f AS (SELECT w.line_id, b.classifier, coalesce(m.proba, 0) AS proba, coalesce(m.value, 0) AS value, top_p - coalesce(m.proba, 0) AS top_proba, bottom_p - coalesce(m.proba, 0) AS bottom_proba, top_v - coalesce(m.value, 0) AS top_raw, bottom_v - coalesce(m.value, 0) AS bottom_raw,
+  ((coalesce(pp.n, 0) + 1) / titles) / (((coalesce(x.n, 0) + 1) / titles) * ((coalesce(y.n, 0) + 1) / titles)) AS pmi
+  FROM want w JOIN best b ON b.title = w.title CROSS JOIN total LEFT JOIN mine m ON m.classifier = b.classifier AND m.title = w.title AND m.type_name = w.type_name
+  LEFT JOIN pairs pp ON pp.type_a = least(w.type_name, predicted) AND pp.type_b = greatest(w.type_name, predicted) LEFT JOIN singles x ON x.type_name = w.type_name LEFT JOIN singles y ON y.type_name = predicted),
+wide AS (SELECT w.line_id, w.title, w.type_name, num_types, {", ".join(f"coalesce({c}.{n}, 0) AS {c}_{n}" for c in "ab" for n in scoring.NAMES)} FROM want w LEFT JOIN f a ON a.line_id = w.line_id AND a.classifier = 'a' LEFT JOIN f b ON b.line_id = w.line_id AND b.classifier = 'b')"""
+
 SQL = {
     "type_pmi": f"WITH {_KB}, {_STATS} SELECT type_a, type_b, p.n, round(((p.n + 1) / titles) / (((a.n + 1) / titles) * ((b.n + 1) / titles)), 9) AS pmi FROM pairs p, total, singles a, singles b WHERE a.type_name = type_a AND b.type_name = type_b",
     "type_probability": f"WITH {_KB}, {_STATS} SELECT type_name, n, round((n + 1) / titles, 9) AS p FROM singles, total",
     "token_counts": f"WITH {_WORDS} SELECT doc_id, len(words)::BIGINT AS n_tokens, md5(array_to_string(list_transform(words, lambda x: lower(x)), ' ')) AS digest FROM toks",
-    "title_forms": f"WITH {_LINKS} SELECT DISTINCT text, title, replace(text, '_', ' ') AS spaced, NOT regexp_matches(lower(title), '^(wikipedia|file|portal|template|mediawiki|user|help|book|draft):') AS is_article FROM links",
-    "redirect_parse": f"""WITH p AS (SELECT page_id, regexp_extract(html, 'href="/([^"]*)"', 1) AS x FROM pages), q AS (SELECT page_id, CASE WHEN page_id % 3 < 2 AND x <> '' THEN {_TITLE} END AS redirect FROM p) SELECT *, redirect IS NOT NULL AS is_redirect FROM q""",
+    "title_forms": f"""WITH {_LINKS}, t AS (SELECT DISTINCT CASE length(text) % 4 WHEN 0 THEN 'File:' || text WHEN 1 THEN 'user:_' || text WHEN 2 THEN 'talk:' || replace(text, 'e', '_') ELSE text END AS x FROM links)
+SELECT x AS text, {_TITLE} AS title, replace(x, '_', ' ') AS spaced, NOT regexp_matches(lower({_TITLE}), '^(wikipedia|file|portal|template|mediawiki|user|help|book|draft):') AS is_article FROM t""",
+    "redirect_parse": f"""WITH p AS (SELECT page_id, page_id % 6 AS k, regexp_extract(html, 'href="/([^"]*)"', 1) AS x FROM pages),
+q AS (SELECT page_id, CASE WHEN k IN (0, 1, 3) AND x <> '' THEN {_TITLE} WHEN k = 5 THEN CASE WHEN x = '' THEN 'More' ELSE {_TITLE} END END AS redirect FROM p) SELECT *, redirect IS NOT NULL AS is_redirect FROM q""",
+    "nested_links": """WITH n AS (SELECT n_nationkey::BIGINT AS sent_id, n_name AS x, 'é big n end post ' || lower(n_name) AS text FROM nation)
+SELECT sent_id, text, 0::BIGINT AS k, replace(x, '_', ' ') AS title, 2::BIGINT AS span_start, (2 + length('big [Q_r|n'))::BIGINT AS span_end FROM n UNION ALL SELECT sent_id, text, 1, 'Q r', 6, 6 + length('n end') FROM n""",
+    "page_paragraphs": """WITH n AS (SELECT n_nationkey::VARCHAR AS title, n_name AS x FROM nation WHERE n_nationkey % 5 <> 0), p AS (
+SELECT title, 0::BIGINT AS k, 'In  the ' || x || '   so x ' AS text, true AS abstract, replace(upper(substr(x, 1, 1)) || substr(lower(x), 2), '_', ' ') || '>the ' || x AS links FROM n
+UNION ALL SELECT title, 1, 'of   foo_bar .', true, 'Foo bar>foo_bar' FROM n UNION ALL SELECT title, 2, ' ', false, '' FROM n
+UNION ALL SELECT title, 3, 'low ' || x, false, '' FROM n) SELECT * FROM p""",
+    "token_spans": r"""WITH g AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), a AS (SELECT doc_id, string_split_regex(t, '[\p{L}\p{N}_]+') AS gap, regexp_extract_all(t, '[\p{L}\p{N}_]+') AS tok FROM g),
+u AS (SELECT doc_id, i, length(gap[i]) AS before, length(tok[i]) AS n FROM (SELECT doc_id, gap, tok, unnest(range(1, len(tok) + 1)) AS i FROM a)),
+s AS (SELECT doc_id, i, n, sum(before + n) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS stop FROM u),
+d AS (SELECT doc_id, count(*) AS n_tokens, md5(string_agg((stop - n)::BIGINT || '-' || stop::BIGINT, ' ' ORDER BY i)) AS spans FROM s GROUP BY doc_id)
+SELECT g.doc_id, coalesce(n_tokens, 0)::BIGINT AS n_tokens, coalesce(spans, md5('')) AS spans FROM g LEFT JOIN d USING (doc_id)""",
     "word_vocabulary": f"WITH {_WORDS}, w AS (SELECT lower(unnest(words)) AS token FROM toks), c AS (SELECT token, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 5) SELECT *, row_number() OVER (ORDER BY n DESC, token) AS id FROM c",
-    "prefix_vocabulary": f"WITH {_WORDS}, w AS (SELECT lower(unnest(words[1:50])) AS token FROM toks) SELECT token, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 5",
+    "prefix_vocabulary": f"WITH {_WORDS}, w AS (SELECT lower(unnest(words[1:5000])) AS token FROM toks) SELECT token, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 5",
     "link_document_frequency": f"WITH {_LINKS} SELECT title AS token, count(DISTINCT source) AS n FROM links GROUP BY 1",
     "redirect_resolution": f"WITH {_LINKS} SELECT t.title AS asked, coalesce(dest, t.title) AS title FROM titles t LEFT JOIN reds USING (title)",
     "inlink_counts": f"WITH {_LINKS}, f AS (SELECT coalesce(dest, l.title) AS title, count(*) AS n FROM links l LEFT JOIN reds r ON l.title = r.title GROUP BY 1) SELECT t.title, coalesce(n, 0)::BIGINT AS n FROM titles t LEFT JOIN f USING (title)",
     "inlink_lookup": f"WITH {_LINKS}, f AS (SELECT coalesce(dest, l.title) AS title, count(*) AS n FROM links l LEFT JOIN reds r ON l.title = r.title GROUP BY 1), a AS (SELECT title FROM titles UNION ALL SELECT 'no such title') SELECT a.title, coalesce(n, 0)::BIGINT AS n FROM a LEFT JOIN reds r ON a.title = r.title LEFT JOIN f ON f.title = coalesce(r.dest, a.title)",
     "page_texts": r"WITH p AS (SELECT url, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS x FROM pages) SELECT url, len(x)::BIGINT AS n, md5(regexp_replace(array_to_string(x, ' '), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS text, md5(regexp_replace(array_to_string(x[1:1], ' '), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS abstract FROM p",
-    "page_in_links": f"WITH {_LINKS}, i AS (SELECT title, count(*) AS n, string_agg(source, ' ' ORDER BY source, text) AS s FROM links GROUP BY 1) SELECT title, n::BIGINT AS n, md5(s) AS sources FROM i WHERE title < 'N'",
+    "page_in_links": f"WITH {_LINKS}, i AS (SELECT title, count(*) AS n, string_agg(source, ' ' ORDER BY source, text) AS s FROM links GROUP BY 1) SELECT title, n::BIGINT AS n, md5(s) AS sources FROM i",
     "link_bags": """WITH p AS (SELECT url, regexp_extract_all(html, 'href="/([^"]*)"', 1) AS x FROM pages) SELECT url, (2 * len(x))::BIGINT AS n, len(list_distinct(x))::BIGINT AS n_titles FROM p""",
     "word_entity_window": f"WITH {_SENT} SELECT entity, lower(s.token) AS word, count(*) AS n FROM ents e JOIN sent s ON s.sent_id = e.sent_id AND s.p <> e.p AND abs(s.p - e.p) <= 5 WHERE lower(s.token) IN (SELECT token FROM vocab) GROUP BY 1, 2",
+    "char_windows": f"WITH {_SENT} SELECT entity, lower(s.token) AS word, count(*) AS n FROM ents e JOIN sent s ON s.sent_id = e.sent_id AND s.p <> e.p AND abs(s.p - e.p) <= 3 GROUP BY 1, 2",
+    "linked_entities": f"WITH {_SENT} SELECT DISTINCT entity FROM ents",
+    "stored_matrix": f"WITH {_SENT}, o AS (SELECT DISTINCT sent_id, entity FROM ents), m AS (SELECT a.entity AS e1, b.entity AS e2, count(*) AS n FROM o a JOIN o b ON a.sent_id = b.sent_id AND a.entity <> b.entity GROUP BY 1, 2), v AS (SELECT entity, count(*) AS c, row_number() OVER (ORDER BY count(*) DESC, entity) AS id FROM ents GROUP BY 1) SELECT a.id AS row, b.id AS col, m.n FROM m JOIN v a ON a.entity = e1 JOIN v b ON b.entity = e2 WHERE a.c >= 5",
+    "known_titles": f"WITH {_LINKS} SELECT title, (SELECT count(*) FROM titles) AS n FROM titles",
+    "looked_up": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (3, 14, 15, 92, -1)",
+    "target_titles": f"WITH {_LINKS} SELECT title, false AS resolved FROM titles UNION ALL SELECT DISTINCT coalesce(dest, t.title), true FROM titles t LEFT JOIN reds r ON r.title = t.title",
     "entity_pairs": f"WITH {_SENT}, o AS (SELECT DISTINCT sent_id, entity FROM ents) SELECT a.entity AS e1, b.entity AS e2, count(*) AS n FROM o a JOIN o b ON a.sent_id = b.sent_id AND a.entity <> b.entity GROUP BY 1, 2",
     "encoded_documents": f"WITH {_WORDS}, t AS (SELECT doc_id, lower(unnest(words)) AS token, generate_subscripts(words, 1) AS pos FROM toks), c AS (SELECT token, count(*) AS n FROM t GROUP BY 1 HAVING count(*) >= 20), v AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS id FROM c), e AS (SELECT doc_id, list(id ORDER BY pos) AS ids FROM t JOIN v USING (token) GROUP BY 1) SELECT doc_id, len(ids)::BIGINT AS length, array_to_string(CASE WHEN len(ids) >= 40 THEN ids[len(ids) - 39:] ELSE list_concat(list_transform(range(0, 40 - len(ids)), lambda x: 0), ids) END, ' ') AS ids FROM e WHERE len(ids) > 5",
-    "expanded_counts": "WITH c AS (SELECT l_orderkey AS k, l_linenumber AS id, (l_quantity % 4 + 1)::INT AS n FROM lineitem WHERE l_orderkey < 500), e AS (SELECT k, id, unnest(range(1, n + 1)) AS copy FROM c) SELECT k, count(*)::BIGINT AS n, string_agg(id::VARCHAR, ' ' ORDER BY md5(id || '-' || copy), id) AS bag FROM e GROUP BY k",
+    "expanded_counts": "WITH c AS (SELECT l_orderkey AS k, l_linenumber AS id, (l_quantity % 4 + 1)::INT AS n FROM lineitem), e AS (SELECT k, id, unnest(range(1, n + 1)) AS copy FROM c) SELECT k, count(*)::BIGINT AS n, string_agg(id::VARCHAR, ' ' ORDER BY md5(id || '-' || copy), id) AS bag FROM e GROUP BY k",
     "single_types": f"WITH {_KB} SELECT title, any_value(type_name) AS type_name FROM kb GROUP BY title HAVING count(*) = 1",
     "multi_types": f"WITH {_KB} SELECT title, string_agg(type_name, '|' ORDER BY type_name) AS types FROM kb GROUP BY title HAVING count(*) <> 1",
+    "type_labels": "SELECT type_name, row_number() OVER (ORDER BY type_name) - 1 AS label FROM (SELECT DISTINCT c_mktsegment AS type_name FROM customer)",
+    "type_lists": f"WITH {_KB} SELECT title, string_agg(type_name, '|' ORDER BY type_name) AS types FROM kb GROUP BY title",
     "dataset_split": f"WITH {_SPLIT} SELECT * FROM s",
     "k_folds": "SELECT c_custkey AS title, ntile(10) OVER (ORDER BY md5('0' || c_custkey::VARCHAR), c_custkey) AS fold FROM customer",
     "class_weights": "WITH c AS (SELECT c_mktsegment AS type_name, count(*) AS n FROM customer GROUP BY 1), w AS (SELECT *, sum(n) OVER () / (count(*) OVER () * n) AS weight FROM c) SELECT type_name, n, round(weight, 9) AS weight, round(weight / max(weight) OVER (), 9) AS scaled FROM w",
@@ -305,10 +496,10 @@ SQL = {
 several AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY type_name) AS p FROM kb), total AS (SELECT count(DISTINCT title) AS titles FROM several), singles AS (SELECT type_name, count(*) AS n FROM several GROUP BY 1),
 pairs AS (SELECT a.type_name AS type_a, b.type_name AS type_b, count(*) AS n FROM several a JOIN several b ON a.title = b.title AND a.p < b.p GROUP BY 1, 2),
 s AS (SELECT *, exp(value::DOUBLE) / sum(exp(value::DOUBLE)) OVER (PARTITION BY title) AS proba, last_value(type_name) OVER (PARTITION BY title ORDER BY value, type_name ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS predicted FROM logits)
-SELECT s.title, s.type_name, round(proba, 5) AS proba, round(value::DOUBLE, 5) AS value, round(max(proba) OVER w - proba, 5) AS top_proba, round(min(proba) OVER w - proba, 5) + 0 AS bottom_proba,
-  round((max(value) OVER w - value)::DOUBLE, 5) AS top_raw, round((min(value) OVER w - value)::DOUBLE, 5) + 0 AS bottom_raw, round(((coalesce(p.n, 0) + 1) / titles) / (((coalesce(a.n, 0) + 1) / titles) * ((coalesce(b.n, 0) + 1) / titles)), 5) AS pmi
+SELECT s.title, s.type_name, round(proba, 5) AS proba, round(value::DOUBLE, 5) + 0 AS value, round(max(proba) OVER w - proba, 5) + 0 AS top_proba, round(min(proba) OVER w - proba, 5) + 0 AS bottom_proba,
+  round((max(value) OVER w - value)::DOUBLE, 5) + 0 AS top_raw, round((min(value) OVER w - value)::DOUBLE, 5) + 0 AS bottom_raw, round(((coalesce(p.n, 0) + 1) / titles) / (((coalesce(a.n, 0) + 1) / titles) * ((coalesce(b.n, 0) + 1) / titles)), 5) AS pmi
 FROM s CROSS JOIN total LEFT JOIN pairs p ON p.type_a = least(s.type_name, predicted) AND p.type_b = greatest(s.type_name, predicted) LEFT JOIN singles a ON a.type_name = s.type_name LEFT JOIN singles b ON b.type_name = predicted WINDOW w AS (PARTITION BY s.title)""",
-    "valid_logits": f"WITH {_LOGITS} SELECT title, type_name, round(value::DOUBLE, 6) AS value FROM logits WHERE (title, type_name) IN (SELECT vec_id::VARCHAR, 't' || label FROM embeddings)",
+    "valid_logits": f"WITH {_LOGITS} SELECT title, type_name, round(value::DOUBLE, 6) + 0 AS value FROM logits WHERE (title, type_name) IN (SELECT vec_id::VARCHAR, 't' || label FROM embeddings)",
     "wide_features": f"WITH {_LOGITS}, s AS (SELECT *, exp(value::DOUBLE) / sum(exp(value::DOUBLE)) OVER w AS proba, max(value) OVER w - value AS top FROM logits WINDOW w AS (PARTITION BY title, type_name < 't5')) SELECT title, type_name, CASE WHEN type_name < 't5' THEN round(proba, 5) ELSE 0 END AS a_proba, CASE WHEN type_name < 't5' THEN 0 ELSE round(top::DOUBLE, 5) END AS b_top_raw, count(*) OVER (PARTITION BY title) AS num_types FROM s",
     "binary_labels": f"WITH {_TRAIN} SELECT *, CASE WHEN score >= 5 THEN 1.0 ELSE 0.0 END::DOUBLE AS label FROM train WHERE score NOT IN (3, 4)",
     "mean_metrics": f"""WITH {_TRAIN}, f AS (SELECT score::DOUBLE AS label, ntile(10) OVER (ORDER BY md5('0' || title || '|' || type_name), title || '|' || type_name) AS fold FROM train), t AS (SELECT sum(label) AS s, count(*) AS n FROM f),
@@ -317,7 +508,24 @@ g AS (SELECT fold, avg((off = 0)::INT) AS accuracy, avg(off) AS mae, avg(raw) AS
 SELECT round(avg(accuracy), 9) AS accuracy, round(avg(mae), 9) AS mae, round(avg(mae_raw), 9) AS mae_raw, round(avg(delta_1), 9) AS delta_1, round(avg(delta_2), 9) AS delta_2, round(avg(delta_4), 9) AS delta_4 FROM g""",
     "rounded_scores": "SELECT event_id, greatest(0, least(7, round(value / 10 - 1)))::INT AS score FROM events",
     "binary_scores": "SELECT event_id, CASE WHEN value / 100 >= 0.5 THEN 5 ELSE 2 END AS score FROM events",
-    "unfinished_classifiers": "SELECT n_name AS classifier FROM nation WHERE n_name >= 'J' AND n_name NOT IN (SELECT upper(r_name) FROM region)",
+    "unfinished_classifiers": "SELECT n_name AS classifier FROM nation WHERE n_nationkey % 3 <> 0",
     "split_difference": f"WITH {_SPLIT} SELECT title FROM s WHERE split = 'train'",
     "request_order": "SELECT event_id AS line_id, user_id::VARCHAR AS title, event_type AS type_name, min(event_id) OVER (PARTITION BY user_id) AS first_seen FROM events",
+    "page_dataset": r"""WITH p AS (SELECT page_id::VARCHAR AS title, 't' || page_id % 3 AS type_name, regexp_extract_all(regexp_replace(array_to_string(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1), ' '), '[ \t\n\x0b\f\r]+', ' ', 'g'), '[\p{L}\p{N}_]+') AS w,
+  CASE WHEN regexp_matches(html, '(?s)<p>(.*?)</p>') THEN list_distinct(regexp_extract_all(html, 'href="/([^"]*)"', 1)) ELSE [] END AS e FROM pages),
+wt AS (SELECT title, lower(unnest(w)) AS token, generate_subscripts(w, 1) AS pos FROM p), et AS (SELECT title, unnest(e) AS token FROM p),
+wv AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) AS id FROM wt WHERE pos <= 5000 GROUP BY 1 HAVING count(*) >= 5), ev AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) AS id FROM et GROUP BY 1 HAVING count(*) >= 5),
+wi AS (SELECT title, list(id ORDER BY pos) AS ids FROM wt JOIN wv USING (token) GROUP BY 1), ei AS (SELECT title, list(id ORDER BY id) AS ids FROM et JOIN ev USING (token) GROUP BY 1),
+k AS (SELECT type_name, row_number() OVER (ORDER BY type_name) - 1 AS label, min(count(*)) OVER () / count(*) AS weight FROM p GROUP BY 1),
+r AS (SELECT title, type_name, label, weight, wi.ids AS wids, ei.ids AS eids, row_number() OVER (ORDER BY md5('0' || title), title) AS place, count(*) OVER () AS total FROM p JOIN wi USING (title) JOIN ei USING (title) JOIN k USING (type_name) WHERE len(wi.ids) > 5 AND len(ei.ids) > 1)
+SELECT title, type_name, label, round(weight, 9) AS weight, CASE WHEN place <= floor(total * 0.1) THEN 'dev' WHEN place <= 2 * floor(total * 0.1) THEN 'test' ELSE 'train' END AS split, array_to_string(wids[greatest(len(wids) - 99, 1):], ' ') AS words, array_to_string(eids, ' ') AS entities FROM r""",
+    "cooc_bags": f"""WITH {_SENT}, wv AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS id FROM vocab), nv AS (SELECT entity, row_number() OVER (ORDER BY count(*) DESC, entity) AS id FROM ents GROUP BY 1),
+w AS (SELECT entity AS title, wv.id, count(*) AS n FROM ents e JOIN sent s ON s.sent_id = e.sent_id AND s.p <> e.p AND abs(s.p - e.p) <= 2 JOIN wv ON wv.token = lower(s.token) GROUP BY 1, 2),
+o AS (SELECT DISTINCT sent_id, entity FROM ents), m AS (SELECT a.entity AS title, nv.id, count(*) AS n FROM o a JOIN o b ON a.sent_id = b.sent_id AND a.entity <> b.entity JOIN nv ON nv.entity = b.entity GROUP BY 1, 2),
+wl AS (SELECT title, list(id ORDER BY md5(id || '-' || copy), id) AS ids FROM (SELECT title, id, unnest(range(1, n + 1)) AS copy FROM w) GROUP BY 1), ml AS (SELECT title, list(id ORDER BY md5(id || '-' || copy), id) AS ids FROM (SELECT title, id, unnest(range(1, n + 1)) AS copy FROM m) GROUP BY 1),
+x AS (SELECT nv.entity AS title, coalesce(wl.ids, []) AS wi, coalesce(ml.ids, []) AS mi FROM nv LEFT JOIN wl ON wl.title = nv.entity LEFT JOIN ml ON ml.title = nv.entity)
+SELECT title, len(wi)::BIGINT AS n_words, array_to_string(list_concat(list_transform(range(0, greatest(30 - len(wi), 0)), lambda q: 0), wi[greatest(len(wi) - 29, 1):]), ' ') AS words, len(mi)::BIGINT AS n_entities, array_to_string(list_concat(list_transform(range(0, greatest(30 - len(mi), 0)), lambda q: 0), mi[greatest(len(mi) - 29, 1):]), ' ') AS entities FROM x""",
+    "scorer_rows": f"""{_SCORER} SELECT line_id, title, type_name, num_types, {", ".join(f"round({c}_{n}, 5) + 0 AS {c}_{n}" for c in "ab" for n in scoring.NAMES)} FROM wide""",
+    "score_requests": f"""{_SCORER} SELECT line_id, title, type_name, min(line_id) OVER (PARTITION BY title) AS first_seen, greatest(0, least(7, round(1.7 + {" + ".join(f"({w}::DOUBLE) * {n}" for n, w in LINEAR.items())})))::INT AS score FROM wide""",
+    "projected_features": "SELECT event_id, 0.0::DOUBLE AS missing, value::DOUBLE AS value FROM events",
 }

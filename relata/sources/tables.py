@@ -1,4 +1,4 @@
-"""Reading dumps, knowledge bases, training sets, sentences and requests; writing tables, features and submissions."""
+"""Reading dumps, knowledge bases, training sets, sentences and requests; storing and loading tables, features and submissions."""
 
 from __future__ import annotations
 
@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+CATEGORIES = {"pro": "profession", "nat": "nationality"}
 
-def dump(spark: SparkSession, path: str) -> DataFrame:
+
+def dump(spark: SparkSession, path: str, ignored: tuple[str, ...] = T.IGNORED_NAMESPACES) -> DataFrame:
     """title, wiki_text, redirect of an XML dump's articles (bz2 files too)."""
     schema = "title string, revision struct<text: struct<_VALUE: string>>"
     pages = spark.read.format("xml").option("rowTag", "page").schema(schema).load(path)
-    pages = pages.select("title", F.coalesce("revision.text._VALUE", F.lit("")).alias("wiki_text")).where(T.article(F.col("title")))
+    pages = pages.select("title", F.coalesce("revision.text._VALUE", F.lit("")).alias("wiki_text")).where(T.article(F.col("title"), ignored))
     return pages.withColumn("redirect", T.redirect(F.col("wiki_text")))
 
 
@@ -32,7 +34,7 @@ def training_set(spark: SparkSession, path: str) -> DataFrame:
 
 def category(path: str) -> str:
     """A request's category, by its file name."""
-    return "nationality" if "nationality" in path.rsplit("/", 1)[-1] else "profession"
+    return "nationality" if "nationality" in path.rstrip("/").rsplit("/", 1)[-1] else "profession"
 
 
 def catalog(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -46,14 +48,53 @@ def sentences(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.monotonically_increasing_id().alias("sent_id"), F.col("value").alias("line"))
 
 
-def requests(spark: SparkSession, path: str) -> DataFrame:
-    """line_id, title, type_name, first_seen (the title's first line); more fields are ignored."""
-    lines = spark.read.text(path).withColumn("line_id", F.monotonically_increasing_id())
-    parts = F.split("value", "\t")
+def numbered_requests(lines: DataFrame) -> DataFrame:
+    """line_id, title, type_name, first_seen (the title's first line) of lines (line_id, value): two fields, more are ignored."""
+    parts = F.split(F.rtrim("value"), "\t")
     rows = lines.select("line_id", F.get(parts, 0).alias("title"), F.get(parts, 1).alias("type_name"))
     return rows.withColumn("first_seen", F.min("line_id").over(Window.partitionBy("title")))
 
 
+def requests(spark: SparkSession, path: str) -> DataFrame:
+    """`numbered_requests` of a file."""
+    return numbered_requests(spark.read.text(path).withColumn("line_id", F.monotonically_increasing_id()))
+
+
+def store(table: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """A table as Parquet, partitioned by columns if asked."""
+    table.write.mode("overwrite").partitionBy(*by).parquet(path) if by else table.write.mode("overwrite").parquet(path)
+
+
+def store_all(tables: dict[str, DataFrame], folder: str) -> None:
+    """Tables under one folder, each by its name: titles, redirects and in-links; word and entity counts with their
+    vocabularies; and so on."""
+    for name, table in tables.items():
+        store(table, f"{folder}/{name}")
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table. Only the columns and row groups that a plan asks for are read."""
+    return spark.read.parquet(path)
+
+
+def load_all(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
+    return {n: load(spark, f"{folder}/{n}") for n in names}
+
+
+def lookup(table: DataFrame, key: str, wanted: DataFrame | list) -> DataFrame:
+    """The rows of the keys wanted; an unknown key gives none. A few keys are pushed down to the scan, a table of them is joined."""
+    if isinstance(wanted, DataFrame):
+        return table.join(wanted.select(key).distinct(), key, "left_semi")
+    return table.where(F.col(key).isin(list(wanted)))
+
+
+def store_counts(counts: DataFrame, words: DataFrame, entities: DataFrame, path: str, column: str) -> None:
+    """A sparse matrix of counts (entity, <column>, n) as rows of ids (row, col, n), in order of rows."""
+    ids = counts.join(entities.select(F.col("token").alias("entity"), F.col("id").alias("row")), "entity")
+    ids = ids.join(words.select(F.col("token").alias(column), F.col("id").alias("col")), column)
+    store(ids.select("row", "col", F.col("n").cast("long").alias("n")).repartitionByRange("row").sortWithinPartitions("row", "col"), path)
+
+
 def feature_list(path: str) -> list[str]:
     with open(path) as f:
         return json.load(f)["features"]
@@ -64,10 +105,14 @@ def write_feature_list(path: str, features: list[str], score: float) -> None:
         json.dump({"features": features, "score": score}, f, sort_keys=True, indent=2)
 
 
+def submission(scored: DataFrame) -> DataFrame:
+    """title, type_name, score of scored requests, titles in the order in which they were first asked for."""
+    return scored.orderBy("first_seen", "line_id").select("title", "type_name", F.col("score").cast("int"))
+
+
 def write_submission(scored: DataFrame, path: str) -> None:
-    """title, type_name, score as TSV, titles in the order in which they were first asked for."""
-    rows = scored.orderBy("first_seen", "line_id").select("title", "type_name", F.col("score").cast("int"))
-    rows.coalesce(1).write.csv(path, sep="\t", quote="")
+    """`submission` as one TSV file."""
+    submission(scored).coalesce(1).write.mode("overwrite").csv(path, sep="\t", quote="")
 
 
 def append_classifier(logits: DataFrame, path: str) -> None:
@@ -78,3 +123,8 @@ def append_classifier(logits: DataFrame, path: str) -> None:
 def unfinished(wanted: DataFrame, done: DataFrame) -> DataFrame:
     """Classifiers without logits yet."""
     return wanted.join(done.select("classifier").distinct(), "classifier", "left_anti")
+
+
+def listed(cooc: list[str], pages: list[str]) -> list[str]:
+    """All classifiers' names: those on co-occurrences, then those on pages."""
+    return [*cooc, *pages]

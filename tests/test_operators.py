@@ -1,6 +1,9 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from relata.operators import cooc, datasets, entities, learning, scoring
+from relata.functions import parse
+from relata.operators import cooc, datasets, entities, learning, scoring, serving
 from relata.plans import queries
 
 
@@ -15,19 +18,43 @@ def test_redirect_chain_counts(spark):
     assert rows(entities.inlink_counts(links, titles, redirects)) == [("A", 0), ("B", 2), ("C", 4)]
     ok = entities.valid_redirects(redirects, titles)
     assert rows(entities.resolved(titles, ok)) == [("B",), ("C",), ("C",)]
+    assert rows(entities.target_titles(titles, ok)) == [("B",), ("C",)]
+    assert rows(entities.contained(spark.createDataFrame([("A",), ("x",)], "title string"), titles)) == [("A",)]
+    assert entities.size(titles).first()["n"] == 3
+
+
+def test_page_table_resolves_links(spark):
+    texts = [("P", "see [[Old|a]] and [[Q]]\n"), ("Q", "see [[Old]] [[P]]\n"), ("Old", "#REDIRECT [[New]]\nx\n"), ("New", "none\n")]
+    dump = spark.createDataFrame(texts, "title string, wiki_text string").withColumn("redirect", F.when(F.col("title") == "Old", "New"))
+    kb = spark.createDataFrame([("Old", "t"), ("P", "t"), ("absent", "t")], "title string, type_name string")
+    found = {r["title"]: r for r in entities.page_database(dump, parse.parse_pages(dump), kb).collect()}
+    assert sorted(found) == ["New", "P"]
+    assert [(x["title"], x["text"]) for x in found["New"]["in_links"]] == [("P", "a"), ("Q", "Old")]
+    assert [x["title"] for x in found["P"]["paragraphs"][0]["wiki_links"]] == ["New", "Q"]
 
 
 def test_window_uses_unknown_tokens(spark):
-    tokens = spark.createDataFrame([(1, w, k, k + 1) for k, w in enumerate("x y E z w".split())], "sent_id long, token string, start int, stop int")
-    links = spark.createDataFrame([(1, 2, "E", 2, 3)], "sent_id long, link_id int, entity string, start int, stop int")
-    assert rows(cooc.word_entity(tokens, links, 1)) == [("E", "y", 1), ("E", "z", 1)]
-    vocab = spark.createDataFrame([("z",)], "token string")
-    assert rows(cooc.word_entity(tokens, links, 1, vocab)) == [("E", "z", 1)]
+    s = spark.createDataFrame([(1, "x y E z w", [("E", 4, 5)]), (2, "", []), (3, None, None), (4, "alone", [("E", 0, 5)])], "sent_id long, text string, wiki_links array<struct<title: string, span_start: int, span_end: int>>")
+    located = parse.locate(s)
+    assert rows(cooc.word_entity(located, 1)) == [("E", "y", 1), ("E", "z", 1)]
+    assert rows(cooc.word_entity(located, 1, spark.createDataFrame([("z",)], "token string"))) == [("E", "z", 1)]
+    assert rows(cooc.word_entity(located, None)) == [("E", w, 1) for w in "wxyz"]
+    assert rows(cooc.word_entity(located, 0)) == rows(cooc.word_entity(located, None))
+    assert rows(cooc.linked_entities(located)) == [("E",)]
+
+
+def test_vocabulary_order(spark):
+    words = ["b"] * 7 + ["a"] * 7 + ["abc"] * 6 + ["abd"] * 6 + ["é"] * 5 + ["rare"] * 4
+    found = cooc.vocabulary(spark.createDataFrame([(w,) for w in words], "token string"))
+    assert [r["token"] for r in found.orderBy("id").collect()] == ["a", "b", "abc", "abd", "é"]
+    assert rows(found.select("id")) == [(k,) for k in range(1, 6)]
 
 
 def test_fold_sizes(spark):
     counts = datasets.folds(spark.range(11), "id", 3).groupBy("fold").count().orderBy("fold").collect()
     assert [r["count"] for r in counts] == [4, 4, 3]
+    assert rows(datasets.folds(spark.range(2), "id", 3).select("fold")) == [(1,), (2,)]
+    assert datasets.folds(spark.range(0), "id", 3).count() == 0
 
 
 def test_split_is_exact(spark):
@@ -46,19 +73,108 @@ def test_binary_labels(spark):
     assert rows(scoring.labelled(df, True)) == [(2, 0.0), (5, 1.0)]
 
 
+def test_request_features_skip_classifiers(spark):
+    """A classifier that knows none of a title's types, or not the title, gives no features; a type that it lacks has zeros."""
+    logits = spark.createDataFrame([("a", "T", "x", 2.0), ("a", "T", "y", 1.0), ("b", "T", "z", 1.0), ("a", "U", "x", 1.0)], "classifier string, title string, type_name string, value float")
+    asked = spark.createDataFrame([(0, "old", "x"), (1, "old", "w"), (2, "none", "x")], "line_id long, title string, type_name string")
+    kb = spark.createDataFrame([("1", "x"), ("1", "w"), ("2", "x"), ("2", "w")], "title string, type_name string")
+    hops = spark.createDataFrame([("old", "T")], "title string, dest string")
+    found = {(r["line_id"], r["classifier"]): r for r in scoring.request_features(asked, logits, kb, hops).collect()}
+    assert sorted(found) == [(0, "a"), (1, "a")]
+    p = np.exp(2) / (np.exp(2) + np.exp(1))
+    assert found[0, "a"]["proba"] == pytest.approx(p) and found[1, "a"]["proba"] == 0 and found[1, "a"]["top_raw"] == 2
+    assert found[1, "a"]["pmi"] == pytest.approx((3 / 2) / (3 / 2 * 3 / 2))
+    wide = scoring.scoring_rows(asked, logits, kb, hops, ["a", "b"]).orderBy("line_id").collect()
+    assert [r["num_types"] for r in wide] == [2, 2, 1] and wide[2]["a_proba"] == 0 and wide[0]["b_proba"] == 0
+
+
 def test_trees_learn():
     rng = np.random.default_rng(0)
     x = rng.uniform(size=(300, 3))
     y = np.where(x[:, 0] > 0.5, 5.0, 1.0)
     assert np.abs(learning.Trees(60, 0.2).fit(x, y).predict(x) - y).mean() < 0.1
-    p = learning.Trees(60, 0.2, binary=True).fit(x, (y > 3).astype(float)).predict(x)
+    p = learning.Trees(60, 0.2, binary=True, max_features=2, subsample=0.8).fit(x, (y > 3).astype(float)).predict(x)
     assert ((p > 0.5) == (y > 3)).mean() > 0.98
 
 
-def test_classifier_learns():
-    rows, labels = [[1, 2, 0], [2, 1], [3, 4], [4, 3, 3]] * 20, [0, 0, 1, 1] * 20
-    model = learning.Classifier(4, 2, 8, 8).fit(rows, labels, epochs=30)
-    assert all(int(np.argmax(model.logits(r))) == k for r, k in zip(rows, labels))
+def _scored(spark):
+    rng = np.random.default_rng(1)
+    x = rng.uniform(size=(200, 3))
+    data = [(f"t{k}", "a", int(k % 4 + 1), float(7 * (v[1] > 0.5)), *map(float, v)) for k, v in enumerate(x)]
+    return spark.createDataFrame(data, "title string, type_name string, fold int, label double, f0 double, f1 double, f2 double")
+
+
+def test_stored_scorer_predicts_the_same(spark, tmp_path):
+    data = _scored(spark)
+    model = learning.fit_scorer(data, ["f0", "f1", "f2"], trees=30, rate=0.2)
+    learning.save_model(spark, model, f"{tmp_path}/m", note="x")
+    again, about = learning.load_model(spark, f"{tmp_path}/m")
+    a, b = (m.predict(data.drop("f2")).orderBy("title").select("prediction").collect() for m in (model, again))
+    assert a == b and about == {"note": "x"}
+    assert data.count() == len(a) and abs(a[0]["prediction"] - data.orderBy("title").first()["label"]) < 1
+    linear = learning.Scorer(["f0"], False, linear=[2.0, 1.0])
+    assert linear.predict(spark.createDataFrame([(3.0,)], "f0 double")).first()["prediction"] == 7.0
+
+
+def test_mllib_trees(spark):
+    model = learning.fit_large(_scored(spark), ["f0", "f1", "f2"], trees=3, rate=0.5)
+    found = model.transform(_scored(spark)).select("label", "prediction").collect()
+    assert np.mean([abs(r["label"] - r["prediction"]) for r in found]) < 1
+
+
+def test_selection_and_search(spark):
+    best = learning.select_features(_scored(spark), ["f0", "f1", "f2"], 2, trees=10, rate=0.3)
+    assert best["features"][0] == "f1"
+    ties = lambda rows, trials: [0.5 for _ in trials]
+    assert learning.select_features(None, ["a", "b"], scored=ties) == {"features": ["a", "b"], "score": 0.5}  # first feature, last step
+    assert learning.search_hyper_params(_scored(spark), ["f1"], {"depth": [1, 2]}, 2, trees=5)["score"] < 0
+    assert learning.last_best([{"score": 1, "k": 0}, {"score": 1, "k": 1}])["k"] == 1 and learning.first_best([1, 2, 2]) == 1
+
+
+@pytest.mark.parametrize("use", ["both", "words", "entities"])
+@pytest.mark.parametrize("attention", [True, False])
+def test_classifier_learns(use, attention):
+    words, names, labels = [[1, 2, 0], [2, 1], [3, 4], [4, 3, 3]] * 20, [[1], [1, 1], [2], [2, 0]] * 20, [0, 0, 1, 1] * 20
+    model = learning.Classifier(4, 2, 2, 8, 8, attention, 4, 0.2, use)
+    history = model.fit(words, names, labels, dev=(words[:4], names[:4], labels[:4]), epochs=40, batch=16, rate=0.01)
+    assert history[-1]["acc"] == history[-1]["val_acc"] == 1 and history[-1]["val_loss"] < history[0]["val_loss"]
+    again = learning.Classifier.loads(model.dumps())
+    assert np.allclose(again.logits(words, names), model.logits(words, names), atol=1e-4)
+
+
+def test_pooling_equals_its_definition():
+    """A softmax over all places, padding too, then the masked weighted sum at unit length."""
+    m = learning.Classifier(5, 0, 2, 6, 4, True, 3, 0.0, "words", 3)
+    ids = np.array([0, 0, 3, 1, 3])
+    a = np.exp(m.p["a0"][ids] @ m.p["d0"])
+    v = ((a / a.sum() * (ids != 0))[:, None] * m.p["e0"][ids]).sum(axis=0)
+    assert np.allclose(m._pool(0, [ids])[3][0], v / np.linalg.norm(v))
+
+
+def test_gradients():
+    m = learning.Classifier(3, 2, 3, 4, 5, True, 2, 0.0, "both", 1)
+    data = [[[1, 2, 2], [3]], [[1], [2, 2]]], np.array([0, 2])
+    seen = {}
+    m._adam = lambda name, g, rate, at: seen.__setitem__(name, (g, at))
+    before = m.measured(data[0], data[1])[0]
+    m._step(data[0], data[1], np.ones(2), 0.1, np.random.default_rng(0))
+    for name, (g, at) in seen.items():
+        flat = np.zeros_like(m.p[name])
+        flat[at] = g
+        step = np.random.default_rng(2).normal(size=flat.shape) * 1e-6
+        m.p[name] += step
+        assert (m.measured(data[0], data[1])[0] - before) / 2 == pytest.approx(float((flat * step).sum()) / 2, abs=1e-10), name
+        m.p[name] -= step
+
+
+def test_distributed_training(spark):
+    data = [(f"t{k}", [1 + k % 2, 3], [k % 2 + 1], k % 2, 1.0, "dev" if k % 5 == 0 else "train") for k in range(60)]
+    df = spark.createDataFrame(data, "title string, words array<int>, entities array<int>, label int, weight double, split string")
+    shape = {"words": 3, "entities": 2, "classes": 2, "dim": 8, "hidden": 8, "attention_dim": 4, "dropout": 0.0}
+    model = learning.train_classifier(df, shape, 30, 3, rate=0.02, batch=8)
+    assert learning.accuracy(df, model, ["a", "b"]).first()["accuracy"] == 1
+    best = learning.search_classifier(df, {**shape}, {"hidden": [4, 8], "dropout": [0.1]}, 2, 2)
+    assert best["dropout"] == 0.1 and best["val_loss"] < 1
 
 
 def test_attention_classifier_reads_whole_texts(spark, tmp_path, monkeypatch):
@@ -68,5 +184,14 @@ def test_attention_classifier_reads_whole_texts(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(queries.learning, "classify", lambda rows, *_: rows)
     found = {r["title"]: r for r in queries.attention_classifier(spark, str(tmp_path)).collect()}
     want = [[1] * 60 + [3] * 30, [1] * 4991 + [3] * 9, [2] * 60 + [4] * 30]
-    assert [list(found[str(k)]["ids"]) for k in range(3)] == want
+    assert [list(found[str(k)]["words"]) for k in range(3)] == want
     assert [found[str(k)]["length"] for k in range(3)] == [90, 5009, 90]
+
+
+def test_cached_logits_resume(spark, tmp_path):
+    m = learning.Classifier(2, 1, 2, 4, 4, use="words")
+    rows_ = spark.createDataFrame([("T", [1, 2], [])], "title string, words array<int>, entities array<int>")
+    model_of, path = lambda n: (m, ["x", "y"]), f"{tmp_path}/cache"
+    assert serving.cached(spark, path, ["p"], lambda n: rows_, model_of) == ["p"]
+    assert serving.cached(spark, path, ["q", "p"], lambda n: rows_, model_of) == ["q"]
+    assert rows(spark.read.parquet(path).groupBy("classifier").count()) == [("p", 2), ("q", 2)]

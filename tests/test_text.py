@@ -40,3 +40,31 @@ def test_paragraphs():
     page = parse.paragraphs("one [[foo_x|bar]] '''[[b]]''' {{t}}\n== H ==\nmore\n")
     assert page[0]["wiki_links"] == [{"title": "Foo x", "text": "bar", "link_type": "out"}]
     assert page[0]["abstract"] and not page[-1]["abstract"]
+
+
+def test_redirect_pages_and_broken_texts(spark):
+    pages = spark.createDataFrame([("a", "#REDIRECT [[b]]\nx\n"), ("b", "x\n"), ("c", None)], "title string, wiki_text string")
+    found = {r["title"]: len(r["paragraphs"]) for r in parse.parse_pages(pages).collect()}
+    assert found == {"a": 0, "b": 1, "c": 0}
+
+    def broken(text, keep_last):
+        raise ValueError
+
+    assert parse.or_none("x\n", parser=broken) == [] and len(parse.or_none("x\n")) == 1
+
+
+def test_paragraph_rules():
+    page = parse.paragraphs("a [[]] [[|x]] ''it [[y]]'' <!-- z --> &amp; {{t|{{u}}}}b\nc [[File:q.png]]\nlast", keep_last=True)
+    assert [p["text"].split() for p in page] == [["a", "it", "y", "b"], ["c", "File:q.png"], ["last"]]
+    assert [x["title"] for p in page for x in p["wiki_links"]] == ["File:q.png"]
+
+
+def test_spans(spark):
+    assert parse.token_spans("é a_1, b") == [(0, 1), (2, 5), (7, 8)]
+    df = spark.createDataFrame([("x yz",), ("",)], "t string").select(parse.spans("t").alias("s"))
+    assert [[tuple(x) for x in r["s"]] for r in df.collect()] == [[(0, 1), (2, 4)], []]
+
+
+def test_long_lines_with_many_links():
+    text, links = parse.sentence("[T|a] " * 2000)
+    assert len(links) == 2000 and text == "a " * 1999 + "a"
