@@ -115,13 +115,13 @@ def _top(i: np.ndarray, score: np.ndarray, lo: np.ndarray, most: int) -> np.ndar
     return order[np.arange(len(order)) - first < most]
 
 
-def search(vectors: DataFrame, is_query, nearest: int = 20, tables: int = 8, width: int = 6, success: float = 0.28, shard_rows: int = 8192, block: int = 1 << 16, sample_rows: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, is_query, nearest: int = 20, tables: int = 8, width: int = 6, success: float = 0.28, shard_bytes: int = 32 << 20, block: int = 1 << 16, sample_rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: each query's nearest by inner product, in double precision, ties to smaller vec_id.
 
     vectors: vec_id, embedding. is_query(vec_id): the rows to search for; a row isn't its own candidate. Rows with equal
     vectors (by a hash of 128 bits) are indexed as one, with the nearest + 1 smallest ids, since no other can be among
     anyone's nearest; equal queries are searched once. All vectors are in every table. A table's buckets, of which there are
-    4 ** width, are dealt in their order to shards of about `shard_rows` rows; a bucket of more rows is split. A query is sent,
+    4 ** width, are dealt in their order to shards of about `shard_bytes` of vectors; a bucket of more is split. A query is sent,
     with the buckets it probes, to the shards that have them, and is compared with those buckets' rows only. A task holds one
     shard and streams the queries past it; a shard is there once for every `block` queries. Groups are cut by (score, smallest
     id), so ties are kept right all the way. `success` is the estimated share of near vectors in the probed buckets of one
@@ -161,6 +161,7 @@ def search(vectors: DataFrame, is_query, nearest: int = 20, tables: int = 8, wid
     placed = saved(groups.select("g", "data").mapInArrow(place, "t int, bucket int, g long"), "buckets")
     for r in placed.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("n")).collect():
         index.counts[r["t"], r["bucket"]] = r["n"]
+    shard_rows = max(1, shard_bytes // (8 * size))
     parts = -(-index.counts // shard_rows)  # of each bucket
     # Shards are numbered along the table: small buckets share one, a large bucket has as many of its own as it has parts.
     first, shard = np.zeros_like(parts), 0

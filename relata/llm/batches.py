@@ -132,7 +132,7 @@ def dealt(keys: np.ndarray, buckets: int) -> Deal:
     return Deal(order, {int(bucket[a]): slice(a, b) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)])})
 
 
-def exchange(batches: DataFrame, send: Callable, merge: Callable, label: str, answers: DataFrame | None = None, answer_type: str = ANSWERS, by: tuple[str, ...] = ()) -> DataFrame:
+def exchange(batches: DataFrame, buckets: int, send: Callable, merge: Callable, label: str, answers: DataFrame | None = None, answer_type: str = ANSWERS, by: tuple[str, ...] = ()) -> DataFrame:
     """Answers, saved. send(payload, the batch's earlier answers) yields (bucket, data); merge(bucket, [(batch, data)],
     sorted by batch) yields rows of answer_type."""
 
@@ -145,7 +145,8 @@ def exchange(batches: DataFrame, send: Callable, merge: Callable, label: str, an
         return pd.DataFrame(list(merge(key[0], list(zip(rows["batch"].tolist(), rows["data"])))), columns=[x.split()[0] for x in answer_type.split(", ")])
 
     out = met(batches, answers, sent, "batch long, bucket long, data binary")
-    return saved(out.groupBy("bucket").applyInPandas(merged, answer_type), label, by)
+    tasks = max(int(batches.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, buckets))
+    return saved(out.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(merged, answer_type), label, by)
 
 
 def by_bucket(told: pd.DataFrame) -> dict[int, bytes]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import batches as B
 from . import words as W
+from .scratch import spread
 
 # Hashes of the document's begin (a history only) and end (a token).
 BEGIN, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949C7DEFBAF2D1B)
@@ -256,7 +257,7 @@ def train_and_score(docs: DataFrame, held_out, order: int = 2) -> DataFrame:
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), held_out(docs["doc_id"]).alias("held_out"))
     table, buckets = B.batched(rows, "katz", BATCH_BYTES)
-    saved = B.exchange(table, lambda p, _: _send_counts(Tokens(p, order), buckets), _merge_counts, "counts", None, _TOLD, ("kind",))
+    saved = B.exchange(table, buckets, lambda p, _: _send_counts(Tokens(p, order), buckets), _merge_counts, "counts", None, _TOLD, ("kind",))
     sums = saved.where("kind = 'sums'").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("n")).orderBy("pos").collect()
     if not sums:
         return docs.sparkSession.createDataFrame([], SCORES)
@@ -274,7 +275,7 @@ def train_and_score(docs: DataFrame, held_out, order: int = 2) -> DataFrame:
 
     begin = np.array([BEGIN])
     for m in range(2, order + 1):
-        more = B.exchange(table, sender(m), _merge_weights(begin[0], m), f"weights{m}", told, _TOLD, ("kind",))
+        more = B.exchange(table, buckets, sender(m), _merge_weights(begin[0], m), f"weights{m}", told, _TOLD, ("kind",))
         told = told.unionByName(more.where("kind = 'answers'").select("batch", "bucket", "answer"))
         begin = _joined(begin, np.array([BEGIN]))
 
@@ -299,4 +300,4 @@ def held_out(doc_id, parts: int = 7, rest: int = 2):
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return train_and_score(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), held_out)
+    return train_and_score(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), held_out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import saved
+from .scratch import saved, spread
 
 WORD = r"[^\x20\x09-\x0D]+"
 _ROWS_BEFORE = (Window.unboundedPreceding, -1)
@@ -99,7 +99,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
+    return mix(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")))
 
 
 SQL = r"""

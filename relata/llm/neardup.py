@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import saved
+from .scratch import saved, spread
 
 SETS = "doc_id long, n long, digest long, digest2 long"
 
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int =
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
 
 
 SQL = r"""

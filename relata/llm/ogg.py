@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .scratch import spread
+
 # Fixed values of the format: page head, flags, and the samples a second that this codec claims.
 MAGIC, CONTINUED, FIRST, LAST, RATE = b"OggS", 1, 2, 4, 8000
 HEAD = struct.Struct("<4sBBqIIIB")
@@ -172,4 +174,4 @@ def media_features(docs: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return media_features(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return media_features(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import saved
+from .scratch import saved, spread
 from .words import chunks
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -199,4 +199,4 @@ def pack(docs: DataFrame, most: int = 1024, end: int = 2, ranks_path: str | None
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return pack(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 
 from . import batches as B
 from . import words as W
+from .scratch import spread
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LAST = np.int64(2**63 - 1)
@@ -167,8 +168,8 @@ def repeats(docs: DataFrame, depth: int = 13, prefix: int = 4, finish=None, resu
             yield batch, -1 - bucket, np.packbits(earlier[done : done + here]).tobytes()
             done += here
 
-    first = B.exchange(table, send_sizes, merge_sizes, "prefixes")
-    second = B.exchange(table, send_runs, merge_runs, "runs", first)
+    first = B.exchange(table, buckets, send_sizes, merge_sizes, "prefixes")
+    second = B.exchange(table, buckets, send_runs, merge_runs, "runs", first)
     finish = finish or digests
 
     def remove(key: tuple | None, payload: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
@@ -222,7 +223,7 @@ def without_repeats(docs: DataFrame, depth: int = 13, prefix: int = 4) -> DataFr
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return repeats(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
 
 
 SQL = r"""

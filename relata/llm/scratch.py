@@ -1,73 +1,5 @@
-"""Tables that cut lineage, kept in the folder the session shares between machines."""
+"""The tables in the shared folder, which all of the package uses."""
 
-from __future__ import annotations
+from ..scratch import bucketed, bytes_of, saved, shared_dir, spread, sweep
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_made: list = []
-_local: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one if driver and tasks are one process (tests),
-    else an error: other machines would not see it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        if not _local:
-            _local.append(tempfile.mkdtemp(prefix="relata-"))
-        base = _local[0]
-    return base.rstrip("/")
-
-
-def _register(spark: SparkSession, path: str) -> None:
-    if not _made:
-        atexit.register(sweep)
-    _made.append((spark, path))
-
-
-def sweep() -> None:
-    """Delete every table that `saved` has written; lazily built results that read them must be done."""
-    while _made:
-        spark, path = _made.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended: its owner clears the shared folder
-            return
-
-
-def saved(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """df written as Parquet (partitioned by columns, if asked) to the shared folder and read back, so that no executor's loss
-    repeats the work before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/relata-{uuid.uuid4().hex}/{label}"
-    _register(spark, path)
-    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
-    """Like `saved`, hashed on key, so that later joins on the key read it in place without a shuffle. The catalog has the
-    table's name only while it is written: the plan that is returned keeps its files and its hashing."""
-    spark = df.sparkSession
-    name = f"relata_{label}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
-    _register(spark, path)
-    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
-    table = spark.table(name)
-    table.schema  # resolved now
-    spark.sql(f"DROP TABLE {name}")
-    return table
-
-
-def bytes_of(df: DataFrame) -> int:
-    """About how many bytes df has, as the optimizer estimates it from its files' sizes; 0 where it has no estimate."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 60 else 0
+__all__ = ["bucketed", "bytes_of", "saved", "shared_dir", "spread", "sweep"]

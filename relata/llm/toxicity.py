@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import saved, spread
+
 # Words of the grammar's classes, in English, French, German and Spanish.
 THREATS = "kill murder hurt destroy punch beat strangle tuer frapper töten umbringen schlagen matar golpear".split()
 TARGETS = "you your u yourself he she they them him her tu te toi vous votre ton ta du dich dir euch ihr dein deine tú ti usted ustedes vosotros".split()
@@ -201,8 +203,6 @@ def fit(labelled: DataFrame, most_rows: int = 5000, share: float = 0.02, lift: f
                 keys.append(min((xxhash.xxh64_intdigest(" ".join(w[k : k + 3])) >> 1 for k in range(max(1, len(w) - 2))), default=0))
             yield pa.RecordBatch.from_arrays([*f.columns, pa.array(keys, pa.int64())], [*f.schema.names, "near"])
 
-    from .scratch import saved
-
     sample = saved(rows.withColumn("toxic", F.col("toxic").cast("int")).repartition(32, "doc_id").mapInArrow(hashed, "doc_id long, text string, toxic int, near long"), "labelled")
     sample = sample.join(sample.groupBy("near", "toxic").agg(F.min("doc_id").alias("doc_id")), ["near", "toxic", "doc_id"], "left_semi")
 
@@ -293,6 +293,6 @@ def model_for(spark, docs: DataFrame, sf_dir: str, most_rows: int = 5000) -> Mod
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.col("text"), model_for(spark, docs, sf_dir)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

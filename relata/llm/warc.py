@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import saved
+from .scratch import saved, spread
 
 # Fixed values of the formats: Zstandard's skippable frame that holds a seek table, and the number that ends it.
 SKIPPABLE, SEEKABLE, CHECKED = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -177,7 +177,7 @@ def find(data: bytes, records: list[dict], page_id: int) -> list[bytes]:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
     return read_bundles(saved(write_bundles(pages), "bundles"))
 
 
