@@ -23,9 +23,9 @@ class Index:
     """tables hash functions of `width` p-stable projections: cells floor((a . x + b) / w), the outer ones open. Vectors get a
     component that makes their norms equal, so that the largest inner products are the smallest distances."""
 
-    def __init__(self, sample: np.ndarray, norm: float, near: int, tables: int, width: int, success: float, least: int, seed: int = 5) -> None:
+    def __init__(self, sample: np.ndarray, norm: float, near: int, tables: int, width: int, recall: float, least: int, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
-        self.norm, self.tables, self.width, self.success, self.least = norm, tables, width, success, least
+        self.norm, self.tables, self.width, self.least = norm, tables, width, least
         self.a = rng.standard_normal((tables, width, sample.shape[1] + 1))
         at = self.project(sample)
         spread = at.std(axis=0) if len(sample) > 1 else np.ones((tables, width))
@@ -33,7 +33,8 @@ class Index:
         self.b = rng.uniform(-0.2, 0.2, (tables, width)) * self.w
         self.centre = at.mean(axis=0) if len(sample) else np.zeros((tables, width))
         self.counts = np.zeros((tables, CELLS**width), np.int64)
-        self.slope, self.noise = self._near(sample, at - self.centre, near)
+        self.success = np.inf
+        self._fit(sample, at - self.centre, near, recall)
 
     def raised(self, x: np.ndarray) -> np.ndarray:
         x = x / self.norm
@@ -43,35 +44,50 @@ class Index:
         up = np.hstack([x / self.norm, np.zeros((len(x), 1))]) if query else self.raised(x)
         return (up @ self.a.reshape(-1, self.a.shape[2]).T).reshape(len(x), self.tables, self.width)
 
-    def _near(self, sample: np.ndarray, at: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
-        """How a near vector's projection follows its query's: slope and spread, from the sample's own `near` neighbours. They
-        are farther than those among all rows, so the estimates of success are low rather than high."""
+    def _fit(self, sample: np.ndarray, at: np.ndarray, near: int, recall: float) -> None:
+        """From some of the sample and their `near` neighbours in it: how a near vector's projection follows its query's (slope
+        and spread), and how far the probing must go, in sums of success, for any table to find a share `recall` of them. They
+        are farther than the neighbours among all rows, so both are more careful than need be."""
         n = len(sample)
+        self.slope, self.noise = np.zeros((self.tables, self.width)), self.w
         if n < 3:
-            return np.zeros((self.tables, self.width)), self.w
+            return
         queries = sample[: min(n, 400)]
         score = queries @ sample.T
         score[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
         best = np.argsort(-score, axis=1)[:, : min(near, n - 1)]
         q, x = self.project(queries, True) - self.centre, at[best]
-        slope = (q[:, None] * x).sum(axis=(0, 1)) / np.maximum((q * q).sum(axis=0) * best.shape[1], 1e-12)
-        return slope, np.maximum((x - slope * q[:, None]).std(axis=(0, 1)), 1e-9)
+        self.slope = (q[:, None] * x).sum(axis=(0, 1)) / np.maximum((q * q).sum(axis=0) * best.shape[1], 1e-12)
+        self.noise = np.maximum((x - self.slope * q[:, None]).std(axis=(0, 1)), 1e-9)
+        if recall < 1:
+            bucket, reached = self.buckets(sample), np.full(best.shape, np.inf)
+            for t in range(self.tables):
+                p = self.chances(queries, t)
+                order = np.argsort(-p, axis=1, kind="stable")
+                before = np.empty_like(p)
+                np.put_along_axis(before, order, np.cumsum(np.take_along_axis(p, order, 1), axis=1) - np.take_along_axis(p, order, 1), axis=1)
+                reached = np.minimum(reached, np.take_along_axis(before, bucket[:, t][best], 1))
+            self.success = float(np.quantile(reached, recall)) + 1e-9
 
     def buckets(self, x: np.ndarray) -> np.ndarray:
         cell = np.floor((self.project(x) - self.centre + self.b) / self.w).astype(np.int64) + CELLS // 2
         return np.clip(cell, 0, CELLS - 1) @ (CELLS ** np.arange(self.width))
 
-    def probes(self, queries: np.ndarray, table: int) -> np.ndarray:
-        """Which buckets each query visits: those of other cells too, by falling probability that a near vector is there,
-        until they sum to `success` and at least `least` rows (or all) are met."""
+    def chances(self, queries: np.ndarray, table: int) -> np.ndarray:
+        """For each query the probability of each bucket that a near vector is there."""
         edge = (np.arange(1, CELLS) - CELLS // 2) * self.w[table][:, None] - self.b[table][:, None]
         q = self.project(queries, True)[:, table] - self.centre[table]
         z = (edge[None] - (self.slope[table] * q)[:, :, None]) / self.noise[table][None, :, None]
-        below = 0.5 * (1 + _erf(z / math.sqrt(2)))
-        cells = np.diff(below, axis=2, prepend=0.0, append=1.0)
+        cells = np.diff(0.5 * (1 + _erf(z / math.sqrt(2))), axis=2, prepend=0.0, append=1.0)
         p = np.ones((len(queries), 1))
         for j in range(self.width):
             p = (cells[:, j, :, None] * p[:, None, :]).reshape(len(queries), -1)
+        return p
+
+    def probes(self, queries: np.ndarray, table: int) -> np.ndarray:
+        """Which buckets each query visits: those of other cells too, by falling probability, until they sum to `success` and at
+        least `least` rows (or all) are met."""
+        p = self.chances(queries, table)
         order = np.argsort(-p, axis=1, kind="stable")
         sums, rows = np.cumsum(np.take_along_axis(p, order, 1), axis=1), np.cumsum(self.counts[table][order], axis=1)
         enough = (sums >= self.success) & (rows >= min(self.least, int(self.counts[table].sum())))
@@ -115,7 +131,7 @@ def _top(i: np.ndarray, score: np.ndarray, lo: np.ndarray, most: int) -> np.ndar
     return order[np.arange(len(order)) - first < most]
 
 
-def search(vectors: DataFrame, is_query, nearest: int = 20, tables: int = 8, width: int = 6, success: float = 0.28, shard_bytes: int = 32 << 20, block: int = 1 << 16, sample_rows: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, is_query, nearest: int = 20, tables: int = 8, width: int = 6, recall: float = 0.93, shard_bytes: int = 32 << 20, block: int = 1 << 16, sample_rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: each query's nearest by inner product, in double precision, ties to smaller vec_id.
 
     vectors: vec_id, embedding. is_query(vec_id): the rows to search for; a row isn't its own candidate. Rows with equal
@@ -124,9 +140,9 @@ def search(vectors: DataFrame, is_query, nearest: int = 20, tables: int = 8, wid
     4 ** width, are dealt in their order to shards of about `shard_bytes` of vectors; a bucket of more is split. A query is sent,
     with the buckets it probes, to the shards that have them, and is compared with those buckets' rows only. A task holds one
     shard and streams the queries past it; a shard is there once for every `block` queries. Groups are cut by (score, smallest
-    id), so ties are kept right all the way. `success` is the estimated share of near vectors in the probed buckets of one
-    table; with `tables` of them 0.93 are found. The index is fitted on sample_rows vectors with the smallest hashes: cell
-    widths, and the estimate that orders the probes. At least 4 * nearest rows of a table are met, be it fewer than that whole.
+    id), so ties are kept right all the way. The index is fitted on sample_rows vectors with the smallest hashes: cell widths,
+    the estimate that orders the probes, and how far they go, so that `recall` of the sample's own neighbours are found (at 1
+    all buckets are probed). At least 4 * nearest rows of a table are met, or all it has.
 
     Rows with a null vec_id take no part, nor those `usable` leaves out. Shorter vectors count as padded with zeros. Repeated
     rows count once; rows with one id and several vectors are candidates each. An empty table gives none; with fewer
@@ -150,7 +166,7 @@ def search(vectors: DataFrame, is_query, nearest: int = 20, tables: int = 8, wid
     total = groups.count()
     sample = groups.orderBy("h", "k").limit(sample_rows).select("data").collect()
     sample = np.frombuffer(b"".join(bytes(r["data"]) for r in sample), dtype="<f8").reshape(-1, size)
-    index = Index(sample, kind["norm"], math.ceil(nearest * len(sample) / total), tables, width, success, 4 * nearest)
+    index = Index(sample, kind["norm"], math.ceil(nearest * len(sample) / total), tables, width, recall, 4 * nearest)
 
     def place(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:

@@ -35,7 +35,8 @@ def format_conversations(turns: DataFrame, trained: str = "assistant") -> DataFr
     collected BLOCK at a time; a conversation's blocks, put end to end, are its format, so no row holds more turns than that.
     Adjacent turns of one role are merged into one marked message, across blocks too, with a control string between them.
     loss_spans are the texts of the trained role, each on its own. A null text or role is an empty one; a null conv_id is a
-    conversation of its own. An empty table gives none.
+    conversation of its own; repeated rows are turns each. A very long text is one turn of its row, escaped by one expression.
+    An empty table gives none. Column names besides the four don't matter.
     """
     t = turns.select(turns["conv_id"].alias("conv_id"), turns["turn"].alias("turn"), F.coalesce(turns["role"], F.lit("")).alias("role"), F.coalesce(turns["text"], F.lit("")).alias("text"))
     by_turn = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")

@@ -155,7 +155,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int =
     with a probability of 5e-5.
 
     Null, empty and blank texts have an empty set and no links. Rows with equal ids are one node. A null doc_id can't be
-    pointed to: such rows are linked with nothing and have a null component_id and kept true. An empty table gives none.
+    pointed to: such rows are linked with nothing and have a null component_id and kept true. A very long text is one set, whose
+    task needs some 40 bytes for each of its bytes. An empty table gives none. Column names besides the two don't matter.
     """
     docs = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
     sig = saved(signatures(docs, k, bands, rows), "signatures")

@@ -159,7 +159,8 @@ def media_features(docs: DataFrame) -> DataFrame:
     """FEATURES per row of docs (doc_id, text): the text's bytes stored as an Ogg file of 8-bit samples, and read back.
 
     A null or empty text is 64 bytes 0. Equal texts give equal values (serial numbers come from the samples); repeated rows
-    are kept; an empty table gives none. A row is worked on alone, so a task's memory is a few times its longest text.
+    are kept; an empty table gives none. A row is worked on alone, so a task's memory is a few times its longest text. Column
+    names besides the two don't matter.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
