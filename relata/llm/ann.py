@@ -131,7 +131,7 @@ def _top(i: np.ndarray, score: np.ndarray, lo: np.ndarray, most: int) -> np.ndar
     return order[np.arange(len(order)) - first < most]
 
 
-def search(vectors: DataFrame, is_query, nearest: int = 20, tables: int = 8, width: int = 6, recall: float = 0.93, shard_bytes: int = 32 << 20, block: int = 1 << 16, sample_rows: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, is_query, nearest: int = 20, tables: int = 8, width: int = 6, recall: float = 0.92, shard_bytes: int = 32 << 20, block: int = 1 << 16, sample_rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: each query's nearest by inner product, in double precision, ties to smaller vec_id.
 
     vectors: vec_id, embedding. is_query(vec_id): the rows to search for; a row isn't its own candidate. Rows with equal

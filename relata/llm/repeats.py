@@ -97,8 +97,8 @@ def repeats(docs: DataFrame, depth: int = 13, prefix: int = 4, finish=None, resu
 
     Null and empty texts have no words; a null doc_id counts as the largest, so such rows' passages go wherever another row
     has them, and never count as earlier ones. Rows with equal ids don't take from each other. Documents with fewer than
-    `depth` words are kept whole. Any more columns may have any names. A very long text is a batch of its own: a task needs some 20 bytes for each of its bytes. An
-    empty table gives none. finish(table of the batch, its words, kept mask) makes the rows of `result`; without it they are
+    `depth` words are kept whole. Any more columns may have any names. A very long text is a batch of its own: a task needs some
+    20 bytes for each of its bytes. An empty table gives none. finish(table of the batch, its words, kept mask) makes the rows of `result`; without it they are
     REMOVED.
     """
     table, buckets = B.batched(docs.select(*[docs[c] for c in docs.columns]), "repeats")
