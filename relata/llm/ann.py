@@ -17,6 +17,8 @@ CELLS = 4  # of one projection; the outermost are open
 #: Width of a cell by the projections' spread: four cells of about equal mass. A bucket's rows are then as many as another's,
 #: so that the order of falling success is also that of falling success for each row visited.
 CELL_WIDTH = 0.7
+#: Pairs of a query and a vector that a task holds at a time.
+PAIRS = 1 << 21
 
 
 class Index:
@@ -235,8 +237,8 @@ def search(vectors: DataFrame, is_query, nearest: int = 20, tables: int = 8, wid
                     whole = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
                     held = tuple(whole.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "g", "lo")) + (_matrix(whole.column("data")),)
                     waiting = []
-                for k in range(0, b - a, 256):
-                    yield from _meet(run.slice(k, 256), held, nearest + 1)
+                for k in range(0, b - a, 2048):
+                    yield from _meet(run.slice(k, 2048), held, nearest + 1)
 
     hits = both.mapInArrow(visit, FOUND)
     hits = hits.groupBy("query", "found").agg(F.min("lo").alias("lo"), F.max("score").alias("score"))
@@ -260,18 +262,29 @@ def _meet(queries: pa.RecordBatch, held, most: int) -> Iterator[pa.RecordBatch]:
     asks = lists.flatten().to_numpy()
     who = np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy()))
     order = np.argsort(asks, kind="stable")
-    asks, who, found = asks[order], who[order], []
+    asks, who, found, held_now = asks[order], who[order], [], 0
     cuts = [0, *(np.flatnonzero(np.diff(asks)) + 1).tolist(), len(asks)]
-    for a, b in zip(cuts, cuts[1:]):
-        if a < b:
-            lo_, hi = np.searchsorted(bucket, asks[a], "left"), np.searchsorted(bucket, asks[a], "right")
-            if lo_ < hi:
-                i, j, score = _best(q[who[a:b]], x[lo_:hi], lo[lo_:hi], most)
-                found.append((who[a:b][i], j + lo_, score))
-    if found:
+
+    def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         i, j, score = (np.concatenate(c) for c in zip(*found))
         kept = _top(i, score, lo[j], most)
-        i, j, score = i[kept], j[kept], score[kept]
+        return i[kept], j[kept], score[kept]
+
+    for a, b in zip(cuts, cuts[1:]):
+        if a == b:
+            continue
+        first, last = np.searchsorted(bucket, asks[a], "left"), np.searchsorted(bucket, asks[a], "right")
+        few = max(1, PAIRS // max(1, last - first))
+        for at in range(a, b if last > first else a, few):
+            mine = who[at : min(b, at + few)]
+            i, j, score = _best(q[mine], x[first:last], lo[first:last], most)
+            found.append((mine[i], j + first, score))
+            held_now += len(i)
+            if held_now > PAIRS:
+                found = [best()]
+                held_now = len(found[0][0])
+    if found:
+        i, j, score = best()
         yield pa.RecordBatch.from_arrays([queries.column("g").take(pa.array(i)), pa.array(g[j]), pa.array(lo[j]), pa.array(score)], ["query", "found", "lo", "score"])
 
 
