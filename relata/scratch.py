@@ -68,8 +68,9 @@ def bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
 
 
 def bytes_of(df: DataFrame) -> int:
-    """About how many bytes df has, as the optimizer estimates it from its files' sizes; 0 where it has no estimate."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The bytes of the files that df reads, all columns counted; 0 where that is not known."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
     return size if size < 1 << 60 else 0
 
 
