@@ -75,10 +75,10 @@ def bytes_of(df: DataFrame) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt to all cores where its files have fewer splits than that, so that work on each row isn't one task's; what moves
-    is less than one split for each core. Larger inputs, and very small ones, stay as they are."""
+    """df dealt to all cores where its files have splits for less than half of them, so that work on each row isn't one task's;
+    what moves is half a split for each core at most. Larger inputs, and very small ones, stay as they are."""
     spark = df.sparkSession
     number = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
     split, cost = (number(spark.conf.get(f"spark.sql.files.{n}")) for n in ("maxPartitionBytes", "openCostInBytes"))
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if cost < bytes_of(df) < cores * split else df
+    return df.repartition(cores) if cost < bytes_of(df) < cores * split // 2 else df
