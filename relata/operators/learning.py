@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import json
 import zlib
@@ -73,8 +74,8 @@ class Classifier:
             right += int((z.argmax(axis=1) == y).sum())
         return loss / max(1, len(labels)), right / max(1, len(labels))
 
-    def fit(self, words: list, entities: list, labels, weights=None, dev: tuple | None = None, epochs: int = 1, batch: int = 100, rate: float = 0.001, seed: int = 0) -> list[dict]:
-        """The history: for each epoch loss and accuracy, and with dev (words, entities, labels) those there."""
+    def fit(self, words: list, entities: list, labels, weights=None, dev: tuple | None = None, epochs: int = 1, batch: int = 100, rate: float = 0.001, seed: int = 0, measure: bool = True) -> list[dict]:
+        """The history, if measured: for each epoch loss and accuracy, and with dev (words, entities, labels) those there."""
         rng, labels, history = np.random.default_rng(seed), np.asarray(labels, dtype=np.int64), []
         weights = np.ones(len(labels)) if weights is None else np.asarray(weights, dtype=float)
         for _ in range(epochs):
@@ -82,6 +83,8 @@ class Classifier:
             for at in range(0, len(order), batch):
                 mine = order[at : at + batch]
                 self._step([[r[k] for k in mine] for r in (words, entities)], labels[mine], weights[mine], rate, rng)
+            if not measure:
+                continue
             loss, accuracy = self.measured([words, entities], labels)
             history.append({"loss": loss, "acc": accuracy})
             if dev is not None:
@@ -142,9 +145,9 @@ class Classifier:
 
 
 def _summed(where: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros((n, rows.shape[1]))
-    np.add.at(out, where, rows)
-    return out
+    """Sums of rows by `where`, which has each number below n."""
+    order = np.argsort(where, kind="stable")
+    return np.add.reduceat(rows[order], np.searchsorted(where[order], np.arange(n)))
 
 
 def train_classifier(rows: DataFrame, shape: dict, epochs: int = 1, workers: int = 1, **options) -> Classifier:
@@ -159,7 +162,7 @@ def train_classifier(rows: DataFrame, shape: dict, epochs: int = 1, workers: int
         def fit(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
             f = f.sort_values("title", kind="stable")
             m = Classifier.loads(start.value)
-            m.fit(f["words"].tolist(), f["entities"].tolist(), f["label"].tolist(), f["weight"].tolist(), seed=round_, **options)
+            m.fit(f["words"].tolist(), f["entities"].tolist(), f["label"].tolist(), f["weight"].tolist(), seed=round_, measure=False, **options)
             return pd.DataFrame({"worker": [key[0]], "rows": [len(f)], "model": [m.dumps()]})
 
         found = dealt.groupBy("worker").applyInPandas(fit, "worker long, rows long, model binary").orderBy("worker").collect()
@@ -375,7 +378,13 @@ def load_model(spark: SparkSession, path: str) -> tuple[Classifier | Scorer, dic
 
 def cross_validated(rows: DataFrame, features: list[str], k: int = 10, **options) -> DataFrame:
     """title, type_name, fold, label, prediction of rows (title, type_name, fold, label, features): a task trains on the other
-    folds of its own. The rows are labelled ones, which are counted first: a task may hold them all."""
+    folds of its own. The rows are labelled ones, which are counted first: if there are more than a task may hold, each fold's
+    trees are MLlib's, learned from the others in a distributed way."""
+    if rows.count() > MOST_ROWS:
+        given = {n: options[n] for n in ("trees", "rate", "depth", "subsample", "binary") if n in options}
+        parts = [fit_large(rows.where(F.col("fold") != f), features, **given).transform(rows.where(F.col("fold") == f).na.fill(0.0, features)) for f in range(1, k + 1)]
+        parts = [p.select("title", "type_name", F.col("fold").cast("int").alias("fold"), "label", "prediction") for p in parts]
+        return functools.reduce(DataFrame.unionByName, parts)
 
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["title", "type_name"])
@@ -385,7 +394,7 @@ def cross_validated(rows: DataFrame, features: list[str], k: int = 10, **options
         out["prediction"] = model.predict(_vectors(f[test], features)) if len(out) else []
         return out
 
-    every = _bounded(rows).select("title", "type_name", "fold", "label", *features).withColumn("task", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    every = rows.select("title", "type_name", "fold", "label", *features).withColumn("task", F.explode(F.sequence(F.lit(1), F.lit(k))))
     return every.groupBy("task").applyInPandas(run, "title string, type_name string, fold int, label double, prediction double")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import parse
 from ..operators import cooc, datasets, entities, learning, scoring, serving
-from ..scratch import saved, shared_dir, spread
+from ..scratch import folder, saved, spread
 from ..sources import tables as S
 
 HREF, PARAGRAPH = '(?s)href="/([^"]*)"', "(?s)<p>(.*?)</p>"
@@ -190,7 +190,7 @@ def entity_pairs(spark, sf):
 
 def stored_matrix(spark, sf):
     """Entity pairs as rows of ids, stored, loaded and looked up."""
-    s, path = _sentences(spark, sf), f"{shared_dir(spark)}/relata-matrix-{spark.sparkContext.applicationId}-{sf.rstrip('/').rsplit('/', 1)[-1]}"
+    s, path = _sentences(spark, sf), folder(spark, "matrix")
     names = saved(cooc.vocabulary(s.select(F.explode("links.entity").alias("token")), 1), "names")
     S.store_counts(cooc.entity_entity(s).select(F.col("e1").alias("entity"), F.col("e2").alias("other"), "n"), names, names, path, "other")
     return S.lookup(S.load(spark, path), "row", names.where("n >= 5").select(F.col("id").alias("row"))).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "n")
@@ -338,7 +338,7 @@ def cooc_bags(spark, sf):
     """A classifier's features from co-occurrences."""
     s = _sentences(spark, sf)
     words, names = cooc.vocabulary(s.select(F.explode("words").alias("token"))), saved(cooc.vocabulary(s.select(F.explode("links.entity").alias("token")), 1), "names")
-    path = f"{shared_dir(spark)}/relata-counts-{spark.sparkContext.applicationId}-{sf.rstrip('/').rsplit('/', 1)[-1]}"
+    path = folder(spark, "counts")
     S.store_counts(cooc.word_entity(s, 2, words).withColumnRenamed("word", "other"), saved(words, "words"), names, f"{path}/word", "other")
     S.store_counts(cooc.entity_entity(s).select(F.col("e1").alias("entity"), F.col("e2").alias("other"), "n"), names, names, f"{path}/entity", "other")
     none = spark.createDataFrame([], "title string, dest string")
@@ -376,7 +376,7 @@ LINEAR = {"a_proba": 40.0, "a_top_raw": -1.5, "b_value": 6.0, "b_pmi": 0.01, "nu
 
 def score_requests(spark, sf):
     """Requests to scores, by a stored linear model: titles resolved, logits joined, features, prediction, rounding."""
-    path = f"{shared_dir(spark)}/relata-model-{spark.sparkContext.applicationId}-{sf.rstrip('/').rsplit('/', 1)[-1]}"
+    path = folder(spark, "model")
     learning.save_model(spark, learning.Scorer(list(LINEAR), False, linear=[*LINEAR.values(), 1.7]), path)
     asked = _asked(spark, sf)
     scored = serving.score(asked.withColumn("first_seen", F.min("line_id").over(Window.partitionBy("title"))), learning.load_model(spark, path)[0], _two_classifiers(spark, sf), asked.select("title", "type_name"), _hops(spark, sf), ["a", "b"])

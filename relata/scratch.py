@@ -43,12 +43,18 @@ def sweep() -> None:
             return
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, swept like the tables."""
+    path = f"{shared_dir(spark)}/relata-{uuid.uuid4().hex}/{label}"
+    _register(spark, path)
+    return path
+
+
 def saved(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
     """df written as Parquet (partitioned by columns, if asked) to the shared folder and read back, so that no executor's loss
     repeats the work before."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/relata-{uuid.uuid4().hex}/{label}"
-    _register(spark, path)
+    path = folder(spark, label)
     df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

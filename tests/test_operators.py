@@ -122,6 +122,14 @@ def test_mllib_trees(spark):
     assert np.mean([abs(r["label"] - r["prediction"]) for r in found]) < 1
 
 
+def test_cross_validation_of_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(learning, "MOST_ROWS", 100)
+    found = learning.cross_validated(_scored(spark), ["f0", "f1", "f2"], 4, trees=2, rate=0.5).collect()
+    assert len(found) == 200 and np.mean([abs(r["label"] - r["prediction"]) for r in found]) < 1.5
+    with pytest.raises(ValueError):
+        learning.fit_scorer(_scored(spark), ["f0"])
+
+
 def test_selection_and_search(spark):
     best = learning.select_features(_scored(spark), ["f0", "f1", "f2"], 2, trees=10, rate=0.3)
     assert best["features"][0] == "f1"
