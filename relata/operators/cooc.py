@@ -41,13 +41,13 @@ def word_entity(sentences: DataFrame, window: int | None, vocab: DataFrame | Non
         before = F.slice("words", F.greatest(link["before"] - reach, F.lit(0)) + 1, F.least(link["before"], reach))
         return F.struct(link["entity"].alias("entity"), F.concat(before, F.slice("words", link["after"] + 1, reach)).alias("words"))
 
-    some = sentences.where((F.size("links") > 0) & (every > 0)).select(F.explode(F.transform("links", near)).alias("x"))
+    some = sentences.select(F.explode(F.transform("links", near)).alias("x"))
     counts = some.select("x.entity", F.explode("x.words").alias("word")).groupBy("entity", "word").agg(F.count(F.lit(1)).alias("n"))
     return counts if vocab is None else counts.join(vocab.select(F.col("token").alias("word")), "word", "left_semi").select("entity", "word", "n")
 
 
 def entity_entity(sentences: DataFrame) -> DataFrame:
     """e1, e2, n: sentences (links) that name both, in both directions; a sentence counts a pair once."""
-    one = sentences.select(F.array_distinct("links.entity").alias("all")).where(F.size("all") > 1).select(F.explode("all").alias("e1"), "all")
+    one = sentences.select(F.array_distinct("links.entity").alias("all")).select(F.explode("all").alias("e1"), "all")
     half = one.select("e1", F.explode(F.filter("all", lambda e: e > F.col("e1"))).alias("e2")).groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("n"))
     return half.union(half.select("e2", "e1", "n"))

@@ -168,7 +168,7 @@ def link_bags(spark, sf):
 
 
 def word_entity_window(spark, sf):
-    s = _sentences(spark, sf)
+    s = saved(_sentences(spark, sf), "sentences")
     return cooc.word_entity(s, 5, cooc.vocabulary(s.select(F.explode("words").alias("token"))))
 
 
@@ -336,7 +336,7 @@ def page_dataset(spark, sf):
 
 def cooc_bags(spark, sf):
     """A classifier's features from co-occurrences."""
-    s = _sentences(spark, sf)
+    s = saved(_sentences(spark, sf), "sentences")
     words, names = cooc.vocabulary(s.select(F.explode("words").alias("token"))), saved(cooc.vocabulary(s.select(F.explode("links.entity").alias("token")), 1), "names")
     path = folder(spark, "counts")
     S.store_counts(cooc.word_entity(s, 2, words).withColumnRenamed("word", "other"), saved(words, "words"), names, f"{path}/word", "other")
