@@ -98,7 +98,7 @@ def batched(docs: DataFrame, label: str, batch_bytes: int = BATCH_BYTES) -> tupl
             yield row()
 
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, bytes_of(docs) // TASK_BYTES))
-    table = bucketed(docs.mapInArrow(pack, "batch long, payload binary"), label, "batch", tasks)
+    table = bucketed(docs.mapInArrow(words.released(pack), "batch long, payload binary"), label, "batch", tasks)
     return table, max(16, table.count() * batch_bytes // BUCKET_BYTES)
 
 
@@ -138,11 +138,14 @@ def exchange(batches: DataFrame, buckets: int, send: Callable, merge: Callable,
 
     def sent(key: tuple | None, payload: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         rows = [(b, k, data) for b, p in zip(payload["batch"], payload["payload"]) for k, data in send(p, by_bucket(told))]
+        words.release()
         return pd.DataFrame(rows, columns=["batch", "bucket", "data"])
 
     def merged(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("batch", kind="stable")
-        return pd.DataFrame(list(merge(key[0], list(zip(rows["batch"].tolist(), rows["data"])))), columns=[x.split()[0] for x in answer_type.split(", ")])
+        answers_ = list(merge(key[0], list(zip(rows["batch"].tolist(), rows["data"]))))
+        words.release()
+        return pd.DataFrame(answers_, columns=[x.split()[0] for x in answer_type.split(", ")])
 
     out = met(batches, answers, sent, "batch long, bucket long, data binary")
     tasks = max(int(batches.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, buckets))

@@ -290,6 +290,7 @@ def train_and_score(docs: DataFrame, held_out, order: int = 2) -> DataFrame:
             base = np.log10((words + 1) / (model.tokens + model.words + 1))
             frame = pd.DataFrame({"doc_id": t.ids, "held_out": t.held_out, "n_tokens": t.count, "n_known": np.add.reduceat((words > 0).astype(np.int64)[place], t.at), "train_tokens": model.tokens, "base_score": np.add.reduceat(base[place], t.at), "score": np.add.reduceat(np.log10(e.chance)[last], t.at)})
             out.append(frame.astype({"doc_id": "Int64"}))
+        W.release()
         return pd.concat(out)
 
     return B.met(table, told, score, SCORES)

@@ -64,7 +64,7 @@ def signatures(docs: DataFrame, k: int = 4, bands: int = 16, rows: int = 5) -> D
                     keys[t] = row
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "digest2", "bands"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, f"{SETS}, bands array<long>")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(W.released(run), f"{SETS}, bands array<long>")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -83,7 +83,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(digest), lists], ["digest", "shingles"]).filter(same)
 
     there = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(wanted, "doc_id")
-    return there.mapInArrow(run, "digest long, shingles array<long>").dropDuplicates(["digest"])
+    return there.mapInArrow(W.released(run), "digest long, shingles array<long>").dropDuplicates(["digest"])
 
 
 def _sets_of(docs: DataFrame, pairs_or_classes: DataFrame, k: int, label: str) -> DataFrame:

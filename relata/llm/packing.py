@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import saved, spread
-from .words import chunks
+from .words import chunks, released
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -41,7 +41,7 @@ def pieces(docs: DataFrame, most: int = 1024, end: int = 2, ranks_path: str | No
                     start, piece = stop, piece + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, PIECES)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(released(run), PIECES)
 
 
 def _pairs(left: np.ndarray, gap: int, largest: int, least: int = 1) -> np.ndarray:

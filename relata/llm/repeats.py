@@ -188,6 +188,7 @@ def repeats(docs: DataFrame, depth: int = 13, prefix: int = 4, finish=None, resu
             np.add.at(change, hit, 1)
             np.add.at(change, hit + depth, -1)
             out.append(finish(b.table, b.scanned, np.cumsum(change)[:-1] == 0))
+        W.release()
         return pd.concat(out)
 
     return B.met(table, first.unionByName(second), remove, result)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import saved, spread
+from .words import release
 
 # Words of the grammar's classes, in English, French, German and Spanish.
 THREATS = "kill murder hurt destroy punch beat strangle tuer frapper töten umbringen schlagen matar golpear".split()
@@ -274,6 +275,7 @@ def score(text, model: Model):
         for texts in frames:
             x = np.array([[*matcher.features(t), 1.0] for t in texts]).reshape(-1, len(w))
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))
+        release()
 
     return scored(text)
 

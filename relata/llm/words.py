@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,6 +22,27 @@ CHUNK_BYTES = 4 << 20
 PIECE_BYTES = 256 << 10
 
 
+def release() -> None:
+    """Gives freed memory back to the system, so that a worker process waits for its next task with little. Called after each
+    batch of work; where the C library has no such call, only Arrow's pool is emptied."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def released(work):
+    """A function over batches that gives memory back at its end."""
+
+    @functools.wraps(work)
+    def run(batches):
+        yield from work(batches)
+        release()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, a bijection of 64-bit values."""
     x = x.astype(np.uint64, copy=True)
