@@ -18,7 +18,7 @@ CELLS = 4  # of one projection; the outermost are open
 #: so that the order of falling success is also that of falling success for each row visited.
 CELL_WIDTH = 0.7
 #: Pairs of a query and a vector that a task holds at a time.
-PAIRS = 1 << 21
+PAIRS = 1 << 20
 
 
 class Index:
@@ -112,18 +112,18 @@ def usable(column):
     return column.isNotNull() & F.forall(column, lambda x: F.coalesce(good(x), F.lit(False))) & F.exists(column, lambda x: x != 0)
 
 
-def _best(q: np.ndarray, x: np.ndarray, lo: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, exact score) of each query's `most` best rows and at least those: rows whose rounded score is no further
-    from the last of them than rounding can bring it are ranked by exact sums, ties by lo."""
+def _best(q: np.ndarray, x: np.ndarray, bar: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, exact score) of at least each query's `most` best rows among those that reach its bar. Products of matrices
+    come first; rows that rounding may have brought below the bar, or below the last of the best, are summed exactly too."""
     score = q @ x.T
+    slack = 1e-12 * np.sqrt((q * q).sum(axis=1)) * math.sqrt(float((x * x).sum(axis=1).max()))
+    floor = bar - slack
     if len(x) > most:
-        last = -np.partition(-score, most - 1, axis=1)[:, most - 1]
-        slack = 1e-12 * np.sqrt((q * q).sum(axis=1)) * math.sqrt(float((x * x).sum(axis=1).max()))
-        i, j = np.nonzero(score >= (last - slack)[:, None])
-    else:
-        i, j = (a.ravel() for a in np.indices(score.shape))
+        floor = np.maximum(floor, -np.partition(-score, most - 1, axis=1)[:, most - 1] - slack)
+    i, j = np.nonzero(score >= floor[:, None])
     exact = np.concatenate([np.zeros(0), *((q[i[k : k + 65536]] * x[j[k : k + 65536]]).sum(axis=1) for k in range(0, len(i), 65536))])
-    return i, j, exact
+    reach = exact >= bar[i]
+    return i[reach], j[reach], exact[reach]
 
 
 def _top(i: np.ndarray, score: np.ndarray, lo: np.ndarray, most: int) -> np.ndarray:
@@ -263,6 +263,7 @@ def _meet(queries: pa.RecordBatch, held, most: int) -> Iterator[pa.RecordBatch]:
     who = np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy()))
     order = np.argsort(asks, kind="stable")
     asks, who, found, held_now = asks[order], who[order], [], 0
+    bar = np.full(len(q), -np.inf)  # what a row must reach to be among a query's best
     cuts = [0, *(np.flatnonzero(np.diff(asks)) + 1).tolist(), len(asks)]
 
     def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -277,12 +278,16 @@ def _meet(queries: pa.RecordBatch, held, most: int) -> Iterator[pa.RecordBatch]:
         few = max(1, PAIRS // max(1, last - first))
         for at in range(a, b if last > first else a, few):
             mine = who[at : min(b, at + few)]
-            i, j, score = _best(q[mine], x[first:last], lo[first:last], most)
+            i, j, score = _best(q[mine], x[first:last], bar[mine], most)
             found.append((mine[i], j + first, score))
             held_now += len(i)
             if held_now > PAIRS:
-                found = [best()]
-                held_now = len(found[0][0])
+                i, j, score = best()
+                found, held_now = [(i, j, score)], len(i)
+                full = np.bincount(i, minlength=len(q)) >= most
+                least = np.full(len(q), np.inf)
+                np.minimum.at(least, i, score)
+                bar[full] = least[full]
     if found:
         i, j, score = best()
         yield pa.RecordBatch.from_arrays([queries.column("g").take(pa.array(i)), pa.array(g[j]), pa.array(lo[j]), pa.array(score)], ["query", "found", "lo", "score"])
