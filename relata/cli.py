@@ -204,7 +204,7 @@ def select_features(spark, a) -> dict:
 def search_scorer(spark, a) -> dict:
     """The best options of the trees, with their score."""
     rows, features, binary = _scorer_rows(spark, a)
-    space = {"subsample": [round(0.05 * n, 2) for n in range(1, 21)], "min_split": list(range(2, 101)), "depth": list(range(1, 7)), "rate": [round(0.01 + 0.005 * n, 3) for n in range(19)], "max_features": list(range(min(3, len(features)), len(features) + 1))}
+    space = {**learning.SCORER_SPACE, "max_features": list(range(min(3, len(features)), len(features) + 1))}
     return learning.search_hyper_params(rows, features, space, a.max_evals, a.random_state, trees=a.n_estimators, binary=binary)
 
 

@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that one task may learn trees from; more are learned from by MLlib, in a distributed way.
 MOST_ROWS = 1_000_000
+# What is searched for classifiers (dropout, hidden units, sizes of embeddings and of attention embeddings), and
+# for scorers (share of rows, least rows of a split, depth, rate; features from three up).
+CLASSIFIER_SPACE = {"dropout": [round(0.05 * n, 2) for n in range(1, 21)], "hidden": [500 * n for n in range(1, 21)], "dim": [100, 150, 200], "attention_dim": [2 * n for n in range(1, 11)]}
+SCORER_SPACE = {"subsample": [round(0.05 * n, 2) for n in range(1, 21)], "min_split": list(range(2, 101)), "depth": list(range(1, 7)), "rate": [round(0.01 + 0.005 * n, 3) for n in range(19)]}
 
 
 class Classifier:
@@ -199,7 +203,7 @@ def accuracy(rows: DataFrame, model: Classifier, types: list[str]) -> DataFrame:
 def search_classifier(rows: DataFrame, shape: dict, space: dict[str, list] | None = None, evals: int = 100, epochs: int = 1, batch: int = 100, seed: int = 0) -> dict:
     """Random search over a classifier's options: the ones with the least loss on dev rows, with loss and accuracy there. rows:
     title, words, entities, label, weight, split. A trial is a task; the rows, labelled ones only, go along as one table."""
-    space = space or {"dropout": [round(0.05 * n, 2) for n in range(1, 21)], "hidden": [500 * n for n in range(1, 21)], "dim": [100, 150, 200], "attention_dim": [2 * n for n in range(1, 11)]}
+    space = space or CLASSIFIER_SPACE
     rng = np.random.default_rng(seed)
     trials = [{n: v[int(rng.integers(len(v)))] for n, v in space.items()} for _ in range(evals)]
     data = _bounded(rows).toPandas().sort_values("title")
