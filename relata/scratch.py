@@ -80,6 +80,11 @@ def bytes_of(df: DataFrame) -> int:
     return size if size < 1 << 60 else 0
 
 
+def gathered(df: DataFrame, parts: int) -> DataFrame:
+    """df in at most so many partitions, and one for each core at least: a small table doesn't become many small files."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, parts))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df dealt to all cores where its files have splits for less than half of them, so that work on each row isn't one task's;
     what moves is half a split for each core at most. Larger inputs, and very small ones, stay as they are."""
