@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import saved, spread
+from .scratch import gathered, saved, spread
 
+#: Links that one file of the components' tables has, about.
+LINKS_A_FILE = 500_000
 SETS = "doc_id long, n long, digest long, digest2 long"
 
 
@@ -134,13 +136,14 @@ def components(links: DataFrame) -> DataFrame:
         size = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (size["n"], size["h"]) == mark or not size["n"]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        mark = (size["n"], size["h"])
+        mark, parts = (size["n"], size["h"]), 2 * size["n"] // LINKS_A_FILE
         both = now.union(now.select("v", "u"))
-        low = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = saved(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.where("m < u").select("u", "m")).distinct(), "links")
-        low = saved(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        low = saved(gathered(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), parts), "low")
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.where("m < u").select("u", "m")).distinct()
+        large = saved(gathered(large, parts), "links")
+        low = saved(gathered(large.groupBy("u").agg(F.min("v").alias("m")), parts), "low")
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
-        now = saved(small.distinct(), "links")
+        now = saved(gathered(small.distinct(), parts), "links")
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int = 16, rows: int = 5) -> DataFrame:

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import saved
+from .scratch import bytes_of, gathered, saved
 
 # Fixed values of the formats: Zstandard's skippable frame that holds a seek table, and the number that ends it.
 SKIPPABLE, SEEKABLE, CHECKED = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -114,7 +114,8 @@ def write_bundles(pages: DataFrame, min_revisit_bytes: int = 0, frame_bytes: int
     others are revisits of it. Groups are found on digests alone: largest ids are aggregated before the shuffle, and each page
     then meets its digest's in a join whose large partitions can be split. A null html is an empty payload. A null page_id
     is smaller than any other; a group of null ids only has no revisits. Rows with the same page_id and payload are all
-    responses, each with a record id of its own, and revisits name one of them. A very long html is a frame of its own. An
+    responses, each with a record id of its own, and revisits name one of them. Where the
+    input's size is known, a task fills a bundle, about, at least. A very long html is a frame of its own. An
     empty table gives no bundle. Column names besides page_id, url and html don't matter.
     """
     names = {c.lower() for c in pages.columns}
@@ -144,7 +145,8 @@ def write_bundles(pages: DataFrame, min_revisit_bytes: int = 0, frame_bytes: int
         if bundle.records:
             yield row()
 
-    return rows.mapInArrow(pack, BUNDLES)
+    size = bytes_of(pages)
+    return (gathered(rows, size // bundle_bytes) if size else rows).mapInArrow(pack, BUNDLES)
 
 
 def read_bundles(bundles: DataFrame) -> DataFrame:
