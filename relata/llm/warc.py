@@ -114,9 +114,9 @@ def write_bundles(pages: DataFrame, min_revisit_bytes: int = 0, frame_bytes: int
     others are revisits of it. Groups are found on digests alone: largest ids are aggregated before the shuffle, and each page
     then meets its digest's in a join whose large partitions can be split. A null html is an empty payload. A null page_id
     is smaller than any other; a group of null ids only has no revisits. Rows with the same page_id and payload are all
-    responses, each with a record id of its own, and revisits name one of them. Where the
-    input's size is known, a task fills a bundle, about, at least. A very long html is a frame of its own. An
-    empty table gives no bundle. Column names besides page_id, url and html don't matter.
+    responses, each with a record id of its own, and revisits name one of them. Where the input's size is known, a task fills
+    about one bundle at least. A very long html is a frame of its own. An empty table gives no bundle. Column names besides
+    page_id, url and html don't matter.
     """
     names = {c.lower() for c in pages.columns}
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), (pages["url"] if "url" in names else F.lit(None)).cast("string").alias("url"), F.coalesce(pages["html"], F.lit("")).alias("html"))
