@@ -80,9 +80,16 @@ def bytes_of(df: DataFrame) -> int:
     return size if size < 1 << 60 else 0
 
 
-def gathered(df: DataFrame, parts: int) -> DataFrame:
-    """df in at most so many partitions, and one for each core at least: a small table doesn't become many small files."""
-    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, parts))
+def gathered(df: DataFrame, parts: int | None) -> DataFrame:
+    """df in at most so many partitions, or one for each core if those are more: a small table doesn't become many small files.
+    As it is where parts is None, for an input of unknown size."""
+    return df if parts is None else df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, parts))
+
+
+def parts_of(df: DataFrame, part_bytes: int = 8 << 20) -> int | None:
+    """How many partitions tables made from df's rows should have, by the bytes of the files that it reads."""
+    size = bytes_of(df)
+    return size // part_bytes if size else None
 
 
 def spread(df: DataFrame) -> DataFrame:
