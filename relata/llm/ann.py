@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import saved
+from .scratch import gathered, parts_of, saved
 
 FOUND = "query long, found long, lo long, score double"
 CELLS = 4  # of one projection; the outermost are open
@@ -164,7 +164,8 @@ def search(vectors: DataFrame, is_query, nearest: int = 20, tables: int = 8, wid
             yield pa.RecordBatch.from_arrays([*(f.column(c) for c in ("h", "k", "lo", "asks")), pa.array([r.tobytes() for r in flat], pa.binary())], ["h", "k", "lo", "asks", "data"])
 
     groups = rows.groupBy("h", "k").agg(F.min("vec_id").alias("lo"), F.max(is_query(F.col("vec_id"))).alias("asks"), F.first("v").alias("v"))
-    groups = saved(groups.select("h", "k", "lo", "asks", "v").mapInArrow(packed, "h long, k long, lo long, asks boolean, data binary").withColumn("g", F.monotonically_increasing_id()), "vectors")
+    groups = gathered(groups.select("h", "k", "lo", "asks", "v"), parts_of(vectors))
+    groups = saved(groups.mapInArrow(packed, "h long, k long, lo long, asks boolean, data binary").withColumn("g", F.monotonically_increasing_id()), "vectors")
     total = groups.count()
     sample = groups.orderBy("h", "k").limit(sample_rows).select("data").collect()
     sample = np.frombuffer(b"".join(bytes(r["data"]) for r in sample), dtype="<f8").reshape(-1, size)

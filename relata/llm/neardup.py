@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import gathered, saved, spread
+from .scratch import gathered, parts_of, saved, spread
 
 #: Links that one file of the components' tables has, about.
 LINKS_A_FILE = 500_000
@@ -90,16 +90,17 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 def _sets_of(docs: DataFrame, pairs_or_classes: DataFrame, k: int, label: str) -> DataFrame:
     """The full sets, saved, of classes (doc_id, digest)."""
-    return saved(_full_sets(docs, pairs_or_classes.distinct(), k), f"{label}-sets")
+    return saved(gathered(_full_sets(docs, pairs_or_classes.distinct(), k), parts_of(docs)), f"{label}-sets")
 
 
-def _linked(sets: DataFrame, pairs: DataFrame, percent: int, label: str) -> DataFrame:
+def _linked(sets: DataFrame, pairs: DataFrame, percent: int, label: str, parts: int | None) -> DataFrame:
     """Those pairs (a, b: digests; doc_a, doc_b; n_a, n_b) whose full sets are alike enough, as (u, v) of documents, saved."""
     both = pairs.join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("set_b")), "b")
     both = both.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("set_a")), "a")
     common = F.size(F.array_intersect("set_a", "set_b"))
     both = both.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common))
-    return saved(both.select(F.greatest("doc_a", "doc_b").alias("u"), F.least("doc_a", "doc_b").alias("v")).where("u <> v").distinct(), f"{label}-links")
+    links = both.select(F.greatest("doc_a", "doc_b").alias("u"), F.least("doc_a", "doc_b").alias("v")).where("u <> v").distinct()
+    return saved(gathered(links, parts), f"{label}-links")
 
 
 def _close(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -162,13 +163,15 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int =
     task needs some 40 bytes for each of its bytes. An empty table gives none. Column names besides the two don't matter.
     """
     docs = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
+    parts_ = parts_of(docs)
+    few = lambda table, label: saved(gathered(table, parts_), label)
     sig = saved(signatures(docs, k, bands, rows), "signatures")
     ids = sig.where("n > 0 AND doc_id IS NOT NULL")
-    classes = saved(ids.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = few(ids.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
 
     keyed = classes.select(F.explode("bands").alias("key"), "digest")
     often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    met = saved(keyed.join(often, "key", "left_semi").join(classes.select("digest", "rep", "n"), "digest"), "keys")
+    met = few(keyed.join(often, "key", "left_semi").join(classes.select("digest", "rep", "n"), "digest"), "keys")
     sets = _sets_of(docs, met.select(F.col("rep").alias("doc_id"), "digest"), k, "met")
 
     def pairs(a: str, b: str, rows: DataFrame) -> DataFrame:
@@ -179,19 +182,19 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int =
 
     ends = met.groupBy("key").agg(F.min(F.struct("rep", "digest", "n")).alias("lo"), F.max(F.struct("rep", "digest", "n")).alias("hi"))
     own = met.select("key", F.struct("rep", "digest", "n").alias("own")).join(ends, "key")
-    stars = saved(pairs("lo", "own", own).union(pairs("hi", "own", own)).distinct(), "stars")
-    links = _linked(sets, stars, percent, "stars")
+    stars = few(pairs("lo", "own", own).union(pairs("hi", "own", own)).distinct(), "stars")
+    links = _linked(sets, stars, percent, "stars", parts_)
     again = ids.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("doc_id")
     same = ids.join(again, "doc_id").join(classes.select("digest", "rep"), "digest").where("doc_id <> rep").select(F.greatest("doc_id", "rep").alias("u"), F.least("doc_id", "rep").alias("v"))
-    links = saved(links.union(same).distinct(), "first-links")
+    links = few(links.union(same).distinct(), "first-links")
     parts = components(links)
 
     placed = met.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
     mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
     open_ = placed.join(mixed, "key", "left_semi").groupBy("rep", "digest", "n", "part").agg(F.count(F.lit(1)).alias("c"))
-    open_ = saved(open_.where("c > 1").drop("c"), "open")
-    more = saved(pairs("a", "b", _close(open_, sets, percent)).join(stars.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    found = _linked(sets, more, percent, "rest")
+    open_ = few(open_.where("c > 1").drop("c"), "open")
+    more = few(pairs("a", "b", _close(open_, sets, percent)).join(stars.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    found = _linked(sets, more, percent, "rest", parts_)
     final = components(links.union(found).distinct()) if found.limit(1).count() else parts
 
     out = sig.select("doc_id", "n", "digest").join(classes.select("digest", "rep"), "digest", "left")

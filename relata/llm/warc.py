@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bytes_of, gathered, saved
+from .scratch import gathered, parts_of, saved
 
 # Fixed values of the formats: Zstandard's skippable frame that holds a seek table, and the number that ends it.
 SKIPPABLE, SEEKABLE, CHECKED = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -145,8 +145,7 @@ def write_bundles(pages: DataFrame, min_revisit_bytes: int = 0, frame_bytes: int
         if bundle.records:
             yield row()
 
-    size = bytes_of(pages)
-    return (gathered(rows, size // bundle_bytes) if size else rows).mapInArrow(pack, BUNDLES)
+    return gathered(rows, parts_of(pages, bundle_bytes)).mapInArrow(pack, BUNDLES)
 
 
 def read_bundles(bundles: DataFrame) -> DataFrame:
