@@ -159,17 +159,19 @@ def train_classifier(rows: DataFrame, shape: dict, epochs: int = 1, workers: int
     the rows, from the round's model on, and their models are averaged by their numbers of rows. The driver gets `workers`
     models a round, of a size that the vocabularies bound; with one worker it is plain training."""
     model, session = Classifier(**shape), rows.sparkSession
-    dealt = rows.select("title", "words", "entities", "label", "weight").withColumn("worker", F.pmod(F.xxhash64(F.col("title").cast("string")), F.lit(workers)))
+    dealt = rows.select("title", "words", "entities", "label", "weight").repartition(workers, "title")
     for round_ in range(epochs):
         start = session.sparkContext.broadcast(model.dumps())
 
-        def fit(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-            f = f.sort_values("title", kind="stable")
-            m = Classifier.loads(start.value)
-            m.fit(f["words"].tolist(), f["entities"].tolist(), f["label"].tolist(), f["weight"].tolist(), seed=round_, measure=False, **options)
-            return pd.DataFrame({"worker": [key[0]], "rows": [len(f)], "model": [m.dumps()]})
+        def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parts = list(frames)
+            if parts:
+                f = pd.concat(parts).sort_values("title", kind="stable")
+                m = Classifier.loads(start.value)
+                m.fit(f["words"].tolist(), f["entities"].tolist(), f["label"].tolist(), f["weight"].tolist(), seed=round_, measure=False, **options)
+                yield pd.DataFrame({"first": [f["title"].iloc[0]], "rows": [len(f)], "model": [m.dumps()]})
 
-        found = dealt.groupBy("worker").applyInPandas(fit, "worker long, rows long, model binary").orderBy("worker").collect()
+        found = sorted(dealt.mapInPandas(fit, "first string, rows long, model binary").collect(), key=lambda r: str(r["first"]))
         start.destroy()
         if not found:
             return model

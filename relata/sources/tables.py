@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..scratch import saved
 
 CATEGORIES = {"pro": "profession", "nat": "nationality"}
 
@@ -89,10 +90,12 @@ def lookup(table: DataFrame, key: str, wanted: DataFrame | list) -> DataFrame:
 
 
 def store_counts(counts: DataFrame, words: DataFrame, entities: DataFrame, path: str, column: str) -> None:
-    """A sparse matrix of counts (entity, <column>, n) as rows of ids (row, col, n), in order of rows."""
+    """A sparse matrix of counts (entity, <column>, n) as rows of ids (row, col, n), in order of rows. They are saved before they
+    are ordered, since the ranges are drawn from a sample of them."""
     ids = counts.join(entities.select(F.col("token").alias("entity"), F.col("id").alias("row")), "entity")
     ids = ids.join(words.select(F.col("token").alias(column), F.col("id").alias("col")), column)
-    store(ids.select("row", "col", F.col("n").cast("long").alias("n")).repartitionByRange("row").sortWithinPartitions("row", "col"), path)
+    ids = saved(ids.select("row", "col", F.col("n").cast("long").alias("n")), "counts")
+    store(ids.repartitionByRange("row").sortWithinPartitions("row", "col"), path)
 
 
 def feature_list(path: str) -> list[str]:
