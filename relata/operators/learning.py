@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import saved
+
 #: Labelled rows that one task may learn trees from; more are learned from by MLlib, in a distributed way.
 MOST_ROWS = 1_000_000
 # What is searched for classifiers (dropout, hidden units, sizes of embeddings and of attention embeddings), and
@@ -156,8 +158,8 @@ def _summed(where: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 
 def train_classifier(rows: DataFrame, shape: dict, epochs: int = 1, workers: int = 1, **options) -> Classifier:
     """A model from rows (title, words, entities, label, weight): each round `workers` tasks learn one epoch from their share of
-    the rows, from the round's model on, and their models are averaged by their numbers of rows. The driver gets `workers`
-    models a round, of a size that the vocabularies bound; with one worker it is plain training."""
+    the rows, from the round's model on, and their models are averaged by their numbers of rows. The driver reads the
+    models one at a time, each of a size that the vocabularies bound; with one worker it is plain training."""
     model, session = Classifier(**shape), rows.sparkSession
     dealt = rows.select("title", "words", "entities", "label", "weight").repartition(workers, "title")
     for round_ in range(epochs):
@@ -171,12 +173,15 @@ def train_classifier(rows: DataFrame, shape: dict, epochs: int = 1, workers: int
                 m.fit(f["words"].tolist(), f["entities"].tolist(), f["label"].tolist(), f["weight"].tolist(), seed=round_, measure=False, **options)
                 yield pd.DataFrame({"first": [f["title"].iloc[0]], "rows": [len(f)], "model": [m.dumps()]})
 
-        found = sorted(dealt.mapInPandas(fit, "first string, rows long, model binary").collect(), key=lambda r: str(r["first"]))
+        models = saved(dealt.mapInPandas(fit, "first string, rows long, model binary"), "models")
+        total = models.agg(F.sum("rows").alias("n")).first()["n"]
         start.destroy()
-        if not found:
+        if not total:
             return model
-        total, models = sum(r["rows"] for r in found), [Classifier.loads(bytes(r["model"])) for r in found]
-        model.p = {k: sum(m.p[k] * (r["rows"] / total) for m, r in zip(models, found)) for k in model.p}
+        model.p = {k: np.zeros_like(v) for k, v in model.p.items()}
+        for r in models.orderBy("first").toLocalIterator():
+            for k, v in Classifier.loads(bytes(r["model"])).p.items():
+                model.p[k] += v * (r["rows"] / total)
     return model
 
 
