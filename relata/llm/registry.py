@@ -1,6 +1,6 @@
 """The operators' queries by name, and their SQL where SQL can express them."""
 
-from . import ann, chat, katz, mixing, neardup, ogg, packing, repeats, toxicity, warc
+from . import ann, chat, fim, katz, leaks, mixing, neardup, ogg, packing, repeats, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_packing": packing.query,
     "op10_katz": katz.query,
+    "op11_fim": fim.query,
+    "op13_leaks": leaks.query,
 }
 
 SQL = {
@@ -21,4 +23,6 @@ SQL = {
     "op3_chat": chat.SQL,
     "op5_neardup": neardup.SQL,
     "op6_repeats": repeats.SQL,
+    "op11_fim": fim.SQL,
+    "op13_leaks": leaks.SQL,
 }
