@@ -1,6 +1,6 @@
 """The operators' queries by name, and their SQL where SQL can express them."""
 
-from . import ann, chat, fim, katz, leaks, mixing, neardup, ogg, packing, repeats, toxicity, warc
+from . import ann, chat, fim, heavy, katz, leaks, mixing, neardup, ogg, packing, repeats, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_packing": packing.query,
     "op10_katz": katz.query,
     "op11_fim": fim.query,
+    "op12_heavy": heavy.query,
     "op13_leaks": leaks.query,
 }
 
