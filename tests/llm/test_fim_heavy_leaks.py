@@ -156,7 +156,7 @@ def heavy_rows():
     r, rows = random.Random(4), []
     for k in range(20000):
         g = 0 if k % 3 == 0 else r.randrange(40)
-        rows.append((r.choice("ab"), g, f"k{min(r.randrange(4000), r.randrange(4000), r.randrange(3 + 100 * g))}", r.randrange(1, 50)))
+        rows.append((r.choice("ab"), g, "hot" if k % 5 == 0 else f"k{min(r.randrange(4000), r.randrange(3 + 100 * g))}", r.randrange(1, 50)))
     rows += [("a", 99, f"x{k}", 1) for k in range(9)] + [("a", 98, f"x{k}", 1) for k in range(10)]  # over, and not over, a tenth
     rows += [("b", 97, "z", 0), (None, 97, "q", 5), ("a", None, "z", 1), ("a", 1, None, 1), ("a", 1, "z", None), ("a", 1, "z", -5), ("b", 96, "", 3), ("b", 96, "é" * 3000, 2)]
     return rows
