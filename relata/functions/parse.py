@@ -13,66 +13,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from . import text as T
+from .wikitext import nodes, stripped
 
 LINKS = "array<struct<title: string, text: string, link_type: string>>"
 PARAGRAPHS = f"array<struct<text: string, wiki_links: {LINKS}, abstract: boolean>>"
 SENTENCES = "sent_id long, text string, wiki_links array<struct<title: string, span_start: int, span_end: int>>"
 LOCATED = "sent_id long, words array<string>, links array<struct<entity: string, before: int, after: int>>"
 _LINK = re.compile(r"\[(.+?)\|(.*?)\]")
-_NODE = re.compile(r"\[\[(?P<link>[^\[\]]*)\]\]|'''(?P<bold>.+?)'''|''(?P<italic>.+?)''|(?m:^(?P<head>=+)[^\n]+?(?P=head)[ \t]*$)|<!--.*?-->|\[https?://[^\]]*\]|&\w+;", re.S)
 _TOKEN = regex.compile(T.TOKEN)
 
 
-def _without_templates(text: str) -> str:
-    out, depth, at = [], 0, 0
-    for m in re.finditer(r"\{\{|\}\}", text):
-        if not depth:
-            out.append(text[at : m.start()])
-        depth = depth + 1 if m[0] == "{{" else max(0, depth - 1)
-        at = m.end()
-    return "".join([*out, text[at:]]) if not depth else "".join(out)
-
-
-def plain(markup: str) -> str:
-    """Text without links' brackets and quote marks, on one line."""
-    return re.sub(r"'{2,}", "", re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", r"\1", markup)).replace("\n", " ")
-
-
 def paragraphs(text: str | None, keep_last: bool = False) -> list[dict]:
     """The paragraphs of an article's wikitext, each with its links, and whether it is before the first heading.
 
-    Pieces (plain text, links' shown texts, bold and italic texts) are joined by spaces, and the whole is cut at line ends.
-    Text after the last line end is left out, as long as keep_last isn't set. A link inside bold or italic text is plain text.
-    Headings, templates, comments, outer links and entities go.
+    Texts, links' shown texts, and bold and italic texts (whose links are plain text) are joined by spaces, and cut at the line
+    ends of texts. What is after the last one is left out, as long as keep_last isn't set. Templates, comments, outer links,
+    entities, headings, list marks, tables and all other tags go with their contents. What never closes is text.
     """
-    text, at = _without_templates(text or ""), 0
-    pieces, links, lines, abstract_lines = [], [], 0, None
-    for m in [*_NODE.finditer(text), None]:
-        between = text[at : m.start() if m else len(text)]
-        if between:
-            pieces.append(between)
-            lines += between.count("\n")
-        if m is None:
-            break
-        at = m.end()
-        if m["head"]:
-            abstract_lines = lines if abstract_lines is None else abstract_lines
-        elif m["link"] is not None:
-            target, _, shown = m["link"].partition("|")
-            target = plain(target)
-            if target:
-                shown = plain(shown) if shown else target
-                pieces.append(shown)
-                links.append((lines, {"title": (target[0].upper() + target[1:]).replace("_", " "), "text": shown, "link_type": "out"}))
-        elif m["bold"] or m["italic"]:
-            pieces.append(plain(m["bold"] or m["italic"]))
-    found = " ".join(pieces).split("\n")
-    if not (keep_last and found[-1]):
-        found.pop()
-    out = [{"text": t, "wiki_links": [], "abstract": abstract_lines is None or k < abstract_lines} for k, t in enumerate(found)]
-    for line, link in links:
-        if line < len(out):
-            out[line]["wiki_links"].append(link)
+    out, pieces, links, abstract = [], [], [], True
+    for n in nodes(text or ""):
+        if n.kind == "text":
+            first, *rest = n.value.split("\n")
+            pieces.append(first)
+            for line in rest:
+                out.append({"text": " ".join(pieces), "wiki_links": links, "abstract": abstract})
+                pieces, links = [line], []
+        elif n.kind == "heading":
+            abstract = False
+        elif n.kind == "link" and (title := stripped(n.title)):
+            shown = stripped(n.inside) if n.inside else title
+            pieces.append(shown)
+            links.append({"title": (title[0].upper() + title[1:]).replace("_", " "), "text": shown, "link_type": "out"})
+        elif n.kind == "tag" and n.value in ("b", "i") and n.inside:
+            pieces.append(stripped(n.inside))
+    if keep_last and (pieces and pieces != [""]):
+        out.append({"text": " ".join(pieces), "wiki_links": links, "abstract": abstract})
     return out
 
 

@@ -90,21 +90,33 @@ def redirect_parse(spark, sf):
     return _read(spark, sf, "pages").select("page_id", T.redirect(text).alias("redirect")).withColumn("is_redirect", F.col("redirect").isNotNull())
 
 
+def _plain_lines(spark, sf, marks):
+    """doc_id, line, text: lines of documents without some characters."""
+    return _read(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.translate(F.coalesce("text", F.lit("")), marks, ""), "\n")).alias("line", "text"))
+
+
 def nested_links(spark, sf):
-    """Lines with a link inside a link's anchor: the outer one is spliced first, and the inner one then takes what follows."""
-    lines = _read(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("sent_id"), F.concat(F.lit("é ["), F.translate("n_name", " ", "_"), F.lit("|big [Q_r|n] end] post "), F.lower("n_name")).alias("line"))
-    found = parse.parse_sentences(lines).select("sent_id", "text", F.posexplode("wiki_links").alias("k", "x"))
-    return found.select("sent_id", "text", F.col("k").cast("long").alias("k"), "x.title", F.col("x.span_start").cast("long").alias("span_start"), F.col("x.span_end").cast("long").alias("span_end"))
+    """Every line of documents, with a link whose anchor is the line and holds another link: the outer one is spliced first, and
+    the inner one then takes what follows."""
+    lines = _plain_lines(spark, sf, "[|]").select(F.concat_ws("-", "doc_id", "line").alias("key"), F.concat(F.lit("é ["), F.lit("D_"), "doc_id", F.lit("|"), "text", F.lit(" [Q_r|n] end] post "), F.length("text").cast("string")).alias("line"))
+    found = parse.parse_sentences(lines.withColumn("sent_id", F.xxhash64("key"))).select("sent_id", "text", F.posexplode("wiki_links").alias("k", "x"))
+    return found.select(F.md5("text").alias("digest"), F.col("k").cast("long").alias("k"), "x.title", F.col("x.span_start").cast("long").alias("span_start"), F.col("x.span_end").cast("long").alias("span_end"))
+
+
+MARKUP = "[]{}<>|=\\'*#:;&-"
 
 
 def page_paragraphs(spark, sf):
-    """Wikitext with links, bold text, a heading and a template, and redirect pages, which have no paragraphs."""
-    name, key = F.col("n_name"), F.col("n_nationkey")
-    body = F.concat(F.lit("In [["), F.lower(name), F.lit("|the "), name, F.lit("]] '''so [[x]]'''\nof {{a|{{b}}}} [[foo_bar]]<!-- c -->.\n== H ==\nlow "), name, F.lit("\nlast"))
-    wiki = F.when(key % 5 == 0, F.concat(F.lit("#REDIRECT [["), name, F.lit("]]\nmore\n"))).otherwise(body)
-    pages = _read(spark, sf, "nation").select(key.cast("string").alias("title"), wiki.alias("wiki_text"))
-    found = parse.parse_pages(pages).select("title", F.posexplode("paragraphs").alias("k", "p"))
-    return found.select("title", F.col("k").cast("long").alias("k"), "p.text", "p.abstract", F.array_join(F.transform("p.wiki_links", lambda x: F.concat(x["title"], F.lit(">"), x["text"])), ",").alias("links"))
+    """Documents' texts among links, templates, references, tables, galleries, a file's link with a link inside, tags without
+    markup, bold and italic text, a heading, and braces that never close; every fifth is a redirect, which has no paragraphs."""
+    d = _read(spark, sf, "documents").select("doc_id", F.translate(F.coalesce("text", F.lit("")), MARKUP, "").alias("a"))
+    one = F.concat(F.lit("x"), F.substring(F.split("a", "\n")[0], 1, 20))
+    name, lit = F.concat(F.lit("doc_"), F.col("doc_id").cast("string")), F.lit
+    body = [lit("[["), name, lit("|"), one, lit("]] {{lost "), F.col("a"), lit("<ref>"), F.col("a"), lit(" [[Nowhere]]</ref>\n{|\n| "), one, lit(" [[Hidden]]\n|}\n<gallery>\nFile:x.jpg|"), one, lit("\n</gallery>[[File:"), name]
+    body += [lit(".jpg|thumb|a [[cat]] here]]<nowiki>[[no]]</nowiki> '''''both'''''{{t|{{u}}\n}} <b>"), one, lit("</b>\n== H ==\n"), F.col("a"), lit("<!-- c -->\n* [[a[b]] last [[\nend")]
+    wiki = F.when(F.col("doc_id") % 5 == 0, F.concat(lit("#REDIRECT [["), name, lit("]]\n"), F.col("a"))).otherwise(F.concat(*body))
+    found = parse.parse_pages(spread(d).select(F.col("doc_id").cast("string").alias("title"), wiki.alias("wiki_text"))).select("title", F.posexplode("paragraphs").alias("k", "p"))
+    return found.select("title", F.col("k").cast("long").alias("k"), F.md5("p.text").alias("digest"), "p.abstract", F.array_join(F.transform("p.wiki_links", lambda x: F.concat(x["title"], lit(">"), x["text"])), ",").alias("links"))
 
 
 def token_spans(spark, sf):
@@ -455,12 +467,13 @@ SQL = {
 SELECT x AS text, {_TITLE} AS title, replace(x, '_', ' ') AS spaced, NOT regexp_matches(lower({_TITLE}), '^(wikipedia|file|portal|template|mediawiki|user|help|book|draft):') AS is_article FROM t""",
     "redirect_parse": f"""WITH p AS (SELECT page_id, page_id % 6 AS k, regexp_extract(html, 'href="/([^"]*)"', 1) AS x FROM pages),
 q AS (SELECT page_id, CASE WHEN k IN (0, 1, 3) AND x <> '' THEN {_TITLE} WHEN k = 5 THEN CASE WHEN x = '' THEN 'More' ELSE {_TITLE} END END AS redirect FROM p) SELECT *, redirect IS NOT NULL AS is_redirect FROM q""",
-    "nested_links": """WITH n AS (SELECT n_nationkey::BIGINT AS sent_id, n_name AS x, 'é big n end post ' || lower(n_name) AS text FROM nation)
-SELECT sent_id, text, 0::BIGINT AS k, replace(x, '_', ' ') AS title, 2::BIGINT AS span_start, (2 + length('big [Q_r|n'))::BIGINT AS span_end FROM n UNION ALL SELECT sent_id, text, 1, 'Q r', 6, 6 + length('n end') FROM n""",
-    "page_paragraphs": """WITH n AS (SELECT n_nationkey::VARCHAR AS title, n_name AS x FROM nation WHERE n_nationkey % 5 <> 0), p AS (
-SELECT title, 0::BIGINT AS k, 'In  the ' || x || '   so x ' AS text, true AS abstract, replace(upper(substr(x, 1, 1)) || substr(lower(x), 2), '_', ' ') || '>the ' || x AS links FROM n
-UNION ALL SELECT title, 1, 'of   foo_bar .', true, 'Foo bar>foo_bar' FROM n UNION ALL SELECT title, 2, ' ', false, '' FROM n
-UNION ALL SELECT title, 3, 'low ' || x, false, '' FROM n) SELECT * FROM p""",
+    "nested_links": """WITH l AS (SELECT doc_id, unnest(string_split(translate(coalesce(text, ''), '[|]', ''), chr(10))) AS t FROM documents), x AS (SELECT md5('é ' || t || ' n end post ' || length(t)) AS digest, doc_id, length(t) AS n FROM l)
+SELECT digest, 0::BIGINT AS k, 'D ' || doc_id AS title, 2::BIGINT AS span_start, (2 + n + length(' [Q_r|n'))::BIGINT AS span_end FROM x UNION ALL SELECT digest, 1, 'Q r', (3 + n)::BIGINT, (3 + n + length('n end'))::BIGINT FROM x""",
+    "page_paragraphs": f"""WITH d AS (SELECT doc_id, string_split(translate(coalesce(text, ''), '{MARKUP.replace("'", "''")}', ''), chr(10)) AS a FROM documents WHERE doc_id % 5 <> 0), x AS (SELECT *, 'x' || substr(a[1], 1, 20) AS one, len(a) AS m FROM d), p AS (
+SELECT doc_id, unnest(range(1, m + 1)) AS i, unnest(a) AS t, true AS abstract, one, m, 0 AS base FROM x UNION ALL SELECT doc_id, unnest(range(1, m + 1)), unnest(a), false, one, m, m + 3 FROM x),
+q AS (SELECT doc_id, base + i - 1 AS k, CASE WHEN base = 0 AND i = 1 THEN one || '  {{{{lost ' ELSE '' END || t || CASE WHEN i = m THEN ' ' ELSE '' END AS text, abstract, CASE WHEN base = 0 AND i = 1 THEN 'Doc ' || doc_id || '>' || one ELSE '' END AS links FROM p
+UNION ALL SELECT doc_id, m, ' ', true, '' FROM x UNION ALL SELECT doc_id, m + 1, ' thumb|a cat here   both   ' || one || ' ', true, 'File:doc ' || doc_id || '.jpg>thumb|a cat here' FROM x
+UNION ALL SELECT doc_id, m + 2, ' ', false, '' FROM x UNION ALL SELECT doc_id, m + m + 3, '  [[a[b]] last [[', false, '' FROM x) SELECT doc_id::VARCHAR AS title, k::BIGINT AS k, md5(text) AS digest, abstract, links FROM q""",
     "token_spans": r"""WITH g AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), a AS (SELECT doc_id, string_split_regex(t, '[\p{L}\p{N}_]+') AS gap, regexp_extract_all(t, '[\p{L}\p{N}_]+') AS tok FROM g),
 u AS (SELECT doc_id, i, length(gap[i]) AS before, length(tok[i]) AS n FROM (SELECT doc_id, gap, tok, unnest(range(1, len(tok) + 1)) AS i FROM a)),
 s AS (SELECT doc_id, i, n, sum(before + n) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS stop FROM u),

@@ -1,3 +1,6 @@
+import re
+import time
+
 from pyspark.sql import functions as F
 
 from relata.functions import parse
@@ -68,3 +71,34 @@ def test_spans(spark):
 def test_long_lines_with_many_links():
     text, links = parse.sentence("[T|a] " * 2000)
     assert len(links) == 2000 and text == "a " * 1999 + "a"
+
+
+PAGES = [
+    ("a {{t|x}} b {{unclosed\nmore text\nend\n", ["a   b {{unclosed", "more text", "end"], []),
+    ("x<ref>Smith 1990, [[Oxford]]</ref> y<ref name=a/>\n", ["x  y "], []),
+    ("{|\n| cell [[x]]\n|}\nafter {| no table\n", ["", "after {| no table"], []),
+    ("[[File:a.jpg|thumb|A [[cat]] here]]\n", ["thumb|A cat here "], ["File:a.jpg"]),
+    ("<b>bold</b> '''''both''''' <nowiki>[[no]]</nowiki>\n", ["bold   both   "], []),
+    ("'''''a'' b''' c ''it '''b''''' d '' e\n", ["a b  c  it b  d '' e"], []),
+    ("[[a|b {{c]] d}} [[unclosed <b> [[X_y|z]]\n", ["[[a|b   [[unclosed <b>  z "], ["X y"]),
+    ("<ref name=x/> z <br> w </p> <div>gone [[g]]</div> <div>kept [[h]]\n", [" z   w </p>   <div>kept  h "], ["H"]),
+    ("&nbsp;x &foo; [http://a.b c] http://a.b/c. y <!-- c --> [[x|]] [[|y]] <!-- open\n", ["x &foo;    . y    x    <!-- open"], ["X"]),
+    ("* item [[A_b]]\n----\n== H ==\n: in {{{arg|{{x}}}}} {{a{{b}}}} q\n", [" item  A_b ", " ", " ", "  in     q"], ["A b"]),
+    ("[[bad\ntitle]] [[a[b]] 5 > 3 < 4\n<gallery>\nFile:x.jpg|[[no]]\n</gallery>\n", ["[[bad", "title]] [[a[b]] 5 > 3 < 4", " "], []),
+    ("}} a ]] |} </b> {{ '' x <nowiki> <!--\n", ["}} a ]] |} </b> {{ '' x <nowiki> <!--"], []),
+    ("<li>one [[p]]\n<b>[[q|r &amp; s]] {{t}}</b> <math>[[x]]</math>\n", ["one  p ", "r & s    "], ["P"]),
+]
+
+
+def test_markup():
+    for text, texts, titles in PAGES:
+        page = parse.paragraphs(text)
+        got = [re.sub(r"^ +(?=x &foo|one)", "", p["text"]) for p in page]
+        assert (got, [x["title"] for p in page for x in p["wiki_links"]]) == (texts, titles), text
+
+
+def test_broken_markup_in_linear_time():
+    began = time.time()
+    for bad in ("{{" * 50_000, "[[" * 50_000 + "]]" * 50_000, "<b>" * 50_000, "<b>" * 50_000 + "</b>" * 50_000, "''" * 50_001, "<!--" * 50_000, "<nowiki>" * 50_000, "=" * 50_000, "{|\n" * 50_000, "<i>''" * 50_000, "{{a|" * 20_000 + "}}" * 20_000):
+        parse.paragraphs(bad + "\n")
+    assert time.time() - began < 60
