@@ -22,9 +22,10 @@ BUNDLES = "bundle_id string, data binary, records array<struct<record_id: string
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def _name(page_id: int | None, row: int) -> str:
-    """A record's id: that of its page, and of its row, since a page may be there several times."""
-    return f"<urn:page:{'null' if page_id is None else page_id}:{row}>"
+def _name(page_id: int | None, content: int, copy: int) -> str:
+    """A record's id: that of its page, a hash of its address and payload, since a page may be there several times, and the
+    number of the copy, since a row may. It is the same however rows are dealt to tasks."""
+    return f"<urn:page:{'null' if page_id is None else page_id}:{content & (1 << 64) - 1:016x}:{copy}>"
 
 
 def _number(name: str | None) -> int | None:
@@ -32,16 +33,16 @@ def _number(name: str | None) -> int | None:
     return None if text == "null" else int(text)
 
 
-def record(page_id: int | None, row: int, url: str | None, payload: bytes, refers_to: tuple[int, int] | None) -> bytes:
-    """One WARC/1.1 record; a revisit, which refers to a page and its row, has the HTTP head only."""
+def record(name: str, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
+    """One WARC/1.1 record; a revisit, which refers to another record, has the HTTP head only."""
     revisit = refers_to is not None
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_name(page_id, row)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + "".join(c if c > " " else f"%{ord(c):02X}" for c in url))
     if revisit:
-        lines += [f"WARC-Refers-To: {_name(*refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     else:
         block += payload
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -111,20 +112,27 @@ def write_bundles(pages: DataFrame, min_revisit_bytes: int = 0, frame_bytes: int
     """A bundle per row (BUNDLES) with a WARC record per row of pages (page_id, html; url if there is one).
 
     Of records with equal payloads of at least min_revisit_bytes, the one with the largest page_id is the response, and the
-    others are revisits of it. Groups are found on digests alone: largest ids are aggregated before the shuffle, and each page
-    then meets its digest's in a join whose large partitions can be split. A null html is an empty payload. A null page_id
+    others are revisits of it. Groups are found on digests alone: rows are counted by id and content before the shuffle, and each
+    page then meets its digest's in a join whose large partitions can be split. A null html is an empty payload. A null page_id
     is smaller than any other; a group of null ids only has no revisits. Rows with the same page_id and payload are all
-    responses, each with a record id of its own, and revisits name one of them. Where the input's size is known, a task fills
-    about one bundle at least. A very long html is a frame of its own. An empty table gives no bundle. Column names besides
-    page_id, url and html don't matter.
+    responses, each with a record id of its own, and revisits name one of them. Ids are made of what is in a row, so that a
+    task that is repeated elsewhere gives the same; equal rows are counted, and written as often. Where the input's size is
+    known, a task fills about one bundle at least. A very long html is a frame of its own. An empty table gives no bundle. Column
+    names besides page_id, url and html don't matter.
     """
     names = {c.lower() for c in pages.columns}
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), (pages["url"] if "url" in names else F.lit(None)).cast("string").alias("url"), F.coalesce(pages["html"], F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.unhex(F.sha1("html"))).withColumn("row", F.monotonically_increasing_id())
-    kept = rows.groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("kept"))
+    rows = rows.withColumn("digest", F.unhex(F.sha1("html"))).withColumn("content", F.xxhash64("url", "digest")).withColumn("copies", F.lit(1).cast("long"))
+    keys = saved(rows.groupBy("digest", "page_id", "content").agg(F.count(F.lit(1)).alias("n")), "page-keys")
+    kept = keys.groupBy("digest").agg(F.max(F.struct("page_id", "content")).alias("kept"))
+    repeated = keys.where("n > 1").select("digest", F.col("page_id").alias("id"), F.col("content").alias("c"))
+    if repeated.limit(1).count():
+        same = (rows["digest"] == repeated["digest"]) & rows["page_id"].eqNullSafe(repeated["id"]) & (rows["content"] == repeated["c"])
+        once = rows.join(repeated, same, "left_semi").groupBy("page_id", "url", "html", "digest", "content").agg(F.count(F.lit(1)).alias("copies"))
+        rows = rows.join(repeated, same, "left_anti").unionByName(once)
     rows = rows.join(kept, "digest", "left")
     revisit = (F.octet_length("html") >= min_revisit_bytes) & F.col("kept.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept.page_id"))
-    rows = rows.select("page_id", "row", "url", "html", F.when(revisit, F.col("kept.page_id")).alias("refers_to"), F.when(revisit, F.col("kept.row")).alias("refers_row"))
+    rows = rows.select("page_id", "content", "copies", "url", "html", F.when(revisit, F.col("kept.page_id")).alias("refers_to"), F.when(revisit, F.col("kept.content")).alias("refers_content"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -137,11 +145,13 @@ def write_bundles(pages: DataFrame, min_revisit_bytes: int = 0, frame_bytes: int
 
         for batch in batches:
             for k in range(batch.num_rows):
-                page, at, url, html, refers, refers_row = (batch.column(i)[k].as_py() for i in range(6))
-                bundle.add(_name(page, at), record(page, at, url, html.encode(), None if refers is None else (refers, refers_row)))
-                if bundle.size >= bundle_bytes:
-                    yield row()
-                    made, bundle = made + 1, Bundle(frame_bytes, level)
+                page, content, copies, url, html, refers, refers_content = (batch.column(i)[k].as_py() for i in range(7))
+                for copy in range(1, copies + 1):
+                    name = _name(page, content, copy)
+                    bundle.add(name, record(name, url, html.encode(), None if refers is None else _name(refers, refers_content, 1)))
+                    if bundle.size >= bundle_bytes:
+                        yield row()
+                        made, bundle = made + 1, Bundle(frame_bytes, level)
         if bundle.records:
             yield row()
 

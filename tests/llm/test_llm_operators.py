@@ -44,6 +44,21 @@ def test_warc(spark):
     assert warc.read_bundles(warc.write_bundles(pages.limit(0))).count() == 0
 
 
+def test_warc_references_hold(spark):
+    """Rows dealt anew, as by a repeated task, keep their ids: no revisit names a record that isn't there."""
+    from relata.scratch import saved
+
+    base = [(k, f"u{k % 7}", f"same {k % 5}") for k in range(200)] + [(3, "u3", "same 3")] * 3 + [(199, "u3", "same 4")] * 2 + [(None, "u", "same 1")] * 2 + [(199, None, "same 4")]
+    pages = spark.createDataFrame(base, "page_id long, url string, html string")
+    b = saved(warc.write_bundles(pages.repartition(8), frame_bytes=500), "bundles").collect()
+    heads = [warc.parse(warc.frame(r["data"], warc.seek_table(r["data"])[x["frame"]])[x["offset"] :][: x["length"]])[0] for r in b for x in r["records"]]
+    ids = [h["WARC-Record-ID"] for h in heads]
+    assert len(ids) == len(set(ids)) == len(base)
+    named = {h["WARC-Refers-To"] for h in heads if h["WARC-Type"] == "revisit"}
+    responses = {h["WARC-Record-ID"] for h in heads if h["WARC-Type"] == "response"}
+    assert named and named <= responses
+
+
 def test_mixing(spark):
     found = mixing.mix(some(spark)).collect()
     assert len(found) == 14
