@@ -80,7 +80,7 @@ def _send_counts(t: Tokens, buckets: int):
         parts = []
         for g, d in zip(t.grams, deals):
             mine = d.of(k)
-            parts += [B.squeeze_sorted(g.keys[mine]), B.squeeze(g.count[mine].astype(np.uint32))]
+            parts += [B.squeeze_sorted(g.keys[mine]), B.squeeze_planes(g.count[mine])]
         yield k, B.join(parts)
 
 
@@ -91,23 +91,24 @@ def _merge_counts(bucket, sent):
     parts, answers, sums = [B.split(x) for _, x in sent], [[] for _ in sent], []
     for m in range(len(parts[0]) // 2):
         keys = [B.expand_sorted(p[2 * m]) for p in parts]
-        counts = [B.expand(p[2 * m + 1], np.uint32) for p in parts]
-        every, where = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+        counts = [B.expand_planes(p[2 * m + 1], np.int64) for p in parts]
+        every, where = np.concatenate(keys), np.concatenate(counts)
         distinct, inverse, batches = np.unique(every, return_inverse=True, return_counts=True)
-        total = np.bincount(inverse, weights=where, minlength=len(distinct)).astype(np.int64)
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, inverse, where)
         owner = np.full(len(distinct), len(every))
         has = np.flatnonzero(where > 0)
         np.minimum.at(owner, inverse[has], has)
         at = 0
         for a, x in zip(answers, keys):
             mine = inverse[at : at + len(x)]
-            a.append(B.squeeze(total[mine].astype(np.uint32)))
+            a.append(B.squeeze_planes(total[mine]))
             a.append(B.squeeze(np.packbits(np.stack([batches[mine] > 1, owner[mine] == np.arange(at, at + len(x))]))))
             at += len(x)
         by = np.bincount(np.minimum(total, LARGE + 2), minlength=LARGE + 3)
         sums += [int(total.sum()), int((total > 0).sum()), *by[1 : LARGE + 2].tolist()]
         trained = total > 0
-        yield "grams", m + 1, bucket, B.join([B.squeeze_sorted(distinct[trained]), B.squeeze(total[trained].astype(np.uint32))]), None
+        yield "grams", m + 1, bucket, B.join([B.squeeze_sorted(distinct[trained]), B.squeeze_planes(total[trained])]), None
     for (batch, _), a in zip(sent, answers):
         yield "answers", batch, bucket, B.join(a), None
     yield "sums", -1, bucket, None, sums
@@ -175,7 +176,7 @@ class Evaluator:
                 parts = B.split(data)
                 for m, d in enumerate(self.deals):
                     mine = d.of(k)
-                    self.totals[m][mine] = B.expand(parts[2 * m], np.uint32)
+                    self.totals[m][mine] = B.expand_planes(parts[2 * m], np.int64)
                     bits = np.unpackbits(B.expand(parts[2 * m + 1], np.uint8), count=2 * len(mine)).reshape(2, -1).astype(bool)
                     self.shared[m][mine], self.own[m][mine] = bits
         self.chance = model.unigram(self.totals[0])

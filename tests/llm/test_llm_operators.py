@@ -470,8 +470,23 @@ def test_katz_brute_force(spark, order):
     for h in histories:
         assert sum(chance(h, w) for w in [*vocabulary, "new"]) == pytest.approx(1)
     want = {i: sum(np.log10(chance(tuple(t[k - order + 1 : k]), t[k])) for k in range(order - 1, len(t))) for i, t in padded.items()}
-    found = {r["doc_id"]: r["score"] for r in katz.train_and_score(df, katz.held_out, order).collect()}
-    assert found == pytest.approx(want, abs=1e-9)
+    out = {r["doc_id"]: r for r in katz.train_and_score(df, katz.held_out, order).collect()}
+    assert {i: r["score"] for i, r in out.items()} == pytest.approx(want, abs=1e-9)
+    total, ones = grams[1].total(), {w: n for (w,), n in grams[1].items()}
+    for i, t in padded.items():
+        t = t[order - 1 :]
+        assert (out[i]["held_out"], out[i]["n_tokens"], out[i]["n_known"], out[i]["train_tokens"]) == (i in held, len(t), sum(w in ones for w in t), total)
+        assert out[i]["base_score"] == pytest.approx(sum(np.log10((ones.get(w, 0) + 1) / (total + len(ones) + 1)) for w in t), abs=1e-9)
+
+
+def test_katz_large_counts():
+    """Two batches' counts of one n-gram, beyond 32 bits."""
+    keys = np.array([5, 9], np.uint64)
+    sent = [(b, katz.B.join([katz.B.squeeze_sorted(keys), katz.B.squeeze_planes(np.array([3 * 10**9, b], np.int64))])) for b in (0, 1)]
+    rows = list(katz._merge_counts(0, sent))
+    told = [katz.B.expand_planes(katz.B.split(r[3])[0], np.int64).tolist() for r in rows if r[0] == "answers"]
+    assert told == [[6 * 10**9, 1]] * 2
+    assert [r[4][0] for r in rows if r[0] == "sums"] == [6 * 10**9 + 1]
 
 
 def budgets(sizes):
