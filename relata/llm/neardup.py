@@ -153,10 +153,9 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int =
     Documents are linked when 100 * common >= percent * all of their k-word shingles. Documents with equal sets are one class,
     and only classes are compared. Band keys bring classes together. First each class meets its key's smallest and largest
     class only; links are confirmed on full sets and joined to components. A key whose classes all are in one component is
-    done, however many they are. The classes with two or more other keys meet again where their full sets have a rare shingle
-    in common, by a filter that leaves out no pair that is alike enough (`_close`). So every pair with two common keys that
-    could join two components is tried. At a similarity of 0.8 and 32 keys of 5 rows, a pair has fewer than two common keys
-    with a probability of 5e-5.
+    done, however many they are. The classes with any other key meet again where their full sets have a rare shingle in common,
+    by a filter that leaves out no pair that is alike enough (`_close`). So every pair with a common key that could join two
+    components is tried. At a similarity of 0.8 and 32 keys of 5 rows, a pair has no common key with a probability of 3e-6.
 
     Null, empty and blank texts have an empty set and no links. Rows with equal ids are one node. A null doc_id can't be
     pointed to: such rows are linked with nothing and have a null component_id and kept true. A very long text is one set, whose
@@ -191,8 +190,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int =
 
     placed = met.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
     mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-    open_ = placed.join(mixed, "key", "left_semi").groupBy("rep", "digest", "n", "part").agg(F.count(F.lit(1)).alias("c"))
-    open_ = few(open_.where("c > 1").drop("c"), "open")
+    open_ = placed.join(mixed, "key", "left_semi").select("rep", "digest", "n", "part").distinct()
+    open_ = few(open_, "open")
     more = few(pairs("a", "b", _close(open_, sets, percent)).join(stars.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     found = _linked(sets, more, percent, "rest", parts_)
     final = components(links.union(found).distinct()) if found.limit(1).count() else parts
