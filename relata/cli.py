@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import parse
 from .operators import cooc, datasets, entities, learning, scoring, serving
+from .scratch import saved
 from .sources import tables as S
 
 
@@ -39,7 +40,8 @@ def build_page_db(spark, a) -> None:
     dump = S.dump(spark, a.dump_file)
     _, redirects = _entities(spark, a.entity_db_file)
     pages = entities.with_resolved_links(parse.parse_pages(dump), redirects)
-    S.store(entities.page_table(pages, entities.out_links(pages), entities.target_titles(_kb(spark, a), redirects)), a.out_file)
+    pages, in_links = entities.page_tables(pages, entities.out_links(pages), entities.target_titles(_kb(spark, a), redirects))
+    S.store_all({"pages": pages, "in_links": in_links}, a.out_file)
 
 
 def build_sentence_db(spark, a) -> None:
@@ -84,10 +86,10 @@ def _store_dataset(spark, features, a, words, names, options: dict) -> None:
 
 def build_page_dataset(spark, a) -> None:
     """A classifier's dataset from pages."""
-    bags = serving.page_bags(S.load(spark, a.page_db_file), a.in_links, a.out_links, a.abstract_only)
-    words, names = serving.page_vocabularies(bags, a.text_len, a.min_word_count, a.min_entity_count)
+    bags = [saved(x, "bags") for x in serving.page_bags(*S.load_all(spark, a.page_db_file, ["pages", "in_links"]).values(), a.in_links, a.out_links, a.abstract_only)]
+    words, names = serving.page_vocabularies(*bags, a.text_len, a.min_word_count, a.min_entity_count)
     _, redirects = _entities(spark, a.entity_db_file)
-    features = serving.page_features(_kb(spark, a), bags, words, names, redirects, a.text_len, a.entity_len)
+    features = serving.page_features(_kb(spark, a), *bags, words, names, redirects, a.text_len, a.entity_len)
     _store_dataset(spark, features, a, words, names, {"kind": "page", "in_links": a.in_links, "out_links": a.out_links, "abstract_only": a.abstract_only})
 
 
@@ -146,9 +148,9 @@ def cache_classifier_results(spark, a) -> list[str]:
         about = models[name][1]
         if about["kind"] == "cooc":
             return _cooc_features(spark, kb, about["matrix"], redirects, about["text_len"], about["entity_len"])
-        bags = serving.page_bags(S.load(spark, a.page_db_file), about["in_links"], about["out_links"], about["abstract_only"])
+        bags = serving.page_bags(*S.load_all(spark, a.page_db_file, ["pages", "in_links"]).values(), about["in_links"], about["out_links"], about["abstract_only"])
         words, names = S.load_all(spark, about["dataset"], ["word_vocab", "entity_vocab"]).values()
-        return serving.page_features(kb, bags, words, names, redirects, about["text_len"], about["entity_len"])
+        return serving.page_features(kb, *bags, words, names, redirects, about["text_len"], about["entity_len"])
 
     return serving.cached(spark, a.out_file, S.listed(a.cooc_models, a.page_models), features_of, model_of)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Entities of a sentence that are paired in one row.
+BLOCK = 256
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -46,8 +48,19 @@ def word_entity(sentences: DataFrame, window: int | None, vocab: DataFrame | Non
     return counts if vocab is None else counts.join(vocab.select(F.col("token").alias("word")), "word", "left_semi").select("entity", "word", "n")
 
 
-def entity_entity(sentences: DataFrame) -> DataFrame:
-    """e1, e2, n: sentences (links) that name both, in both directions; a sentence counts a pair once."""
-    one = sentences.select(F.array_distinct("links.entity").alias("all")).select(F.explode("all").alias("e1"), "all")
-    half = one.select("e1", F.explode(F.filter("all", lambda e: e > F.col("e1"))).alias("e2")).groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("n"))
+def entity_entity(sentences: DataFrame, block: int = BLOCK) -> DataFrame:
+    """e1, e2, n: sentences (links) that name both, in both directions; a sentence counts a pair once.
+
+    A sentence of more than `block` entities is cut into blocks of them, in order, and every two blocks (or one with itself) are
+    a row of their own, dealt to all tasks; so its pairs are made by many, and no row has more than two blocks.
+    """
+    every = sentences.select(F.array_sort(F.array_distinct("links.entity")).alias("all")).where("size(all) > 1")
+    one = every.where(F.size("all") <= block).select(F.explode("all").alias("e1"), "all")
+    short = one.select("e1", F.explode(F.filter("all", lambda e: e > F.col("e1"))).alias("e2"))
+    cut = every.where(F.size("all") > block).withColumn("last", F.expr(f"(size(all) - 1) div {block}"))
+    two = cut.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).withColumn("j", F.explode(F.sequence("i", "last")))
+    part = lambda k: F.slice("all", (F.col(k) * block + 1).cast("int"), block)
+    long = two.select(part("i").alias("a"), part("j").alias("b"), F.xxhash64("all").alias("s"), "i", "j").repartition("s", "i", "j")
+    long = long.withColumn("e1", F.explode("a")).select("e1", F.explode("b").alias("e2")).where("e1 < e2")
+    half = short.union(long).groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("n"))
     return half.union(half.select("e2", "e1", "n"))

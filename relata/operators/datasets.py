@@ -10,6 +10,10 @@ from ..scratch import saved
 
 #: Rows of a table that may be sent to all tasks, as a vocabulary; a larger one is joined by a shuffle.
 MOST_SENT = 500_000
+#: Copies of a counted id that are made at a time.
+COPIES = 1024
+#: How many standard deviations more copies than needed are expected to pass the bar of a bag.
+SPREADS = 6
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -31,10 +35,33 @@ def long_enough(rows: DataFrame, minimum: int = 5, column: str = "length") -> Da
     return rows.where(F.col(column) > minimum)
 
 
-def expanded(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, bag: each token id as often as it was counted, in an order fixed by a hash."""
-    rows = counts.select(*keys, F.explode(F.expr("sequence(1, n)")).alias("copy"), "id")
-    return rows.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.md5(F.concat_ws("-", F.col("id").cast("string"), F.col("copy").cast("string"))).alias("h"), "id"))), lambda x: x["id"]).alias("bag"))
+def expanded(counts: DataFrame, keys: list[str], size: int, label: str = "bag") -> DataFrame:
+    """keys, <label>, n of counts (keys, id, n): each id as often as it was counted, in the order of hashes of its copies, and of
+    more than `size` copies those with the largest hashes; n is how many there were.
+
+    Copies are made block by block in the task that reads a count, and never kept: of a key with more than `size`, a copy goes on
+    only if its hash is above a bar that size + SPREADS * sqrt(size) + 20 of them are expected to pass; these meet, are ranked, and make
+    the bag. Should fewer than `size` have passed, a key's copies are ranked without a bar. The keys with a bar are few, and are
+    sent to all tasks if they are few enough.
+    """
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+    share = F.lit(size + SPREADS * size**0.5 + 20) / F.col("total")
+    bar = F.lower(F.lpad(F.hex(F.floor((1 - F.least(share, F.lit(1.0))) * 2**32).cast("long")), 8, "0"))
+    barred = sent(totals.where(F.col("total") > size).select(*keys, "total", bar.alias("bar")), "bars")
+
+    def ranked(some: DataFrame) -> DataFrame:
+        blocks = some.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}"))))
+        copies = blocks.withColumn("copy", F.explode(F.sequence(F.col("block") * COPIES + 1, F.least(F.col("n").cast("long"), (F.col("block") + 1) * COPIES))))
+        hashed = copies.select(*keys, "id", "total", "bar", F.md5(F.concat_ws("-", F.col("id").cast("string"), F.col("copy").cast("string"))).alias("h")).where("bar IS NULL OR h >= bar")
+        return hashed.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("h"), F.desc("id")))).where(F.col("place") <= size).drop("place", "bar")
+
+    kept = saved(ranked(counts.where("n > 0").join(barred, keys, "left")), "copies")
+    short = barred.join(kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")), keys, "left").where(F.coalesce("c", F.lit(0)) < size).select(*keys, "total")
+    if short.limit(1).count():
+        again = ranked(counts.where("n > 0").join(short.withColumn("bar", F.lit(None).cast("string")), keys))
+        kept = kept.join(short.select(*keys), keys, "left_anti").unionByName(saved(again, "all-copies"))
+    bag = F.transform(F.sort_array(F.collect_list(F.struct("h", "id"))), lambda x: x["id"])
+    return kept.groupBy(*keys).agg(bag.alias(label), F.coalesce(F.max("total"), F.count(F.lit(1))).alias("n"))
 
 
 def placed(rows: DataFrame, key: str, seed: str = "0") -> DataFrame:

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.parse import LINKS
+from .datasets import sent
+
+#: In-links of a title that are stored as one list, about.
+PART_LINKS = 1000
 
 
 def titles_and_redirects(dump: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,20 +73,36 @@ def with_resolved_links(pages: DataFrame, redirects: DataFrame) -> DataFrame:
     return both.select("title", F.when(F.col("hops").isNull(), F.col("paragraphs")).otherwise(F.transform("paragraphs", paragraph)).alias("paragraphs"))
 
 
-def page_table(pages: DataFrame, links: DataFrame, targets: DataFrame) -> DataFrame:
-    """Target pages (title, paragraphs) with their in_links. links: source, title, text. Links to pages that weren't seen go."""
-    wanted = targets.select("title").distinct()
-    inverted = links.join(wanted, "title", "left_semi").groupBy("title").agg(F.sort_array(F.collect_list(F.struct(F.col("source").alias("title"), "text", F.lit("in").alias("link_type")))).alias("in_links"))
-    seen = pages.join(wanted, "title", "left_semi").join(inverted, "title", "left")
-    return seen.withColumn("in_links", F.coalesce("in_links", F.array().cast(LINKS)))
+def in_link_parts(links: DataFrame, targets: DataFrame, part_links: int = PART_LINKS) -> DataFrame:
+    """title, part, links: what links to the targets (links: source, title, text), in lists of about part_links each. A title
+    that half of all pages link to has as many parts as that takes, chosen by a hash, and no task holds all of its links. The
+    titles with several parts are sent to all tasks if they are few enough."""
+    some = links.join(targets.select("title").distinct(), "title", "left_semi")
+    several = some.groupBy("title").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_links)
+    several = sent(several.select("title", F.expr(f"(n + {part_links - 1}) div {part_links}").alias("parts")), "parts")
+    place = F.coalesce(F.pmod(F.xxhash64("source", "text"), "parts"), F.lit(0)).cast("int")
+    rows = some.join(several, "title", "left").select("title", place.alias("part"), F.struct(F.col("source").alias("title"), "text", F.lit("in").alias("link_type")).alias("x"))
+    return rows.groupBy("title", "part").agg(F.sort_array(F.collect_list("x")).alias("links"))
+
+
+def in_links(parts: DataFrame) -> DataFrame:
+    """title, x (title, text, link_type): the links of `in_link_parts`, a row each, as its parts are read."""
+    return parts.select("title", F.explode("links").alias("x"))
+
+
+def page_tables(pages: DataFrame, links: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(target pages: title, paragraphs; their in-links in parts). links: source, title, text. Links to pages that weren't seen
+    go."""
+    seen = pages.join(targets.select("title").distinct(), "title", "left_semi")
+    return seen, in_link_parts(links, seen)
 
 
-def page_database(dump: DataFrame, parsed: DataFrame, kb: DataFrame) -> DataFrame:
-    """title, paragraphs, in_links of the pages of a knowledge base's entities. dump: title, redirect; parsed: title, paragraphs."""
+def page_database(dump: DataFrame, parsed: DataFrame, kb: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`page_tables` of the pages of a knowledge base's entities. dump: title, redirect; parsed: title, paragraphs."""
     titles, redirects = titles_and_redirects(dump)
     hops = valid_redirects(redirects, titles)
     pages = with_resolved_links(parsed, hops)
-    return page_table(pages, out_links(pages), target_titles(kb, hops))
+    return page_tables(pages, out_links(pages), target_titles(kb, hops))
 
 
 def target_titles(kb: DataFrame, redirects: DataFrame | None = None) -> DataFrame:

@@ -120,8 +120,8 @@ def scores(predictions: DataFrame, binary: bool) -> DataFrame:
 
 def metrics(rows: DataFrame) -> DataFrame:
     """Means over folds of rows (fold, label, prediction): accuracy of rounded predictions, mae, mae_raw, and the shares within
-    1, 2 and 4."""
-    off = F.abs(T.rounded(F.col("prediction")) - F.col("label"))
+    1, 2 and 4. Errors are those of predictions as they are, beyond 0 and 7 too."""
+    off = F.abs(F.round("prediction") - F.col("label"))
     by_fold = rows.groupBy("fold").agg(F.avg((off == 0).cast("double")).alias("accuracy"), F.avg(off).alias("mae"), F.avg(F.abs(F.col("prediction") - F.col("label"))).alias("mae_raw"), *[F.avg((off <= k).cast("double")).alias(f"delta_{k}") for k in (1, 2, 4)])
     return by_fold.agg(*[F.avg(c).alias(c) for c in ("accuracy", "mae", "mae_raw", "delta_1", "delta_2", "delta_4")])
 

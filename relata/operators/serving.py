@@ -10,16 +10,20 @@ from ..sources import tables as S
 from . import cooc, datasets, entities, learning, scoring
 
 
-def page_bags(pages: DataFrame, in_links: bool = True, out_links: bool = True, abstract_only: bool = False) -> DataFrame:
-    """title, words (all tokens, in lower case), links (distinct titles) of pages (title, paragraphs, in_links)."""
-    links = entities.page_links(F.col("paragraphs"), F.col("in_links"), in_links, out_links, abstract_only)
-    return pages.select("title", T.lowered(T.tokens(entities.page_text(F.col("paragraphs"), abstract_only))).alias("words"), F.array_distinct(F.transform(links, lambda x: x["title"])).alias("links"))
-
-
-def page_vocabularies(bags: DataFrame, text_len: int = 5000, min_word_count: int = 5, min_entity_count: int = 5) -> tuple[DataFrame, DataFrame]:
+def page_bags(pages: DataFrame, parts: DataFrame, in_links: bool = True, out_links: bool = True, abstract_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(title, words: all tokens of pages (title, paragraphs), in lower case; title, token: each title that they link, or that
+    links them, once). The links of `in_link_parts` are read part by part."""
+    words = pages.select("title", T.lowered(T.tokens(entities.page_text(F.col("paragraphs"), abstract_only))).alias("words"))
+    chosen = pages.select("title", F.explode(entities.chosen(F.col("paragraphs"), abstract_only)).alias("p"))
+    out = chosen.select("title", F.explode("p.wiki_links").alias("x")).select("title", F.col("x.title").alias("token"))
+    into = entities.in_links(parts).select("title", F.col("x.title").alias("token")).join(pages.select("title"), "title", "left_semi")
+    links = out.where(F.lit(out_links)).unionByName(into.where(F.lit(in_links)))
+    return words, links.distinct()
+
+
+def page_vocabularies(words: DataFrame, links: DataFrame, text_len: int = 5000, min_word_count: int = 5, min_entity_count: int = 5) -> tuple[DataFrame, DataFrame]:
     """(words by how often they are among the pages' first text_len tokens, entities by how many pages link them)."""
-    words = cooc.vocabulary(datasets.first_words(bags, text_len), min_word_count)
-    return words, cooc.vocabulary(bags.select(F.explode("links").alias("token")), min_entity_count)
+    return cooc.vocabulary(datasets.first_words(words, text_len), min_word_count), cooc.vocabulary(links.select("token"), min_entity_count)
 
 
 def _two_bags(titles: DataFrame, words: DataFrame, links: DataFrame, text_len: int, entity_len: int) -> DataFrame:
@@ -30,25 +34,27 @@ def _two_bags(titles: DataFrame, words: DataFrame, links: DataFrame, text_len: i
     return out.select("title", "words", "n_words", "entities", "n_entities")
 
 
-def page_features(titles: DataFrame, bags: DataFrame, word_vocab: DataFrame, entity_vocab: DataFrame, redirects: DataFrame, text_len: int = 5000, entity_len: int = 2000) -> DataFrame:
-    """title, words, n_words, entities, n_entities of the titles, as they resolve, that have a page; others are left out."""
+def page_features(titles: DataFrame, words: DataFrame, links: DataFrame, word_vocab: DataFrame, entity_vocab: DataFrame, redirects: DataFrame, text_len: int = 5000, entity_len: int = 2000) -> DataFrame:
+    """title, words, n_words, entities, n_entities of the titles, as they resolve, that have a page; others are left out. Of
+    more than entity_len entities, which have no order, those stay that a hash chooses."""
     wanted = entities.target_titles(titles, redirects)
-    there = bags.join(wanted, "title", "left_semi")
-    words = datasets.encoded(there.select("title", F.posexplode("words").alias("pos", "token")), word_vocab, ["title"], text_len, "words").withColumnRenamed("length", "n_words")
-    links = datasets.encoded(there.select("title", F.posexplode("links").alias("pos", "token")), entity_vocab, ["title"], entity_len, "entities").withColumnRenamed("length", "n_entities")
-    return _two_bags(there, words, links, text_len, entity_len)
+    there = words.join(wanted, "title", "left_semi")
+    text = datasets.encoded(there.select("title", F.posexplode("words").alias("pos", "token")), word_vocab, ["title"], text_len, "words").withColumnRenamed("length", "n_words")
+    known = links.join(wanted, "title", "left_semi").join(datasets.sent(entity_vocab.select("token", "id"), "vocabulary"), "token")
+    return _two_bags(there, text, _bag(known.select("title", "id", F.lit(1).alias("n")), "entities", entity_len), text_len, entity_len)
 
 
-def cooc_features(titles: DataFrame, word_counts: DataFrame, entity_counts: DataFrame, entity_vocab: DataFrame, redirects: DataFrame, text_len: int = 5000, entity_len: int = 2000) -> DataFrame:
-    """The same from co-occurrences: bags of word and entity ids as often as they were counted, in an order fixed by a hash.
-    word_counts, entity_counts: row, col, n. Titles that are in no sentence are left out."""
-    rows = entities.target_titles(titles, redirects).join(entity_vocab.select(F.col("token").alias("title"), F.col("id").alias("row")), "title")
+def _bag(counts: DataFrame, name: str, size: int) -> DataFrame:
+    """title, <name> (ids, padded), n_<name> of counts (title, id, n)."""
+    return datasets.expanded(counts, ["title"], size).select("title", T.padded(F.col("bag"), size).alias(name), F.col("n").alias(f"n_{name}"))
 
-    def bag(counts: DataFrame, name: str, size: int) -> DataFrame:
-        some = rows.join(counts, "row").select("title", F.col("col").alias("id"), "n")
-        return datasets.expanded(some, ["title"]).select("title", T.padded(F.col("bag"), size).alias(name), F.size("bag").alias(f"n_{name}"))
 
-    return _two_bags(rows, bag(word_counts, "words", text_len), bag(entity_counts, "entities", entity_len), text_len, entity_len)
+def cooc_features(titles: DataFrame, word_counts: DataFrame, entity_counts: DataFrame, entity_vocab: DataFrame, redirects: DataFrame, text_len: int = 5000, entity_len: int = 2000) -> DataFrame:
+    """The same from co-occurrences: bags of word and entity ids as often as they were counted, in an order fixed by a hash, and
+    of too many those that it chooses. word_counts, entity_counts: row, col, n. Titles that are in no sentence are left out."""
+    rows = entities.target_titles(titles, redirects).join(entity_vocab.select(F.col("token").alias("title"), F.col("id").alias("row")), "title")
+    some = lambda counts: rows.join(counts, "row").select("title", F.col("col").alias("id"), "n")
+    return _two_bags(rows, _bag(some(word_counts), "words", text_len), _bag(some(entity_counts), "entities", entity_len), text_len, entity_len)
 
 
 def classifier_dataset(features: DataFrame, kb: DataFrame, redirects: DataFrame, min_text_len: int = 5, min_entity_len: int = 5, dev: float = 0.05, test: float = 0.05) -> DataFrame:

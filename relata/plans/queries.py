@@ -163,12 +163,14 @@ def page_texts(spark, sf):
 
 
 def page_in_links(spark, sf):
-    """Titles of links are the pages here, and all of them are targets."""
-    links = _links(spark, sf)
+    """Titles of links are the pages here, and all of them are targets; one is linked by every second page. Lists are short, so
+    that popular titles have several parts."""
+    links = _links(spark, sf).union(_read(spark, sf, "pages").where("page_id % 2 = 0").select(F.col("url").alias("source"), F.lit("Popular"), F.lit("it")))
     pages = links.select("title").distinct().withColumn("paragraphs", F.lit(None).cast("string"))
     targets = pages.unionByName(spark.createDataFrame([("no such title", None)], pages.schema))
-    t = entities.page_table(pages, links, targets)
-    return t.select("title", F.size("in_links").cast("long").alias("n"), F.md5(F.array_join(F.transform("in_links", lambda x: x["title"]), " ")).alias("sources"))
+    parts = entities.in_link_parts(links, entities.page_tables(pages, links, targets)[0], 8)
+    each = entities.in_links(parts).select("title", F.conv(F.substring(F.md5(F.concat_ws(">", "x.title", "x.text")), 1, 8), 16, 10).cast("long").alias("h"))
+    return each.groupBy("title").agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("sources"))
 
 
 def link_bags(spark, sf):
@@ -197,7 +199,8 @@ def linked_entities(spark, sf):
 
 
 def entity_pairs(spark, sf):
-    return cooc.entity_entity(_sentences(spark, sf))
+    """Blocks are small, so that long lines are paired block by block."""
+    return cooc.entity_entity(_sentences(spark, sf), 8)
 
 
 def stored_matrix(spark, sf):
@@ -234,8 +237,9 @@ def encoded_documents(spark, sf):
 
 
 def expanded_counts(spark, sf):
-    c = _read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("id"), (F.col("l_quantity") % 4 + 1).cast("int").alias("n"))
-    return datasets.expanded(c, ["k"]).select("k", F.size("bag").cast("long").alias("n"), F.array_join("bag", " ").alias("bag"))
+    """Of a supplier's many copies, the 300 that their hashes choose."""
+    c = _read(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.col("l_linenumber").alias("id")).agg(F.sum("l_quantity").cast("long").alias("n"))
+    return datasets.expanded(c, ["k"], 300).select("k", "n", F.array_join("bag", " ").alias("bag"))
 
 
 def single_types(spark, sf):
@@ -247,7 +251,7 @@ def multi_types(spark, sf):
 
 
 def type_labels(spark, sf):
-    kb = _read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("title"), F.col("c_mktsegment").alias("type_name"))
+    kb = _read(spark, sf, "customer").select((F.col("c_custkey") - (F.col("c_custkey") % 5 == 1).cast("int")).cast("string").alias("title"), F.concat("c_mktsegment", (F.col("c_custkey") % 7).cast("string")).alias("type_name"))
     return datasets.type_labels(datasets.single_type(kb)).withColumn("label", F.col("label").cast("long"))
 
 
@@ -291,12 +295,13 @@ def binary_labels(spark, sf):
 
 
 def mean_metrics(spark, sf):
-    """Metrics of the simplest prediction: the mean score of the other folds."""
+    """Metrics of a simple prediction, beyond 0 and 7 too: from the score itself and the mean score of the other folds."""
     rows = datasets.folds(_train(spark, sf).withColumn("key", F.concat_ws("|", "title", "type_name")), "key").select("fold", F.col("score").cast("double").alias("label"))
     by = rows.groupBy("fold").agg(F.sum("label").alias("s"), F.count(F.lit(1)).alias("n"))
     every = by.agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
     p = by.crossJoin(F.broadcast(every)).select("fold", ((F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n"))).alias("prediction"))
-    return scoring.metrics(rows.join(F.broadcast(p), "fold")).select(*[F.round(c, 9).alias(c) for c in ("accuracy", "mae", "mae_raw", "delta_1", "delta_2", "delta_4")])
+    rows = rows.join(F.broadcast(p), "fold").withColumn("prediction", F.col("label") * 2 - 3 + F.col("prediction") / 10)
+    return scoring.metrics(rows).select(*[F.round(c, 9).alias(c) for c in ("accuracy", "mae", "mae_raw", "delta_1", "delta_2", "delta_4")])
 
 
 def rounded_scores(spark, sf):
@@ -330,32 +335,36 @@ def _page_bags(spark, sf):
     empty = F.array().cast(parse.LINKS)
     link = F.transform(F.regexp_extract_all("html", F.lit(HREF), F.lit(1)), lambda x: F.struct(x.alias("title"), x.alias("text"), F.lit("out").alias("link_type")))
     texts = F.transform(F.regexp_extract_all("html", F.lit(PARAGRAPH), F.lit(1)), lambda x, i: F.struct(x.alias("text"), F.when(i == 0, link).otherwise(empty).alias("wiki_links"), (i == 0).alias("abstract")))
-    pages = _read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("title"), texts.alias("paragraphs"), empty.alias("in_links"))
-    return serving.page_bags(pages)
+    pages = _read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("title"), texts.alias("paragraphs"))
+    into = _read(spark, sf, "pages").select(F.concat(F.lit("p"), (F.col("page_id") % 40).cast("string")).alias("source"), (F.col("page_id") % 13).cast("string").alias("title"), F.lit("x").alias("text"))
+    return [saved(x, "bags") for x in serving.page_bags(pages, entities.in_link_parts(into, pages, 8))]
 
 
 def page_dataset(spark, sf):
-    """A classifier's dataset from pages: vocabularies, ids, labels, weights and split."""
-    bags = _page_bags(spark, sf)
-    words, names = serving.page_vocabularies(bags)
-    none = spark.createDataFrame([], "title string, dest string")
-    kb = _read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("title"), F.concat(F.lit("t"), (F.col("page_id") % 3).cast("string")).alias("type_name"))
-    f = serving.page_features(kb, bags, words, names, none, 100, 20)
-    d = serving.classifier_dataset(f, kb, none, 5, 1, 0.1, 0.1)
+    """A classifier's dataset from pages: vocabularies, ids, labels, weights and split. Every third title is asked for by one that
+    redirects to it."""
+    words, links = _page_bags(spark, sf)
+    vocabularies = serving.page_vocabularies(words, links)
+    asked = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("old "), F.col("page_id").cast("string"))).otherwise(F.col("page_id").cast("string"))
+    kb = _read(spark, sf, "pages").select(asked.alias("title"), F.concat(F.lit("t"), (F.col("page_id") % 3).cast("string")).alias("type_name"))
+    hops = kb.where("title LIKE 'old %'").select("title", F.expr("substr(title, 5)").alias("dest"))
+    d = serving.classifier_dataset(serving.page_features(kb, words, links, *vocabularies, hops), kb, hops, 5, 1, 0.1, 0.1)
     ids = lambda c: F.array_join(F.array_remove(c, 0), " ")
     return d.select("title", "type_name", F.col("label").cast("long").alias("label"), F.round("weight", 9).alias("weight"), "split", ids(F.col("words")).alias("words"), ids(F.array_sort("entities")).alias("entities"))
 
 
 def cooc_bags(spark, sf):
-    """A classifier's features from co-occurrences."""
+    """A classifier's features from co-occurrences; every third title is asked for by one that redirects to it."""
     s = saved(_sentences(spark, sf), "sentences")
-    words, names = cooc.vocabulary(s.select(F.explode("words").alias("token"))), saved(cooc.vocabulary(s.select(F.explode("links.entity").alias("token")), 1), "names")
+    words, names = saved(cooc.vocabulary(s.select(F.explode("words").alias("token"))), "words"), saved(cooc.vocabulary(s.select(F.explode("links.entity").alias("token")), 1), "names")
     path = folder(spark, "counts")
-    S.store_counts(cooc.word_entity(s, 2, words).withColumnRenamed("word", "other"), saved(words, "words"), names, f"{path}/word", "other")
+    S.store_counts(cooc.word_entity(s, 2, words).withColumnRenamed("word", "other"), words, names, f"{path}/word", "other")
     S.store_counts(cooc.entity_entity(s).select(F.col("e1").alias("entity"), F.col("e2").alias("other"), "n"), names, names, f"{path}/entity", "other")
-    none = spark.createDataFrame([], "title string, dest string")
-    f = serving.cooc_features(names.select(F.col("token").alias("title")), S.load(spark, f"{path}/word"), S.load(spark, f"{path}/entity"), names, none, 30, 30)
-    return f.select("title", F.col("n_words").cast("long").alias("n_words"), F.array_join("words", " ").alias("words"), F.col("n_entities").cast("long").alias("n_entities"), F.array_join("entities", " ").alias("entities"))
+    hops = names.where("id % 3 = 0").select(F.concat(F.lit("old "), "token").alias("title"), F.col("token").alias("dest"))
+    asked = names.where("id % 3 <> 0").select(F.col("token").alias("title")).union(hops.select("title"))
+    f = serving.cooc_features(asked, S.load(spark, f"{path}/word"), S.load(spark, f"{path}/entity"), names, hops)
+    ids = lambda c: F.md5(F.array_join(F.array_remove(c, 0), " "))
+    return f.select("title", F.col("n_words").cast("long").alias("n_words"), ids("words").alias("words"), F.col("n_entities").cast("long").alias("n_entities"), ids("entities").alias("entities"))
 
 
 def _asked(spark, sf):
@@ -486,7 +495,7 @@ SELECT g.doc_id, coalesce(n_tokens, 0)::BIGINT AS n_tokens, coalesce(spans, md5(
     "inlink_counts": f"WITH {_LINKS}, f AS (SELECT coalesce(dest, l.title) AS title, count(*) AS n FROM links l LEFT JOIN reds r ON l.title = r.title GROUP BY 1) SELECT t.title, coalesce(n, 0)::BIGINT AS n FROM titles t LEFT JOIN f USING (title)",
     "inlink_lookup": f"WITH {_LINKS}, f AS (SELECT coalesce(dest, l.title) AS title, count(*) AS n FROM links l LEFT JOIN reds r ON l.title = r.title GROUP BY 1), a AS (SELECT title FROM titles UNION ALL SELECT 'no such title') SELECT a.title, coalesce(n, 0)::BIGINT AS n FROM a LEFT JOIN reds r ON a.title = r.title LEFT JOIN f ON f.title = coalesce(r.dest, a.title)",
     "page_texts": r"WITH p AS (SELECT url, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS x FROM pages) SELECT url, len(x)::BIGINT AS n, md5(regexp_replace(array_to_string(x, ' '), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS text, md5(regexp_replace(array_to_string(x[1:1], ' '), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS abstract FROM p",
-    "page_in_links": f"WITH {_LINKS}, i AS (SELECT title, count(*) AS n, string_agg(source, ' ' ORDER BY source, text) AS s FROM links GROUP BY 1) SELECT title, n::BIGINT AS n, md5(s) AS sources FROM i",
+    "page_in_links": f"WITH {_LINKS}, i AS (SELECT title, source, text FROM links UNION ALL SELECT 'Popular', url, 'it' FROM pages WHERE page_id % 2 = 0) SELECT title, count(*)::BIGINT AS n, sum(('0x' || substr(md5(source || '>' || text), 1, 8))::BIGINT)::BIGINT AS sources FROM i GROUP BY title",
     "link_bags": """WITH p AS (SELECT url, regexp_extract_all(html, 'href="/([^"]*)"', 1) AS x FROM pages) SELECT url, (2 * len(x))::BIGINT AS n, len(list_distinct(x))::BIGINT AS n_titles FROM p""",
     "word_entity_window": f"WITH {_SENT} SELECT entity, lower(s.token) AS word, count(*) AS n FROM ents e JOIN sent s ON s.sent_id = e.sent_id AND s.p <> e.p AND abs(s.p - e.p) <= 5 WHERE lower(s.token) IN (SELECT token FROM vocab) GROUP BY 1, 2",
     "char_windows": f"WITH {_SENT} SELECT entity, lower(s.token) AS word, count(*) AS n FROM ents e JOIN sent s ON s.sent_id = e.sent_id AND s.p <> e.p AND abs(s.p - e.p) <= 3 GROUP BY 1, 2",
@@ -497,10 +506,10 @@ SELECT g.doc_id, coalesce(n_tokens, 0)::BIGINT AS n_tokens, coalesce(spans, md5(
     "target_titles": f"WITH {_LINKS} SELECT title, false AS resolved FROM titles UNION ALL SELECT DISTINCT coalesce(dest, t.title), true FROM titles t LEFT JOIN reds r ON r.title = t.title",
     "entity_pairs": f"WITH {_SENT}, o AS (SELECT DISTINCT sent_id, entity FROM ents) SELECT a.entity AS e1, b.entity AS e2, count(*) AS n FROM o a JOIN o b ON a.sent_id = b.sent_id AND a.entity <> b.entity GROUP BY 1, 2",
     "encoded_documents": f"WITH {_WORDS}, t AS (SELECT doc_id, lower(unnest(words)) AS token, generate_subscripts(words, 1) AS pos FROM toks), c AS (SELECT token, count(*) AS n FROM t GROUP BY 1 HAVING count(*) >= 20), v AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS id FROM c), e AS (SELECT doc_id, list(id ORDER BY pos) AS ids FROM t JOIN v USING (token) GROUP BY 1) SELECT doc_id, len(ids)::BIGINT AS length, array_to_string(CASE WHEN len(ids) >= 40 THEN ids[len(ids) - 39:] ELSE list_concat(list_transform(range(0, 40 - len(ids)), lambda x: 0), ids) END, ' ') AS ids FROM e WHERE len(ids) > 5",
-    "expanded_counts": "WITH c AS (SELECT l_orderkey AS k, l_linenumber AS id, (l_quantity % 4 + 1)::INT AS n FROM lineitem), e AS (SELECT k, id, unnest(range(1, n + 1)) AS copy FROM c) SELECT k, count(*)::BIGINT AS n, string_agg(id::VARCHAR, ' ' ORDER BY md5(id || '-' || copy), id) AS bag FROM e GROUP BY k",
+    "expanded_counts": "WITH c AS (SELECT l_suppkey AS k, l_linenumber AS id, sum(l_quantity)::BIGINT AS n FROM lineitem GROUP BY 1, 2), e AS (SELECT k, id, unnest(range(1, n + 1)) AS copy FROM c), b AS (SELECT k, count(*)::BIGINT AS n, list(id ORDER BY md5(id || '-' || copy), id) AS bag FROM e GROUP BY k) SELECT k, n, array_to_string(bag[greatest(len(bag) - 299, 1):], ' ') AS bag FROM b",
     "single_types": f"WITH {_KB} SELECT title, any_value(type_name) AS type_name FROM kb GROUP BY title HAVING count(*) = 1",
     "multi_types": f"WITH {_KB} SELECT title, string_agg(type_name, '|' ORDER BY type_name) AS types FROM kb GROUP BY title HAVING count(*) <> 1",
-    "type_labels": "SELECT type_name, row_number() OVER (ORDER BY type_name) - 1 AS label FROM (SELECT DISTINCT c_mktsegment AS type_name FROM customer)",
+    "type_labels": "SELECT type_name, row_number() OVER (ORDER BY type_name) - 1 AS label FROM (SELECT DISTINCT type_name FROM (SELECT c_custkey - (c_custkey % 5 = 1)::INT AS title, any_value(c_mktsegment || c_custkey % 7) AS type_name FROM customer GROUP BY 1 HAVING count(*) = 1))",
     "type_lists": f"WITH {_KB} SELECT title, string_agg(type_name, '|' ORDER BY type_name) AS types FROM kb GROUP BY title",
     "dataset_split": f"WITH {_SPLIT} SELECT * FROM s",
     "k_folds": "SELECT c_custkey AS title, ntile(10) OVER (ORDER BY md5('0' || c_custkey::VARCHAR), c_custkey) AS fold FROM customer",
@@ -516,7 +525,7 @@ FROM s CROSS JOIN total LEFT JOIN pairs p ON p.type_a = least(s.type_name, predi
     "wide_features": f"WITH {_LOGITS}, s AS (SELECT *, exp(value::DOUBLE) / sum(exp(value::DOUBLE)) OVER w AS proba, max(value) OVER w - value AS top FROM logits WINDOW w AS (PARTITION BY title, type_name < 't5')) SELECT title, type_name, CASE WHEN type_name < 't5' THEN round(proba, 5) ELSE 0 END AS a_proba, CASE WHEN type_name < 't5' THEN 0 ELSE round(top::DOUBLE, 5) END AS b_top_raw, count(*) OVER (PARTITION BY title) AS num_types FROM s",
     "binary_labels": f"WITH {_TRAIN} SELECT *, CASE WHEN score >= 5 THEN 1.0 ELSE 0.0 END::DOUBLE AS label FROM train WHERE score NOT IN (3, 4)",
     "mean_metrics": f"""WITH {_TRAIN}, f AS (SELECT score::DOUBLE AS label, ntile(10) OVER (ORDER BY md5('0' || title || '|' || type_name), title || '|' || type_name) AS fold FROM train), t AS (SELECT sum(label) AS s, count(*) AS n FROM f),
-p AS (SELECT fold, (any_value(t.s) - sum(label)) / (any_value(t.n) - count(*)) AS prediction FROM f, t GROUP BY fold), r AS (SELECT fold, abs(greatest(0, least(7, round(prediction))) - label) AS off, abs(prediction - label) AS raw FROM f JOIN p USING (fold)),
+p AS (SELECT fold, (any_value(t.s) - sum(label)) / (any_value(t.n) - count(*)) AS prediction FROM f, t GROUP BY fold), r AS (SELECT fold, abs(round(label * 2 - 3 + prediction / 10) - label) AS off, abs(label * 2 - 3 + prediction / 10 - label) AS raw FROM f JOIN p USING (fold)),
 g AS (SELECT fold, avg((off = 0)::INT) AS accuracy, avg(off) AS mae, avg(raw) AS mae_raw, avg((off <= 1)::INT) AS delta_1, avg((off <= 2)::INT) AS delta_2, avg((off <= 4)::INT) AS delta_4 FROM r GROUP BY fold)
 SELECT round(avg(accuracy), 9) AS accuracy, round(avg(mae), 9) AS mae, round(avg(mae_raw), 9) AS mae_raw, round(avg(delta_1), 9) AS delta_1, round(avg(delta_2), 9) AS delta_2, round(avg(delta_4), 9) AS delta_4 FROM g""",
     "rounded_scores": "SELECT event_id, greatest(0, least(7, round(value / 10 - 1)))::INT AS score FROM events",
@@ -526,18 +535,18 @@ SELECT round(avg(accuracy), 9) AS accuracy, round(avg(mae), 9) AS mae, round(avg
     "request_order": "SELECT event_id AS line_id, user_id::VARCHAR AS title, event_type AS type_name, min(event_id) OVER (PARTITION BY user_id) AS first_seen FROM events",
     "page_dataset": r"""WITH p AS (SELECT page_id::VARCHAR AS title, 't' || page_id % 3 AS type_name, regexp_extract_all(regexp_replace(array_to_string(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1), ' '), '[ \t\n\x0b\f\r]+', ' ', 'g'), '[\p{L}\p{N}_]+') AS w,
   CASE WHEN regexp_matches(html, '(?s)<p>(.*?)</p>') THEN list_distinct(regexp_extract_all(html, 'href="/([^"]*)"', 1)) ELSE [] END AS e FROM pages),
-wt AS (SELECT title, lower(unnest(w)) AS token, generate_subscripts(w, 1) AS pos FROM p), et AS (SELECT title, unnest(e) AS token FROM p),
+wt AS (SELECT title, lower(unnest(w)) AS token, generate_subscripts(w, 1) AS pos FROM p), et AS (SELECT title, unnest(e) AS token FROM p UNION SELECT DISTINCT (page_id % 13)::VARCHAR, 'p' || page_id % 40 FROM pages WHERE (page_id % 13) IN (SELECT page_id FROM pages)),
 wv AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) AS id FROM wt WHERE pos <= 5000 GROUP BY 1 HAVING count(*) >= 5), ev AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) AS id FROM et GROUP BY 1 HAVING count(*) >= 5),
 wi AS (SELECT title, list(id ORDER BY pos) AS ids FROM wt JOIN wv USING (token) GROUP BY 1), ei AS (SELECT title, list(id ORDER BY id) AS ids FROM et JOIN ev USING (token) GROUP BY 1),
 k AS (SELECT type_name, row_number() OVER (ORDER BY type_name) - 1 AS label, min(count(*)) OVER () / count(*) AS weight FROM p GROUP BY 1),
 r AS (SELECT title, type_name, label, weight, wi.ids AS wids, ei.ids AS eids, row_number() OVER (ORDER BY md5('0' || title), title) AS place, count(*) OVER () AS total FROM p JOIN wi USING (title) JOIN ei USING (title) JOIN k USING (type_name) WHERE len(wi.ids) > 5 AND len(ei.ids) > 1)
-SELECT title, type_name, label, round(weight, 9) AS weight, CASE WHEN place <= floor(total * 0.1) THEN 'dev' WHEN place <= 2 * floor(total * 0.1) THEN 'test' ELSE 'train' END AS split, array_to_string(wids[greatest(len(wids) - 99, 1):], ' ') AS words, array_to_string(eids, ' ') AS entities FROM r""",
+SELECT title, type_name, label, round(weight, 9) AS weight, CASE WHEN place <= floor(total * 0.1) THEN 'dev' WHEN place <= 2 * floor(total * 0.1) THEN 'test' ELSE 'train' END AS split, array_to_string(wids[greatest(len(wids) - 4999, 1):], ' ') AS words, array_to_string(eids, ' ') AS entities FROM r""",
     "cooc_bags": f"""WITH {_SENT}, wv AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS id FROM vocab), nv AS (SELECT entity, row_number() OVER (ORDER BY count(*) DESC, entity) AS id FROM ents GROUP BY 1),
 w AS (SELECT entity AS title, wv.id, count(*) AS n FROM ents e JOIN sent s ON s.sent_id = e.sent_id AND s.p <> e.p AND abs(s.p - e.p) <= 2 JOIN wv ON wv.token = lower(s.token) GROUP BY 1, 2),
 o AS (SELECT DISTINCT sent_id, entity FROM ents), m AS (SELECT a.entity AS title, nv.id, count(*) AS n FROM o a JOIN o b ON a.sent_id = b.sent_id AND a.entity <> b.entity JOIN nv ON nv.entity = b.entity GROUP BY 1, 2),
 wl AS (SELECT title, list(id ORDER BY md5(id || '-' || copy), id) AS ids FROM (SELECT title, id, unnest(range(1, n + 1)) AS copy FROM w) GROUP BY 1), ml AS (SELECT title, list(id ORDER BY md5(id || '-' || copy), id) AS ids FROM (SELECT title, id, unnest(range(1, n + 1)) AS copy FROM m) GROUP BY 1),
 x AS (SELECT nv.entity AS title, coalesce(wl.ids, []) AS wi, coalesce(ml.ids, []) AS mi FROM nv LEFT JOIN wl ON wl.title = nv.entity LEFT JOIN ml ON ml.title = nv.entity)
-SELECT title, len(wi)::BIGINT AS n_words, array_to_string(list_concat(list_transform(range(0, greatest(30 - len(wi), 0)), lambda q: 0), wi[greatest(len(wi) - 29, 1):]), ' ') AS words, len(mi)::BIGINT AS n_entities, array_to_string(list_concat(list_transform(range(0, greatest(30 - len(mi), 0)), lambda q: 0), mi[greatest(len(mi) - 29, 1):]), ' ') AS entities FROM x""",
+SELECT title, len(wi)::BIGINT AS n_words, md5(array_to_string(wi[greatest(len(wi) - 4999, 1):], ' ')) AS words, len(mi)::BIGINT AS n_entities, md5(array_to_string(mi[greatest(len(mi) - 1999, 1):], ' ')) AS entities FROM x""",
     "scorer_rows": f"""{_SCORER} SELECT line_id, title, type_name, num_types, {", ".join(f"round({c}_{n}, 5) + 0 AS {c}_{n}" for c in "ab" for n in scoring.NAMES)} FROM wide""",
     "score_requests": f"""{_SCORER} SELECT line_id, title, type_name, min(line_id) OVER (PARTITION BY title) AS first_seen, greatest(0, least(7, round(1.7 + {" + ".join(f"({w}::DOUBLE) * {n}" for n, w in LINEAR.items())})))::INT AS score FROM wide""",
     "projected_features": "SELECT event_id, 0.0::DOUBLE AS missing, value::DOUBLE AS value FROM events",

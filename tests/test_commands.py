@@ -65,8 +65,8 @@ def test_entity_tables(spark, work, built):
 
 
 def test_page_and_sentence_tables(spark, work, built):
-    pages = {r["title"]: r for r in S.load(spark, str(work / "pages")).collect()}
-    assert sorted(pages) == sorted(NAMES) and len(pages["Person 1"]["in_links"]) == 40
+    pages = {r["title"]: r for r in S.load(spark, str(work / "pages/pages")).collect()}
+    assert sorted(pages) == sorted(NAMES) and S.load(spark, str(work / "pages/in_links")).where("title = 'Person 1'").selectExpr("sum(size(links))").first()[0] == 40
     assert [p["abstract"] for p in pages["Person 1"]["paragraphs"]][0] and "Person 1" in {x["title"] for x in pages["Person 2"]["paragraphs"][0]["wiki_links"]}
     s = S.load(spark, str(work / "sentence.db")).orderBy("sent_id").first()
     assert s["text"].startswith("then Person 0 took") and [x["title"] for x in s["wiki_links"]] == ["Person 0", "Person 1", "Art"]

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -27,9 +29,10 @@ def test_page_table_resolves_links(spark):
     texts = [("P", "see [[Old|a]] and [[Q]]\n"), ("Q", "see [[Old]] [[P]]\n"), ("Old", "#REDIRECT [[New]]\nx\n"), ("New", "none\n")]
     dump = spark.createDataFrame(texts, "title string, wiki_text string").withColumn("redirect", F.when(F.col("title") == "Old", "New"))
     kb = spark.createDataFrame([("Old", "t"), ("P", "t"), ("absent", "t")], "title string, type_name string")
-    found = {r["title"]: r for r in entities.page_database(dump, parse.parse_pages(dump), kb).collect()}
+    pages, parts = entities.page_database(dump, parse.parse_pages(dump), kb)
+    found = {r["title"]: r for r in pages.collect()}
     assert sorted(found) == ["New", "P"]
-    assert [(x["title"], x["text"]) for x in found["New"]["in_links"]] == [("P", "a"), ("Q", "Old")]
+    assert sorted((r["title"], r["x"]["title"], r["x"]["text"]) for r in entities.in_links(parts).collect()) == [("New", "P", "a"), ("New", "Q", "Old"), ("P", "Q", "P")]
     assert [x["title"] for x in found["P"]["paragraphs"][0]["wiki_links"]] == ["New", "Q"]
 
 
@@ -203,3 +206,37 @@ def test_cached_logits_resume(spark, tmp_path):
     assert serving.cached(spark, path, ["p"], lambda n: rows_, model_of) == ["p"]
     assert serving.cached(spark, path, ["q", "p"], lambda n: rows_, model_of) == ["q"]
     assert rows(spark.read.parquet(path).groupBy("classifier").count()) == [("p", 2), ("q", 2)]
+
+
+def test_in_links_in_parts(spark):
+    """Half of all pages link to one title; no list has much more than it should, and the parts are all links."""
+    links = spark.range(4000).select(F.concat(F.lit("s"), "id").alias("source"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 500)).alias("title"), F.lit("x").alias("text"))
+    parts = entities.in_link_parts(links, links.select("title").union(spark.createDataFrame([("none",)], "title string")), 50).collect()
+    hot = [r for r in parts if r["title"] == "hot"]
+    assert len(hot) == 40 and max(len(r["links"]) for r in hot) <= 100 and all(len(r["links"]) == 8 for r in parts if r["title"] != "hot")
+    assert sorted(x["title"] for r in hot for x in r["links"]) == sorted(f"s{k}" for k in range(0, 4000, 2))
+
+
+def test_pairs_of_a_long_line(spark):
+    """A line of 2,000 links gives its pairs from many rows of two blocks each, and the same as without blocks."""
+    line = [{"entity": f"e{k:04d}", "before": k, "after": k + 1} for k in range(2000)]
+    s = spark.createDataFrame([(line,), (line[:3] + line[:1],), ([],), (line[:1],)], "links array<struct<entity: string, before: int, after: int>>")
+    pairs = cooc.entity_entity(s, 100)
+    assert pairs.count() == 2000 * 1999 and pairs.where("n = 2").count() == 6
+    few = s.where("size(links) < 2000")
+    assert rows(cooc.entity_entity(few, 2)) == rows(cooc.entity_entity(few))
+
+
+def test_bags_are_bounded(spark, monkeypatch):
+    """Against all copies; and where the bar lets too few pass, without one."""
+    counts = [("big", 1, 70_000), ("big", 2, 3), ("big", 3, 5_000), ("small", 7, 2), ("small", 8, 1), ("one", 9, 1), ("edge", 5, 40), ("none", 4, 0)]
+    df = spark.createDataFrame(counts, "k string, id int, n long")
+
+    def bag(key, size):
+        copies = sorted((hashlib.md5(f"{i}-{c}".encode()).hexdigest(), i) for k, i, n in counts if k == key for c in range(1, n + 1))
+        return [i for _, i in copies[-size:]]
+
+    want = sorted((k, tuple(bag(k, 40)), sum(n for x, _, n in counts if x == k)) for k in ("big", "small", "one", "edge"))
+    assert sorted((r["k"], tuple(r["bag"]), r["n"]) for r in datasets.expanded(df, ["k"], 40).collect()) == want
+    monkeypatch.setattr(datasets, "SPREADS", -6)
+    assert sorted((r["k"], tuple(r["bag"]), r["n"]) for r in datasets.expanded(df, ["k"], 40).collect()) == want

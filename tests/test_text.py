@@ -86,7 +86,7 @@ PAGES = [
     ("* item [[A_b]]\n----\n== H ==\n: in {{{arg|{{x}}}}} {{a{{b}}}} q\n", [" item  A_b ", " ", " ", "  in     q"], ["A b"]),
     ("[[bad\ntitle]] [[a[b]] 5 > 3 < 4\n<gallery>\nFile:x.jpg|[[no]]\n</gallery>\n", ["[[bad", "title]] [[a[b]] 5 > 3 < 4", " "], []),
     ("}} a ]] |} </b> {{ '' x <nowiki> <!--\n", ["}} a ]] |} </b> {{ '' x <nowiki> <!--"], []),
-    ("<li>one [[p]]\n<b>[[q|r &amp; s]] {{t}}</b> <math>[[x]]</math>\n", ["one  p ", "r & s    "], ["P"]),
+    ("<li>one [[p]]\n<b>[[q|r &amp; s]] {{t}}</b> <math>[[x]]</math>\n", ["one  p ", " r & s    "], ["P"]),
 ]
 
 
