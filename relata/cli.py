@@ -32,7 +32,8 @@ def build_entity_db(spark, a) -> None:
     dump = S.dump(spark, a.dump_file)
     titles, redirects = entities.titles_and_redirects(dump)
     links = entities.out_links(parse.parse_pages(dump))
-    S.store_all({"titles": titles, "redirects": entities.valid_redirects(redirects, titles), "inlinks": entities.inlink_counts(links, titles, redirects)}, a.out_file)
+    for name, table in {"titles": titles, "redirects": entities.valid_redirects(redirects, titles), "inlinks": entities.inlink_counts(links, titles, redirects)}.items():
+        S.store_clustered(table, f"{a.out_file}/{name}", "title")
 
 
 def build_page_db(spark, a) -> None:
@@ -41,7 +42,8 @@ def build_page_db(spark, a) -> None:
     _, redirects = _entities(spark, a.entity_db_file)
     pages = entities.with_resolved_links(parse.parse_pages(dump), redirects)
     pages, in_links = entities.page_tables(pages, entities.out_links(pages), entities.target_titles(_kb(spark, a), redirects))
-    S.store_all({"pages": pages, "in_links": in_links}, a.out_file)
+    S.store_clustered(pages, f"{a.out_file}/pages", "title")
+    S.store_clustered(in_links, f"{a.out_file}/in_links", "title")
 
 
 def build_sentence_db(spark, a) -> None:
@@ -163,16 +165,16 @@ def build_scorer_dataset(spark, a) -> None:
     """Features and labels of a training set."""
     logits, (_, redirects) = S.load(spark, a.cache_file), _entities(spark, a.entity_db_file)
     train = S.training_set(spark, f"{a.dataset_dir}/{S.CATEGORIES[a.category]}.train").withColumn("line_id", F.monotonically_increasing_id())
-    S.store(scoring.scoring_rows(train, logits, _kb(spark, a), redirects, _classifiers(logits), a.binary), a.out_file)
+    S.store(scoring.scoring_rows(train, logits, _kb(spark, a), redirects, _classifiers(logits), a.binary).withColumn("binary", F.lit(a.binary)), a.out_file)
 
 
-_NO_FEATURE = {"line_id", "title", "type_name", "score", "label", "fold"}
+_NO_FEATURE = {"line_id", "title", "type_name", "score", "label", "fold", "binary"}
 
 
 def _scorer_rows(spark, a):
     rows = S.load(spark, a.dataset_file)
     features = S.feature_list(a.feature_file) if getattr(a, "feature_file", None) else sorted(set(rows.columns) - _NO_FEATURE)
-    binary = {r["label"] for r in rows.select("label").distinct().limit(3).collect()} <= {0.0, 1.0}
+    binary = bool(rows.select("binary").first()["binary"]) if rows.limit(1).count() else False
     folded = datasets.folds(rows.withColumn("key", F.concat_ws("\t", "title", "type_name", F.col("line_id").cast("string"))), "key", getattr(a, "cv", 10)).drop("key")
     return scoring.projected(folded, ["title", "type_name", "fold", "label"], features), features, binary
 

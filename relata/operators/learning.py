@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import saved
+from . import pooling
 
 #: Labelled rows that one task may learn trees from; more are learned from by MLlib, in a distributed way.
 MOST_ROWS = 1_000_000
@@ -186,18 +187,13 @@ def train_classifier(rows: DataFrame, shape: dict, epochs: int = 1, workers: int
 
 
 def classify(rows: DataFrame, model: Classifier, types: list[str], name: str) -> DataFrame:
-    """classifier, title, type_name, value: logits of every row (title, words, entities) and type, a batch at a time."""
-    sent = rows.sparkSession.sparkContext.broadcast(model.dumps())
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = Classifier.loads(sent.value)
-        for f in frames:
-            for at in range(0, len(f), 500):
-                part = f.iloc[at : at + 500]
-                z = m.logits(part["words"].tolist(), part["entities"].tolist())
-                yield pd.DataFrame({"classifier": name, "title": np.repeat(part["title"].to_numpy(), len(types)), "type_name": types * len(part), "value": z.ravel().astype(np.float32)})
-
-    return rows.select("title", "words", "entities").mapInPandas(run, "classifier string, title string, type_name string, value float")
+    """classifier, title, type_name, value: logits of every row (title, words, entities) and type. The embeddings are stored as
+    tables that ids are joined with (`pooling`); titles are distinct."""
+    tables = {}
+    for k, _ in model.bags:
+        attention = model.p[f"a{k}"] @ model.p[f"d{k}"] if model.attention else None
+        tables[("words", "entities")[k]] = pooling.stored(rows.sparkSession, model.p[f"e{k}"], attention)
+    return pooling.logits(rows, tables, model.dim, [model.p[n] for n in ("w1", "b1", "w2", "b2")], types, name)
 
 
 def accuracy(rows: DataFrame, model: Classifier, types: list[str]) -> DataFrame:
@@ -389,13 +385,9 @@ def load_model(spark: SparkSession, path: str) -> tuple[Classifier | Scorer, dic
 
 def cross_validated(rows: DataFrame, features: list[str], k: int = 10, **options) -> DataFrame:
     """title, type_name, fold, label, prediction of rows (title, type_name, fold, label, features): a task trains on the other
-    folds of its own. The rows are labelled ones, which are counted first: if there are more than a task may hold, each fold's
-    trees are MLlib's, learned from the others in a distributed way."""
-    if rows.count() > MOST_ROWS:
-        given = {n: options[n] for n in ("trees", "rate", "depth", "subsample", "binary") if n in options}
-        parts = [fit_large(rows.where(F.col("fold") != f), features, **given).transform(rows.where(F.col("fold") == f).na.fill(0.0, features)) for f in range(1, k + 1)]
-        parts = [p.select("title", "type_name", F.col("fold").cast("int").alias("fold"), "label", "prediction") for p in parts]
-        return functools.reduce(DataFrame.unionByName, parts)
+    folds of its own. The rows are labelled ones, which are counted first: more than a task may hold raise an error, as in
+    `fit_scorer`, since the trees of `cross_validated_large` don't have all of the options."""
+    rows = _bounded(rows)
 
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["title", "type_name"])
@@ -409,6 +401,18 @@ def cross_validated(rows: DataFrame, features: list[str], k: int = 10, **options
     return every.groupBy("task").applyInPandas(run, "title string, type_name string, fold int, label double, prediction double")
 
 
+def cross_validated_large(rows: DataFrame, features: list[str], k: int = 10, trees: int = 1000, rate: float = 0.01, depth: int = 3, subsample: float = 1.0, binary: bool = False) -> DataFrame:
+    """The same for any number of rows, with MLlib's trees and their options. A binary prediction is the probability of 1."""
+    from pyspark.ml.functions import vector_to_array
+
+    parts = []
+    for f in range(1, k + 1):
+        found = fit_large(rows.where(F.col("fold") != f), features, trees, rate, depth, subsample, binary).transform(rows.where(F.col("fold") == f).na.fill(0.0, features))
+        prediction = vector_to_array("probability")[1] if binary else F.col("prediction")
+        parts.append(found.select("title", "type_name", F.col("fold").cast("int").alias("fold"), "label", prediction.alias("prediction")))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def _cv_score(f: pd.DataFrame, features: list[str], options: dict) -> float:
     """The mean over folds: accuracy if binary, else the negated absolute error."""
     out = []

@@ -68,18 +68,14 @@ def classifier_dataset(features: DataFrame, kb: DataFrame, redirects: DataFrame,
 
 
 def cached(spark: SparkSession, path: str, wanted: list[str], features_of, model_of) -> list[str]:
-    """Logits of every classifier that has none at path yet, one partition each; the names of those that were done now.
-    features_of(name): title, words, entities; model_of(name): (model, types)."""
+    """Logits of every classifier that isn't in the list of finished ones beside path yet, one partition each; the names of those
+    that were done now. features_of(name): title, words, entities; model_of(name): (model, types)."""
     names = spark.createDataFrame([(n,) for n in wanted], "classifier string")
-    try:
-        done = S.load(spark, path).select("classifier")
-    except Exception:  # nothing there yet
-        done = names.limit(0)
-    left = {r["classifier"] for r in S.unfinished(names, done).collect()}
+    left = {r["classifier"] for r in S.unfinished(names, S.finished(spark, path)).collect()}  # of those asked for
     now = [n for n in wanted if n in left]
     for name in now:
         model, types = model_of(name)
-        S.append_classifier(learning.classify(features_of(name), model, types, name), path)
+        S.add_classifier(learning.classify(features_of(name), model, types, name), name, path)
     return now
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import parse
-from ..operators import cooc, datasets, entities, learning, scoring, serving
+from ..operators import cooc, datasets, entities, learning, pooling, scoring, serving
 from ..scratch import folder, saved, spread
 from ..sources import tables as S
 
@@ -367,6 +367,17 @@ def cooc_bags(spark, sf):
     return f.select("title", F.col("n_words").cast("long").alias("n_words"), ids("words").alias("words"), F.col("n_entities").cast("long").alias("n_entities"), ids("entities").alias("entities"))
 
 
+def pooled_vectors(spark, sf):
+    """Documents' words pooled by a table of embeddings: those of a word's id, their first 8 numbers its vector, and the ninth its
+    attention."""
+    t = _tokens(spark, sf).select("doc_id", F.explode(T.lowered(F.col("words"))).alias("token"))
+    vocab = cooc.vocabulary(t.select("token"), 20)
+    bags = t.join(datasets.sent(vocab.select("token", "id"), "vocabulary"), "token").groupBy("doc_id").agg(F.collect_list("id").alias("ids"))
+    table = _read(spark, sf, "embeddings").select((F.col("vec_id") + 1).cast("int").alias("id"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("vector"), F.exp(F.element_at("embedding", 9).cast("double")).alias("weight"))
+    v = pooling.pooled(bags.select(F.col("doc_id").alias("title"), "ids"), table).select(F.col("title").alias("doc_id"), F.posexplode("vector").alias("k", "value"))
+    return v.select("doc_id", F.col("k").cast("long").alias("k"), (F.round("value", 6) + 0).alias("value"))
+
+
 def _asked(spark, sf):
     """Requests: two types for each vector, now and then by a title that redirects, of a type that no classifier knows, or
     without logits."""
@@ -434,7 +445,7 @@ def attention_classifier(spark, sf):
     return learning.classify(rows, model, types, "language")
 
 
-QUERIES = {f.__name__: f for f in (type_pmi, type_probability, token_counts, title_forms, redirect_parse, nested_links, page_paragraphs, token_spans, word_vocabulary, prefix_vocabulary, link_document_frequency, redirect_resolution, inlink_counts, inlink_lookup, page_texts, page_in_links, link_bags, word_entity_window, char_windows, linked_entities, entity_pairs, stored_matrix, known_titles, looked_up, target_titles, encoded_documents, expanded_counts, single_types, multi_types, type_labels, type_lists, dataset_split, k_folds, class_weights, softmax_features, valid_logits, wide_features, binary_labels, mean_metrics, rounded_scores, binary_scores, unfinished_classifiers, split_difference, request_order, page_dataset, cooc_bags, scorer_rows, score_requests, projected_features, boosted_trees_cv, attention_classifier)}
+QUERIES = {f.__name__: f for f in (type_pmi, type_probability, token_counts, title_forms, redirect_parse, nested_links, page_paragraphs, token_spans, word_vocabulary, prefix_vocabulary, link_document_frequency, redirect_resolution, inlink_counts, inlink_lookup, page_texts, page_in_links, link_bags, word_entity_window, char_windows, linked_entities, entity_pairs, stored_matrix, known_titles, looked_up, target_titles, encoded_documents, expanded_counts, single_types, multi_types, type_labels, type_lists, dataset_split, k_folds, class_weights, softmax_features, valid_logits, wide_features, binary_labels, mean_metrics, rounded_scores, binary_scores, unfinished_classifiers, split_difference, request_order, page_dataset, cooc_bags, pooled_vectors, scorer_rows, score_requests, projected_features, boosted_trees_cv, attention_classifier)}
 
 _KB = "kb AS (SELECT DISTINCT o_custkey::VARCHAR AS title, o_orderpriority AS type_name FROM orders)"
 _STATS = """several AS (SELECT * FROM kb WHERE title IN (SELECT title FROM kb GROUP BY title HAVING count(*) <> 1)),
@@ -547,6 +558,9 @@ o AS (SELECT DISTINCT sent_id, entity FROM ents), m AS (SELECT a.entity AS title
 wl AS (SELECT title, list(id ORDER BY md5(id || '-' || copy), id) AS ids FROM (SELECT title, id, unnest(range(1, n + 1)) AS copy FROM w) GROUP BY 1), ml AS (SELECT title, list(id ORDER BY md5(id || '-' || copy), id) AS ids FROM (SELECT title, id, unnest(range(1, n + 1)) AS copy FROM m) GROUP BY 1),
 x AS (SELECT nv.entity AS title, coalesce(wl.ids, []) AS wi, coalesce(ml.ids, []) AS mi FROM nv LEFT JOIN wl ON wl.title = nv.entity LEFT JOIN ml ON ml.title = nv.entity)
 SELECT title, len(wi)::BIGINT AS n_words, md5(array_to_string(wi[greatest(len(wi) - 4999, 1):], ' ')) AS words, len(mi)::BIGINT AS n_entities, md5(array_to_string(mi[greatest(len(mi) - 1999, 1):], ' ')) AS entities FROM x""",
+    "pooled_vectors": f"""WITH {_WORDS}, t AS (SELECT doc_id, lower(unnest(words)) AS token FROM toks), v AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) AS id FROM t GROUP BY 1 HAVING count(*) >= 20),
+e AS (SELECT vec_id + 1 AS id, embedding, exp(embedding[9]::DOUBLE) AS w FROM embeddings), s AS (SELECT doc_id, k, sum(e.w * embedding[k + 1]::DOUBLE) AS s FROM t JOIN v USING (token) JOIN e USING (id), range(0, 8) r(k) GROUP BY 1, 2)
+SELECT doc_id, k, round(s / greatest(sqrt(sum(s * s) OVER (PARTITION BY doc_id)), 1e-7), 6) + 0 AS value FROM s""",
     "scorer_rows": f"""{_SCORER} SELECT line_id, title, type_name, num_types, {", ".join(f"round({c}_{n}, 5) + 0 AS {c}_{n}" for c in "ab" for n in scoring.NAMES)} FROM wide""",
     "score_requests": f"""{_SCORER} SELECT line_id, title, type_name, min(line_id) OVER (PARTITION BY title) AS first_seen, greatest(0, least(7, round(1.7 + {" + ".join(f"({w}::DOUBLE) * {n}" for n, w in LINEAR.items())})))::INT AS score FROM wide""",
     "projected_features": "SELECT event_id, 0.0::DOUBLE AS missing, value::DOUBLE AS value FROM events",

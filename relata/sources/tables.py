@@ -82,8 +82,18 @@ def load_all(spark: SparkSession, folder: str, names: list[str]) -> dict[str, Da
     return {n: load(spark, f"{folder}/{n}") for n in names}
 
 
+def store_clustered(table: DataFrame, path: str, key: str, distinct: int = 1_000_000, group_bytes: int = 16 << 20) -> None:
+    """A table in ranges of a key, each a file in order of it with a Bloom filter of the keys, so that a lookup reads the row
+    groups that may have them: their statistics leave out other ranges, and their filters keys that aren't there. distinct: how
+    many keys a row group's filter is made for. The rows are saved before they are ordered, since ranges are drawn from a sample of them."""
+    ordered = saved(table, "unordered").repartitionByRange(key).sortWithinPartitions(key)
+    options = {f"parquet.bloom.filter.enabled#{key}": "true", f"parquet.bloom.filter.expected.ndv#{key}": str(distinct), "parquet.block.size": str(group_bytes)}
+    ordered.write.mode("overwrite").options(**options).parquet(path)
+
+
 def lookup(table: DataFrame, key: str, wanted: DataFrame | list) -> DataFrame:
-    """The rows of the keys wanted; an unknown key gives none. A few keys are pushed down to the scan, a table of them is joined."""
+    """The rows of the keys wanted; an unknown key gives none. A few keys are pushed down to the scan, where `store_clustered`
+    has left row groups to skip; a table of them is joined."""
     if isinstance(wanted, DataFrame):
         return table.join(wanted.select(key).distinct(), key, "left_semi")
     return table.where(F.col(key).isin(list(wanted)))
@@ -114,13 +124,27 @@ def submission(scored: DataFrame) -> DataFrame:
 
 
 def write_submission(scored: DataFrame, path: str) -> None:
-    """`submission` as one TSV file."""
-    submission(scored).coalesce(1).write.mode("overwrite").csv(path, sep="\t", quote="")
+    """`submission` as TSV files of ranges: in order of their names, end to end, they are the whole. The rows are saved before they
+    are ordered, so that ranges are of the same rows as the sample that they are drawn from."""
+    submission(saved(scored.select("title", "type_name", "score", "first_seen", "line_id"), "scored")).write.mode("overwrite").csv(path, sep="\t", quote="")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def finished(spark: SparkSession, path: str) -> DataFrame:
+    """classifier: those whose logits are all at path, by the list beside it. A list that is there but can't be read raises."""
+    listed_ = f"{path}-finished"
+    return spark.read.schema("classifier string").parquet(listed_) if exists(spark, listed_) else spark.createDataFrame([], "classifier string")
 
 
-def append_classifier(logits: DataFrame, path: str) -> None:
-    """Adds a classifier's logits as a partition of its own, so that finished ones are there after a restart."""
-    logits.write.mode("append").partitionBy("classifier").parquet(path)
+def add_classifier(logits: DataFrame, name: str, path: str) -> None:
+    """A classifier's logits as a partition of their own, then its name in the list of finished ones. A partition that isn't listed,
+    from a run that broke off, is written over."""
+    logits.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("classifier").parquet(path)
+    logits.sparkSession.createDataFrame([(name,)], "classifier string").coalesce(1).write.mode("append").parquet(f"{path}-finished")
 
 
 def unfinished(wanted: DataFrame, done: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from relata.functions import parse
 from relata.operators import cooc, datasets, entities, learning, scoring, serving
 from relata.plans import queries
+from relata.sources import tables
 
 
 def rows(df):
@@ -126,11 +127,15 @@ def test_mllib_trees(spark):
 
 
 def test_cross_validation_of_many_rows(spark, monkeypatch):
-    monkeypatch.setattr(learning, "MOST_ROWS", 100)
-    found = learning.cross_validated(_scored(spark), ["f0", "f1", "f2"], 4, trees=2, rate=0.5).collect()
+    many = _scored(spark)
+    found = learning.cross_validated_large(many, ["f0", "f1", "f2"], 4, trees=2, rate=0.5).collect()
     assert len(found) == 200 and np.mean([abs(r["label"] - r["prediction"]) for r in found]) < 1.5
-    with pytest.raises(ValueError):
-        learning.fit_scorer(_scored(spark), ["f0"])
+    two = learning.cross_validated_large(many.withColumn("label", (F.col("label") > 3).cast("double")), ["f0", "f1", "f2"], 2, trees=2, binary=True).collect()
+    assert all(0 < r["prediction"] < 1 for r in two)
+    monkeypatch.setattr(learning, "MOST_ROWS", 100)
+    for f in (learning.fit_scorer, learning.cross_validated):
+        with pytest.raises(ValueError):
+            f(many, ["f0"])
 
 
 def test_selection_and_search(spark):
@@ -199,13 +204,65 @@ def test_attention_classifier_reads_whole_texts(spark, tmp_path, monkeypatch):
     assert [found[str(k)]["length"] for k in range(3)] == [90, 5009, 90]
 
 
-def test_cached_logits_resume(spark, tmp_path):
+def test_cached_logits_resume(spark, tmp_path, monkeypatch):
+    """A run that breaks off after a classifier's rows, or in the middle of them, leaves nothing that is there twice later."""
     m = learning.Classifier(2, 1, 2, 4, 4, use="words")
     rows_ = spark.createDataFrame([("T", [1, 2], [])], "title string, words array<int>, entities array<int>")
     model_of, path = lambda n: (m, ["x", "y"]), f"{tmp_path}/cache"
     assert serving.cached(spark, path, ["p"], lambda n: rows_, model_of) == ["p"]
     assert serving.cached(spark, path, ["q", "p"], lambda n: rows_, model_of) == ["q"]
-    assert rows(spark.read.parquet(path).groupBy("classifier").count()) == [("p", 2), ("q", 2)]
+    spark.createDataFrame([("r", "T", "x", 1.0)], "classifier string, title string, type_name string, value float").write.mode("append").partitionBy("classifier").parquet(path)  # half of r
+    assert serving.cached(spark, path, ["q", "r"], lambda n: rows_, model_of) == ["r"]
+    assert serving.cached(spark, path, ["q", "r"], lambda n: rows_, model_of) == []
+    assert rows(spark.read.parquet(path).groupBy("classifier").count()) == [("p", 2), ("q", 2), ("r", 2)]
+    (tmp_path / "cache-finished/part-bad.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):
+        serving.cached(spark, path, ["p"], lambda n: rows_, model_of)
+
+
+def test_submission_in_parts(spark, tmp_path):
+    """Several files, which by their names are in order."""
+    scored = spark.range(5000).select(F.col("id").alias("line_id"), F.concat(F.lit("t"), F.col("id") % 700).alias("title"), F.lit("x").alias("type_name"), (F.col("id") % 8).alias("score"), (F.col("id") % 700).alias("first_seen")).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tables.write_submission(scored, f"{tmp_path}/out")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "out").glob("part-*"))
+    lines = [x.split("\t") for f in parts for x in f.read_text().splitlines()]
+    assert len(parts) > 1 and lines == [[f"t{g}", "x", str(k % 8)] for g in range(700) for k in range(g, 5000, 700)]
+
+
+def test_lookup_reads_few_row_groups(spark, tmp_path):
+    """A key is looked for in the row groups that may have it; one that isn't there, but between others, in none or so."""
+    table = spark.range(40_000).select(F.md5(F.col("id").cast("string")).alias("title"), "id")
+    tables.store_clustered(table.repartition(3), f"{tmp_path}/t", "title", 5_000, 64 << 10)
+    stored = tables.load(spark, f"{tmp_path}/t")
+    key = hashlib.md5(b"77").hexdigest()
+
+    def read(wanted):
+        found = tables.lookup(stored, "title", [wanted])
+        n = found.collect()
+        leaf = found._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        leaf = leaf.plan().collectLeaves().apply(0) if "Stage" in leaf.getClass().getName() else leaf
+        return n, leaf.metrics().apply("numOutputRows").value()
+
+    some, n = read(key)
+    assert [r["id"] for r in some] == [77] and 0 < n < 8_000
+    none, n = read(key[:-1] + "z")
+    assert not none and n == 0  # in the range of a file, whose filter lacks it
+
+
+def test_pooling_table_equals_the_model(spark):
+    m = learning.Classifier(6, 4, 3, 5, 7, True, 3, 0.0, "both", 2)
+    bags = [("a", [0, 0, 3, 1, 3], [2]), ("b", [6], []), ("c", [], [4, 4, 1]), ("d", [0], None), ("e", [99], [1])]
+    df = spark.createDataFrame(bags, "title string, words array<int>, entities array<int>").repartition(3)
+    found = {}
+    for r in learning.classify(df, m, ["x", "y", "z"], "n").collect():
+        found.setdefault(r["title"], {})[r["type_name"]] = r["value"]
+    known = [([i for i in w if i < 7], e or []) for _, w, e in bags]
+    want = m.logits([w for w, _ in known], [e for _, e in known])
+    assert np.allclose([[found[t][x] for x in "xyz"] for t, _, _ in bags], want, atol=1e-5)
 
 
 def test_in_links_in_parts(spark):
