@@ -20,10 +20,12 @@ from .scratch import saved, spread
 from .words import release
 
 # Words of the grammar's classes, in English, French, German and Spanish.
-THREATS = "kill murder hurt destroy punch beat strangle tuer frapper töten umbringen schlagen matar golpear".split()
+#: Stems of threats and reports, each group with the endings that its words take; none is "-".
+THREAT_STEMS = (("kill murder destroy punch", "- s es ed ing"), ("hurt beat", "- s en ing"), ("strangl", "e es ed ing"), ("tu frapp", "er é ée és erai eras era ez ons ant"), ("töt", "en e et est ete eten"), ("umbring schlag umgebracht geschlagen getötet", "- en e t"), ("schläg", "t st"), ("mat golpe", "ar aré arás ará ado ada ando aron"))
+REPORT_STEMS = (("claim report call", "- s ed ing"), ("quot", "e es ed ing"), ("say tell writ wrot", "- s e es ing"), ("said told dit disait écrit écrivait appelé affirmé sagt sagte schrieb schreibt nannte behauptet behauptete dijo dice escribió escribe llamó afirmó", "-"))
 TARGETS = "you your u yourself he she they them him her tu te toi vous votre ton ta du dich dir euch ihr dein deine tú ti usted ustedes vosotros".split()
-NEGATIONS = "not never isn't aren't don't no nobody pas jamais ne non nicht kein keine nie nunca jamás ningún".split()
-REPORTS = "said says wrote called quoted claimed reported told dit disait écrit appelé sagte schrieb nannte behauptete dijo escribió llamó".split()
+#: And every word that ends in n't.
+NEGATIONS = "not never cannot no nobody pas jamais ne non nicht kein keine nie nunca jamás ningún".split()
 #: Insult stems used only where no labels are there to learn from; a word that ends in $ must match whole.
 DEFAULT_STEMS = "idiot$ moron$ scum$ loser$ worthless$ stupid$ pathetic$".split()
 
@@ -34,10 +36,23 @@ KINDS = ("plain", "aimed", "negated", "reported", "threat", "negated threat", "r
 SCOPE = 3  # words that a negation reaches over
 
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
+
+
+def _forms(groups) -> list[str]:
+    """Every stem of a group, followed by every ending of it."""
+    return [stem + (ending if ending != "-" else "") for stems, endings in groups for stem in stems.split() for ending in endings.split()]
+
+
+THREATS, REPORTS = _forms(THREAT_STEMS), _forms(REPORT_STEMS)
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 _CLAUSE_END = re.compile(r"[.!?;:\n]")
 
 
+def _plain(text: str | None) -> str:
+    """Lower case, with the straight apostrophe for the curved one; places stay, but for letters whose lower case is longer."""
+    return (text or "").lower().replace("\u2019", "'")
+
+
 class Transducer:
     """A deterministic transducer over symbols: step(state, symbol) -> (state, output); one that others follow gives a symbol."""
 
@@ -132,14 +147,14 @@ class Matcher:
     def features(self, text: str | None) -> list[float]:
         """For each kind log(1 + count) and whether there is one; the largest clause score; matches a thousand words. A clause,
         however long, is read word by word from end to end, once."""
-        text = (text or "").lower()
+        text = _plain(text)
         counts, top, done, ends = [0] * len(KINDS), 0.0, 0, None
         for end, n in self.search.iter(text):
             at = end - n + 1
             if at < done or at and (text[at - 1].isalpha() or text[at - 1] == "'"):
                 continue
             if ends is None:
-                ends = [m.start() for m in _CLAUSE_END.finditer(text)]
+                ends = self.ends(text)
             k = bisect_left(ends, at)
             lo, done = ends[k - 1] + 1 if k else 0, ends[k] if k < len(ends) else len(text)
             score = 0.0
@@ -150,12 +165,25 @@ class Matcher:
         words = max(1, len(text) // 6)
         return [*(math.log1p(c) for c in counts), *(float(c > 0) for c in counts), math.log1p(top), min(5.0, 1000 * sum(counts) / words / 10)]
 
+    def ends(self, text: str) -> list[int]:
+        """Where clauses end. A colon after a report doesn't end its clause: what follows is reported."""
+        out, opened, at = [], False, 0
+        for m in _CLAUSE_END.finditer(text):
+            if m[0] == ":":
+                opened = opened or any(self.classes.get(w) == REPORT for w in _WORD.findall(text, at, m.start()))
+                at = m.end()
+                if opened:
+                    continue
+            out.append(m.start())
+            opened, at = False, m.end()
+        return out
+
     def clause(self, text: str, lo: int, hi: int) -> Iterator[tuple[int, float]]:
         """The outputs of the clause text[lo:hi], in lower case, each with its word's strength."""
         state, held = 0, 0.0
         for m in _WORD.finditer(text, lo, hi):
             word = m[0]
-            symbol, strength = self.classes.get(word, OTHER), 0.0
+            symbol, strength = NEGATION if word.endswith("n't") else self.classes.get(word, OTHER), 0.0
             if symbol in (OTHER, THREAT):
                 strength = self.weight(word)
                 symbol = INSULT if strength else symbol
@@ -176,7 +204,7 @@ def _closed(count: Counter, positives: int, share: float) -> dict[str, int]:
 
 def _prefixes(text: str, longest: int) -> set[str]:
     """Of the text's words in lower case, all prefixes of 3 to `longest` letters, and the words themselves with $ at their end."""
-    words = {w for w in _WORD.findall(text.lower()) if len(w) >= 3}
+    words = {w for w in _WORD.findall(_plain(text)) if len(w) >= 3}
     return {w[:n] for w in words for n in range(3, min(longest, len(w)) + 1)} | {w + "$" for w in words}
 
 

@@ -314,6 +314,41 @@ def test_grammar(gap):
     assert [s for _, s in m.clause(f"grobnik {gap}you", 0, 10_000)] == [3.0]
 
 
+def test_grammar_forms():
+    m = toxicity.Matcher({"idiot$": 3.0})
+
+    def kinds(text):
+        found = m.features(text)
+        return [k for k, n in zip(toxicity.KINDS, found) if n > 0]
+
+    threats = ["i am killing you", "you will be killed", "he murdered you", "they were beating him", "I punched them"]
+    assert [kinds(t) for t in threats] == [["threat"]] * 5
+    negated = ["we won't kill you", "we can't kill you", "we don\u2019t kill you", "he will never be hurting you"]
+    assert [kinds(t) for t in negated] == [["negated threat"]] * 4
+    assert kinds("he wasn't an idiot") == kinds("he wasn\u2019t an idiot") == ["negated"]
+    reported = ["he claims you are an idiot", "he said: you are an idiot", "she wrote to him: \"you idiot\"", "they say: well: you idiot"]
+    assert [kinds(t) for t in reported] == [["reported"]] * 4
+    assert kinds("note: you idiot") == ["aimed"] and kinds("he said so. note: you idiot") == ["aimed"]
+    assert kinds("killer whales, hurtful words for you") == kinds("matters of time, you see") == []
+
+
+def test_features_brute_force():
+    """The search for stems and threats finds the clauses that a scan of all clauses finds something in."""
+    m, rng = toxicity.Matcher({"grobnik": 3.0, "zorf$": 2.0}), np.random.default_rng(3)
+    pieces = ["you", "grobniks", "zorf", "zorfs", "not", "said", "kill", "killing", "won't", "fine", "xkill", "don\u2019t", ":", ". ", "\n", ";", ", ", "he"]
+    for n in range(400):
+        text = " ".join(rng.choice(pieces, rng.integers(0, 40)))
+        low = text.lower().replace("\u2019", "'")
+        ends = [*m.ends(low), len(low)]
+        counts, top = Counter(), 0.0
+        for lo, hi in zip([0, *(e + 1 for e in ends)], ends):
+            out = list(m.clause(low, lo, hi))
+            counts.update(k for k, _ in out)
+            top = max(top, sum(x or 1.0 for _, x in out))
+        found = m.features(text)
+        assert found[:7] == [np.log1p(counts[k]) for k in range(7)] and found[14] == np.log1p(top)
+
+
 def test_clauses_end():
     m = toxicity.Matcher({"grobnik": 3.0})
     together, apart = (m.features(t) for t in ("grobnik, you", "grobnik. you"))
