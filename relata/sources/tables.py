@@ -14,11 +14,16 @@ CATEGORIES = {"pro": "profession", "nat": "nationality"}
 
 
 def dump(spark: SparkSession, path: str, ignored: tuple[str, ...] = T.IGNORED_NAMESPACES) -> DataFrame:
-    """title, wiki_text, redirect of an XML dump's articles (bz2 files too)."""
+    """title, wiki_text, redirect of an XML dump's articles (bz2 files too).
+
+    Records are what ends with a page's end tag, cut by the text source, which also cuts inside of bz2 files, at their blocks: so
+    tasks share a dump of one or many streams, and a page that lies across a split is read by the one where it begins. Each
+    record is then parsed as XML; what isn't a page, such as the site's head, is left out."""
     schema = "title string, revision struct<text: struct<_VALUE: string>>"
-    pages = spark.read.format("xml").option("rowTag", "page").schema(schema).load(path)
-    pages = pages.select("title", F.coalesce("revision.text._VALUE", F.lit("")).alias("wiki_text")).where(T.article(F.col("title"), ignored))
-    return pages.withColumn("redirect", T.redirect(F.col("wiki_text")))
+    records = spark.read.text(path, lineSep="</page>").where(F.contains("value", F.lit("<page>")))
+    one = F.concat(F.expr("substr(value, locate('<page>', value))"), F.lit("</page>"))
+    pages = records.select(F.from_xml(one, schema, {"ignoreSurroundingSpaces": "false"}).alias("p")).where("p.title IS NOT NULL").select("p.title", F.coalesce("p.revision.text._VALUE", F.lit("")).alias("wiki_text"))
+    return pages.where(T.article(F.col("title"), ignored)).withColumn("redirect", T.redirect(F.col("wiki_text")))
 
 
 def _tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:

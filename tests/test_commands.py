@@ -2,6 +2,8 @@
 
 import bz2
 import json
+import random
+from xml.sax.saxutils import escape
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +118,23 @@ def test_submission(spark, work, built):
     assert scores["Person 8", "singer"] >= 5 and scores["Person 8", "painter"] <= 2 and 0 <= scores["Old", "painter"] <= 7
 
 
+def test_dump_of_many_streams_and_blocks(spark, tmp_path):
+    """Streams of several blocks each, cut anywhere in a page: read by several tasks, each page once."""
+    r = random.Random(2)
+    texts = ["".join(chr(r.randrange(0x61, 0x250)) for _ in range(r.randrange(1, 20_000))) + " &amp; é <b>\n" for _ in range(300)]
+    xml = "<mediawiki><siteinfo><x>page</x></siteinfo>\n" + "\n".join(f"<page><title>P {k}</title><ns>0</ns><revision><id>1</id><text bytes=\"9\" xml:space=\"preserve\">{escape(t)}</text></revision></page>" for k, t in enumerate(texts)) + "\n</mediawiki>\n"
+    raw = xml.encode()
+    cuts = [0, *sorted(r.sample(range(len(raw)), 3)), len(raw)]
+    (tmp_path / "dump.xml.bz2").write_bytes(b"".join(bz2.compress(raw[a:b], 1) for a, b in zip(cuts, cuts[1:])))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(300_000))
+    try:
+        found = S.dump(spark, str(tmp_path / "dump.xml.bz2")).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((x["title"], x["wiki_text"]) for x in found) == sorted((f"P {k}", t) for k, t in enumerate(texts))
+    assert len({x["task"] for x in found}) > 3
+
+
 def test_catalog_and_names(spark, work):
     tables = S.catalog(spark, str(work / "dataset"))
     assert tables["profession.kb"].count() == 45 and tables["profession.train"].dtypes[2] == ("score", "int") and tables["nationality.kb"].count() == 0
