@@ -7,6 +7,7 @@ JSON list of features.
 from __future__ import annotations
 
 import argparse
+import functools
 import json
 
 from pyspark.sql import SparkSession
@@ -137,24 +138,27 @@ def search_classifier(spark, a) -> dict:
 
 
 def cache_classifier_results(spark, a) -> list[str]:
-    """Logits of classifiers for a knowledge base's titles; those already at out_file are skipped."""
+    """Logits of classifiers for a knowledge base's titles; those already at out_file are skipped. The features of all that are
+    left are made at once: pages are read once, and each matrix is."""
     _, redirects = _entities(spark, a.entity_db_file)
-    kb, models = _kb(spark, a), {}
-
-    def model_of(name):
-        models[name] = models.get(name) or learning.load_model(spark, name)
-        return models[name][0], models[name][1]["types"]
-
-    def features_of(name):
-        model_of(name)
-        about = models[name][1]
+    kb, wanted = _kb(spark, a), S.listed(a.cooc_models, a.page_models)
+    done = {r["classifier"] for r in S.finished(spark, a.out_file).collect()}
+    models = {n: learning.load_model(spark, n) for n in wanted if n not in done}
+    tables, page_set, matrices = [], {}, {}
+    for name, (_, about) in models.items():
         if about["kind"] == "cooc":
-            return _cooc_features(spark, kb, about["matrix"], redirects, about["text_len"], about["entity_len"])
-        bags = serving.page_bags(*S.load_all(spark, a.page_db_file, ["pages", "in_links"]).values(), about["in_links"], about["out_links"], about["abstract_only"])
-        words, names = S.load_all(spark, about["dataset"], ["word_vocab", "entity_vocab"]).values()
-        return serving.page_features(kb, *bags, words, names, redirects, about["text_len"], about["entity_len"])
-
-    return serving.cached(spark, a.out_file, S.listed(a.cooc_models, a.page_models), features_of, model_of)
+            matrices.setdefault(about["matrix"], {})[name] = (about["text_len"], about["entity_len"])
+        else:
+            vocabularies = S.load_all(spark, about["dataset"], ["word_vocab", "entity_vocab"])
+            page_set[name] = {**vocabularies, **{k: about[k] for k in ("text_len", "entity_len", "in_links", "out_links", "abstract_only")}}
+    if page_set:
+        tables.append(serving.page_encodings(kb, *S.load_all(spark, a.page_db_file, ["pages", "in_links"]).values(), redirects, page_set))
+    for matrix, lengths in matrices.items():
+        t = S.load_all(spark, matrix, ["word", "entity", "entity_vocab"])
+        tables.append(serving.cooc_encodings(kb, t["word"], t["entity"], t["entity_vocab"], redirects, lengths))
+    features = [saved(t, "features", ("encoding",)) for t in tables]
+    every = functools.reduce(lambda x, y: x.unionByName(y), features) if features else None
+    return serving.cached(spark, a.out_file, wanted, lambda n: every.where(F.col("encoding") == n), lambda n: (models[n][0], models[n][1]["types"]))
 
 
 def _classifiers(logits) -> list[str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,55 @@ def cooc_features(titles: DataFrame, word_counts: DataFrame, entity_counts: Data
     return _two_bags(rows, _bag(some(word_counts), "words", text_len), _bag(some(entity_counts), "entities", entity_len), text_len, entity_len)
 
 
+def page_encodings(titles: DataFrame, pages: DataFrame, parts: DataFrame, redirects: DataFrame, encodings: dict[str, dict]) -> DataFrame:
+    """encoding, title, words, entities (ids) of the titles, as they resolve, that have a page, for many classifiers at once.
+
+    encodings: by name word_vocab, entity_vocab, text_len, entity_len, in_links, out_links, abstract_only. Pages and in-links
+    are read and cut into tokens once, for all of them; every encoding's vocabulary is a part of one table that the tokens are
+    joined with. As `page_features`, without padding.
+    """
+    there = pages.join(entities.target_titles(titles, redirects), "title", "left_semi").select("title", "paragraphs")
+    both = F.array(*[F.struct(F.lit(a).alias("abstract_only"), T.lowered(T.tokens(entities.page_text(F.col("paragraphs"), a))).alias("words")) for a in sorted({e["abstract_only"] for e in encodings.values()})])
+    each = there.select("title", F.explode("paragraphs").alias("p")).select("title", F.when(F.col("p.abstract"), "abstract").otherwise("rest").alias("kind"), F.explode("p.wiki_links.title").alias("token"))
+    into = entities.in_links(parts).join(there.select("title"), "title", "left_semi").select("title", F.lit("in").alias("kind"), F.col("x.title").alias("token"))
+    kinds = lambda e: (["in"] if e["in_links"] else []) + (["abstract"] if e["out_links"] else []) + (["rest"] if e["out_links"] and not e["abstract_only"] else [])
+    one = lambda n, vocab, column, value: vocab.select("token", "id", F.lit(n).alias("encoding"), value.alias(column))
+    words = functools.reduce(DataFrame.unionByName, [one(n, e["word_vocab"], "abstract_only", F.lit(e["abstract_only"])) for n, e in encodings.items()])
+    names = functools.reduce(DataFrame.unionByName, [one(n, e["entity_vocab"], "kind", F.explode(F.array(*[F.lit(k) for k in kinds(e)]).cast("array<string>"))) for n, e in encodings.items()])
+    tokens = there.select("title", F.explode(both).alias("x")).select("title", "x.abstract_only", F.posexplode("x.words").alias("pos", "token"))
+    known = tokens.join(datasets.sent(words, "vocabularies"), ["abstract_only", "token"])
+    ids = known.groupBy("encoding", "title").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"].cast("int")).alias("words"))
+    linked = each.unionByName(into).distinct().join(datasets.sent(names, "vocabularies"), ["kind", "token"]).select("encoding", "title", "id").distinct().withColumn("n", F.lit(1))
+    return _all_encodings(there, ids, linked, {n: (e["text_len"], e["entity_len"]) for n, e in encodings.items()})
+
+
+def cooc_encodings(titles: DataFrame, word_counts: DataFrame, entity_counts: DataFrame, entity_vocab: DataFrame, redirects: DataFrame, lengths: dict[str, tuple[int, int]]) -> DataFrame:
+    """The same from co-occurrences; lengths: by name text_len and entity_len. The matrices' rows are read once, and each bag is
+    made for the longest; a shorter one is its end. As `cooc_features`, without padding."""
+    rows = entities.target_titles(titles, redirects).join(entity_vocab.select(F.col("token").alias("title"), F.col("id").alias("row")), "title")
+    some = lambda counts: rows.join(counts, "row").select("title", F.col("col").alias("id"), "n", F.lit("").alias("encoding"))
+    words = datasets.expanded(some(word_counts), ["encoding", "title"], max(n for n, _ in lengths.values()), "words").drop("n")
+    every = F.explode(F.array(*[F.lit(n) for n in lengths]))
+    linked = some(entity_counts).withColumn("encoding", F.lit(""))
+    return _all_encodings(rows, words, linked, lengths, every)
+
+
+def _all_encodings(there: DataFrame, words: DataFrame, linked: DataFrame, lengths: dict[str, tuple[int, int]], every=None) -> DataFrame:
+    """The titles that are there with each encoding's bags, cut to its lengths; every: the encodings of bags that all share."""
+    bags = datasets.expanded(linked, ["encoding", "title"], max(n for _, n in lengths.values()), "entities").drop("n")
+    names = F.explode(F.array(*[F.lit(n) for n in lengths]))
+    out = there.select("title").distinct()
+    if every is None:
+        out = out.withColumn("encoding", names)
+        out = out.join(words, ["encoding", "title"], "left").join(bags, ["encoding", "title"], "left")
+    else:
+        out = out.join(words.drop("encoding"), "title", "left").join(bags.drop("encoding"), "title", "left").withColumn("encoding", every)
+    sizes = {k: F.create_map(*[x for n, v in lengths.items() for x in (F.lit(n), F.lit(v[k]))])[F.col("encoding")] for k in (0, 1)}
+    end = lambda c, k: F.slice(c, F.greatest(F.size(c) - sizes[k] + 1, F.lit(1)), sizes[k])
+    empty = F.array().cast("array<int>")
+    return out.select("encoding", "title", F.coalesce(end(F.col("words"), 0), empty).alias("words"), F.coalesce(end(F.col("entities"), 1), empty).alias("entities"))
+
+
 def classifier_dataset(features: DataFrame, kb: DataFrame, redirects: DataFrame, min_text_len: int = 5, min_entity_len: int = 5, dev: float = 0.05, test: float = 0.05) -> DataFrame:
     """title, words, entities, label, type_name, weight, split: the titles of one type that have more words and entities than
     the minima. Weights are by all titles of one type, as they are in the knowledge base, the heaviest class at 1."""

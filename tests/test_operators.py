@@ -297,3 +297,33 @@ def test_bags_are_bounded(spark, monkeypatch):
     assert sorted((r["k"], tuple(r["bag"]), r["n"]) for r in datasets.expanded(df, ["k"], 40).collect()) == want
     monkeypatch.setattr(datasets, "SPREADS", -6)
     assert sorted((r["k"], tuple(r["bag"]), r["n"]) for r in datasets.expanded(df, ["k"], 40).collect()) == want
+
+
+def test_encodings_at_once(spark):
+    """Those of many classifiers, as if each were made alone."""
+    link = lambda t: {"title": t, "text": t, "link_type": "out"}
+    pages = spark.createDataFrame([(f"T{k}", [{"text": f"a b c{k} a", "wiki_links": [link("X"), link(f"Y{k % 3}")], "abstract": True}, {"text": "d e b", "wiki_links": [link("Z"), link("X")], "abstract": False}]) for k in range(9)] + [("empty", [])], f"title string, paragraphs {parse.PARAGRAPHS}")
+    parts = entities.in_link_parts(spark.createDataFrame([(f"S{j}", f"T{k}", "x") for k in range(9) for j in range(k)], "source string, title string, text string"), pages, 3)
+    hops = spark.createDataFrame([("old", "T2")], "title string, dest string")
+    kb = spark.createDataFrame([("old",), ("T1",), ("T8",), ("empty",), ("absent",)], "title string").withColumn("type_name", F.lit("t"))
+    vocab = lambda *w: spark.createDataFrame([(x, k + 1) for k, x in enumerate(w)], "token string, id int")
+    made = {
+        "p": {"word_vocab": vocab("a", "b", "d"), "entity_vocab": vocab("X", "S0", "S1", "S2", "S3", "Z"), "text_len": 4, "entity_len": 3, "in_links": True, "out_links": True, "abstract_only": False},
+        "q": {"word_vocab": vocab("b", "e", "a"), "entity_vocab": vocab("Z", "X", "S1"), "text_len": 9, "entity_len": 9, "in_links": False, "out_links": True, "abstract_only": True},
+        "r": {"word_vocab": vocab("a"), "entity_vocab": vocab("S0", "X"), "text_len": 1, "entity_len": 2, "in_links": True, "out_links": False, "abstract_only": True},
+    }
+    found = {(r["encoding"], r["title"]): (r["words"], r["entities"]) for r in serving.page_encodings(kb, pages, parts, hops, made).collect()}
+    want = {}
+    for n, e in made.items():
+        words, links = serving.page_bags(pages, parts, e["in_links"], e["out_links"], e["abstract_only"])
+        for r in serving.page_features(kb, words, links, e["word_vocab"], e["entity_vocab"], hops, e["text_len"], e["entity_len"]).collect():
+            want[n, r["title"]] = ([x for x in r["words"] if x], [x for x in r["entities"] if x])
+    assert found == want and len(want) == 12 and any(w for w, _ in want.values())
+    counts = spark.createDataFrame([(1, c, 3 * c) for c in range(1, 9)] + [(2, 1, 2)], "row int, col int, n long")
+    names = vocab("T2", "T1", "T8")
+    both = {(r["encoding"], r["title"]): (r["words"], r["entities"]) for r in serving.cooc_encodings(kb, counts, counts, names, hops, {"a": (5, 40), "b": (200, 2)}).collect()}
+    want = {}
+    for n, (x, y) in {"a": (5, 40), "b": (200, 2)}.items():
+        for r in serving.cooc_features(kb, counts, counts, names, hops, x, y).collect():
+            want[n, r["title"]] = ([i for i in r["words"] if i], [i for i in r["entities"] if i])
+    assert both == want and len(want) == 6
