@@ -323,6 +323,7 @@ def model_for(spark, docs: DataFrame, sf_dir: str, most_rows: int = 5000) -> Mod
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """A null doc_id meets no label, so its row is scored, but never learned from; it is held out or not as an empty id is."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.col("text"), model_for(spark, docs, sf_dir)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -646,6 +646,23 @@ def test_pipeline_edges(spark):
     assert {r["doc_id"] for r in rows} <= {1, 2, 3, 7, 8, 9, 10, 11, None} and all(r["n_chars"] == len(r["text"]) for r in rows)
 
 
+def test_pipeline_edges_of_its_ends(spark, tmp_path):
+    """The toxicity and packing stages: no rows, null ids, texts and labels, repeated rows, names that clash."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 0), (2, 0), (None, 1), (7, None), (10, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, sf = some(spark), str(tmp_path)
+    rude = docs.where("doc_id = 11").withColumn("text", F.lit("you are an idiot, you moron, you worthless idiot"))
+    empty = corpus_pipeline.clean(spark, none(spark), sf)
+    assert empty.columns == docs.columns and empty.count() == 0
+    kept = corpus_pipeline.clean(spark, docs.unionByName(rude).unionByName(rude.withColumn("doc_id", F.lit(None).cast("long"))), sf)
+    assert kept.columns == docs.columns
+    assert sorted(repr(tuple(r)) for r in kept.collect()) == sorted(repr(tuple(r)) for r in docs.collect())
+    assert corpus_pipeline.packed(spark, none(spark), sf).count() == 0
+    pieces = Counter(r["doc_id"] for r in corpus_pipeline.packed(spark, docs.where("doc_id IS NULL OR doc_id <> 9"), sf).collect())
+    assert pieces == Counter(r["doc_id"] for r in docs.where("doc_id IS NULL OR doc_id <> 9").collect())
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
