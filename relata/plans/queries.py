@@ -219,8 +219,23 @@ def known_titles(spark, sf):
 
 
 def looked_up(spark, sf):
-    """A few keys, pushed down to the scan."""
-    return S.lookup(_read(spark, sf, "customer"), "c_custkey", [3, 14, 15, 92, -1]).select("c_custkey", "c_name")
+    """A few keys of a clustered table, pushed down to the scan."""
+    path = folder(spark, "customers")
+    S.store_clustered(_read(spark, sf, "customer").select("c_custkey", "c_name"), path, "c_custkey")
+    return S.lookup(S.load(spark, path), "c_custkey", [3, 14, 15, 92, -1])
+
+
+def dump_pages(spark, sf):
+    """Documents written as a dump, some in namespaces that are left out and some redirects, and read again."""
+    name, lit = F.col("doc_id").cast("string"), F.lit
+    title = F.concat(F.when(F.col("doc_id") % 10 == 0, lit("File:")).otherwise(lit("Doc ")), name)
+    clean = F.regexp_replace(F.coalesce("text", lit("")), r"[\x00-\x08\x0B-\x1F]", "")
+    wiki = F.when(F.col("doc_id") % 7 == 0, F.concat(lit("#REDIRECT [[doc "), name, lit("]]\n"), clean)).otherwise(clean)
+    escaped = F.replace(F.replace(F.replace(wiki, lit("&"), lit("&amp;")), lit("<"), lit("&lt;")), lit(">"), lit("&gt;"))
+    path = folder(spark, "dump")
+    page = F.concat(lit("<page><title>"), title, lit("</title><ns>0</ns><revision><text xml:space=\"preserve\">"), escaped, lit("</text></revision></page>"))
+    spread(_read(spark, sf, "documents").select("doc_id", "text")).select(page).write.text(path)
+    return S.dump(spark, path).select("title", F.md5("wiki_text").alias("digest"), "redirect")
 
 
 def target_titles(spark, sf):
@@ -330,14 +345,18 @@ def request_order(spark, sf):
     return S.numbered_requests(e)
 
 
-def _page_bags(spark, sf):
-    """Pages of single types, by number; their paragraphs, and out-links to the titles."""
+def _pages(spark, sf):
+    """(pages of single types, by number: their paragraphs, with out-links to the titles in the first; in-links in parts)."""
     empty = F.array().cast(parse.LINKS)
     link = F.transform(F.regexp_extract_all("html", F.lit(HREF), F.lit(1)), lambda x: F.struct(x.alias("title"), x.alias("text"), F.lit("out").alias("link_type")))
     texts = F.transform(F.regexp_extract_all("html", F.lit(PARAGRAPH), F.lit(1)), lambda x, i: F.struct(x.alias("text"), F.when(i == 0, link).otherwise(empty).alias("wiki_links"), (i == 0).alias("abstract")))
     pages = _read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("title"), texts.alias("paragraphs"))
     into = _read(spark, sf, "pages").select(F.concat(F.lit("p"), (F.col("page_id") % 40).cast("string")).alias("source"), (F.col("page_id") % 13).cast("string").alias("title"), F.lit("x").alias("text"))
-    return [saved(x, "bags") for x in serving.page_bags(pages, entities.in_link_parts(into, pages, 8))]
+    return pages, entities.in_link_parts(into, pages, 8)
+
+
+def _page_bags(spark, sf):
+    return [saved(x, "bags") for x in serving.page_bags(*_pages(spark, sf))]
 
 
 def page_dataset(spark, sf):
@@ -353,6 +372,16 @@ def page_dataset(spark, sf):
     return d.select("title", "type_name", F.col("label").cast("long").alias("label"), F.round("weight", 9).alias("weight"), "split", ids(F.col("words")).alias("words"), ids(F.array_sort("entities")).alias("entities"))
 
 
+def all_encodings(spark, sf):
+    """Two classifiers' encodings of all pages at once: of whole texts with in-links, the last 50 words; and of first paragraphs."""
+    pages, parts = (saved(x, "pages") for x in _pages(spark, sf))
+    words, names = (saved(x, "vocabulary") for x in serving.page_vocabularies(*serving.page_bags(pages, parts)))
+    both = {"word_vocab": words, "entity_vocab": names, "entity_len": 2000, "out_links": True}
+    made = {"a": {**both, "text_len": 50, "in_links": True, "abstract_only": False}, "b": {**both, "text_len": 5000, "in_links": False, "abstract_only": True}}
+    f = serving.page_encodings(pages.select("title"), pages, parts, spark.createDataFrame([], "title string, dest string"), made)
+    return f.select("encoding", "title", F.array_join("words", " ").alias("words"), F.array_join(F.array_sort("entities"), " ").alias("entities"))
+
+
 def cooc_bags(spark, sf):
     """A classifier's features from co-occurrences; every third title is asked for by one that redirects to it."""
     s = saved(_sentences(spark, sf), "sentences")
@@ -445,7 +474,7 @@ def attention_classifier(spark, sf):
     return learning.classify(rows, model, types, "language")
 
 
-QUERIES = {f.__name__: f for f in (type_pmi, type_probability, token_counts, title_forms, redirect_parse, nested_links, page_paragraphs, token_spans, word_vocabulary, prefix_vocabulary, link_document_frequency, redirect_resolution, inlink_counts, inlink_lookup, page_texts, page_in_links, link_bags, word_entity_window, char_windows, linked_entities, entity_pairs, stored_matrix, known_titles, looked_up, target_titles, encoded_documents, expanded_counts, single_types, multi_types, type_labels, type_lists, dataset_split, k_folds, class_weights, softmax_features, valid_logits, wide_features, binary_labels, mean_metrics, rounded_scores, binary_scores, unfinished_classifiers, split_difference, request_order, page_dataset, cooc_bags, pooled_vectors, scorer_rows, score_requests, projected_features, boosted_trees_cv, attention_classifier)}
+QUERIES = {f.__name__: f for f in (type_pmi, type_probability, token_counts, title_forms, redirect_parse, nested_links, page_paragraphs, token_spans, word_vocabulary, prefix_vocabulary, link_document_frequency, redirect_resolution, inlink_counts, inlink_lookup, page_texts, page_in_links, link_bags, word_entity_window, char_windows, linked_entities, entity_pairs, stored_matrix, known_titles, looked_up, dump_pages, target_titles, encoded_documents, expanded_counts, single_types, multi_types, type_labels, type_lists, dataset_split, k_folds, class_weights, softmax_features, valid_logits, wide_features, binary_labels, mean_metrics, rounded_scores, binary_scores, unfinished_classifiers, split_difference, request_order, page_dataset, all_encodings, cooc_bags, pooled_vectors, scorer_rows, score_requests, projected_features, boosted_trees_cv, attention_classifier)}
 
 _KB = "kb AS (SELECT DISTINCT o_custkey::VARCHAR AS title, o_orderpriority AS type_name FROM orders)"
 _STATS = """several AS (SELECT * FROM kb WHERE title IN (SELECT title FROM kb GROUP BY title HAVING count(*) <> 1)),
@@ -514,6 +543,8 @@ SELECT g.doc_id, coalesce(n_tokens, 0)::BIGINT AS n_tokens, coalesce(spans, md5(
     "stored_matrix": f"WITH {_SENT}, o AS (SELECT DISTINCT sent_id, entity FROM ents), m AS (SELECT a.entity AS e1, b.entity AS e2, count(*) AS n FROM o a JOIN o b ON a.sent_id = b.sent_id AND a.entity <> b.entity GROUP BY 1, 2), v AS (SELECT entity, count(*) AS c, row_number() OVER (ORDER BY count(*) DESC, entity) AS id FROM ents GROUP BY 1) SELECT a.id AS row, b.id AS col, m.n FROM m JOIN v a ON a.entity = e1 JOIN v b ON b.entity = e2 WHERE a.c >= 5",
     "known_titles": f"WITH {_LINKS} SELECT title, (SELECT count(*) FROM titles) AS n FROM titles",
     "looked_up": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (3, 14, 15, 92, -1)",
+    "dump_pages": r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '#REDIRECT [[doc ' || doc_id || ']]' || chr(10) ELSE '' END || regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B-\x1F]', '', 'g') AS t FROM documents WHERE doc_id % 10 <> 0)
+SELECT 'Doc ' || doc_id AS title, md5(t) AS digest, CASE WHEN doc_id % 7 = 0 THEN 'Doc ' || doc_id END AS redirect FROM d""",
     "target_titles": f"WITH {_LINKS} SELECT title, false AS resolved FROM titles UNION ALL SELECT DISTINCT coalesce(dest, t.title), true FROM titles t LEFT JOIN reds r ON r.title = t.title",
     "entity_pairs": f"WITH {_SENT}, o AS (SELECT DISTINCT sent_id, entity FROM ents) SELECT a.entity AS e1, b.entity AS e2, count(*) AS n FROM o a JOIN o b ON a.sent_id = b.sent_id AND a.entity <> b.entity GROUP BY 1, 2",
     "encoded_documents": f"WITH {_WORDS}, t AS (SELECT doc_id, lower(unnest(words)) AS token, generate_subscripts(words, 1) AS pos FROM toks), c AS (SELECT token, count(*) AS n FROM t GROUP BY 1 HAVING count(*) >= 20), v AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS id FROM c), e AS (SELECT doc_id, list(id ORDER BY pos) AS ids FROM t JOIN v USING (token) GROUP BY 1) SELECT doc_id, len(ids)::BIGINT AS length, array_to_string(CASE WHEN len(ids) >= 40 THEN ids[len(ids) - 39:] ELSE list_concat(list_transform(range(0, 40 - len(ids)), lambda x: 0), ids) END, ' ') AS ids FROM e WHERE len(ids) > 5",
@@ -552,6 +583,14 @@ wi AS (SELECT title, list(id ORDER BY pos) AS ids FROM wt JOIN wv USING (token)
 k AS (SELECT type_name, row_number() OVER (ORDER BY type_name) - 1 AS label, min(count(*)) OVER () / count(*) AS weight FROM p GROUP BY 1),
 r AS (SELECT title, type_name, label, weight, wi.ids AS wids, ei.ids AS eids, row_number() OVER (ORDER BY md5('0' || title), title) AS place, count(*) OVER () AS total FROM p JOIN wi USING (title) JOIN ei USING (title) JOIN k USING (type_name) WHERE len(wi.ids) > 5 AND len(ei.ids) > 1)
 SELECT title, type_name, label, round(weight, 9) AS weight, CASE WHEN place <= floor(total * 0.1) THEN 'dev' WHEN place <= 2 * floor(total * 0.1) THEN 'test' ELSE 'train' END AS split, array_to_string(wids[greatest(len(wids) - 4999, 1):], ' ') AS words, array_to_string(eids, ' ') AS entities FROM r""",
+    "all_encodings": r"""WITH p AS (SELECT page_id::VARCHAR AS title, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS x, CASE WHEN regexp_matches(html, '(?s)<p>(.*?)</p>') THEN list_distinct(regexp_extract_all(html, 'href="/([^"]*)"', 1)) ELSE [] END AS e FROM pages),
+t AS (SELECT 'a' AS encoding, title, regexp_extract_all(regexp_replace(array_to_string(x, ' '), '[ \t\n\x0b\f\r]+', ' ', 'g'), '[\p{L}\p{N}_]+') AS w FROM p UNION ALL SELECT 'b', title, regexp_extract_all(regexp_replace(array_to_string(x[1:1], ' '), '[ \t\n\x0b\f\r]+', ' ', 'g'), '[\p{L}\p{N}_]+') FROM p),
+wt AS (SELECT encoding, title, lower(unnest(w)) AS token, generate_subscripts(w, 1) AS pos FROM t), et AS (SELECT 'b' AS encoding, title, unnest(e) AS token FROM p),
+ea AS (SELECT 'a' AS encoding, title, token FROM et UNION SELECT DISTINCT 'a', (page_id % 13)::VARCHAR, 'p' || page_id % 40 FROM pages WHERE (page_id % 13) IN (SELECT page_id FROM pages)), ets AS (SELECT * FROM et UNION ALL SELECT * FROM ea),
+wv AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) AS id FROM wt WHERE encoding = 'a' AND pos <= 5000 GROUP BY 1 HAVING count(*) >= 5), ev AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) AS id FROM ea GROUP BY 1 HAVING count(*) >= 5),
+wi AS (SELECT encoding, title, list(id ORDER BY pos) AS ids FROM wt JOIN wv USING (token) GROUP BY 1, 2), ei AS (SELECT encoding, title, list(id ORDER BY id) AS ids FROM ets JOIN ev USING (token) GROUP BY 1, 2)
+SELECT t.encoding, t.title, coalesce(array_to_string(CASE WHEN t.encoding = 'a' THEN wi.ids[greatest(len(wi.ids) - 49, 1):] ELSE wi.ids END, ' '), '') AS words, coalesce(array_to_string(ei.ids, ' '), '') AS entities
+FROM t LEFT JOIN wi ON wi.encoding = t.encoding AND wi.title = t.title LEFT JOIN ei ON ei.encoding = t.encoding AND ei.title = t.title""",
     "cooc_bags": f"""WITH {_SENT}, wv AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS id FROM vocab), nv AS (SELECT entity, row_number() OVER (ORDER BY count(*) DESC, entity) AS id FROM ents GROUP BY 1),
 w AS (SELECT entity AS title, wv.id, count(*) AS n FROM ents e JOIN sent s ON s.sent_id = e.sent_id AND s.p <> e.p AND abs(s.p - e.p) <= 2 JOIN wv ON wv.token = lower(s.token) GROUP BY 1, 2),
 o AS (SELECT DISTINCT sent_id, entity FROM ents), m AS (SELECT a.entity AS title, nv.id, count(*) AS n FROM o a JOIN o b ON a.sent_id = b.sent_id AND a.entity <> b.entity JOIN nv ON nv.entity = b.entity GROUP BY 1, 2),
