@@ -207,8 +207,8 @@ def summaries(entries: DataFrame, counters: int = COUNTERS, slots: int = SLOTS,
     """
     group = F.xxhash64("stream", "grp")
     rows = entries.select(*ENTRIES, group.alias("group"), _key(group, F.col("item")).alias("key"))
-    tasks = max(1, rows.rdd.getNumPartitions())
     now = saved(rows.mapInArrow(W.released(_counted(counters, slots)), SUMMARY), "summaries")
+    tasks = (now.agg(F.max("part").alias("n")).first()["n"] or 0) + 1
     while True:
         tasks = -(-tasks // fan_in)
         now = now.withColumn("part", F.expr(f"part div {fan_in}")).withColumn("group", F.xxhash64("stream", "grp", "part"))
