@@ -49,17 +49,23 @@ def expanded(counts: DataFrame, keys: list[str], size: int, label: str = "bag")
     bar = F.lower(F.lpad(F.hex(F.floor((1 - F.least(share, F.lit(1.0))) * 2**32).cast("long")), 8, "0"))
     barred = sent(totals.where(F.col("total") > size).select(*keys, "total", bar.alias("bar")), "bars")
 
-    def ranked(some: DataFrame) -> DataFrame:
+    def hashed(some: DataFrame) -> DataFrame:
         blocks = some.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}"))))
         copies = blocks.withColumn("copy", F.explode(F.sequence(F.col("block") * COPIES + 1, F.least(F.col("n").cast("long"), (F.col("block") + 1) * COPIES))))
-        hashed = copies.select(*keys, "id", "total", "bar", F.md5(F.concat_ws("-", F.col("id").cast("string"), F.col("copy").cast("string"))).alias("h")).where("bar IS NULL OR h >= bar")
-        return hashed.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("h"), F.desc("id")))).where(F.col("place") <= size).drop("place", "bar")
+        made = copies.select(*keys, "id", "total", "bar", F.md5(F.concat_ws("-", F.col("id").cast("string"), F.col("copy").cast("string"))).alias("h"))
+        return made.where("bar IS NULL OR h >= bar").drop("bar")
+
+    def ranked(some: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("h"), F.desc("id")))
+        return hashed(some).withColumn("place", place).where(F.col("place") <= size).drop("place")
 
-    kept = saved(ranked(counts.where("n > 0").join(barred, keys, "left")), "copies")
-    short = barred.join(kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")), keys, "left").where(F.coalesce("c", F.lit(0)) < size).select(*keys, "total")
+    some = counts.where("n > 0").join(barred, keys, "left")
+    large = saved(ranked(some.where("bar IS NOT NULL")), "copies")
+    short = barred.join(large.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")), keys, "left").where(F.coalesce("c", F.lit(0)) < size).select(*keys, "total")
     if short.limit(1).count():
         again = ranked(counts.where("n > 0").join(short.withColumn("bar", F.lit(None).cast("string")), keys))
-        kept = kept.join(short.select(*keys), keys, "left_anti").unionByName(saved(again, "all-copies"))
+        large = large.join(short.select(*keys), keys, "left_anti").unionByName(saved(again, "all-copies"))
+    kept = hashed(some.where("bar IS NULL")).unionByName(large)
     bag = F.transform(F.sort_array(F.collect_list(F.struct("h", "id"))), lambda x: x["id"])
     return kept.groupBy(*keys).agg(bag.alias(label), F.coalesce(F.max("total"), F.count(F.lit(1))).alias("n"))
 
