@@ -49,10 +49,14 @@ def article(name, ignored=IGNORED_NAMESPACES):
     return ~F.lower(name).rlike(f"^({'|'.join(ignored)}):")
 
 
+def last(ids, size: int):
+    """The last `size` ids."""
+    return F.slice(ids, F.greatest(F.size(ids) - size + 1, F.lit(1)), size)
+
+
 def padded(ids, size: int):
     """The last `size` ids, with 0 in front of fewer."""
-    kept = F.slice(ids, F.greatest(F.size(ids) - size + 1, F.lit(1)), size)
-    return F.concat(F.array_repeat(F.lit(0).cast("int"), F.greatest(F.lit(size) - F.size(ids), F.lit(0))), kept)
+    return F.concat(F.array_repeat(F.lit(0).cast("int"), F.greatest(F.lit(size) - F.size(ids), F.lit(0))), last(ids, size))
 
 
 def sanitized(value):

@@ -12,6 +12,8 @@ from ..scratch import saved
 MOST_SENT = 500_000
 #: Copies of a counted id that are made at a time.
 COPIES = 1024
+#: Copies that a task makes, about, of keys with too many.
+TASK_COPIES = 16_000_000
 #: How many standard deviations more copies than needed are expected to pass the bar of a bag.
 SPREADS = 6
 _BEFORE = (Window.unboundedPreceding, -1)
@@ -23,11 +25,12 @@ def sent(table: DataFrame, label: str) -> DataFrame:
     return F.broadcast(table) if table.count() <= MOST_SENT else table
 
 
-def encoded(rows: DataFrame, vocab: DataFrame, keys: list[str], size: int, name: str = "ids") -> DataFrame:
-    """keys, <name>, length: each row's tokens (pos, token) as vocabulary ids in order, unknown ones left out, cut and padded."""
+def encoded(rows: DataFrame, vocab: DataFrame, keys: list[str], size: int, name: str = "ids", pad: bool = True) -> DataFrame:
+    """keys, <name>, length: each row's tokens (pos, token) as vocabulary ids in order, unknown ones left out, cut and, if asked,
+    padded."""
     known = rows.join(sent(vocab.select("token", "id"), "vocabulary"), "token")
     ids = known.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"].cast("int")).alias(name))
-    return ids.withColumn("length", F.size(name)).withColumn(name, T.padded(F.col(name), size))
+    return ids.withColumn("length", F.size(name)).withColumn(name, (T.padded if pad else T.last)(F.col(name), size))
 
 
 def long_enough(rows: DataFrame, minimum: int = 5, column: str = "length") -> DataFrame:
@@ -39,35 +42,37 @@ def expanded(counts: DataFrame, keys: list[str], size: int, label: str = "bag")
     """keys, <label>, n of counts (keys, id, n): each id as often as it was counted, in the order of hashes of its copies, and of
     more than `size` copies those with the largest hashes; n is how many there were.
 
-    Copies are made block by block in the task that reads a count, and never kept: of a key with more than `size`, a copy goes on
-    only if its hash is above a bar that size + SPREADS * sqrt(size) + 20 of them are expected to pass; these meet, are ranked, and make
-    the bag. Should fewer than `size` have passed, a key's copies are ranked without a bar. The keys with a bar are few, and are
-    sent to all tasks if they are few enough.
+    The counts are saved first, as they are read three times. A key of up to `size` copies goes as its counts, of which it has no
+    more than that, and they become copies in its own array. Of a larger key the counts are cut into blocks, dealt to all tasks, and
+    a block's copies are made where it is, and never kept: one goes on only if its hash is above a bar that size + SPREADS *
+    sqrt(size) + 20 of them are expected to pass; these meet, are ranked, and make the bag. Should fewer than `size` have passed, a
+    key's copies are ranked without a bar. The keys with a bar are few, and are sent to all tasks if they are few enough.
     """
+    counts = saved(counts.where("n > 0").select(*keys, "id", "n"), "counts")
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
     share = F.lit(size + SPREADS * size**0.5 + 20) / F.col("total")
     bar = F.lower(F.lpad(F.hex(F.floor((1 - F.least(share, F.lit(1.0))) * 2**32).cast("long")), 8, "0"))
     barred = sent(totals.where(F.col("total") > size).select(*keys, "total", bar.alias("bar")), "bars")
-
-    def hashed(some: DataFrame) -> DataFrame:
-        blocks = some.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}"))))
-        copies = blocks.withColumn("copy", F.explode(F.sequence(F.col("block") * COPIES + 1, F.least(F.col("n").cast("long"), (F.col("block") + 1) * COPIES))))
-        made = copies.select(*keys, "id", "total", "bar", F.md5(F.concat_ws("-", F.col("id").cast("string"), F.col("copy").cast("string"))).alias("h"))
-        return made.where("bar IS NULL OR h >= bar").drop("bar")
+    tasks = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), (barred.agg(F.sum("total")).first()[0] or 0) // TASK_COPIES)
+    hashed = lambda id_, copy: F.md5(F.concat_ws("-", id_.cast("string"), copy.cast("string")))
+    ids = lambda copies: F.transform(F.sort_array(copies), lambda x: x["id"])
 
     def ranked(some: DataFrame) -> DataFrame:
+        blocks = some.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}")))).repartition(tasks, *keys, "id", "block")
+        copies = blocks.withColumn("copy", F.explode(F.sequence(F.col("block") * COPIES + 1, F.least(F.col("n").cast("long"), (F.col("block") + 1) * COPIES))))
+        made = copies.select(*keys, "id", "total", "bar", hashed(F.col("id"), F.col("copy")).alias("h")).where("bar IS NULL OR h >= bar").drop("bar")
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("h"), F.desc("id")))
-        return hashed(some).withColumn("place", place).where(F.col("place") <= size).drop("place")
+        return made.withColumn("place", place).where(F.col("place") <= size).drop("place")
 
-    some = counts.where("n > 0").join(barred, keys, "left")
-    large = saved(ranked(some.where("bar IS NOT NULL")), "copies")
+    large = saved(ranked(counts.join(barred, keys)), "copies")
     short = barred.join(large.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")), keys, "left").where(F.coalesce("c", F.lit(0)) < size).select(*keys, "total")
     if short.limit(1).count():
-        again = ranked(counts.where("n > 0").join(short.withColumn("bar", F.lit(None).cast("string")), keys))
+        again = ranked(counts.join(short.withColumn("bar", F.lit(None).cast("string")), keys))
         large = large.join(short.select(*keys), keys, "left_anti").unionByName(saved(again, "all-copies"))
-    kept = hashed(some.where("bar IS NULL")).unionByName(large)
-    bag = F.transform(F.sort_array(F.collect_list(F.struct("h", "id"))), lambda x: x["id"])
-    return kept.groupBy(*keys).agg(bag.alias(label), F.coalesce(F.max("total"), F.count(F.lit(1))).alias("n"))
+    few = counts.join(barred, keys, "left_anti").groupBy(*keys).agg(F.collect_list(F.struct("id", "n")).alias("pairs"), F.sum("n").alias("n"))
+    copies = F.flatten(F.transform("pairs", lambda p: F.transform(F.sequence(F.lit(1).cast("long"), p["n"].cast("long")), lambda copy: F.struct(hashed(p["id"], copy).alias("h"), p["id"].alias("id")))))
+    many = large.groupBy(*keys).agg(ids(F.collect_list(F.struct("h", "id"))).alias(label), F.max("total").alias("n"))
+    return few.select(*keys, ids(copies).alias(label), "n").unionByName(many)
 
 
 def placed(rows: DataFrame, key: str, seed: str = "0") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..scratch import saved
 from ..sources import tables as S
 from . import cooc, datasets, entities, learning, scoring
 
@@ -29,10 +30,11 @@ def page_vocabularies(words: DataFrame, links: DataFrame, text_len: int = 5000,
 
 
 def _two_bags(titles: DataFrame, words: DataFrame, links: DataFrame, text_len: int, entity_len: int) -> DataFrame:
-    """title, words, entities (ids, padded) and their numbers, for every title; one without any has empty bags."""
+    """title, words, entities (ids, padded once they have met) and their numbers, for every title; one without any has empty bags."""
     out = titles.select("title").distinct().join(words, "title", "left").join(links, "title", "left")
     for name, size in (("words", text_len), ("entities", entity_len)):
-        out = out.withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0))).withColumn(name, F.coalesce(name, F.array_repeat(F.lit(0), size)))
+        ids = F.coalesce(name, F.array().cast("array<int>"))
+        out = out.withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0))).withColumn(name, T.padded(ids, size))
     return out.select("title", "words", "n_words", "entities", "n_entities")
 
 
@@ -41,20 +43,20 @@ def page_features(titles: DataFrame, words: DataFrame, links: DataFrame, word_vo
     more than entity_len entities, which have no order, those stay that a hash chooses."""
     wanted = entities.target_titles(titles, redirects)
     there = words.join(wanted, "title", "left_semi")
-    text = datasets.encoded(there.select("title", F.posexplode("words").alias("pos", "token")), word_vocab, ["title"], text_len, "words").withColumnRenamed("length", "n_words")
+    text = datasets.encoded(there.select("title", F.posexplode("words").alias("pos", "token")), word_vocab, ["title"], text_len, "words", False).withColumnRenamed("length", "n_words")
     known = links.join(wanted, "title", "left_semi").join(datasets.sent(entity_vocab.select("token", "id"), "vocabulary"), "token")
     return _two_bags(there, text, _bag(known.select("title", "id", F.lit(1).alias("n")), "entities", entity_len), text_len, entity_len)
 
 
 def _bag(counts: DataFrame, name: str, size: int) -> DataFrame:
-    """title, <name> (ids, padded), n_<name> of counts (title, id, n)."""
-    return datasets.expanded(counts, ["title"], size).select("title", T.padded(F.col("bag"), size).alias(name), F.col("n").alias(f"n_{name}"))
+    """title, <name> (ids), n_<name> of counts (title, id, n)."""
+    return datasets.expanded(counts, ["title"], size).select("title", F.col("bag").alias(name), F.col("n").alias(f"n_{name}"))
 
 
 def cooc_features(titles: DataFrame, word_counts: DataFrame, entity_counts: DataFrame, entity_vocab: DataFrame, redirects: DataFrame, text_len: int = 5000, entity_len: int = 2000) -> DataFrame:
     """The same from co-occurrences: bags of word and entity ids as often as they were counted, in an order fixed by a hash, and
     of too many those that it chooses. word_counts, entity_counts: row, col, n. Titles that are in no sentence are left out."""
-    rows = entities.target_titles(titles, redirects).join(entity_vocab.select(F.col("token").alias("title"), F.col("id").alias("row")), "title")
+    rows = saved(entities.target_titles(titles, redirects).join(entity_vocab.select(F.col("token").alias("title"), F.col("id").alias("row")), "title"), "rows")
     some = lambda counts: rows.join(counts, "row").select("title", F.col("col").alias("id"), "n")
     return _two_bags(rows, _bag(some(word_counts), "words", text_len), _bag(some(entity_counts), "entities", entity_len), text_len, entity_len)
 
@@ -84,7 +86,7 @@ def page_encodings(titles: DataFrame, pages: DataFrame, parts: DataFrame, redire
 def cooc_encodings(titles: DataFrame, word_counts: DataFrame, entity_counts: DataFrame, entity_vocab: DataFrame, redirects: DataFrame, lengths: dict[str, tuple[int, int]]) -> DataFrame:
     """The same from co-occurrences; lengths: by name text_len and entity_len. The matrices' rows are read once, and each bag is
     made for the longest; a shorter one is its end. As `cooc_features`, without padding."""
-    rows = entities.target_titles(titles, redirects).join(entity_vocab.select(F.col("token").alias("title"), F.col("id").alias("row")), "title")
+    rows = saved(entities.target_titles(titles, redirects).join(entity_vocab.select(F.col("token").alias("title"), F.col("id").alias("row")), "title"), "rows")
     some = lambda counts: rows.join(counts, "row").select("title", F.col("col").alias("id"), "n", F.lit("").alias("encoding"))
     words = datasets.expanded(some(word_counts), ["encoding", "title"], max(n for n, _ in lengths.values()), "words").drop("n")
     every = F.explode(F.array(*[F.lit(n) for n in lengths]))
