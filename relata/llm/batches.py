@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import words
 from .scratch import bucketed, bytes_of, saved
@@ -136,20 +137,44 @@ def exchange(batches: DataFrame, buckets: int, send: Callable, merge: Callable,
     """Answers, saved. send(payload, the batch's earlier answers) yields (bucket, data); merge(bucket, [(batch, data)],
     sorted by batch) yields rows of answer_type."""
 
-    def sent(key: tuple | None, payload: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        rows = [(b, k, data) for b, p in zip(payload["batch"], payload["payload"]) for k, data in send(p, by_bucket(told))]
-        words.release()
-        return pd.DataFrame(rows, columns=["batch", "bucket", "data"])
-
     def merged(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("batch", kind="stable")
         answers_ = list(merge(key[0], list(zip(rows["batch"].tolist(), rows["data"]))))
         words.release()
         return pd.DataFrame(answers_, columns=[x.split()[0] for x in answer_type.split(", ")])
 
-    out = met(batches, answers, sent, "batch long, bucket long, data binary")
-    tasks = max(int(batches.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, buckets))
-    return saved(out.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(merged, answer_type), label, by)
+    out = _messages(batches, send, answers)
+    return saved(out.repartition(_tasks(batches, buckets), "bucket").groupBy("bucket").applyInPandas(merged, answer_type), label, by)
+
+
+def consult(batches: DataFrame, buckets: int, parts: int, send: Callable, tables: DataFrame, answer: Callable, label: str) -> DataFrame:
+    """Answers, saved, of stored tables (bucket, and more) to what batches send. answer([(batch, data)], the bucket's rows) yields
+    (batch, data). Where batches are many for the tables' buckets, they are dealt to so many parts of each, which all read its rows."""
+
+    def answered(key: tuple, rows: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        out = [(batch, key[0], data) for batch, data in answer(list(zip(rows["batch"].tolist(), rows["data"])), kept)]
+        words.release()
+        return pd.DataFrame(out, columns=["batch", "bucket", "answer"])
+
+    tasks = _tasks(batches, buckets * parts)
+    asked = _messages(batches, send, None).withColumn("part", F.pmod(F.hash("batch"), F.lit(parts))).repartition(tasks, "bucket", "part")
+    copies = tables.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(tasks, "bucket", "part")
+    return saved(asked.groupBy("bucket", "part").cogroup(copies.groupBy("bucket", "part")).applyInPandas(answered, ANSWERS), label)
+
+
+def _tasks(batches: DataFrame, groups: int) -> int:
+    return max(int(batches.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, groups))
+
+
+def _messages(batches: DataFrame, send: Callable, answers: DataFrame | None) -> DataFrame:
+    """batch, bucket, data: what send yields for each batch and its answers."""
+
+    def sent(key: tuple | None, payload: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        rows = [(b, k, data) for b, p in zip(payload["batch"], payload["payload"]) for k, data in send(p, by_bucket(told))]
+        words.release()
+        return pd.DataFrame(rows, columns=["batch", "bucket", "data"])
+
+    return met(batches, answers, sent, "batch long, bucket long, data binary")
 
 
 def by_bucket(told: pd.DataFrame) -> dict[int, bytes]:

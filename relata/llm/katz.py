@@ -18,7 +18,8 @@ LARGE = 5  # counts above it aren't discounted
 BATCH_BYTES = 8 << 20
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 #: What the exchanges save, partitioned by kind: answers for batches, the model's sums, and its tables: n-grams with their
-#: counts (one row a bucket, `batch` is the order), and histories with count, backoff weight and factor.
+#: counts (one row a bucket, `batch` is the order), and histories with count, backoff weight and factor. A stored model has the
+#: last three, and its shape: order and number of buckets.
 _TOLD = "kind string, batch long, bucket long, answer binary, sums array<long>"
 
 
@@ -135,6 +136,18 @@ class Model:
     def unigram(self, count: np.ndarray) -> np.ndarray:
         return np.where(count > 0, self.level * self.kept(1, count) / max(1, self.tokens), self.unknown)
 
+    def chance(self, order: int, g: Grams, total: np.ndarray, count: np.ndarray, backoff: np.ndarray, scale: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Of an order's n-grams (counts: total), from their histories' counts, weights and factors, and the order below."""
+        seen = scale[g.history] * self.kept(order, total) / np.maximum(count[g.history], 1)
+        return np.where(total > 0, seen, backoff[g.history] * lower[g.lower])
+
+    def frame(self, t: Tokens, words: np.ndarray, chance: np.ndarray) -> pd.DataFrame:
+        """SCORES of a batch, from its words' counts and the probabilities of its n-grams."""
+        place, last = t.grams[0].place, t.grams[-1].place
+        base = np.log10((words + 1) / (self.tokens + self.words + 1))
+        frame = pd.DataFrame({"doc_id": t.ids, "held_out": t.held_out, "n_tokens": t.count, "n_known": np.add.reduceat((words > 0).astype(np.int64)[place], t.at), "train_tokens": self.tokens, "base_score": np.add.reduceat(base[place], t.at), "score": np.add.reduceat(np.log10(chance)[last], t.at)})
+        return frame.astype({"doc_id": "Int64"})
+
 
 def _discounts(n: list[int]) -> np.ndarray:
     """Katz's ratios d_r for counts r up to LARGE, 1 above. Where counts of counts are too few for Good-Turing's (not between
@@ -165,10 +178,11 @@ def _code(order: int, bucket: int) -> int:
 
 class Evaluator:
     """Probabilities of a batch's n-grams, from its answers, order by order. What an order needs of its histories is in
-    `count`, `s` and `u` (this batch's own sums), and after the exchange in `backoff` and `scale`."""
+    `count`, `s` and `u` (this batch's own sums), and after the exchange in `backoff` and `scale`. whole: all histories that
+    training has are exchanged, so that a table gets them, and not only those that several batches have."""
 
-    def __init__(self, t: Tokens, model: Model, told: dict[int, bytes], buckets: int) -> None:
-        self.t, self.model, self.told, self.deals = t, model, told, t.deal(buckets)
+    def __init__(self, t: Tokens, model: Model, told: dict[int, bytes], buckets: int, whole: bool = False) -> None:
+        self.t, self.model, self.told, self.deals, self.whole = t, model, told, t.deal(buckets), whole
         self.totals = [np.zeros(len(g.keys), np.int64) for g in t.grams]
         self.shared, self.own = ([np.zeros(len(g.keys), bool) for g in t.grams] for _ in range(2))
         for k, data in told.items():
@@ -189,7 +203,7 @@ class Evaluator:
         self.s = np.bincount(g.history[own], weights=self.model.kept(order, self.totals[order - 1])[own], minlength=n)
         self.u = np.bincount(g.history[own], weights=self.chance[g.lower][own], minlength=n)
         begin = self.t.grams[order - 2].begin
-        self.needs = self.shared[order - 2] & (self.count > 0)
+        self.needs = (self.shared[order - 2] | self.whole) & (self.count > 0)
         self.needs[begin] = True  # all documents begin: its count is summed in the exchange
         self.count[begin] = self.t.starts
 
@@ -212,9 +226,7 @@ class Evaluator:
                 mine = mine[self.needs[mine]]
                 a, b, c = B.split(data)
                 backoff[mine], scale[mine], self.count[mine] = B.expand_planes(a, np.float64), B.expand_planes(b, np.float64), B.expand_planes(c, np.int64)
-        g, total = self.t.grams[order - 1], self.totals[order - 1]
-        seen = scale[g.history] * self.model.kept(order, total) / np.maximum(self.count[g.history], 1)
-        self.chance = np.where(total > 0, seen, backoff[g.history] * self.chance[g.lower])
+        self.chance = self.model.chance(order, self.t.grams[order - 1], self.totals[order - 1], self.count, backoff, scale, self.chance)
 
 
 def _merge_weights(begin: np.uint64, order: int):
@@ -239,12 +251,46 @@ def _merge_weights(begin: np.uint64, order: int):
     return merge
 
 
+def _texts(docs: DataFrame, held_out) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), held_out.alias("held_out"))
+
+
+def _model(tables: DataFrame, order: int) -> Model:
+    """From the buckets' sums; there are as many numbers as orders ask for, however many buckets."""
+    sums = tables.where("kind = 'sums'").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("n")).orderBy("pos").collect()
+    return Model([r["n"] for r in sums] or [0] * (order * (LARGE + 3)))
+
+
+def _learned(table: DataFrame, buckets: int, order: int, whole: bool) -> tuple[Model, DataFrame, list[DataFrame]]:
+    """(model, answers for the batches, all that the exchanges saved)."""
+    saved = [B.exchange(table, buckets, lambda p, _: _send_counts(Tokens(p, order), buckets), _merge_counts, "counts", None, _TOLD, ("kind",))]
+    model, answers = _model(saved[0], order), lambda x: x.where("kind = 'answers'").select("batch", "bucket", "answer")
+    told = answers(saved[0])
+
+    def sender(upto: int):
+        def send(payload, answers):
+            e = Evaluator(Tokens(payload, order), model, answers, buckets, whole)
+            for m in range(2, upto):
+                e.step(m)
+            e.histories(upto)
+            yield from e.sent(upto)
+
+        return send
+
+    begin = np.array([BEGIN])
+    for m in range(2, order + 1):
+        saved.append(B.exchange(table, buckets, sender(m), _merge_weights(begin[0], m), f"weights{m}", told, _TOLD, ("kind",)))
+        told = told.unionByName(answers(saved[-1]))
+        begin = _joined(begin, np.array([BEGIN]))
+    return model, told, saved
+
+
 def train_and_score(docs: DataFrame, held_out, order: int = 2) -> DataFrame:
     """SCORES per row of docs (doc_id, text): trained on the documents that held_out(doc_id) doesn't hold.
 
     Tokens: words in lower case (A-Z only), then one end; a document's begin, as often as needed, is the first tokens'
     history. Counts of n-grams of all orders are gathered from all batches, hashed on the n-gram; a batch sends each of its own
-    once. The merged counts are saved as tables, partitioned by kind and bucket, and a batch gets those of its own n-grams.
+    once. A batch gets the merged counts of its own n-grams.
     Unigrams are discounted by Good-Turing, and all unknown words share what is left. For every order above, a seen n-gram has
     its discounted share of its history's count, an unseen one the history's backoff weight times the probability one order
     lower, and so on down. Backoff weights are exact: the seen n-grams of a history leave 1 - S, and 1 - U of the order below,
@@ -256,29 +302,8 @@ def train_and_score(docs: DataFrame, held_out, order: int = 2) -> DataFrame:
     are there. A very long text is a batch of its own: a task needs some 20 bytes for each of its bytes. Without training
     documents every token is unknown (probability 1). An empty table gives none. Column names besides the two don't matter.
     """
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), held_out(docs["doc_id"]).alias("held_out"))
-    table, buckets = B.batched(rows, "katz", BATCH_BYTES)
-    saved = B.exchange(table, buckets, lambda p, _: _send_counts(Tokens(p, order), buckets), _merge_counts, "counts", None, _TOLD, ("kind",))
-    sums = saved.where("kind = 'sums'").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("n")).orderBy("pos").collect()
-    if not sums:
-        return docs.sparkSession.createDataFrame([], SCORES)
-    model, told = Model([r["n"] for r in sums]), saved.where("kind = 'answers'").select("batch", "bucket", "answer")
-
-    def sender(upto: int):
-        def send(payload, answers):
-            e = Evaluator(Tokens(payload, order), model, answers, buckets)
-            for m in range(2, upto):
-                e.step(m)
-            e.histories(upto)
-            yield from e.sent(upto)
-
-        return send
-
-    begin = np.array([BEGIN])
-    for m in range(2, order + 1):
-        more = B.exchange(table, buckets, sender(m), _merge_weights(begin[0], m), f"weights{m}", told, _TOLD, ("kind",))
-        told = told.unionByName(more.where("kind = 'answers'").select("batch", "bucket", "answer"))
-        begin = _joined(begin, np.array([BEGIN]))
+    table, buckets = B.batched(_texts(docs, held_out(docs["doc_id"])), "katz", BATCH_BYTES)
+    model, told, _ = _learned(table, buckets, order, False)
 
     def score(key: tuple | None, payload: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -286,17 +311,90 @@ def train_and_score(docs: DataFrame, held_out, order: int = 2) -> DataFrame:
             e = Evaluator(Tokens(p, order), model, B.by_bucket(answers), buckets)
             for m in range(2, order + 1):
                 e.step(m)
-            t, words = e.t, e.totals[0]
-            place, last = t.grams[0].place, t.grams[-1].place
-            base = np.log10((words + 1) / (model.tokens + model.words + 1))
-            frame = pd.DataFrame({"doc_id": t.ids, "held_out": t.held_out, "n_tokens": t.count, "n_known": np.add.reduceat((words > 0).astype(np.int64)[place], t.at), "train_tokens": model.tokens, "base_score": np.add.reduceat(base[place], t.at), "score": np.add.reduceat(np.log10(e.chance)[last], t.at)})
-            out.append(frame.astype({"doc_id": "Int64"}))
+            out.append(model.frame(e.t, e.totals[0], e.chance))
         W.release()
         return pd.concat(out)
 
     return B.met(table, told, score, SCORES)
 
 
+def train(docs: DataFrame, path: str, order: int = 2) -> None:
+    """The same model of all docs (doc_id, text), stored at path: n-grams with their counts and all histories with their counts
+    and weights, a row for each order and bucket of hashes, partitioned by kind. An empty table gives a model without words."""
+    table, buckets = B.batched(_texts(docs, F.lit(False)), "katz", BATCH_BYTES)
+    _, _, saved = _learned(table, buckets, order, True)
+    shape = docs.sparkSession.createDataFrame([("shape", -1, -1, None, [order, buckets])], _TOLD)
+    for some in saved:
+        shape = shape.unionByName(some.where("kind <> 'answers'"))
+    shape.withColumn("bucket", F.expr(f"IF(kind = 'histories', bucket & {_code(1, 0) - 1}, bucket)")).write.mode("overwrite").partitionBy("kind").parquet(path)
+
+
+def _send_keys(t: Tokens, buckets: int):
+    deals = t.deal(buckets)
+    for k in sorted(set().union(*(d.runs for d in deals))):
+        yield k, B.join([B.squeeze_sorted(g.keys[d.of(k)]) for g, d in zip(t.grams, deals)])
+
+
+def _found(keys: np.ndarray, table: np.ndarray, values: np.ndarray, otherwise: int) -> np.ndarray:
+    """The values of keys in a table of rising keys."""
+    at = np.minimum(np.searchsorted(table, keys), max(0, len(table) - 1))
+    return np.where(table[at] == keys, values[at], otherwise) if len(table) else np.full(len(keys), otherwise, values.dtype)
+
+
+def _answer_keys(order: int):
+    """For each batch, order by order: counts of its n-grams; and below the highest, their counts, weights and factors as
+    histories."""
+    kinds = (np.int64, np.int64, np.float64, np.float64)
+
+    def answer(sent: list[tuple[int, bytes]], kept: pd.DataFrame):
+        stored = {(k, m): B.split(data) for k, m, data in zip(kept["kind"], kept["batch"].tolist(), kept["answer"])}
+        tables = []
+        for m in range(1, order + 1):
+            for k, columns in [(("grams", m), kinds[:1]), (("histories", m + 1), kinds[1:])][: 2 if m < order else 1]:
+                parts = stored.get(k)
+                keys = B.expand_sorted(parts[0]) if parts else np.zeros(0, np.uint64)
+                values = [B.expand_planes(x, c) for x, c in zip(parts[1:], columns)] if parts else [np.zeros(0, c) for c in columns]
+                tables += [(m, keys, v, 0 if c is np.int64 else 1) for v, c in zip(values, columns)]
+        for batch, data in sent:
+            asked = [B.expand_sorted(x) for x in B.split(data)]
+            yield batch, B.join([B.squeeze_planes(_found(asked[m - 1], keys, v, rest)) for m, keys, v, rest in tables])
+
+    return answer
+
+
+def score(path: str, docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of any texts (doc_id, text) by a model that `train` has stored.
+
+    Texts become batches, which send their distinct n-grams to the tables' buckets and get what these hold of them; the
+    recursion runs in the batch. Nothing of the model but its totals goes through the driver. Words and histories that the
+    model lacks back off as in training. Nulls, empty texts, repeated rows and long texts: as there; an empty table gives none.
+    """
+    tables = docs.sparkSession.read.schema(_TOLD).parquet(path)
+    order, buckets = tables.where("kind = 'shape'").first()["sums"]
+    model = _model(tables, order)
+    table, own = B.batched(_texts(docs, F.lit(True)), "scored", BATCH_BYTES)
+    told = B.consult(table, buckets, -(-own // buckets), lambda p, _: _send_keys(Tokens(p, order), buckets), tables.where("kind IN ('grams', 'histories')").select("kind", "batch", "bucket", "answer"), _answer_keys(order), "looked-up")
+
+    def scored(key: tuple | None, payload: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for p in payload["payload"]:
+            t = Tokens(p, order)
+            found = [[np.zeros(len(g.keys), c) for c in (np.int64, np.int64, np.float64, np.float64)] for g in t.grams]
+            for k, data in B.by_bucket(answers).items():
+                parts = iter(B.split(data))
+                for g, d in zip(found, t.deal(buckets)):
+                    for column, x in zip(g if g is not found[-1] else g[:1], parts):
+                        column[d.of(k)] = B.expand_planes(x, column.dtype)
+            chance = model.unigram(found[0][0])
+            for m in range(2, order + 1):
+                chance = model.chance(m, t.grams[m - 1], found[m - 1][0], *found[m - 2][1:], chance)
+            out.append(model.frame(t, found[0][0], chance))
+        W.release()
+        return pd.concat(out)
+
+    return B.met(table, told, scored, SCORES).drop("held_out")
+
+
 def held_out(doc_id, parts: int = 7, rest: int = 2):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts == rest
 

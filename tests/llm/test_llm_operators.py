@@ -514,6 +514,40 @@ def test_katz_brute_force(spark, order):
         assert out[i]["base_score"] == pytest.approx(sum(np.log10((ones.get(w, 0) + 1) / (total + len(ones) + 1)) for w in t), abs=1e-9)
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_katz_stored(spark, tmp_path, order):
+    """Texts scored from a stored model, as when they are held out beside the documents that it learned from."""
+    rng = np.random.default_rng(7)
+    words = [[f"p{b}w{k}" for k in range(6)] + ["the", "of"] for b in range(4)]
+    rows = [(k, " ".join(rng.choice(words[k // 20], k % 12)) + (" new" if k % 5 == 0 else "")) for k in range(80)]
+    train, others = [r for r in rows if r[0] % 4], [r for r in rows if not r[0] % 4] + [(500, None), (None, "the of"), (500, None)]
+    df = lambda x, n: spark.createDataFrame(spark.sparkContext.parallelize(x, n), "doc_id long, text string")
+    both = df(train + others, 5)
+    want = katz.train_and_score(both, lambda i: F.coalesce(i % 4 == 0, F.lit(True)), order)
+    katz.train(df(train, 4), str(tmp_path / "model"), order)
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0)
+    names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    want = sorted(want.where("held_out").collect(), key=key)
+    for parts in (1, 3):
+        found = sorted(katz.score(str(tmp_path / "model"), df(others, parts).withColumn("kind", F.lit("x"))).collect(), key=key)
+        assert [r["doc_id"] for r in found] == [r["doc_id"] for r in want] and len(found) == len(others)
+        for a, b in zip(found, want):
+            assert [a[n] for n in names] == pytest.approx([b[n] for n in names], abs=1e-9)
+    assert katz.score(str(tmp_path / "model"), none(spark)).count() == 0
+    katz.train(none(spark), str(tmp_path / "empty"), order)
+    assert [(r["n_known"], r["score"]) for r in katz.score(str(tmp_path / "empty"), df(others[:2], 1)).collect()] == [(0, 0.0)] * 2
+
+
+def test_consulted_in_parts(spark):
+    """Batches dealt to several parts of each bucket get all its rows."""
+    from relata.llm import batches as B
+
+    batches = spark.createDataFrame([(k, bytes([k])) for k in range(20)], "batch long, payload binary")
+    tables = spark.createDataFrame([(b, bytes([b, 7])) for b in range(3)], "bucket long, answer binary")
+    told = B.consult(batches, 3, 4, lambda p, _: [(b, p) for b in range(4)], tables, lambda sent, kept: [(k, data + b"".join(kept["answer"])) for k, data in sent], "test")
+    assert sorted((r["batch"], r["bucket"], bytes(r["answer"])) for r in told.collect()) == [(k, b, bytes([k]) + (bytes([b, 7]) if b < 3 else b"")) for k in range(20) for b in range(4)]
+
+
 def test_katz_large_counts():
     """Two batches' counts of one n-gram, beyond 32 bits."""
     keys = np.array([5, 9], np.uint64)
