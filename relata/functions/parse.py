@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +23,8 @@ LINKS = "array<struct<title: string, text: string, link_type: string>>"
 PARAGRAPHS = f"array<struct<text: string, wiki_links: {LINKS}, abstract: boolean>>"
 SENTENCES = "sent_id long, text string, wiki_links array<struct<title: string, span_start: int, span_end: int>>"
 LOCATED = "sent_id long, words array<string>, links array<struct<entity: string, before: int, after: int>>"
+#: Characters of texts whose spans are made at a time, about.
+MOST_CHARS = 4 << 20
 _LINK = re.compile(r"\[(.+?)\|(.*?)\]")
 _TOKEN = regex.compile(T.TOKEN)
 
@@ -68,10 +74,32 @@ def token_spans(text: str | None) -> list[tuple[int, int]]:
     return [m.span() for m in _TOKEN.finditer(text or "")]
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())])))
-def spans(texts: pd.Series) -> pd.Series:
-    """`token_spans` of a column."""
-    return texts.map(lambda t: [{"start": a, "stop": b} for a, b in token_spans(t)])
+@F.arrow_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())])))
+def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """`token_spans` of a column. A batch's places are two numbers for a token, without an object for each, and go on after
+    MOST_CHARS characters of texts."""
+    for batch in batches:
+        for some in _cut(batch):
+            places, stops = array("i"), [0]
+            for t in some:
+                for m in _TOKEN.finditer(t.as_py() or ""):
+                    places.extend(m.span())
+                stops.append(len(places) // 2)
+            both = np.frombuffer(places, np.int32).reshape(-1, 2)
+            each = pa.StructArray.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["start", "stop"])
+            yield pa.ListArray.from_arrays(pa.array(stops, pa.int32()), each)
+
+
+def _cut(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in slices that end once they have MOST_CHARS characters; no texts are one slice."""
+    sizes = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        end = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + MOST_CHARS)) + 1
+        yield texts.slice(at, end - at)
+        at = end
+    if not len(texts):
+        yield texts
 
 
 def located(text: str, links) -> tuple[list[str], list[dict]]:

@@ -1,6 +1,8 @@
 import re
 import time
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from relata.functions import parse
@@ -68,6 +70,17 @@ def test_spans(spark):
     assert [[tuple(x) for x in r["s"]] for r in df.collect()] == [[(0, 1), (2, 4)], []]
 
 
+def test_spans_of_a_batch_are_numbers(monkeypatch):
+    texts = pa.array(["ab " * 5000, None, "", "é x"] * 100)
+    tracemalloc.start()
+    found = pa.concat_arrays([x for x in parse.spans.func(iter([texts, texts.slice(0, 0)])) if tracemalloc.get_traced_memory()[1] < 40e6])
+    tracemalloc.stop()
+    assert len(found) == 400 and len(found[0]) == 5000
+    monkeypatch.setattr(parse, "MOST_CHARS", 10_000)
+    cut = list(parse.spans.func(iter([texts])))
+    assert len(cut) > 100 and pa.concat_arrays(cut).to_pylist() == [[{"start": a, "stop": b} for a, b in parse.token_spans(t)] for t in texts.to_pylist()]
+
+
 def test_long_lines_with_many_links():
     text, links = parse.sentence("[T|a] " * 2000)
     assert len(links) == 2000 and text == "a " * 1999 + "a"
