@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 from ..scratch import saved
 from . import pooling
 
-#: Labelled rows that one task may learn trees from; more are learned from by MLlib, in a distributed way.
+#: Labelled rows that one task may learn trees from. Of more, equal ones are counted; if more than so many differ, MLlib learns
+#: from them, in a distributed way, where it is asked to.
 MOST_ROWS = 1_000_000
 # What is searched for classifiers (dropout, hidden units, sizes of embeddings and of attention embeddings), and
 # for scorers (share of rows, least rows of a split, depth, rate; features from three up).
 CLASSIFIER_SPACE = {"dropout": [round(0.05 * n, 2) for n in range(1, 21)], "hidden": [500 * n for n in range(1, 21)], "dim": [100, 150, 200], "attention_dim": [2 * n for n in range(1, 11)]}
+PREDICTIONS = "title string, type_name string, fold int, label double, prediction double"
 SCORER_SPACE = {"subsample": [round(0.05 * n, 2) for n in range(1, 21)], "min_split": list(range(2, 101)), "depth": list(range(1, 7)), "rate": [round(0.01 + 0.005 * n, 3) for n in range(19)]}
 
 
@@ -235,20 +237,30 @@ class Trees:
     def options(self) -> dict:
         return {k: getattr(self, k) for k in ("trees", "rate", "depth", "min_split", "subsample", "max_features", "binary", "bins", "seed")}
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
+    def fit(self, x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> Trees:
+        """n: how often each row is there, once if not given. A share of counted rows is drawn without replacement, as counts."""
         rng = np.random.default_rng(self.seed)
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
+        ranks = np.linspace(0, 1, self.bins + 1)[1:-1]
+        self.edges = [np.unique(np.quantile(c, ranks) if n is None else _quantiles(c, n, ranks)) for c in x.T]
         b = self._binned(x)
-        mean = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if self.binary else float(y.mean())
+        mean = float(y.mean()) if n is None else float(np.average(y, weights=n))
+        mean = float(np.clip(mean, 1e-6, 1 - 1e-6)) if self.binary else mean
         self.start = float(np.log(mean / (1 - mean))) if self.binary else mean
         score, self.forest = np.full(len(y), self.start), []
+        every = np.ones(len(y), np.int64) if n is None else n
         for _ in range(self.trees):
             p = 1 / (1 + np.exp(-score)) if self.binary else score
             g, h = y - p, p * (1 - p) if self.binary else np.ones(len(y))
-            use = np.arange(len(y)) if self.subsample >= 1 else np.sort(rng.choice(len(y), max(1, int(len(y) * self.subsample)), replace=False))
-            n = x.shape[1]
-            columns = np.sort(rng.choice(n, self._columns(n), replace=False))
-            tree = self._grow(b, g, h, use, columns, self.depth)
+            use, times = np.arange(len(y)), every
+            if self.subsample < 1:
+                size = max(1, int(every.sum() * self.subsample))
+                if n is None:
+                    use = np.sort(rng.choice(len(y), size, replace=False))
+                else:
+                    times = rng.multivariate_hypergeometric(n, size, method="marginals")
+                    use = np.flatnonzero(times)
+            columns = np.sort(rng.choice(x.shape[1], self._columns(x.shape[1]), replace=False))
+            tree = self._grow(b, g * times, h * times, times, use, columns, self.depth)
             self.forest.append(tree)
             score += self.rate * self._walk(tree, b)
         return self
@@ -256,15 +268,15 @@ class Trees:
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, c, side="left") for e, c in zip(self.edges, x.T)], axis=1)
 
-    def _grow(self, b, g, h, rows, columns, depth):
+    def _grow(self, b, g, h, times, rows, columns, depth):
         value = g[rows].sum() / max(h[rows].sum(), 1e-9)
-        if not depth or len(rows) < self.min_split:
+        if not depth or times[rows].sum() < self.min_split:
             return float(value)
         best = None
-        total, count = g[rows].sum(), len(rows)
+        total, count = g[rows].sum(), times[rows].sum()
         for c in columns:
             bins = b[rows, c]
-            n, s = np.bincount(bins, minlength=self.bins), np.bincount(bins, weights=g[rows], minlength=self.bins)
+            n, s = np.bincount(bins, weights=times[rows], minlength=self.bins), np.bincount(bins, weights=g[rows], minlength=self.bins)
             n, s = np.cumsum(n)[:-1], np.cumsum(s)[:-1]
             ok = (n > 0) & (n < count)
             if ok.any():
@@ -275,7 +287,7 @@ class Trees:
         if best is None or best[0] <= total**2 / count + 1e-12:
             return float(value)
         left = b[rows, best[1]] <= best[2]
-        return int(best[1]), int(best[2]), self._grow(b, g, h, rows[left], columns, depth - 1), self._grow(b, g, h, rows[~left], columns, depth - 1)
+        return int(best[1]), int(best[2]), self._grow(b, g, h, times, rows[left], columns, depth - 1), self._grow(b, g, h, times, rows[~left], columns, depth - 1)
 
     def _walk(self, tree, b) -> np.ndarray:
         if not isinstance(tree, (tuple, list)):
@@ -297,6 +309,16 @@ def _vectors(f: pd.DataFrame, names: list[str]) -> np.ndarray:
     return f[names].fillna(0.0).to_numpy(dtype=float)
 
 
+def _quantiles(values: np.ndarray, n: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """numpy's quantiles of values that are there n times each."""
+    order = np.argsort(values, kind="stable")
+    ends, at = np.cumsum(n[order]), (n.sum() - 1) * ranks
+    low = np.floor(at).astype(np.int64)
+    a, b = (values[order][np.searchsorted(ends, np.minimum(k, ends[-1] - 1), side="right")] for k in (low, low + 1))
+    t = at - low
+    return np.where(t >= 0.5, b - (b - a) * (1 - t), a + (b - a) * t)
+
+
 def _bounded(rows: DataFrame) -> DataFrame:
     """rows, if one machine may hold them."""
     if rows.count() > MOST_ROWS:
@@ -304,6 +326,13 @@ def _bounded(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def _counted(rows: DataFrame, features: list[str], *keys: str) -> DataFrame:
+    """keys, label, features, n: rows that are alike for trees as one, with their number. A task may hold them as long as no more
+    than MOST_ROWS differ, however many rows there are."""
+    value = [F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f) for f in features]
+    return _bounded(saved(rows.select(*keys, "label", *value).groupBy(*keys, "label", *features).agg(F.count(F.lit(1)).alias("n")), "counted"))
+
+
 class Scorer:
     """A model of features by name: boosted trees (ours or MLlib's), or a linear one."""
 
@@ -346,15 +375,18 @@ class Scorer:
 
 
 def fit_scorer(rows: DataFrame, features: list[str], **options) -> Scorer:
-    """Trees from the labelled rows (title, type_name, label, features), which one task must hold."""
+    """Trees from the labelled rows (title, type_name, label, features), which one task must hold, or their different ones with
+    counts where they are many."""
     features = sorted(features)
+    rows = saved(rows.select("title", "type_name", "label", *features), "labelled")
+    many = rows.count() > MOST_ROWS
 
     def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = pd.concat(list(frames)).sort_values(["title", "type_name"])
-        trees = Trees(**options).fit(_vectors(f, features), f["label"].to_numpy())
+        f = pd.concat(list(frames)).sort_values([*features, "label"] if many else ["title", "type_name"])
+        trees = Trees(**options).fit(_vectors(f, features), f["label"].to_numpy(), f["n"].to_numpy() if many else None)
         yield pd.DataFrame({"model": [Scorer(features, bool(options.get("binary")), trees).dumps()]})
 
-    some = _bounded(rows).select("title", "type_name", "label", *features).coalesce(1)
+    some = (_counted(rows, features) if many else rows).coalesce(1)
     return Scorer.loads(some.mapInPandas(fit, "model string").first()["model"])
 
 
@@ -385,9 +417,12 @@ def load_model(spark: SparkSession, path: str) -> tuple[Classifier | Scorer, dic
 
 def cross_validated(rows: DataFrame, features: list[str], k: int = 10, **options) -> DataFrame:
     """title, type_name, fold, label, prediction of rows (title, type_name, fold, label, features): a task trains on the other
-    folds of its own. The rows are labelled ones, which are counted first: more than a task may hold raise an error, as in
-    `fit_scorer`, since the trees of `cross_validated_large` don't have all of the options."""
-    rows = _bounded(rows)
+    folds of its own. The rows are labelled ones, which are counted first: of more than a task may hold, equal ones become one
+    with their number (`_cross_validated_counted`); if too many differ, that raises an error, as in `fit_scorer`, since the trees
+    of `cross_validated_large` don't have all of the options."""
+    rows = saved(rows.select("title", "type_name", "fold", "label", *features), "labelled")
+    if rows.count() > MOST_ROWS:
+        return _cross_validated_counted(rows, features, k, **options)
 
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["title", "type_name"])
@@ -397,8 +432,31 @@ def cross_validated(rows: DataFrame, features: list[str], k: int = 10, **options
         out["prediction"] = model.predict(_vectors(f[test], features)) if len(out) else []
         return out
 
-    every = rows.select("title", "type_name", "fold", "label", *features).withColumn("task", F.explode(F.sequence(F.lit(1), F.lit(k))))
-    return every.groupBy("task").applyInPandas(run, "title string, type_name string, fold int, label double, prediction double")
+    return _tasks(rows, k).groupBy("task").applyInPandas(run, PREDICTIONS)
+
+
+def _tasks(rows: DataFrame, k: int) -> DataFrame:
+    return rows.withColumn("task", F.explode(F.sequence(F.lit(1), F.lit(k))))
+
+
+def _cross_validated_counted(rows: DataFrame, features: list[str], k: int, **options) -> DataFrame:
+    """The same trees from counts of equal rows. Each task's model then goes to all rows of its fold, where they are."""
+
+    def fit(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        f = f[f["fold"] != key[0]].sort_values([*features, "label", "fold"])
+        trees = Trees(**options).fit(_vectors(f, features), f["label"].to_numpy(), f["n"].to_numpy())
+        return pd.DataFrame({"fold": [key[0]], "model": [Scorer(features, bool(options.get("binary")), trees).dumps()]})
+
+    models = _tasks(_counted(rows, features, "fold"), k).groupBy("task").applyInPandas(fit, "fold int, model string").collect()
+    sent = rows.sparkSession.sparkContext.broadcast({r["fold"]: r["model"] for r in models})
+
+    def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trees = {fold: Scorer.loads(m).trees for fold, m in sent.value.items()}
+        for f in frames:
+            for fold, some in f.groupby("fold"):
+                yield some[["title", "type_name", "fold", "label"]].assign(prediction=trees[fold].predict(_vectors(some, features)))
+
+    return rows.where(F.col("fold").between(1, k)).mapInPandas(predict, PREDICTIONS)
 
 
 def cross_validated_large(rows: DataFrame, features: list[str], k: int = 10, trees: int = 1000, rate: float = 0.01, depth: int = 3, subsample: float = 1.0, binary: bool = False) -> DataFrame:

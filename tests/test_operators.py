@@ -327,3 +327,26 @@ def test_encodings_at_once(spark):
         for r in serving.cooc_features(kb, counts, counts, names, hops, x, y).collect():
             want[n, r["title"]] = ([i for i in r["words"] if i], [i for i in r["entities"] if i])
     assert both == want and len(want) == 6
+
+
+@pytest.mark.parametrize("binary", [False, True])
+def test_trees_of_many_equal_rows(spark, monkeypatch, binary):
+    """More rows than a task may hold, of which few differ."""
+    rng = np.random.default_rng(2)
+    data = [(f"t{k}", "a", k % 3 + 1, float((a + b > 5) if binary else a), float(a), None if b == 4 else float(b)) for k, (a, b) in enumerate(rng.integers(0, 6, (900, 2)).tolist())]
+    many = spark.createDataFrame(data, "title string, type_name string, fold int, label double, f0 double, f1 double")
+    found = []
+    for most in (1000, 200):
+        monkeypatch.setattr(learning, "MOST_ROWS", most)
+        model = learning.fit_scorer(many, ["f0", "f1"], trees=10, rate=0.3, binary=binary)
+        for rows in (learning.cross_validated(many, ["f0", "f1"], 3, trees=10, rate=0.3, binary=binary), model.predict(many)):
+            found.append([(r["title"], round(r["prediction"], 9)) for r in rows.orderBy("title").collect()])
+    assert found[:2] == found[2:] and len(found[0]) == 900
+    part = learning.cross_validated(many, ["f0", "f1"], 3, trees=10, rate=0.3, subsample=0.5, max_features=1, binary=binary).collect()
+    assert len(part) == 900 and np.mean([abs(r["label"] - r["prediction"]) for r in part]) < 1
+
+
+def test_quantiles_of_counted_values():
+    rng = np.random.default_rng(3)
+    values, n, ranks = rng.uniform(size=40), rng.integers(1, 9, 40), np.linspace(0, 1, 65)
+    assert np.array_equal(learning._quantiles(values, n, ranks), np.quantile(np.repeat(values, n), ranks))
