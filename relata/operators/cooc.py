@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import saved
+from .datasets import MOST_SENT, encoded_texts
+
 #: Entities of a sentence that are paired in one row.
 BLOCK = 256
 _BEFORE = (Window.unboundedPreceding, -1)
@@ -14,9 +17,9 @@ def vocabulary(tokens: DataFrame, min_count: int = 5) -> DataFrame:
     """token, n, id (from 1, the most frequent first, then by code points) of tokens (token) that are frequent enough.
 
     An id is the number of tokens of larger counts, of those of its count with a smaller first letter pair, and its place among
-    the others; no task sorts the whole vocabulary, only the counts that there are.
+    the others; no task sorts the whole vocabulary, only the counts that there are. They are saved first, as they are read twice.
     """
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count).withColumn("pair", F.substring("token", 1, 2))
+    counts = saved(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count), "token-counts").withColumn("pair", F.substring("token", 1, 2))
     cells = counts.groupBy("n", "pair").agg(F.count(F.lit(1)).alias("c"))
     levels = cells.groupBy("n").agg(F.sum("c").alias("c")).select("n", F.coalesce(F.sum("c").over(Window.orderBy(F.desc("n")).rowsBetween(*_BEFORE)), F.lit(0)).alias("above"))
     cells = cells.select("n", "pair", F.coalesce(F.sum("c").over(Window.partitionBy("n").orderBy("pair").rowsBetween(*_BEFORE)), F.lit(0)).alias("earlier")).join(levels, "n")

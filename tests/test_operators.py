@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relata.functions import parse
-from relata.operators import cooc, datasets, entities, learning, scoring, serving
+from relata.operators import cooc, datasets, entities, learning, pooling, scoring, serving
 from relata.plans import queries
 from relata.sources import tables
 
@@ -350,3 +350,27 @@ def test_quantiles_of_counted_values():
     rng = np.random.default_rng(3)
     values, n, ranks = rng.uniform(size=40), rng.integers(1, 9, 40), np.linspace(0, 1, 65)
     assert np.array_equal(learning._quantiles(values, n, ranks), np.quantile(np.repeat(values, n), ranks))
+
+
+def test_texts_are_encoded_in_place(spark, monkeypatch):
+    vocab = spark.createDataFrame([("a", 1), ("b", 2), ("é", 3)], "token string, id int")
+    texts = spark.createDataFrame([("x", ["b", "no", "a", "b", None]), ("none", ["no"]), ("null", None), ("empty", []), ("y", ["é"] * 6)], "title string, words array<string>")
+    found = datasets.encoded_texts(texts, vocab, 4, "ids", False)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found.select("title", F.array_join("ids", " "), "length")) == [("x", "2 1 2", 3), ("y", "3 3 3 3", 6)]
+    for most in (500_000, 1):
+        monkeypatch.setattr(datasets, "MOST_SENT", most)
+        assert rows(datasets.encoded_texts(texts, vocab, 4).select("title", F.array_join("ids", " "))) == [("x", "0 2 1 2"), ("y", "3 3 3 3")]
+
+
+def test_bags_are_pooled_in_place_by_parts_of_a_table(spark, monkeypatch):
+    table = spark.createDataFrame([(k, [float(k), 1.0 - k, 0.5], 1 / (1 + k)) for k in range(1, 30)], pooling.TABLE)
+    bags = spark.createDataFrame([("x", [1, 2, 2, 29, 0, 77]), ("unknown", [0, 99]), ("null", None), ("y", list(range(1, 30)) * 9)], "title string, ids array<int>")
+    values = lambda found: [(r["title"], [round(v, 9) for v in r["vector"]]) for r in found.orderBy("title").collect()]
+    whole = pooling.pooled(bags, table)
+    assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+    x = np.sum([np.array([k, 1.0 - k, 0.5]) * n / (1 + k) for k, n in ((1, 1), (2, 2), (29, 1))], axis=0)
+    assert [t for t, _ in values(whole)] == ["x", "y"] and np.allclose(values(whole)[0][1], x / np.linalg.norm(x))
+    monkeypatch.setattr(pooling, "MOST_PART", 200)
+    monkeypatch.setattr(pooling, "STEP", 7)
+    assert values(pooling.pooled(bags, table)) == values(whole)
