@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from relata.functions import parse
 from relata.functions import text as T
+from relata.functions import wikitext
 
 
 def one(spark, expression):
@@ -115,3 +116,22 @@ def test_broken_markup_in_linear_time():
     for bad in ("{{" * 50_000, "[[" * 50_000 + "]]" * 50_000, "<b>" * 50_000, "<b>" * 50_000 + "</b>" * 50_000, "''" * 50_001, "<!--" * 50_000, "<nowiki>" * 50_000, "=" * 50_000, "{|\n" * 50_000, "<i>''" * 50_000, "{{a|" * 20_000 + "}}" * 20_000):
         parse.paragraphs(bad + "\n")
     assert time.time() - began < 60
+
+
+def test_letters_are_no_begin_of_markup(monkeypatch):
+    tried, token = [], wikitext._TOKEN
+
+    class Counted:
+        def match(self, text, at):
+            tried.append(at)
+            return token.match(text, at)
+
+    text = "word, " * 1000 + "[[a|b]] {{x}}\n* y\n" + "z" * 1000
+    before = parse.paragraphs(text, True)
+    monkeypatch.setattr(wikitext, "_TOKEN", Counted())
+    assert parse.paragraphs(text, True) == before and len(before) == 3 and len(tried) < 20
+    monkeypatch.undo()
+    for text in ("a\n{|x", "see http://x.y z [[b]]", " \t{| q", "a=\n= h =", "&amp;", "--\n----", ""):
+        for at in range(len(text) + 1):
+            a, b = token.search(text, at), wikitext._next(text, at)
+            assert (a and (a.span(), a.groups())) == (b and (b.span(), b.groups()))
