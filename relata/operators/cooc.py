@@ -66,4 +66,12 @@ def entity_entity(sentences: DataFrame, block: int = BLOCK) -> DataFrame:
     long = two.select(part("i").alias("a"), part("j").alias("b"), F.xxhash64("all").alias("s"), "i", "j").repartition("s", "i", "j")
     long = long.withColumn("e1", F.explode("a")).select("e1", F.explode("b").alias("e2")).where("e1 < e2")
     half = short.union(long).groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("n"))
-    return half.union(half.select("e2", "e1", "n"))
+    both = F.array(F.struct("e1", "e2", "n"), F.struct(F.col("e2").alias("e1"), F.col("e1").alias("e2"), "n"))
+    return half.select(F.explode(both).alias("x")).select("x.e1", "x.e2", "x.n")
+
+
+def entity_ids(sentences: DataFrame, names: DataFrame) -> DataFrame:
+    """sent_id, links (entity: an id of names) of sentences (sent_id, links), for `entity_entity`: pairs are counted as ids, and no
+    count is joined with names. Entities without a name are left out."""
+    ids = encoded_texts(sentences.select("sent_id", F.col("links.entity").alias("words")), names, 2147483647, pad=False)
+    return ids.select("sent_id", F.transform("ids", lambda x: F.struct(x.alias("entity"))).alias("links"))

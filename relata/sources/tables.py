@@ -105,11 +105,16 @@ def lookup(table: DataFrame, key: str, wanted: DataFrame | list) -> DataFrame:
 
 
 def store_counts(counts: DataFrame, words: DataFrame, entities: DataFrame, path: str, column: str) -> None:
-    """A sparse matrix of counts (entity, <column>, n) as rows of ids (row, col, n), in order of rows. They are saved before they
-    are ordered, since the ranges are drawn from a sample of them."""
+    """A sparse matrix of counts (entity, <column>, n) as rows of ids: `store_ids`."""
     ids = counts.join(entities.select(F.col("token").alias("entity"), F.col("id").alias("row")), "entity")
     ids = ids.join(words.select(F.col("token").alias(column), F.col("id").alias("col")), column)
-    ids = saved(ids.select("row", "col", F.col("n").cast("long").alias("n")), "counts")
+    store_ids(ids, path)
+
+
+def store_ids(counts: DataFrame, path: str) -> None:
+    """A sparse matrix of counts (row, col, n) in order of rows. They are saved before they are ordered, since the ranges are drawn
+    from a sample of them."""
+    ids = saved(counts.select("row", "col", F.col("n").cast("long").alias("n")), "counts")
     store(ids.repartitionByRange("row").sortWithinPartitions("row", "col"), path)
 
 

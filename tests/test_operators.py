@@ -374,3 +374,11 @@ def test_bags_are_pooled_in_place_by_parts_of_a_table(spark, monkeypatch):
     monkeypatch.setattr(pooling, "MOST_PART", 200)
     monkeypatch.setattr(pooling, "STEP", 7)
     assert values(pooling.pooled(bags, table)) == values(whole)
+
+
+def test_pairs_of_ids_are_those_of_names(spark):
+    s = spark.createDataFrame([(k, [(e,) for e in names]) for k, names in enumerate(("ab", "bca", "cc", "d", ""))], "sent_id long, links array<struct<entity: string>>")
+    names = spark.createDataFrame([("a", 3), ("b", 1), ("c", 2), ("d", 4)], "token string, id int")
+    by_name = {e: i for e, i in names.collect()}
+    pairs = rows(cooc.entity_entity(cooc.entity_ids(s, names)))
+    assert pairs == sorted((by_name[a], by_name[b], n) for a, b, n in rows(cooc.entity_entity(s))) and len(pairs) == 6
