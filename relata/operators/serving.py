@@ -43,7 +43,7 @@ def page_features(titles: DataFrame, words: DataFrame, links: DataFrame, word_vo
     more than entity_len entities, which have no order, those stay that a hash chooses."""
     wanted = entities.target_titles(titles, redirects)
     there = words.join(wanted, "title", "left_semi")
-    text = datasets.encoded(there.select("title", F.posexplode("words").alias("pos", "token")), word_vocab, ["title"], text_len, "words", False).withColumnRenamed("length", "n_words")
+    text = datasets.encoded_texts(there.select("title", "words"), word_vocab, text_len, "words", False).withColumnRenamed("length", "n_words")
     known = links.join(wanted, "title", "left_semi").join(datasets.sent(entity_vocab.select("token", "id"), "vocabulary"), "token")
     return _two_bags(there, text, _bag(known.select("title", "id", F.lit(1).alias("n")), "entities", entity_len), text_len, entity_len)
 
