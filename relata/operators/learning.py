@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -406,7 +407,8 @@ def save_model(spark: SparkSession, model: Classifier | Scorer, path: str, **abo
     """A model and what belongs to it (JSON values), as a table of one row."""
     data = model.dumps()
     row = (type(model).__name__, data if isinstance(data, bytes) else data.encode(), json.dumps(about, sort_keys=True))
-    spark.createDataFrame([row], "kind string, model binary, about string").coalesce(1).write.mode("overwrite").parquet(path)
+    table = pa.table({n: pa.array([v]) for n, v in zip(("kind", "model", "about"), row)})  # read by the JVM: no Python worker starts
+    spark.createDataFrame(table).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def load_model(spark: SparkSession, path: str) -> tuple[Classifier | Scorer, dict]:

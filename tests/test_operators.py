@@ -382,3 +382,13 @@ def test_pairs_of_ids_are_those_of_names(spark):
     by_name = {e: i for e, i in names.collect()}
     pairs = rows(cooc.entity_entity(cooc.entity_ids(s, names)))
     assert pairs == sorted((by_name[a], by_name[b], n) for a, b, n in rows(cooc.entity_entity(s))) and len(pairs) == 6
+
+
+def test_models_are_stored_without_python_tasks(spark, tmp_path, monkeypatch):
+    def fail(*_):
+        raise AssertionError("a Python task")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", fail)
+    learning.save_model(spark, learning.Scorer(["f0"], False, linear=[2.0, 1.0]), f"{tmp_path}/m", note="é")
+    model, about = learning.load_model(spark, f"{tmp_path}/m")
+    assert model.linear == [2.0, 1.0] and about == {"note": "é"}
