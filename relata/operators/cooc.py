@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import saved
-from .datasets import MOST_SENT, encoded_texts
+from .datasets import encoded_texts
 
 #: Entities of a sentence that are paired in one row.
 BLOCK = 256
