@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import saved
+from ..scratch import parts_of, saved
 from .datasets import encoded_texts
 
 #: Entities of a sentence that are paired in one row.
 BLOCK = 256
+#: Parts of an entity's windows that go to tasks of their own.
+SPREAD = 8
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -35,20 +37,28 @@ def linked_entities(sentences: DataFrame) -> DataFrame:
 def word_entity(sentences: DataFrame, window: int | None, vocab: DataFrame | None = None) -> DataFrame:
     """entity, word, n: words among the `window` tokens before or after a link, counted for every mention.
 
-    sentences: words, links (entity, before: number of tokens before it, after: that of the first token after it). No window or
-    0 takes all tokens of the sentence. Tokens outside the vocabulary still use up the window. The windows are cut out of the
-    sentence's own array, so a link meets its window's tokens only, and nothing is shuffled but the counts.
+    sentences: words (tokens, without spaces), links (entity, before: number of tokens before it, after: that of the first token
+    after it). No window or 0 takes all tokens of the sentence. Tokens outside the vocabulary still use up the window. The windows
+    are cut out of the sentence's own array, so a link meets its window's tokens only.
+
+    A task's memory is that of the pairs which it counts. So windows, as one string each, are dealt by entity to tasks whose number
+    follows the input's size, and counted there; SPREAD parts of an entity, by where its windows were read, keep a frequent one from
+    being one task's. Then only counts are dealt, by word, to be summed and to meet the vocabulary without a further shuffle.
     """
-    every = F.size("words")
+    every, parts = F.size("words"), parts_of(sentences)
     reach = F.lit(window) if window else every
+    tasks = [] if parts is None else [max(sentences.sparkSession.sparkContext.defaultParallelism, parts)]
 
     def near(link):
         before = F.slice("words", F.greatest(link["before"] - reach, F.lit(0)) + 1, F.least(link["before"], reach))
         return F.struct(link["entity"].alias("entity"), F.concat(before, F.slice("words", link["after"] + 1, reach)).alias("words"))
 
-    some = sentences.select(F.explode(F.transform("links", near)).alias("x"))
-    counts = some.select("x.entity", F.explode("x.words").alias("word")).groupBy("entity", "word").agg(F.count(F.lit(1)).alias("n"))
-    return counts if vocab is None else counts.join(vocab.select(F.col("token").alias("word")), "word", "left_semi").select("entity", "word", "n")
+    some = sentences.select(F.explode(F.transform("links", near)).alias("x")).where("size(x.words) > 0")
+    some = some.select("x.entity", F.array_join("x.words", " ").alias("words"), (F.spark_partition_id() % SPREAD).alias("part"))
+    pairs = some.repartition(*tasks, "entity", "part").select("entity", "part", F.explode(F.split("words", " ")).alias("word"))
+    counts = pairs.groupBy("entity", "part", "word").agg(F.count(F.lit(1)).alias("n"))
+    sums = counts.repartition(*tasks, "word").groupBy("entity", "word").agg(F.sum("n").alias("n"))
+    return sums if vocab is None else sums.join(vocab.select(F.col("token").alias("word")), "word", "left_semi").select("entity", "word", "n")
 
 
 def entity_entity(sentences: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -47,6 +47,17 @@ def test_window_uses_unknown_tokens(spark):
     assert rows(cooc.linked_entities(located)) == [("E",)]
 
 
+def test_windows_are_counted_in_tasks_that_follow_the_input(spark, monkeypatch):
+    monkeypatch.setattr(cooc, "parts_of", lambda df: 37, raising=False)
+    one = "words array<string>, links array<struct<entity: string, before: int, after: int>>"
+    lines = [(["a", "e", "b"], [("E", 1, 2), ("Only", 0, 3)]), (["a", "e", "", "c"], [("E", 1, 2)]), (["e"], [("E", 0, 1)]), ([], []), (None, None)]
+    s = spark.createDataFrame(lines * 60, one).repartition(20)
+    found = cooc.word_entity(s, 2)
+    assert found.rdd.getNumPartitions() == 37
+    assert rows(found) == [("E", "", 60), ("E", "a", 120), ("E", "b", 60), ("E", "c", 60)]
+    assert rows(cooc.word_entity(s, 2, spark.createDataFrame([("a",), ("c",), ("z",)], "token string"))) == [("E", "a", 120), ("E", "c", 60)]
+
+
 def test_vocabulary_order(spark):
     words = ["b"] * 7 + ["a"] * 7 + ["abc"] * 6 + ["abd"] * 6 + ["é"] * 5 + ["rare"] * 4
     found = cooc.vocabulary(spark.createDataFrame([(w,) for w in words], "token string"))
