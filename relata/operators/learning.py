@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import functools
 import io
+import itertools
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ from . import pooling
 #: Labelled rows that one task may learn trees from. Of more, equal ones are counted; if more than so many differ, MLlib learns
 #: from them, in a distributed way, where it is asked to.
 MOST_ROWS = 1_000_000
+#: Ids whose embeddings are one row of a model in blocks.
+BLOCK = 4096
+#: Ids of a mini-batch whose vectors are made at a time.
+STEP = 16_384
+BLOCKS = "bag int, at int, numbers binary"
 # What is searched for classifiers (dropout, hidden units, sizes of embeddings and of attention embeddings), and
 # for scorers (share of rows, least rows of a split, depth, rate; features from three up).
 CLASSIFIER_SPACE = {"dropout": [round(0.05 * n, 2) for n in range(1, 21)], "hidden": [500 * n for n in range(1, 21)], "dim": [100, 150, 200], "attention_dim": [2 * n for n in range(1, 11)]}
@@ -65,7 +72,7 @@ class Classifier:
         v = np.zeros((len(rows), self.dim))
         if len(ids):
             first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            v[row[first]] = np.add.reduceat(w[:, None] * self.p[f"e{k}"][ids], first)
+            v[row[first]] = _sums(first, len(ids), lambda at: w[at, None] * self.p[f"e{k}"][ids[at]])
         size = np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-7)
         return ids, row, w, v / size, size
 
@@ -122,11 +129,14 @@ class Classifier:
             dv = dx[:, n * self.dim : (n + 1) * self.dim]
             dv = (dv - unit * (dv * unit).sum(axis=1, keepdims=True)) / size
             distinct, where = np.unique(ids, return_inverse=True)
-            self._adam(f"e{k}", _summed(where, w[:, None] * dv[row], len(distinct)), rate, distinct)
+            order = np.argsort(where, kind="stable")
+            first = np.searchsorted(where[order], np.arange(len(distinct)))
+            self._adam(f"e{k}", _sums(first, len(ids), lambda at: w[order[at], None] * dv[row[order[at]]]), rate, distinct)
             if self.attention:
-                da = w * (self.p[f"e{k}"][ids] * dv[row]).sum(axis=1)
+                cut = [slice(at, at + STEP) for at in range(0, len(ids), STEP)]
+                da = w * np.concatenate([(self.p[f"e{k}"][ids[at]] * dv[row[at]]).sum(axis=1) for at in cut])
                 change[f"d{k}"] = self.p[f"a{k}"][ids].T @ da
-                self._adam(f"a{k}", _summed(where, da[:, None] * self.p[f"d{k}"], len(distinct)), rate, distinct)
+                self._adam(f"a{k}", _sums(first, len(ids), lambda at: da[order[at], None] * self.p[f"d{k}"]), rate, distinct)
         for name, g in change.items():
             self._adam(name, g, rate, slice(None))
 
@@ -138,6 +148,28 @@ class Classifier:
         v[at] = 0.999 * v[at] + 0.001 * g * g
         self.p[name][at] -= rate * (m[at] / (1 - 0.9**self.steps)) / (np.sqrt(v[at] / (1 - 0.999**self.steps)) + 1e-8)
 
+    def _rest(self) -> list[str]:
+        return [n for n in self.p if n[0] not in "ea"]
+
+    def blocks(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(bag, first id, numbers) of BLOCK ids each: their embeddings, each with its attention embedding behind it; and as bag -1
+        all other numbers."""
+        for k, n in self.bags:
+            for at in range(0, n + 1, BLOCK):
+                yield k, at, np.hstack([self.p[x][at : at + BLOCK] for x in (f"e{k}", f"a{k}") if x in self.p])
+        yield -1, 0, np.concatenate([self.p[n].ravel() for n in self._rest()])
+
+    def put(self, bag: int, at: int, numbers: np.ndarray) -> None:
+        """A block's numbers in place of those that are there."""
+        if bag >= 0:
+            rows = numbers.reshape(-1, sum(self.p[x].shape[1] for x in (f"e{bag}", f"a{bag}") if x in self.p))
+            self.p[f"e{bag}"][at : at + len(rows)] = rows[:, : self.dim]
+            if self.attention:
+                self.p[f"a{bag}"][at : at + len(rows)] = rows[:, self.dim :]
+            return
+        for n in self._rest():
+            self.p[n], numbers = numbers[: self.p[n].size].reshape(self.p[n].shape).astype(float), numbers[self.p[n].size :]
+
     def dumps(self) -> bytes:
         out = io.BytesIO()
         np.savez(out, shape=np.frombuffer(json.dumps(self.shape).encode(), np.uint8), **{k: v.astype(np.float32) for k, v in self.p.items()})
@@ -154,49 +186,145 @@ class Classifier:
         return model
 
 
-def _summed(where: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by `where`, which has each number below n."""
-    order = np.argsort(where, kind="stable")
-    return np.add.reduceat(rows[order], np.searchsorted(where[order], np.arange(n)))
+def _sums(first: np.ndarray, n: int, rows: Callable[[slice], np.ndarray]) -> np.ndarray:
+    """Sums of the runs of n rows that begin at `first`; rows(at) makes those of a slice, runs of about STEP rows at a time."""
+    ends, out, k = np.r_[first[1:], n], [], 0
+    while k < len(first):
+        to = max(k + 1, int(np.searchsorted(ends, first[k] + STEP, side="right")))
+        out.append(np.add.reduceat(rows(slice(first[k], ends[to - 1])), first[k:to] - first[k]))
+        k = to
+    return np.concatenate(out)
+
+
+class Trained:
+    """A classifier whose embeddings stay a table (BLOCKS, of 64-bit floats), as they were trained. The driver reads bag -1 only."""
+
+    def __init__(self, shape: dict, blocks: DataFrame) -> None:
+        self.shape, self.blocks = shape, blocks
+
+    def whole(self) -> Classifier:
+        """The model itself, for which the driver must have the memory; its blocks are read one at a time."""
+        model = Classifier(**self.shape)
+        for r in self.blocks.toLocalIterator():
+            model.put(r["bag"], r["at"], np.frombuffer(r["numbers"]))
+        return model
+
+    def layers(self) -> Classifier:
+        """The model without embeddings but those of id 0."""
+        model = Classifier(**{**self.shape, "words": 0, "entities": 0})
+        model.put(-1, 0, np.frombuffer(self.blocks.where("bag = -1").first()["numbers"]))
+        return model
 
 
 def train_classifier(rows: DataFrame, shape: dict, epochs: int = 1, workers: int = 1, **options) -> Classifier:
+    """The model of `train_stored` in the driver, which must be able to hold it."""
+    return train_stored(rows, shape, epochs, workers, **options).whole()
+
+
+def train_stored(rows: DataFrame, shape: dict, epochs: int = 1, workers: int = 1, batch: int = 100, rate: float = 0.001) -> Trained:
     """A model from rows (title, words, entities, label, weight): each round `workers` tasks learn one epoch from their share of
-    the rows, from the round's model on, and their models are averaged by their numbers of rows. The driver reads the
-    models one at a time, each of a size that the vocabularies bound; with one worker it is plain training."""
-    model, session = Classifier(**shape), rows.sparkSession
-    dealt = rows.select("title", "words", "entities", "label", "weight").repartition(workers, "title")
-    for round_ in range(epochs):
-        start = session.sparkContext.broadcast(model.dumps())
-
-        def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            parts = list(frames)
-            if parts:
-                f = pd.concat(parts).sort_values("title", kind="stable")
-                m = Classifier.loads(start.value)
-                m.fit(f["words"].tolist(), f["entities"].tolist(), f["label"].tolist(), f["weight"].tolist(), seed=round_, measure=False, **options)
-                yield pd.DataFrame({"first": [f["title"].iloc[0]], "rows": [len(f)], "model": [m.dumps()]})
-
-        models = saved(dealt.mapInPandas(fit, "first string, rows long, model binary"), "models")
-        total = models.agg(F.sum("rows").alias("n")).first()["n"]
-        start.destroy()
-        if not total:
-            return model
-        model.p = {k: np.zeros_like(v) for k, v in model.p.items()}
-        for r in models.orderBy("first").toLocalIterator():
-            for k, v in Classifier.loads(bytes(r["model"])).p.items():
-                model.p[k] += v * (r["rows"] / total)
-    return model
-
-
-def classify(rows: DataFrame, model: Classifier, types: list[str], name: str) -> DataFrame:
+    the rows, from the round's model on, and their models are averaged by their numbers of rows; with one worker it is plain
+    training.
+
+    A model is never in the driver: it is made where it is trained, it leaves and comes back as blocks of ids, and those are
+    averaged by Spark. Nor does a task hold its rows: Spark sorts them into the epoch's order, which the round and the number of
+    rows give, and they go by in mini-batches. So a task has one model, of a size that the vocabularies bound.
+    """
+    dealt = rows.select(F.pmod(F.hash("title"), F.lit(workers)).alias("worker"), "title", "words", "entities", "label", "weight")
+    found = dealt.groupBy("worker").agg(F.count(F.lit(1)).alias("n"), F.min("title").alias("first")).orderBy("first").collect()
+    shares, total, blocks = {r["worker"]: r["n"] for r in found}, sum(r["n"] for r in found), None
+    for round_ in range(epochs if total else 0):
+        examples, before = dealt.selectExpr("*", "cast(null AS int) bag", "cast(null AS int) at", "cast(null AS binary) numbers"), 0
+        if blocks is not None:
+            before = blocks.count()
+            examples = examples.unionByName(blocks.withColumn("worker", F.explode(F.array(*[F.lit(w) for w in shares]))), allowMissingColumns=True)
+        named = examples.repartitionById(workers, F.col("worker")).sortWithinPartitions(F.isnull("bag"), "title")
+        at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) - before  # a row's number in its task, after the blocks
+        placed = named.withColumn("row", at.cast("int")).join(F.broadcast(_places(rows.sparkSession, shares, round_)), "worker")
+        placed = placed.withColumn("place", F.when(F.col("row") >= 0, F.get("places", "row"))).drop("row", "places")
+        models = placed.sortWithinPartitions(F.asc_nulls_first("place")).mapInArrow(_learning(shape, shares, round_, batch, rate), f"worker int, {BLOCKS}")
+        mean = _mean({w: n / total for w, n in shares.items()}, float if round_ == epochs - 1 else np.float32)
+        blocks = saved(models.groupBy("bag", "at").applyInPandas(mean, BLOCKS), "model")
+    if blocks is None:
+        one = rows.sparkSession.range(0, 1, 1, 1)
+        blocks = saved(one.mapInArrow(lambda _: (_block(*b) for b in Classifier(**shape).blocks()), BLOCKS), "model")
+    return Trained(shape, blocks)
+
+
+def _block(bag: int, at: int, numbers: np.ndarray, **more: int) -> pa.RecordBatch:
+    ints = {n: pa.array([v], pa.int32()) for n, v in (more | {"bag": bag, "at": at}).items()}
+    return pa.RecordBatch.from_pydict(ints | {"numbers": pa.array([numbers.tobytes()], pa.binary())})
+
+
+def _places(spark: SparkSession, shares: dict[int, int], round_: int) -> DataFrame:
+    """worker, places: where a worker's rows, in order of titles, are in the round, 4 bytes a row."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            places = [np.argsort(np.random.default_rng(round_).permutation(n)).astype(np.int32) for n in f["n"]]
+            yield pd.DataFrame({"worker": f["worker"], "places": places})
+
+    return spark.createDataFrame(list(shares.items()), "worker int, n int").mapInPandas(run, "worker int, places array<int>")
+
+
+def _learning(shape: dict, shares: dict[int, int], round_: int, batch: int, rate: float) -> Callable:
+    """The task of one worker: blocks of the round's model, then examples in their order, to blocks of what it has learned."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
+        worker, model, rng = first.column("worker")[0].as_py(), Classifier(**shape), np.random.default_rng(round_)
+        for v in model.p.values():
+            for at in range(0, len(v), BLOCK):
+                v[at : at + BLOCK] = v[at : at + BLOCK].astype(np.float32)  # as they are in blocks
+        rng.permutation(shares[worker])  # the order of the rows
+        for some in itertools.batched(_examples(itertools.chain([first], batches), worker, model), batch):
+            words, names, labels, weights = zip(*some)
+            model._step([words, names], np.array(labels, np.int64), np.array(weights, float), rate, rng)
+        for b in model.blocks():
+            yield _block(*b[:2], b[2].astype(np.float32), worker=worker)
+
+    return run
+
+
+def _examples(batches: Iterator[pa.RecordBatch], worker: int, model: Classifier) -> Iterator[tuple]:
+    """(words, entities, label, weight) of rows that are examples; those that are blocks go into the model."""
+    for b in batches:
+        if pc.any(pc.not_equal(b.column("worker"), worker)).as_py():
+            raise ValueError("rows of two workers in one task")
+        lists = [(b.column(n).offsets.to_numpy(), pc.fill_null(b.column(n).values, 0).to_numpy()) for n in ("words", "entities")]
+        labels, weights, blocks = (b.column(n) for n in ("label", "weight", "bag"))
+        for k in range(b.num_rows):
+            if blocks[k].is_valid:
+                model.put(blocks[k].as_py(), b.column("at")[k].as_py(), np.frombuffer(b.column("numbers")[k].as_buffer(), np.float32))
+            else:
+                yield *(ids[ends[k] : ends[k + 1]] for ends, ids in lists), labels[k].as_py(), weights[k].as_py()
+
+
+def _mean(shares: dict[int, float], kind: type) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A block of all workers, averaged by their shares of the rows, in the order of those."""
+
+    def mean(f: pd.DataFrame) -> pd.DataFrame:
+        numbers = {w: np.frombuffer(x, np.float32) for w, x in zip(f["worker"], f["numbers"])}
+        total = functools.reduce(np.add, [numbers[w].astype(float) * share for w, share in shares.items()])
+        return pd.DataFrame({"bag": f["bag"].iloc[:1], "at": f["at"].iloc[:1], "numbers": [total.astype(kind).tobytes()]})
+
+    return mean
+
+
+def classify(rows: DataFrame, model: Classifier | Trained, types: list[str], name: str) -> DataFrame:
     """classifier, title, type_name, value: logits of every row (title, words, entities) and type. The embeddings are stored as
     tables that ids are joined with (`pooling`); titles are distinct."""
-    tables = {}
-    for k, _ in model.bags:
-        attention = model.p[f"a{k}"] @ model.p[f"d{k}"] if model.attention else None
-        tables[("words", "entities")[k]] = pooling.stored(rows.sparkSession, model.p[f"e{k}"], attention)
-    return pooling.logits(rows, tables, model.dim, [model.p[n] for n in ("w1", "b1", "w2", "b2")], types, name)
+    stored, tables = isinstance(model, Trained), {}
+    top = model.layers() if stored else model
+    for k, _ in top.bags:
+        if stored:
+            table = pooling.from_blocks(model.blocks.where(F.col("bag") == k), top.dim, top.p[f"d{k}"] if top.attention else None)
+        else:
+            table = pooling.stored(rows.sparkSession, model.p[f"e{k}"], model.p[f"a{k}"] @ model.p[f"d{k}"] if model.attention else None)
+        tables[("words", "entities")[k]] = table
+    return pooling.logits(rows, tables, top.dim, [top.p[n] for n in ("w1", "b1", "w2", "b2")], types, name)
 
 
 def accuracy(rows: DataFrame, model: Classifier, types: list[str]) -> DataFrame:

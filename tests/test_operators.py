@@ -204,6 +204,52 @@ def test_distributed_training(spark):
     assert best["dropout"] == 0.1 and best["val_loss"] < 1
 
 
+def test_models_are_averaged_outside_of_the_driver(spark, monkeypatch):
+    """Blocks of ids that Spark averages, and examples that go by in the epoch's order, give what numpy gives from whole shares;
+    the driver makes no model with embeddings, and hands their table over in pieces."""
+    rng = np.random.default_rng(5)
+    data = [(f"t{k}", [int(x) for x in rng.integers(0, 9001, 40)], [int(x) for x in rng.integers(1, 3, k % 3)], k % 3, 1.0 + k % 2) for k in range(90)]
+    df = spark.createDataFrame(data, "title string, words array<int>, entities array<int>, label int, weight double").repartition(5)
+    shape, options = {"words": 9000, "entities": 2, "classes": 3, "dim": 4, "hidden": 6, "attention_dim": 2, "dropout": 0.5}, {"batch": 8, "rate": 0.02}
+    worker = {r["title"]: r["w"] for r in df.select("title", F.expr("pmod(hash(title), 3)").alias("w")).collect()}
+    want = learning.Classifier(**shape)
+    for round_ in range(2):
+        start, parts = want.dumps(), [sorted(d for d in data if worker[d[0]] == w) for w in range(3)]
+        want.p = {k: np.zeros_like(v) for k, v in want.p.items()}
+        for part in sorted(parts):
+            m = learning.Classifier.loads(start)
+            m.fit(*[[d[k] for d in part] for k in (1, 2, 3, 4)], seed=round_, measure=False, **options)
+            for k, v in learning.Classifier.loads(m.dumps()).p.items():
+                want.p[k] += v * (len(part) / len(data))
+    made, init, pieces, piece = [], learning.Classifier.__init__, [], pooling._piece
+    monkeypatch.setattr(learning.Classifier, "__init__", lambda self, words, entities, *a, **b: (made.append(words), init(self, words, entities, *a, **b))[1])
+    monkeypatch.setattr(pooling, "_piece", lambda part, dim: (pieces.append(part.count()), piece(part, dim))[1])
+    monkeypatch.setattr(pooling, "PIECE", 100_000)
+    trained = learning.train_stored(df, shape, 2, 3, **options)
+    found = {(r["title"], r["type_name"]): r["value"] for r in learning.classify(df, trained, ["x", "y", "z"], "n").collect()}
+    assert set(made) == {0} and len(pieces) == 5 + 1 and sum(pieces) == 9002 and max(pieces) < 2500
+    monkeypatch.undo()
+    model = trained.whole()
+    assert all(np.array_equal(model.p[k], want.p[k]) for k in want.p)
+    logits = want.logits([d[1] for d in data], [d[2] for d in data])
+    assert all(found[d[0], t] == pytest.approx(logits[k, j], abs=1e-5) for k, d in enumerate(data) for j, t in enumerate("xyz"))
+    assert np.array_equal(learning.train_stored(df.where("label > 5"), shape, 2, 3).whole().p["e0"], learning.Classifier(**shape).p["e0"])  # no rows
+
+
+def test_steps_of_many_ids_equal_those_at_once(monkeypatch):
+    rng = np.random.default_rng(1)
+    rows, labels = [[rng.integers(0, 50, int(n)) for n in rng.integers(0, 90, 30)] for _ in range(2)], rng.integers(0, 2, 30)
+
+    def fitted(step):
+        monkeypatch.setattr(learning, "STEP", step)
+        m = learning.Classifier(50, 50, 2, 6, 5, True, 3, 0.3)
+        m.fit(*rows, labels, batch=7, epochs=2, rate=0.02)
+        return m.p
+
+    a, b = fitted(1 << 20), fitted(16)
+    assert all(np.array_equal(a[k], b[k]) for k in a)
+
+
 def test_attention_classifier_reads_whole_texts(spark, tmp_path, monkeypatch):
     """Words past the first 60 are features, up to the last 5,000 ids; the vocabulary counts the first 5,000 words."""
     texts = [["a"] * 60 + ["b"] * 30, ["a"] * 5000 + ["late"] * 30 + ["b"] * 9, ["c"] * 60 + ["d"] * 30]
