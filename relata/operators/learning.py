@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import saved
+from ..scratch import batches_of, saved
 from . import pooling
 
 #: Labelled rows that one task may learn trees from. Of more, equal ones are counted; if more than so many differ, MLlib learns
@@ -24,8 +24,8 @@ from . import pooling
 MOST_ROWS = 1_000_000
 #: Ids whose embeddings are one row of a model in blocks.
 BLOCK = 4096
-#: Ids of a mini-batch whose vectors are made at a time.
-STEP = 16_384
+#: Ids of a mini-batch whose vectors are made at a time, and bytes of what goes to a task that learns at a time.
+STEP, BATCH = 16_384, 4 << 20
 BLOCKS = "bag int, at int, numbers binary"
 # What is searched for classifiers (dropout, hidden units, sizes of embeddings and of attention embeddings), and
 # for scorers (share of rows, least rows of a split, depth, rate; features from three up).
@@ -244,7 +244,8 @@ def train_stored(rows: DataFrame, shape: dict, epochs: int = 1, workers: int = 1
         placed = placed.withColumn("place", F.when(F.col("row") >= 0, F.get("places", "row"))).drop("row", "places")
         models = placed.sortWithinPartitions(F.asc_nulls_first("place")).mapInArrow(_learning(shape, shares, round_, batch, rate), f"worker int, {BLOCKS}")
         mean = _mean({w: n / total for w, n in shares.items()}, float if round_ == epochs - 1 else np.float32)
-        blocks = saved(models.groupBy("bag", "at").applyInPandas(mean, BLOCKS), "model")
+        with batches_of(rows.sparkSession, BATCH):
+            blocks = saved(models.groupBy("bag", "at").applyInPandas(mean, BLOCKS), "model")
     if blocks is None:
         one = rows.sparkSession.range(0, 1, 1, 1)
         blocks = saved(one.mapInArrow(lambda _: (_block(*b) for b in Classifier(**shape).blocks()), BLOCKS), "model")
@@ -274,6 +275,7 @@ def _learning(shape: dict, shares: dict[int, int], round_: int, batch: int, rate
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
+        pa.default_memory_pool().release_unused()  # of the process's earlier tasks
         worker, model, rng = first.column("worker")[0].as_py(), Classifier(**shape), np.random.default_rng(round_)
         for v in model.p.values():
             for at in range(0, len(v), BLOCK):

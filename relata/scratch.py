@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,6 +61,18 @@ def saved(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Arrow batches that go to Python in what runs within are of about `size` bytes at most; a task has several copies of one."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
     """Like `saved`, hashed on key, so that later joins on the key read it in place without a shuffle. The catalog has the
     table's name only while it is written: the plan that is returned keeps its files and its hashing."""
